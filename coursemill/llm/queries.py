@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coursemill.llm import line_dedup, mixing, pieces, records, sharding
+from coursemill.llm import gif, jaccard, line_dedup, mixing, pieces, pseudonyms, records, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
@@ -26,16 +30,24 @@ def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_digests(gif.text_media(table(spark, sf_dir, "documents")))
+
+
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_systematic_mix, op4_piece_codec, op5_binary_records, op7_line_runs, op10_ring_shards)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op3_systematic_mix, op4_piece_codec, op5_binary_records, op6_gif_media, op7_line_runs, op8_jaccard_join, op10_ring_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
