@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coursemill.llm import gif, jaccard, line_dedup, mixing, pieces, pseudonyms, records, sharding
+from coursemill.llm import cotraining, gif, jaccard, line_dedup, mixing, pieces, pseudonyms, rabitq, records, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymize_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
@@ -42,13 +46,23 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op9_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op3_systematic_mix, op4_piece_codec, op5_binary_records, op6_gif_media, op7_line_runs, op8_jaccard_join, op10_ring_shards)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_feistel_pseudonyms, op2_one_bit_codes, op3_systematic_mix, op4_piece_codec, op5_binary_records,
+            op6_gif_media, op7_line_runs, op8_jaccard_join, op9_cotrained_quality, op10_ring_shards,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_runs": line_dedup.ORACLE}
+    return {"op2_one_bit_codes": rabitq.ORACLE, "op7_line_runs": line_dedup.ORACLE}
