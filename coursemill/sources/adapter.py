@@ -34,21 +34,21 @@ FROM part GROUP BY p_brand, p_type""",
     ),
     "rating": (
         ("lineitem", "orders", "part"),
-        f"""SELECT concat('R', cast(l_orderkey AS STRING), '-', cast(l_linenumber AS STRING)) AS rating_id, {_KEYS},
+        f"""SELECT concat('R', cast(l_orderkey AS STRING), '-', cast(l_linenumber AS STRING), '-', cast(l_partkey AS STRING), '-', cast(l_suppkey AS STRING)) AS rating_id, {_KEYS},
   date '2023-12-01' + cast((l_orderkey * 7 + l_linenumber * 3) % 150 AS INT) AS rating_date, least(cast(5 AS DOUBLE), floor((l_quantity - 1) / 10) + 1) AS rating,
   cast(l_linenumber % 7 AS DOUBLE) AS difficulty_rating, cast(1 + l_suppkey % 5 AS DOUBLE) AS content_quality, cast(1 + l_partkey % 5 AS DOUBLE) AS instructor_rating,
   l_returnflag <> 'R' AS would_recommend {_LINE}""",
     ),
     "enrollment": (
         ("lineitem", "orders", "part"),
-        f"""SELECT concat('E', cast(l_orderkey AS STRING), '-', cast(l_linenumber AS STRING)) AS enrollment_id, {_KEYS},
+        f"""SELECT concat('E', cast(l_orderkey AS STRING), '-', cast(l_linenumber AS STRING), '-', cast(l_partkey AS STRING), '-', cast(l_suppkey AS STRING)) AS enrollment_id, {_KEYS},
   date '2023-12-10' + cast((l_orderkey * 5) % 100 AS INT) AS enrollment_date, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'P' THEN 'active' ELSE 'dropped' END AS status,
   cast((l_orderkey * 11 + l_linenumber * 17) % 101 AS DOUBLE) AS progress_percentage, date '2023-12-10' + cast((l_orderkey * 5) % 100 + l_linenumber * 5 AS INT) AS last_accessed
 {_LINE} WHERE (l_orderkey + l_linenumber) % 3 <> 0""",
     ),
     "quiz": (
         ("lineitem", "orders", "part"),
-        f"""SELECT concat('Q', cast(l_orderkey AS STRING), '-', cast(l_linenumber AS STRING)) AS quiz_id, {_KEYS},
+        f"""SELECT concat('Q', cast(l_orderkey AS STRING), '-', cast(l_linenumber AS STRING), '-', cast(l_partkey AS STRING), '-', cast(l_suppkey AS STRING)) AS quiz_id, {_KEYS},
   date '2023-12-05' + cast((l_orderkey * 3 + l_linenumber) % 140 AS INT) AS quiz_date, 'Final' AS quiz_title, cast(20 + l_linenumber AS INT) AS total_questions,
   cast((l_orderkey + l_linenumber * 5) % 31 AS INT) AS correct_answers, cast((l_orderkey * 13 + l_linenumber * 29) % 104 AS DOUBLE) AS score_percentage,
   cast(5 + l_linenumber * 3 AS INT) AS time_taken_minutes, cast(1 + l_linenumber % 3 AS INT) AS attempts, (l_orderkey * 13 + l_linenumber * 29) % 104 >= 60 AS passed
