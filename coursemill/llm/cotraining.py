@@ -100,16 +100,17 @@ class Logistic:
         up, down = y.sum(), len(y) - y.sum()
         t = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
         a, b = 1.0, 0.0
-        for _ in range(30):
+        for _ in range(60):  # damped, with a pull towards slope 1: where the sample separates, no slope is best
             p = sigmoid(a * m + b)
             w = np.maximum(p * (1 - p), 1e-6)
-            g = np.array([((p - t) * m).sum() + 1e-3 * (a - 1), (p - t).sum()])
-            h = np.array([[(w * m * m).sum() + 1e-3, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-9]])
+            g = np.array([((p - t) * m).sum() + (a - 1), (p - t).sum() + 1e-3 * b])
+            h = np.array([[(w * m * m).sum() + 1, (w * m).sum()], [(w * m).sum(), w.sum() + 1e-3]])
             step = np.linalg.solve(h, g)
+            step *= min(1.0, 0.5 / max(np.abs(step).max(), 1e-12))
             a, b = a - step[0], b - step[1]
             if np.abs(step).max() < 1e-6:
                 break
-        self.slope, self.shift = max(a, 1e-3), b
+        self.slope, self.shift = max(a, 0.05), b
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         """Calibrated log odds, kept within what the calibration sample can tell."""
@@ -136,7 +137,7 @@ class Quality:
 
 def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> Quality | None:
     """Fit both views. None where the labels don't have both classes on either side of the split."""
-    held = np.arange(len(y)) % round(1 / HELD_OUT) == 0
+    held = np.random.default_rng(SEED).random(len(y)) < HELD_OUT
     if any(len(set(part.tolist())) < 2 for part in (y[held], y[~held])):
         return None
     views = {"text": (text, pool_text), "page": (page, pool_page)}
