@@ -13,19 +13,27 @@ MOST_ROUNDS = 60
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: long): the smallest node that can be reached.
 
-    Every round sends a node's label to its neighbours, then lets each node take the label of its
-    label, so long chains shorten by powers of two. Labels are pre-aggregated before they are
-    shuffled; each round's labels are written to the shared folder.
+    In every round each node points to its smallest neighbour, if that is smaller, then to what that
+    one points to; then links are drawn between what their ends point to, and those within one node
+    go. So a node that has many links leaves them behind in the first round. Each round's labels and
+    links are written to the shared folder.
     """
-    links = links.filter("a <> b")
-    both = stash(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
+    links = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = stash(links.distinct(), "links")
+    found: DataFrame | None = None
     for _ in range(MOST_ROUNDS):
-        heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("heard"))
-        near = labels.join(heard, labels["node"] == heard["a"]).select("node", "component", F.least("component", "heard").alias("near"))
-        far = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
-        new = stash(near.join(far, "near").select("node", F.least("near", "far").alias("component"), (F.least("near", "far") != F.col("component")).alias("moved")), "labels")
-        labels = new.select("node", "component")
-        if not new.filter("moved").limit(1).count():
-            return labels
+        ends = links.select(F.col("a").alias("node"), F.col("a").alias("up")).union(links.select("b", "a"))
+        near = stash(ends.groupBy("node").agg(F.min("up").alias("up")), "near")
+        jumped = near.join(near.select(F.col("node").alias("up"), F.col("up").alias("component")), "up")
+        labels = stash(jumped.select("node", "component"), "labels")
+        if found is None:
+            found = labels
+        else:
+            later = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
+            found = stash(found.join(later, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "components")
+        one = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("x")), "a")
+        both = one.join(labels.select(F.col("node").alias("b"), F.col("component").alias("y")), "b").filter("x <> y")
+        links = stash(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        if links.isEmpty():
+            return found
     raise RuntimeError("the components did not settle")
