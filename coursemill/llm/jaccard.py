@@ -9,7 +9,7 @@
    parts more as empty ones are expected; so a set with no more empty parts than that leaves them
    out.
 3. Sets connected by keys form groups (a star from each key's smallest set: linear, whatever the
-   key's size). No link leaves a group.
+   key's size). No link leaves a group. Keys pass the shuffle once, as pairs of 16 bytes.
 4. A group is cut into tiles of one size band and a bounded number of sets; tiles whose bands are
    neighbours are compared. In a pair of tiles, hashed bitmaps bound the overlap from above by bit
    counts; only where the bound reaches the threshold are the sorted arrays intersected. Sets that
@@ -29,7 +29,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursemill.llm.components import components
@@ -152,6 +152,12 @@ def part_keys(items: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out)
 
 
+def set_digest(items: np.ndarray) -> tuple[int, int, int]:
+    """The size of a set and 128 bits that stand for it."""
+    digest = hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+    return len(items), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def bitmap(items: np.ndarray, words: int = LEAST_WORDS) -> np.ndarray:
     """A hashed bitmap of a set, of so many 64-bit words (a power of two)."""
     bits = np.zeros(words * 64, np.uint8)
@@ -215,33 +221,36 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     ship(spark)
     bands = (percent, BAND_RATIO)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Bands(*bands)
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                sizes, first, second, found = [], [], [], []
-                for text in rows.column(1).to_pylist():
+                found = [set_digest(shingles(t, words)) for t in rows.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], names=["doc_id", "n_shingles", "c1", "c2"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = Bands(*bands), set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                found, classes = [], []
+                for text in batch.slice(at, 256).column(0).to_pylist():
                     items = shingles(text, words)
-                    digest = hashlib.blake2b(items.tobytes(), digest_size=16).digest()
-                    sizes.append(len(items))
-                    first.append(int.from_bytes(digest[:8], "little", signed=True))
-                    second.append(int.from_bytes(digest[8:], "little", signed=True))
-                    found.append(part_keys(items, own).view(np.int64) if len(items) else np.zeros(0, np.int64))
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), lists], names=["doc_id", "n_shingles", "c1", "c2", "keys"])
+                    digest = set_digest(items)
+                    if len(items) and digest not in seen:  # copies in this task leave once
+                        seen.add(digest)
+                        found.append(part_keys(items, own).view(np.int64))
+                        classes.append(np.full(len(found[-1]), digest[1]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(classes))], names=["key", "c1"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = stash(plain.mapInArrow(keys, "doc_id long, n_shingles long, c1 long, c2 long, keys array<long>"), "shingle-keys")
+    every = stash(plain.mapInArrow(digests, "doc_id long, n_shingles long, c1 long, c2 long"), "shingle-sets")
     known = every.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = stash(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = known.select("doc_id", "c1", "c2", "n_shingles", "keys").join(classes, ["c1", "c2"]).filter("doc_id = rep")
+    classes = stash(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
 
-    # groups: sets that share a key; a link from the smallest of the key to each other one
-    shared = heads.select(F.explode("keys").alias("key"), "rep")
-    least = shared.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z")
-    stars = shared.join(least, "key").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    # groups: classes that share a key, by a link from the key's smallest class to each other one; the keys are shuffled once and not kept
+    shared = plain.filter("doc_id IS NOT NULL").select("text").mapInArrow(keys, "key long, c1 long")
+    stars = shared.withColumn("a", F.min("c1").over(Window.partitionBy("key"))).filter("a <> c1").select("a", F.col("c1").alias("b"))
     groups = components(stars)
 
     # tiles: a group's sets by size band, cut so that neither sets nor elements are too many
@@ -249,7 +258,7 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     while own.starts[-1] < 1 << 40:
         own.start(len(own.starts))
     limits = own.starts
-    members = heads.select("rep", F.col("n_shingles").alias("n")).distinct().join(groups.withColumnsRenamed({"node": "rep", "component": "grp"}), "rep")
+    members = classes.join(groups.withColumnsRenamed({"node": "c1", "component": "grp"}), "c1").select("rep", "n", "grp").distinct()
     band = F.size(F.filter(F.lit(limits), lambda s: s <= F.col("n"))).cast("int")
     members = stash(members.withColumn("band", band), "members")
     total = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("items")).withColumn("whole", (F.col("m") <= TILE_SETS) & (F.col("items") <= TILE_ITEMS)).select("grp", "whole")
