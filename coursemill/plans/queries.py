@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coursemill.operators import curation, etl, evaluation, features, ml, publishing, serving
 from coursemill.operators import recommend as rec
+from coursemill.session import stash
 from coursemill.sources.adapter import Platform
 
 #: The cohort that recommenders serve in these queries: fifty students, as they are served one at a time.
@@ -251,11 +252,11 @@ def holdout_split(p):
 
 def _lists(p: Platform, folds: int, weights=(0.4, 0.6)) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Split, then content, user-CF and hybrid scores by fold; content similarity does not depend on the split and is computed once."""
-    split = _split(p, folds)
+    split = stash(_split(p, folds), "split")
     train = split.filter("NOT is_test")
     matrix, history = rec.rating_matrix(train, by=("fold",)), train.select("fold", *KEYS).distinct()
-    content = rec.content_scores(history, _sims(p), p.course, by=("fold",))
-    cf = rec.user_cf_scores(matrix, cohort(p), by=("fold",))
+    content = stash(rec.content_scores(history, _sims(p), p.course, by=("fold",)), "content")
+    cf = stash(rec.user_cf_scores(matrix, cohort(p), by=("fold",)), "cf")
     return split, content, cf, rec.hybrid_scores(content, cf, history, 10, weights, by=("fold",))
 
 
