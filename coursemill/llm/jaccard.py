@@ -276,25 +276,16 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     down = F.transform(side(0, F.col("below")), lambda j: F.struct((b - 1).alias("t1"), j.alias("u1"), b.alias("t2"), cut.alias("u2"), F.lit(1).alias("side")))
     dealt = placed.select("rep", "grp", F.explode(F.concat(level, up, down)).alias("p")).select("rep", F.xxhash64("grp", "p.t1", "p.u1", "p.t2", "p.u2").alias("pair"), F.col("p.side").alias("side"))
 
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                found = [shingles(t, words).view(np.int64) for t in rows.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["rep", "items"])
-
-    # the texts of groups only; rows of one id may differ in text, the one of the class counts
-    needed = plain.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    texts = stash(needed.mapInArrow(arrays, "rep long, items array<long>"), "sets")
+    # the texts of groups only, compressed better than arrays would be; rows of one id may differ in text, and all take part
+    needed = plain.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.asarray(x).view(np.uint64) for x in group["items"]]
-        reps = group["rep"].to_numpy()
-        found, _ = compare_tiles(sets, group["side"].to_numpy(), percent)
+        sets = [shingles(t, words) for t in group["text"]]
+        reps, side = group["rep"].to_numpy(), group["side"].to_numpy()
+        found, _ = compare_tiles(sets, side, percent)
         return pd.DataFrame({"a": reps[[a for a, _ in found]], "b": reps[[b for _, b in found]]}, dtype="int64")
 
-    links = dealt.join(texts, "rep").groupBy("pair").applyInPandas(link, "a long, b long")
+    links = dealt.join(needed, "rep").groupBy("pair").applyInPandas(link, "a long, b long")
     linked = components(links).withColumnsRenamed({"node": "rep", "component": "linked"})
     named = known.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["c1", "c2"]).join(linked, "rep", "left")
     named = named.select("doc_id", "n_shingles", F.coalesce("linked", "rep").alias("component_id"))
