@@ -14,10 +14,13 @@ succeeded, so a repeated task leaves an unread file at worst.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -48,53 +51,52 @@ for _ in range(7):
     _SLICES.append(_T[_SLICES[-1] & 0xFF] ^ (_SLICES[-1] >> np.uint32(8)))
 
 
-def _shift_tables(n_zeros: int) -> list[list[int]]:
-    """Tables that carry a CRC-32C state over so many zero bytes, a byte of the state at a time."""
-    rows = [1 << k for k in range(32)]  # the state's 32 basis vectors
-    step = [int(_T[r & 0xFF]) ^ (r >> 8) for r in rows]
+def _squared(tables: list[list[int]]) -> list[list[int]]:
+    """The tables of doing what these tables do twice."""
+    return [[_carried(v, tables) for v in row] for row in tables]
 
-    def apply(m: list[int], v: int) -> int:
-        out = k = 0
-        while v:
-            if v & 1:
-                out ^= m[k]
-            v >>= 1
-            k += 1
-        return out
 
-    power, total = step, rows
-    while n_zeros:
-        if n_zeros & 1:
-            total = [apply(power, v) for v in total]
-        power = [apply(power, v) for v in power]
-        n_zeros >>= 1
-    return [[apply(total, b << 8 * k) for b in range(256)] for k in range(4)]
+def _carried(state: int, tables: list[list[int]]) -> int:
+    return tables[0][state & 255] ^ tables[1][state >> 8 & 255] ^ tables[2][state >> 16 & 255] ^ tables[3][state >> 24]
 
 
-BLOCK = 256
-_BLOCK_SHIFT = [np.array(t, np.uint32) for t in _shift_tables(BLOCK)]
+#: _ZEROS[k]: what 2**k zero bytes do to a state, one table for each of its bytes.
+_ZEROS = [[_T.tolist(), *([b << 8 * k for b in range(256)] for k in range(3))]]
+for _ in range(40):
+    _ZEROS.append(_squared(_ZEROS[-1]))
+_BLOCK_BITS = 9
+
+
+def crc32c_many(items: list[bytes]) -> list[int]:
+    """CRC-32C of each item. All blocks of all items are taken side by side, so that NumPy does the inner loop.
+
+    Zeros before the data leave a state of zero as it is, so items are filled up in front; what the
+    checksum's starting state adds depends on the length alone.
+    """
+    size = 1 << _BLOCK_BITS
+    filled = b"".join([part for x in items for part in (bytes(-len(x) % size), x)])
+    blocks = np.frombuffer(filled, np.uint8).reshape(-1, size)
+    part = np.zeros(len(blocks), np.uint32)
+    for k in range(0, size, 8):
+        b = blocks[:, k : k + 8]
+        part = (
+            _SLICES[7][b[:, 0] ^ (part & 0xFF)] ^ _SLICES[6][b[:, 1] ^ (part >> 8 & 0xFF)] ^ _SLICES[5][b[:, 2] ^ (part >> 16 & 0xFF)] ^ _SLICES[4][b[:, 3] ^ (part >> 24)]
+            ^ _SLICES[3][b[:, 4]] ^ _SLICES[2][b[:, 5]] ^ _SLICES[1][b[:, 6]] ^ _SLICES[0][b[:, 7]]
+        )
+    parts, at, out = part.tolist(), 0, []
+    for x in items:
+        state, start = 0, 0xFFFFFFFF
+        for p in parts[at : (at := at + -(-len(x) // size))]:
+            state = _carried(state, _ZEROS[_BLOCK_BITS]) ^ p
+        for k in range(len(x).bit_length()):
+            if len(x) >> k & 1:
+                start = _carried(start, _ZEROS[k])
+        out.append(state ^ start ^ 0xFFFFFFFF)
+    return out
 
 
 def crc32c(data: bytes) -> int:
-    """CRC-32C. Blocks of the data are taken side by side and then joined, so that NumPy does the inner loop."""
-    raw = np.frombuffer(data, np.uint8)
-    n = len(raw) // BLOCK
-    state = 0xFFFFFFFF
-    if n:
-        blocks = raw[: n * BLOCK].reshape(n, BLOCK)
-        part = np.zeros(n, np.uint32)
-        for k in range(0, BLOCK, 8):
-            b = blocks[:, k : k + 8]
-            part = (
-                _SLICES[7][b[:, 0] ^ (part & 0xFF)] ^ _SLICES[6][b[:, 1] ^ (part >> 8 & 0xFF)] ^ _SLICES[5][b[:, 2] ^ (part >> 16 & 0xFF)] ^ _SLICES[4][b[:, 3] ^ (part >> 24)]
-                ^ _SLICES[3][b[:, 4]] ^ _SLICES[2][b[:, 5]] ^ _SLICES[1][b[:, 6]] ^ _SLICES[0][b[:, 7]]
-            )
-        t0, t1, t2, t3 = _BLOCK_SHIFT
-        for p in part.tolist():
-            state = int(t0[state & 0xFF]) ^ int(t1[state >> 8 & 0xFF]) ^ int(t2[state >> 16 & 0xFF]) ^ int(t3[state >> 24]) ^ p
-    for b in raw[n * BLOCK :].tolist():
-        state = int(_T[(state ^ b) & 0xFF]) ^ (state >> 8)
-    return state ^ 0xFFFFFFFF
+    return crc32c_many([data])[0]
 
 
 def masked(crc: int) -> int:
@@ -102,30 +104,39 @@ def masked(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(payload: bytes) -> bytes:
-    head = struct.pack("<Q", len(payload))
-    return b"".join((head, struct.pack("<I", masked(crc32c(head))), payload, struct.pack("<I", masked(crc32c(payload)))))
+def frames(payloads: list[bytes]) -> list[bytes]:
+    """Each payload in its frame."""
+    heads = [struct.pack("<Q", len(p)) for p in payloads]
+    crcs = crc32c_many([*heads, *payloads])
+    n = len(heads)
+    return [b"".join((h, struct.pack("<I", masked(a)), p, struct.pack("<I", masked(b)))) for h, p, a, b in zip(heads, payloads, crcs[:n], crcs[n:], strict=True)]
+
+
+def checked(found: list[tuple[bytes, bytes, bytes]]) -> list[bytes]:
+    """The payloads of (head with checksum, payload, checksum); ValueError if a checksum does not hold."""
+    crcs = crc32c_many([*(h[:8] for h, _, _ in found), *(p for _, p, _ in found)])
+    n = len(found)
+    for (h, p, c), a, b in zip(found, crcs[:n], crcs[n:], strict=True):
+        if HEAD.unpack(h) != (len(p), masked(a)) or struct.unpack("<I", c)[0] != masked(b):
+            raise ValueError("damaged record")
+    return [p for _, p, _ in found]
 
 
 def unframe(data: bytes) -> bytes:
-    """The payload of a frame; ValueError if a checksum does not hold."""
-    n, head_crc = HEAD.unpack_from(data)
-    if masked(crc32c(data[:8])) != head_crc or len(data) != n + 16:
-        raise ValueError("damaged record head")
-    payload = data[12 : 12 + n]
-    if masked(crc32c(payload)) != struct.unpack_from("<I", data, 12 + n)[0]:
-        raise ValueError("damaged record")
-    return payload
+    """The payload of one frame."""
+    return checked([(data[:12], data[12:-4], data[-4:])])[0]
 
 
 def pack_bytes(doc_id: int | None, ids: bytes, width: int) -> bytes:
     return ITEM.pack(doc_id or 0, doc_id is not None, width) + ids
 
 
-def next_payload(stream) -> bytes:
-    """The payload of the frame at which the stream stands."""
+def next_frame(stream) -> tuple[bytes, bytes, bytes]:
+    """The parts of the frame at which the stream stands."""
     head = stream.read(HEAD.size)
-    return unframe(head + stream.read(HEAD.unpack(head)[0] + 4))
+    n = HEAD.unpack(head)[0]
+    body = stream.read(n + 4)
+    return head, body[:n], body[n:]
 
 
 def unpack_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
@@ -137,44 +148,45 @@ def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
+#: Where words and lines aren't the only things that one space or line end separates.
+_UNEVEN = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+
+
 class _WordCache(dict):
-    """Chunk of a text -> its ids as bytes. A chunk begins with a space that stands alone between other characters.
+    """Chunk of a text -> its ids as bytes. A chunk is a word with the space before it, a line's first word, or a line end.
 
-    The byte-level pattern never has a match over such a place, so the ids of a text are those of
-    its chunks. Emptied when full, so that memory stays bounded.
+    The byte-level pattern has no match over a single space or line end between other characters,
+    but for the space that begins a word, so the ids of a text are those of its chunks. Texts with
+    other white space are encoded whole. Emptied when full, so that memory stays bounded.
     """
 
-    MOST = 700_000
+    MOST = 1_200_000
 
     def __init__(self, tokenizer: Tokenizer, width: int):
         super().__init__()
         self.tokenizer, self.width = tokenizer, width
 
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self._whole(chunk)
+        return ids
+
+    @staticmethod
+    def chunks(text: str) -> list[str]:
+        """The chunks of an even text. Its spaces are kept by splitting before them."""
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        head, *words = text.split(" ")
-        if not head or "" in words or text[-1].isspace() or any(w[0].isspace() or w[-1].isspace() for w in (head, *words)):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-        return b"".join([self.bare(head), *[self[w] for w in words]])
-
-    def _encode(self, chunk: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-
-    def bare(self, chunk: str) -> bytes:
-        return self._encode(chunk)
-
-    def fill(self, texts: list[str]) -> None:
-        """Encode all chunks that are not known yet in one call."""
         if len(self) >= self.MOST:
             self.clear()
-        new = [w for w in {w for t in texts if t for w in t.split(" ")[1:]}.difference(self) if w]
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, f"<u{self.width}").tobytes()
+        if "\0" in text or _UNEVEN.search(text):
+            return self._whole(text)
+        return b"".join([self[c] for c in self.chunks(text)])
 
-    def __missing__(self, word: str) -> bytes:
-        return self._encode(" " + word)
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
 
 _word_caches: dict[str, _WordCache] = {}
@@ -183,6 +195,7 @@ _word_caches: dict[str, _WordCache] = {}
 def _words(data: str, width: int) -> _WordCache:
     key = hashlib.sha256(data.encode()).hexdigest()
     if key not in _word_caches:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         _word_caches[key] = _WordCache(Tokenizer.from_str(data), width)
     return _word_caches[key]
 
@@ -216,18 +229,13 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)
                 texts = rows.column(1).to_pylist()
-                words.fill(texts)
-                offsets, lengths, tokens, frames = [], [], [], []
-                for doc_id, text in zip(rows.column(0).to_pylist(), texts, strict=True):
-                    ids = words.ids(text) + end
-                    made = frame(pack_bytes(doc_id, ids, width))
-                    frames.append(made)
-                    offsets.append(offset)
-                    lengths.append(len(made))
-                    tokens.append(len(ids) // width)
-                    offset += len(made)
+                ids = [words.ids(x) + end for x in texts]
+                made = frames([pack_bytes(d, x, width) for d, x in zip(rows.column(0).to_pylist(), ids, strict=True)])
+                lengths, tokens = [len(x) for x in made], [len(x) // width for x in ids]
+                offsets = [offset, *(offset + x for x in accumulate(lengths))]
+                offset = offsets.pop()
                 out = out or system.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
-                out.write(b"".join(frames))
+                out.write(b"".join(made))
                 n = rows.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([name] * n), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), rows.column(0), pa.array(tokens, pa.int64())], names=["part", "file", "offset", "length", "doc_id", "n_tokens"])
         if out:
@@ -270,8 +278,12 @@ def read_records(index: DataFrame, folder: str, with_ids: bool = False) -> DataF
                         out: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
                         if with_ids:
                             out["ids"] = []
-                        while left and len(out["start"]) < 512:
-                            payload = next_payload(f)
+                        found, size = [], 0
+                        while left and len(found) < 512 and size < 1 << 24:
+                            found.append(next_frame(f))
+                            size += len(found[-1][1])
+                            left -= len(found[-1][1]) + 16
+                        for payload in checked(found):
                             doc_id, ids = unpack_ids(payload)
                             out["doc_id"].append(doc_id)
                             out["start"].append(start)
@@ -280,7 +292,6 @@ def read_records(index: DataFrame, folder: str, with_ids: bool = False) -> DataF
                             if with_ids:
                                 out["ids"].append(ids)
                             start += len(ids)
-                            left -= len(payload) + 16
                         kinds = {"ids": pa.list_(pa.int64())}
                         yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
