@@ -16,7 +16,7 @@
    are already connected in the tile pair aren't compared again.
 5. The links of all tiles are joined to components.
 
-Only sets of groups with two classes or more are ever moved; the others leave nothing but keys.
+Only texts of groups with two classes or more are moved; the others leave nothing but keys.
 """
 
 from __future__ import annotations
