@@ -37,8 +37,8 @@ from coursemill.session import ship, stash
 
 BAND_RATIO = 1.4
 LEAST_WORDS, MOST_WORDS = 16, 1024
-TILE_SETS = 400
-TILE_ITEMS = 400_000
+TILE_SETS = 2_000
+TILE_ITEMS = 2_000_000
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
