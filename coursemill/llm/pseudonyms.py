@@ -79,6 +79,43 @@ def card(text: str, key: bytes, back: bool) -> str | None:
     return _digits_into(text, body + luhn_digit(body))
 
 
+def card_places(run: str) -> list[tuple[int, int]]:
+    """Where card numbers stand in a run of digit groups: from each group on, the longest one of 19 to 13 digits that passes its test."""
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    found, k = [], 0
+    while k < len(groups):
+        ends, n = [], 0
+        for j in range(k, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            if n >= 13:
+                ends.append(j)
+        for j in reversed(ends):
+            digits = re.sub(r"[ -]", "", run[groups[k][0] : groups[j][1]])
+            if digits[0] != "0" and luhn_digit(digits[:-1]) == digits[-1]:
+                found.append((groups[k][0], groups[j][1]))
+                k = j
+                break
+        k += 1
+    return found
+
+
+def cards(run: str, key: bytes, back: bool) -> list[tuple[int, int, str]]:
+    """(start, end, new value) of every card number in a run of digit groups.
+
+    A new number with which the run would be read otherwise is permuted again, so that the way back
+    finds the same places; only then does a number's pseudonym depend on its neighbours.
+    """
+    places = card_places(run)
+    for start, end in reversed(places) if back else places:
+        while True:
+            run = run[:start] + card(run[start:end], key, back) + run[end:]
+            if card_places(run) == places:
+                break
+    return [(start, end, run[start:end]) for start, end in places]
+
+
 def phone(text: str, key: bytes, back: bool) -> str | None:
     """North American numbers: area and exchange begin with 2-9. A country code 1 stays."""
     digits = re.sub(r"\D", "", text)
@@ -171,18 +208,22 @@ def access_key(text: str, key: bytes, back: bool) -> str | None:
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
 
-def _date(order: str) -> Callable[[str, bytes, bool], str | None]:
+def _date(order: str, least_day: int = 1) -> Callable[[str, bytes, bool], str | None]:
     def change(text: str, key: bytes, back: bool) -> str | None:
-        """Calendar dates from 1900 to 2099, in the same notation."""
+        """Calendar dates from 1900 to 2099, in the same notation. Days from ``least_day`` on go to such days."""
         parts = re.split(r"[-./]", text)
         y, m, d = (int(parts[order.index(c)]) for c in "ymd")
         try:
             day = (date(y, m, d) - FIRST_DAY).days
         except ValueError:
             return None
-        if not FIRST_DAY <= date(y, m, d) <= LAST_DAY:
+        if not FIRST_DAY <= date(y, m, d) <= LAST_DAY or d < least_day:
             return None
-        new = FIRST_DAY + timedelta(feistel(day, (LAST_DAY - FIRST_DAY).days + 1, "date", key, back))
+        while True:
+            day = feistel(day, (LAST_DAY - FIRST_DAY).days + 1, "date", key, back)
+            new = FIRST_DAY + timedelta(day)
+            if new.day >= least_day:
+                break
         values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         mark = text[len(parts[0])]
         return mark.join(values[c] for c in order)
@@ -197,12 +238,13 @@ KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
     ("secret", r"(?<![0-9A-Za-z])(?:AKIA|ASIA)([0-9A-Z]{16})(?![0-9A-Za-z])", access_key),
     ("secret", r"(?<![0-9A-Za-z])(?:api_?key|token|secret|password)[ \t]?[=:][ \t]?[\"']?([0-9A-Za-z_-]{16,128})(?![0-9A-Za-z_-])", access_key),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}\d\d(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", iban),
-    ("date", r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2})(?![\w-])", _date("ymd")),
+    ("date", r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2})(?:(?=[Tt]\d{2})|(?![\w-]))", _date("ymd")),
     ("date", r"(?<![\w.])(?:\d{2}\.\d{2}\.\d{4})(?!\w|\.\d)", _date("dmy")),
     ("date", r"(?<![\w/])(?:\d{2}/\d{2}/\d{4})(?![\w/])", _date("mdy")),
+    ("date", r"(?<![\w/])(?:\d{2}/\d{2}/\d{4})(?![\w/])", _date("dmy", 13)),  # where the month can't come first
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)", ip_address),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", social_security),
-    ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
+    ("card", r"(?<![\w.-])\d+(?:[ -]\d+)*(?![\w-])", card),  # a run of digit groups, see cards()
     ("phone", r"(?<![\w.+-])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-])", phone),
     ("phone", r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\w-])", international),
 ]
@@ -210,6 +252,7 @@ NAMES = list(dict.fromkeys(k for k, _, _ in KINDS))
 #: Any value holds one of these.
 HINT = re.compile(r"[0-9@]")
 _PATTERNS = [(kind, re.compile(pattern, re.ASCII), change) for kind, pattern, change in KINDS]
+_PHONE = next(pattern for _, pattern, change in _PATTERNS if change is phone)
 
 
 def spans(text: str, key: bytes = KEY, back: bool = False) -> list[tuple[int, int, str, str]]:
@@ -217,6 +260,12 @@ def spans(text: str, key: bytes = KEY, back: bool = False) -> list[tuple[int, in
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
     for kind, pattern, change in _PATTERNS:
+        if change is card:
+            for start, run in _runs(text, pattern, taken):
+                for a, b, new in cards(run, key, back):
+                    found.append((start + a, start + b, kind, new))
+                    taken.append((start + a, start + b))
+            continue
         for m in pattern.finditer(text):
             start, end = m.span(pattern.groups)  # the group, where there is one
             if any(start < b and a < end for a, b in taken):
@@ -228,6 +277,22 @@ def spans(text: str, key: bytes = KEY, back: bool = False) -> list[tuple[int, in
     return sorted(found)
 
 
+def _runs(text: str, pattern: re.Pattern, taken: list[tuple[int, int]]) -> Iterator[tuple[int, str]]:
+    """Runs of digit groups that may hold a card number, cut at values found before and at telephone numbers beside 13 digits or more."""
+    for m in pattern.finditer(text):
+        digits = sum(map(str.isdigit, m.group()))
+        if digits < 13:
+            continue
+        cuts = [(a, b) for a, b in taken if a < m.end() and m.start() < b]
+        if digits >= 13 + 10:
+            cuts += [x.span() for x in _PHONE.finditer(text, m.start(), m.end())]
+        at = m.start()
+        for a, b in [*sorted(cuts), (m.end(), m.end())]:
+            if a > at:
+                yield at, text[at:a]
+            at = max(at, b)
+
+
 #: Only stretches of a text this near to a digit or @ go through the patterns; they are cut at spaces.
 _NEAR = 160
 

@@ -76,6 +76,28 @@ def test_what_fails_its_test_stays(text):
     assert pseudonyms.pseudonymize(text)[0] == text
 
 
+@pytest.mark.parametrize(
+    "text, value, kind",
+    [
+        ("4111 1111 1111 1111 12/26", "4111 1111 1111 1111", "card"), ("4111 1111 1111 1111 123", "4111 1111 1111 1111", "card"), ("order 7 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+        ("4111-1111-1111-1111-12", "4111-1111-1111-1111", "card"), ("4111111111111111 5500005555555559", "4111111111111111", "card"), ("4111111111111111 5500005555555559", "5500005555555559", "card"),
+        ("4111 1111 1111 1111 2024-01-02", "4111 1111 1111 1111", "card"), ("4111 1111 1111 1111 523 555 1055", "523 555 1055", "phone"),
+        ("at 2024-01-02T03:04:05Z", "2024-01-02", "date"), ("on 25/12/2020", "25/12/2020", "date"),
+    ],
+)
+def test_values_beside_others(text, value, kind):
+    new, counts = pseudonyms.pseudonymize(text)
+    assert value not in new and counts[kind] and len(new) == len(text)
+    assert pseudonyms.pseudonymize(new)[1] == counts and pseudonyms.pseudonymize(new, back=True)[0] == text
+
+
+def test_cards_beside_any_number_come_back():
+    for k in range(2000):
+        text = f"{k} 4111 1111 1111 1111 {k % 1000:03d} {k % 28 + 1:02d}/12/2020 5500 0055 5555 5559 (523) 555-{k:04d}"
+        new = pseudonyms.pseudonymize(text)[0]
+        assert pseudonyms.pseudonymize(new, back=True)[0] == text, text
+
+
 def test_pseudonyms_link_documents(spark, docs, none):
     own = spark.createDataFrame([(1, "x 4111111111111111 y"), (2, "4111111111111111"), (3, None), (4, "")], "doc_id long, text string")
     out = {r["doc_id"]: r for r in pseudonyms.pseudonymize_documents(own).collect()}
