@@ -110,6 +110,21 @@ def predicted_ratings(matrix: DataFrame, cohort: DataFrame, by: tuple[str, ...]
     return weighed.select(*by, F.col("who").alias("student_id"), "course_id", F.round("score", PLACES).alias("score"))
 
 
+def every_predicted_rating(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """predicted_ratings of all students at once, for ratings above 0.
+
+    Similarities of such ratings aren't negative, so that both sums over raters can be taken per pair of
+    courses first: the work grows with ratings x catalogue, not with pairs of students.
+    """
+    norms = matrix.groupBy(*by, "student_id").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
+    unit = matrix.join(norms, [*by, "student_id"]).select(*by, "student_id", "course_id", "r", (F.col("r") / F.col("norm")).alias("u"))
+    shared = unit.select(*by, "student_id", F.col("course_id").alias("common"), "u").join(matrix, [*by, "student_id"])
+    pairs = shared.groupBy(*by, "common", "course_id").agg(F.sum(F.col("u") * F.col("r")).alias("rated"), F.sum("u").alias("weight"))  # catalogue x catalogue
+    own = unit.select(*by, "student_id", F.col("course_id").alias("common"), "u")
+    out = own.join(pairs, [*by, "common"]).groupBy(*by, "student_id", "course_id").agg((F.sum(F.col("u") * F.col("rated")) / F.sum(F.col("u") * F.col("weight"))).alias("score"))
+    return out.select(*by, "student_id", "course_id", F.round("score", PLACES).alias("score"))
+
+
 def user_cf_scores(matrix: DataFrame, cohort: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Predictions above 0 for courses that the student has not rated."""
     return predicted_ratings(matrix, cohort, by).filter("score > 0").join(matrix, [*by, "student_id", "course_id"], "left_anti")

@@ -299,38 +299,34 @@ def weight_search(p):
 # --- learned parts ---
 
 
-def _train(p: Platform) -> DataFrame:
-    """Interactions of the cohort with preference_score from the mean rating."""
+def _train(p: Platform, ratings: DataFrame) -> DataFrame:
+    """Interactions of those who gave the ratings, with preference_score from the mean rating."""
     q = p.quiz.groupBy(*KEYS).agg(F.avg("score_percentage").alias("avg_quiz_score"))
     e = p.enrollment.groupBy(*KEYS).agg(F.max("progress_percentage").alias("enrollment_progress"))
-    r = _of_cohort(p, p.rating).groupBy(*KEYS).agg(F.avg("rating").alias("mean_rating"))
+    r = ratings.groupBy(*KEYS).agg(F.avg("rating").alias("mean_rating"))
     out = r.join(q, KEYS, "left").join(e, KEYS, "left").na.fill(0)
     return out.select(*KEYS, ((F.col("mean_rating") - 1) / 4).alias("preference_score"), "enrollment_progress", "avg_quiz_score", (F.col("mean_rating") >= 4).alias("positive_label"))
 
 
 def train_inputs(p):
-    return _round(ml.train_inputs(_train(p)), "preference_score", "rating", "avg_quiz_score")
+    return _round(ml.train_inputs(_train(p, _of_cohort(p, p.rating))), "preference_score", "rating", "avg_quiz_score")
 
 
 def negatives(p):
-    return ml.sampled_negatives(_train(p), p.course)
-
-
-def _features(p: Platform, pairs: DataFrame) -> DataFrame:
-    train = _train(p)
-    matrix = rec.rating_matrix(ml.train_inputs(train))
-    return ml.hybrid_features(pairs, train, p.course, _sims(p), rec.predicted_ratings(matrix, cohort(p)), rec.item_cf_scores(matrix, cohort(p)))
+    return ml.sampled_negatives(_train(p, _of_cohort(p, p.rating)), p.course)
 
 
 def hybrid_features(p):
-    return _features(p, negatives(p))
+    train = _train(p, _of_cohort(p, p.rating))
+    matrix = rec.rating_matrix(ml.train_inputs(train))
+    return ml.hybrid_features(negatives(p), train, p.course, _sims(p), rec.predicted_ratings(matrix, cohort(p)), rec.item_cf_scores(matrix, cohort(p)))
 
 
 def learned_hybrid_topn(p):
-    train = _train(p)
-    pairs = train.select(*KEYS, F.col("positive_label").cast("int").alias("label")).unionByName(negatives(p).withColumn("label", F.lit(0)))
-    unseen = cohort(p).crossJoin(p.course.select("course_id")).join(train.select(*KEYS), KEYS, "left_anti")  # cohort x catalogue
-    return ml.learned_hybrid(_features(p, pairs), _features(p, unseen), trees=60)
+    """Of all students, learned from all ratings."""
+    train = stash(_train(p, p.rating), "train")
+    unseen = p.student.select("student_id").crossJoin(p.course.select("course_id")).join(train.select(*KEYS), KEYS, "left_anti")  # students x catalogue
+    return ml.learned_rankings(train, rec.rating_matrix(ml.train_inputs(train)), unseen, p.course, _sims(p), trees=60)
 
 
 def grade_features(p):

@@ -158,6 +158,31 @@ def test_neighbours(spark, ratings):
     assert one(rec.sparsity(ratings), "sparsity") == round(1 - 5 / 9, 6)
 
 
+def test_every_student_is_predicted_alike(spark, ratings):
+    more = ratings.unionByName(spark.createDataFrame([("x", "d", 2.0), ("w", "b", 4.0)], RATE))
+    m = rec.rating_matrix(more)
+    rows = lambda df: {(r["student_id"], r["course_id"]): r["score"] for r in df.collect()}
+    every = rows(rec.every_predicted_rating(m))
+    assert every == rows(rec.predicted_ratings(m, m.select("student_id").distinct())) and len(every) == 10
+
+
+def test_learned_ranking_serves_all_students(spark, tmp_path):
+    """Fifty customers were served before, and learned from."""
+    from coursemill.plans import queries
+    from coursemill.sources.adapter import Platform
+
+    class Small(Platform):
+        student = spark.createDataFrame([(f"S{k:07d}",) for k in range(60, 72)], "student_id string")
+        course = spark.createDataFrame([(c, f"{c} spark", "X", "Beginner") for c in "abcdef"], "course_id string, title string, category string, difficulty string").withColumns({c: F.lit("t") for c in ("subcategory", "description", "tags")})
+        rating = spark.createDataFrame([(f"S{k:07d}", "abcdef"[(k + i) % 6], float(1 + (k * i) % 5)) for k in range(60, 70) for i in range(3)], RATE)
+        quiz = spark.createDataFrame([], "student_id string, course_id string, score_percentage double")
+        enrollment = spark.createDataFrame([], "student_id string, course_id string, progress_percentage double")
+
+    Platform(spark, "").spark.createDataFrame([(k,) for k in range(60, 72)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    out = queries.learned_hybrid_topn(Small(spark, str(tmp_path)))
+    assert {r["student_id"]: r["count"] for r in out.groupBy("student_id").count().collect()} == {f"S{k:07d}": 3 if k < 70 else 6 for k in range(60, 72)}
+
+
 def test_content_path_and_rules(spark):
     courses = spark.createDataFrame([("a", "intro spark", "X", "Beginner", 4.0), ("b", "spark streaming", "X", "Advanced", 5.0), ("c", "cooking", "Y", "Beginner", 3.0), ("d", None, "X", "Beginner", 4.5)], "course_id string, title string, category string, difficulty string, rating double").withColumns({"duration_hours": F.lit(1), "prerequisites": F.lit("None")})
     sims = rec.content_similarity(rec.tfidf(rec.course_content(courses, ["title"]), []))
