@@ -326,7 +326,7 @@ def learned_hybrid_topn(p):
     """Of all students, learned from all ratings."""
     train = stash(_train(p, p.rating), "train")
     unseen = p.student.select("student_id").crossJoin(p.course.select("course_id")).join(train.select(*KEYS), KEYS, "left_anti")  # students x catalogue
-    return ml.learned_rankings(train, rec.rating_matrix(ml.train_inputs(train)), unseen, p.course, _sims(p), trees=60)
+    return ml.learned_rankings(train, rec.rating_matrix(ml.train_inputs(train)), unseen, p.course, _sims(p))
 
 
 def grade_features(p):
@@ -335,7 +335,7 @@ def grade_features(p):
 
 def grade_predictions(p):
     rows = grade_features(p)
-    return ml.predict_grades(ml.fit_grades(rows, trees=20), rows).select("quiz_id", "predicted_score", "confidence", "factors")
+    return ml.predict_grades(ml.fit_grades(rows), rows).select("quiz_id", "predicted_score", "confidence", "factors")
 
 
 def cluster_features(p):
@@ -343,7 +343,7 @@ def cluster_features(p):
 
 
 def clusters(p):
-    return ml.cluster_students(ml.cluster_features(p.student, p.activity, p.quiz), starts=3)
+    return ml.cluster_students(ml.cluster_features(p.student, p.activity, p.quiz))
 
 
 def cluster_distribution(p):

@@ -272,6 +272,33 @@ def test_search_by_pattern(spark):
     assert serving.catalog(courses).count() == 3
 
 
+def test_queries_run_the_whole_models(monkeypatch):
+    """Forests and k-means as large as the reference's, so with the operators' own defaults."""
+    import inspect
+    from unittest.mock import MagicMock
+
+    from coursemill.plans import queries
+
+    for query, operator, parameter, whole in ((queries.learned_hybrid_topn, "learned_rankings", "trees", 300), (queries.grade_predictions, "fit_grades", "trees", 100), (queries.clusters, "cluster_students", "starts", 10)):
+        signature, seen = inspect.signature(getattr(ml, operator)), []
+
+        class Stop(Exception):
+            pass
+
+        def spy(*args, **kwargs):
+            bound = signature.bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.append(bound.arguments[parameter])
+            raise Stop
+
+        monkeypatch.setattr(ml, operator, spy)
+        for module, name in ((queries, "stash"), (queries, "_train"), (queries, "_sims"), (queries, "grade_features"), (queries.rec, "rating_matrix"), (ml, "train_inputs"), (ml, "cluster_features")):
+            monkeypatch.setattr(module, name, MagicMock())
+        with pytest.raises(Stop):
+            query(MagicMock())
+        assert seen == [whole]
+
+
 def test_entry_has_a_query_for_every_sql():
     import __spark_entry__ as e
 
