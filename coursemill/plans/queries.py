@@ -329,6 +329,10 @@ def learned_hybrid_topn(p):
     return ml.learned_rankings(train, rec.rating_matrix(ml.train_inputs(train)), unseen, p.course, _sims(p))
 
 
+def next_course_leaderboard(p):
+    return evaluation.next_course_leaderboard(_curated(p)["interactions"], p.course, _sims(p))
+
+
 def grade_features(p):
     return ml.grade_features(p.student, p.activity, p.quiz, p.course)
 
@@ -458,7 +462,7 @@ _OPERATORS = [
     synth_enrollments, synth_quizzes, strengthen_enrollments, curate_rating_dates, interaction_quality, time_split, curation_summary, dense_activity_logs, published_quizzes,
     cf_user_topn, cf_item_topn, similar_users, matrix_sparsity, content_similar, content_user_topn, seen_union, hybrid_topn, hybrid_beginner, rules_after_cf, learning_path,
     holdout_split, metrics_at_k_skipping, metrics_at_k_with_zeros, repeated_holdout_summary, rmse_mae, weight_search,
-    train_inputs, negatives, hybrid_features, learned_hybrid_topn, grade_features, grade_predictions, cluster_features, clusters, cluster_distribution, course_keywords, explanations,
+    train_inputs, negatives, hybrid_features, learned_hybrid_topn, next_course_leaderboard, grade_features, grade_predictions, cluster_features, clusters, cluster_distribution, course_keywords, explanations,
     point_lookup, login_lookup, catalog_search, student_courses, category_performance, quiz_history, module_progress, current_module, course_progress, quiz_review, quiz_score, attempt_numbers,
     analytics_totals, score_histogram, presentation_bands, next_id, first_seen_categories, json_api,
 ]

@@ -210,6 +210,20 @@ def test_metrics(spark):
     assert (b["evaluated_users"], b["precision_5"], b["recall_5"]) == (2, 0.1, 0.25)
 
 
+def test_next_course_leaderboard(spark):
+    """Students u0 to u3 like a and b and go on to c; n has nothing to learn from."""
+    courses = spark.createDataFrame([(c, w, "X", "Beginner") for c, w in zip("abcdef", ("spark one", "spark two", "spark three", "cooking", "painting", "dancing"))], "course_id string, title string, category string, difficulty string")
+    sims = rec.content_similarity(rec.tfidf(rec.course_content(courses, ["title"]), []))
+    train = [(f"u{k}", c, "train", True, 50.0, 80.0, 0.9) for k in range(4) for c in "ab"] + [(f"v{k}", c, "train", True, 50.0, 80.0, 0.8) for k in range(4) for c in "abc"] + [("w", c, "train", False, 5.0, 10.0, 0.1) for c in "de"] + [("u0", "f", "post_cutoff", True, 0.0, 0.0, 0.9)]
+    test = [(f"u{k}", "c", "test", True, 50.0, 80.0, 0.9) for k in range(4)] + [("n", "c", "test", True, 50.0, 80.0, 0.9), ("w", "f", "test", False, 1.0, 1.0, 0.1)]
+    rows = spark.createDataFrame(train + test, "student_id string, course_id string, split_role string, positive_label boolean, enrollment_progress double, avg_quiz_score double, interaction_score double")
+    out = evaluation.next_course_leaderboard(rows, courses, sims, trees=5).collect()
+    board = {r["model"]: r for r in out}
+    assert set(board) == {"content", "user_cf", "item_cf", "learned_hybrid"} and [r["f1_10"] for r in out] == sorted((r["f1_10"] for r in out), reverse=True)
+    assert all(r["evaluated_users"] == 5 for r in out) and {m: board[m]["recall_10"] for m in board} == {"content": 0.8, "user_cf": 0.8, "item_cf": 0.8, "learned_hybrid": 1.0}
+    assert board["user_cf"]["precision_5"] == 0.16 and board["user_cf"]["coverage"] == round(1 / 6, 6)
+
+
 def test_holdout_counts(spark):
     rows = [(f"r{k}", s, f"c{k}", 4.0) for s, n in (("one", 1), ("two", 2), ("ten", 10)) for k in range(n)]
     out = evaluation.holdout(spark.createDataFrame(rows, "rating_id string, student_id string, course_id string, rating double"), 2).filter("is_test")
