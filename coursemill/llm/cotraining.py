@@ -2,7 +2,7 @@
 
 Two logistic regressions see a document from two sides: its text's content (hashed byte trigrams
 and how often words repeat), and the page's metadata (language, source, length and layout). In
-every round each scores a pool of unlabelled documents and hands those it is most sure of, with
+every round each scores all unlabelled documents and hands those it is most sure of, with
 the labels it gives them, to the other. Both are calibrated on labelled documents that neither has
 learned from; the sum of their calibrated log odds, less the prior's, scores all documents.
 """
@@ -10,7 +10,7 @@ learned from; the sum of their calibrated log odds, less the prior's, scores all
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coursemill.llm.jaccard import word_hashes
-from coursemill.session import ship
+from coursemill.session import ship, stash
 
 LABELLED = 8_000
-POOL = 8_000
 ROUNDS = 3
-#: How many pool documents a view hands over in a round, and how sure it must be.
+#: How many documents a view hands over in a round, and how sure it must be.
 HANDED = 800
 SURE = 0.98
 HELD_OUT = 0.25
@@ -135,36 +134,32 @@ class Quality:
         return sigmoid(a), sigmoid(b), sigmoid(a + b - self.prior)
 
 
-def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray, rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> Quality | None:
+#: Gives, for the models of a round and the documents of either label that a view may hand over, each view's choice: text features, page features, labels.
+Choice = Callable[[dict[str, Logistic], dict[float, int]], dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, choose: Choice, rounds: int = ROUNDS, handed: int = HANDED) -> Quality | None:
     """Fit both views. None where the labels don't have both classes on either side of the split."""
     held = np.random.default_rng(SEED).random(len(y)) < HELD_OUT
     if any(len(set(part.tolist())) < 2 for part in (y[held], y[~held])):
         return None
-    views = {"text": (text, pool_text), "page": (page, pool_page)}
-    learned = {v: (x[~held], y[~held]) for v, (x, _) in views.items()}
-    free = np.ones(len(pool_text), bool)
+    views = {"text": text, "page": page}
+    learned = {v: (x[~held], y[~held]) for v, x in views.items()}
+    # as many of either class as the labels have, in proportion
+    quotas = {label: max(1, round(handed * float(np.mean(y == label)))) for label in (0.0, 1.0)}
     models: dict[str, Logistic] = {}
     for k in range(rounds + 1):
-        for v, (x, _) in views.items():
+        for v, x in views.items():
             models[v] = Logistic.fit(*learned[v])
             models[v].calibrate(x[held], y[held])
-        if k == rounds or not free.any():
+        if k == rounds:
             break
-        given = {}
-        for v, (_, pool) in views.items():
-            p = sigmoid(models[v].odds(pool))
-            best = np.argsort(-np.maximum(p, 1 - p), kind="stable")
-            # as many of either class as the labels have, in proportion
-            chosen = []
-            for label in (0.0, 1.0):
-                quota = max(1, round(handed * float(np.mean(y == label))))
-                chosen += best[free[best] & ((p[best] > 0.5) == (label > 0)) & (np.maximum(p, 1 - p)[best] >= sure)][:quota].tolist()
-            given[v] = np.array(chosen, int), (p[chosen] > 0.5).astype(np.float64)
-        for v, other in (("text", "page"), ("page", "text")):
-            rows, labels = given[v]
-            x, pool = learned[other], views[other][1]
-            learned[other] = np.concatenate((x[0], pool[rows])), np.concatenate((x[1], labels))
-            free[rows] = False
+        given = choose(models, quotas)
+        if not any(len(labels) for _, _, labels in given.values()):
+            break
+        for v, other, side in (("text", "page", 1), ("page", "text", 0)):
+            x = learned[other]
+            learned[other] = np.concatenate((x[0], given[v][side])), np.concatenate((x[1], given[v][2]))
     share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
     return Quality(models["text"], models["page"], float(np.log(share / (1 - share))))
 
@@ -174,35 +169,77 @@ def _views(texts: list, langs: list, sources: list) -> tuple[np.ndarray, np.ndar
     return np.stack([text_view(r) for r in raws]), np.stack([page_view(r, a, b) for r, a, b in zip(raws, langs, sources, strict=True)])
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Quality | None:
-    """Fit on at most ``labelled`` labelled documents and a pool of at most ``pool`` others, each the first in the order of a hash of doc_id.
-
-    A document with several labels takes the largest; one with several rows takes part with each.
-    Null labels and ids don't count.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    place = F.xxhash64("doc_id", F.lit(SEED))
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") > 0).cast("int").alias("quality"))
-    others = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known, "doc_id", "left_anti")
-    # bounded by the two parameters
-    chosen = known.orderBy(place, "doc_id").limit(labelled).unionByName(others.orderBy(place, "doc_id").limit(pool).withColumn("quality", F.lit(-1)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").join(F.broadcast(chosen), "doc_id")
+def _features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
+    """mark, text and page features of (doc_id, mark, text, lang, source), which must be few."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                text, page = _views(*(part.column(k).to_pylist() for k in (1, 2, 3)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), pa.array([x.tobytes() for x in text]), pa.array([x.tobytes() for x in page])], names=["doc_id", "quality", "text", "page"])
+                text, page = _views(*(part.column(k).to_pylist() for k in (2, 3, 4)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in text]), pa.array([x.tobytes() for x in page])], names=["doc_id", "mark", "text", "page"])
 
-    found = rows.select("doc_id", "text", "lang", "source", "quality").mapInArrow(features, "doc_id long, quality int, text binary, page binary").toArrow()
+    found = rows.select("doc_id", "mark", "text", "lang", "source").mapInArrow(features, "doc_id long, mark long, text binary, page binary").toArrow()
     # rows come in any order: sort, so that reruns agree
     found = found.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("page", "ascending")])
-    quality = found.column("quality").to_numpy()
-    text, page = (np.stack([np.frombuffer(x, np.float32) for x in found.column(c).to_pylist()]) if len(found) else np.zeros((0, 1), np.float32) for c in ("text", "page"))
-    mark = quality >= 0
-    return cotrain(text[mark], page[mark], quality[mark].astype(np.float64), text[~mark], page[~mark])
+    widths = len(text_view(b"")), len(page_view(b"", None, None))
+    text, page = (np.stack([np.frombuffer(x, np.float32) for x in found.column(c).to_pylist()]) if len(found) else np.zeros((0, w), np.float32) for c, w in zip(("text", "page"), widths, strict=True))
+    return found.column("mark").to_pylist(), text, page
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> Quality | None:
+    """Fit on at most ``labelled`` labelled documents, the first in the order of a hash of doc_id, and on what the views hand over of all others.
+
+    A document with several labels takes the largest; one with several rows takes part with each,
+    but on the unlabelled side with equal rows once. Null labels and ids don't count. Every round
+    scores all unlabelled documents, and ``handed`` of them at most go from one view to the other.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    place = F.xxhash64("doc_id", F.lit(SEED))
+    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") > 0).cast("long").alias("mark"))
+    sides = ["text", "lang", "source"]
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *sides)
+    chosen = known.orderBy(place, "doc_id").limit(labelled)  # bounded by the parameter
+    mark, text, page = _features(rows.join(F.broadcast(chosen), "doc_id"))
+    keyed = rows.withColumn("mark", F.xxhash64("doc_id", *sides))
+    handed_over: list[int] = []
+
+    def choose(models: dict[str, Logistic], quotas: dict[float, int]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        shared = spark.sparkContext.broadcast(dict(models))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    views = zip(("text", "page"), _views(*(part.column(k).to_pylist() for k in (2, 3, 4))), strict=True)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(sigmoid(own[v].odds(x)).round(9)) for v, x in views)], names=["doc_id", "mark", "p_text", "p_page"])
+
+        scored = keyed.select("doc_id", "mark", *sides).mapInArrow(score, "doc_id long, mark long, p_text double, p_page double")
+        is_sure = " OR ".join(f"p_{v} >= {sure} OR p_{v} <= {1 - sure}" for v in models)
+        gone = spark.createDataFrame([(m,) for m in handed_over], "mark long")  # 2 x handed a round at most
+        scored = scored.filter(is_sure).join(F.broadcast(gone), "mark", "left_anti").join(known, "doc_id", "left_anti").dropDuplicates(["mark"])
+        scored = stash(scored, "sure")  # read four times: two views, two labels
+        picked: dict[str, dict[int, float]] = {}
+        for v in models:
+            picked[v] = {}
+            for label, quota in quotas.items():
+                p = F.col(f"p_{v}") if label else 1 - F.col(f"p_{v}")
+                best = scored.withColumn("p", p).filter(F.col("p") >= sure).orderBy(F.desc("p"), place, "doc_id", "mark").limit(quota)
+                picked[v] |= {r["mark"]: label for r in best.select("mark").collect()}
+        both = sorted(picked["text"].keys() | picked["page"].keys())
+        handed_over.extend(both)
+        wanted = spark.createDataFrame([(m,) for m in both], "mark long")
+        found = keyed.join(F.broadcast(wanted), "mark").dropDuplicates(["mark"]) if both else keyed.limit(0)
+        marks, t, p = _features(found)
+        out = {}
+        for v in models:
+            at = [k for k, m in enumerate(marks) if m in picked[v]]
+            out[v] = t[at], p[at], np.array([picked[v][marks[k]] for k in at], np.float64)
+        return out
+
+    return cotrain(text, page, np.array(mark, np.float64), choose, rounds, handed)
 
 
 def classify(docs: DataFrame, model: Quality | None, keep_above: float = KEEP_ABOVE) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from coursemill.llm import cotraining, gif, jaccard, line_dedup, mixing, pieces, pseudonyms, rabitq, records, sharding
@@ -404,6 +405,25 @@ def test_cotraining_finds_junk(spark, none):
     assert cotraining.good_documents(df, lab).columns == df.columns
 
 
+def test_cotraining_exchanges_rare_junk(spark, monkeypatch):
+    """One of 9,000 unlabelled documents is the surest junk, and the last by the hash; a pool of the first 8,000 never saw it."""
+    rng = random.Random(9)
+    make = lambda good: words(rng, 20) if good else " ".join(w.upper() + "!!" for w in words(rng, 20).split())
+    data = [(k, make(k % 4 > 0), "en", "s") for k in range(2000)] + [(k, make(True), "en", "s") for k in range(10_000, 19_000)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    last = df.filter("doc_id >= 10000").orderBy(F.xxhash64("doc_id", F.lit(cotraining.SEED)).desc()).first()["doc_id"]
+    df = df.withColumn("text", F.when(F.col("doc_id") == last, make(False)).otherwise(F.col("text")))
+    learned, fit = [], cotraining.Logistic.fit.__func__
+
+    def spy(cls, x, y, **kwargs):
+        learned.append(int((y == 0).sum()))
+        return fit(cls, x, y, **kwargs)
+
+    monkeypatch.setattr(cotraining.Logistic, "fit", classmethod(spy))
+    assert cotraining.train(df, spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(2000)], "doc_id long, quality int"))
+    assert learned[-1] > learned[0]
+
+
 # --- 10 ---
 
 
