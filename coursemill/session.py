@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _fallback: dict[str, str] = {}
@@ -32,10 +33,12 @@ def build_session(master: str = "local[8]", app: str = "coursemill", shuffle_par
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="coursemill-")
@@ -63,7 +66,24 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def release(*stashed: DataFrame) -> None:
+    """Remove what stash() wrote, once nothing will read it again."""
+    for df in stashed:
+        _remove(df.sparkSession, df.stash_path)
+
+
+#: A side of a join is broadcast up to so many narrow rows (some MB).
+BROADCAST_ROWS = 300_000
+
+
+def small_side(stashed: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A stashed side of a join, marked for broadcast if its counted rows are few; beyond that the join shuffles."""
+    return F.broadcast(stashed) if stashed.count() <= most else stashed
 
 
 def ship(spark: SparkSession) -> None:
