@@ -1,22 +1,25 @@
 """N-gram Jaccard join: exact links between the word-shingle sets of documents.
 
-1. A document becomes its set of shingle hashes. Equal sets are one class, joined by a 128-bit
-   digest; only one representative of a class goes on.
+1. A document becomes its set of shingle hashes. Equal sets are one class, known by a 128-bit
+   digest; a class has a hashed bitmap of about two bits or more for each element.
 2. Sets fall into bands by size; a link only joins sets of the same or of neighbouring bands. Two
    linked sets of a band differ in at most ``H`` elements, so of more than ``H`` parts of the hash
-   range at least one holds the same elements in both. Every set gives one key for each part; sets
-   that share a key may be linked. Parts are wide enough that few are empty, and there are as many
-   parts more as empty ones are expected; so a set with no more empty parts than that leaves them
-   out.
-3. Sets connected by keys form groups (a star from each key's smallest set: linear, whatever the
-   key's size). No link leaves a group. Keys pass the shuffle once, as pairs of 16 bytes.
-4. A group is cut into tiles of one size band and a bounded number of sets; tiles whose bands are
-   neighbours are compared. In a pair of tiles, hashed bitmaps bound the overlap from above by bit
-   counts; only where the bound reaches the threshold are the sorted arrays intersected. Sets that
-   are already connected in the tile pair aren't compared again.
-5. The links of all tiles are joined to components.
-
-Only texts of groups with two classes or more are moved; the others leave nothing but keys.
+   range at least one holds the same elements in both. Every set gives one key for each part; only
+   sets that share a key may be linked. Parts are wide enough that few are empty, and there are as
+   many parts more as empty ones are expected; so a set with no more empty parts than that leaves
+   them out. Keys pass one shuffle. Sets that share a key within a map task are combined before it:
+   one of them stands for all, and the others go elsewhere, so that no key brings all its rows to
+   one task.
+3. First, every set of a key is compared with one set of it. The bit counts of two bitmaps bound
+   the overlap from above; only pairs whose bound reaches the threshold have their texts read and
+   their sorted arrays intersected. This gives nearly all links, as near copies share many keys.
+4. Then, in keys whose sets are not all connected yet, those that are not connected are compared:
+   a key's sets are cut into tiles of a bounded number, and tiles are compared in pairs, by bit
+   counts and then exactly, as before. What is connected already is not compared. A key in which
+   nearly all are connected needs tile pairs of the few others with all, not of all with all.
+5. The links of both steps are joined to components.
+
+Groups are never closed over chains of keys, so work goes with the sets of single keys.
 """
 
 from __future__ import annotations
@@ -27,18 +30,21 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursemill.llm.components import components
-from coursemill.session import ship, stash
+from coursemill.session import release, ship, small_side, stash
 
 BAND_RATIO = 1.4
-LEAST_WORDS, MOST_WORDS = 16, 1024
+#: Sets of a tile, and pairs whose bits are counted at once.
 TILE_SETS = 2_000
-TILE_ITEMS = 2_000_000
+PAIRS_AT_ONCE = 200_000
+#: Keys that a map task combines at once.
+KEYS_AT_ONCE = 500_000
+#: Bits of a bitmap for each element, at least, and the most 64-bit words of a bitmap.
+BITS_PER_ITEM, MOST_WORDS = 2, 4_096
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
@@ -158,54 +164,101 @@ def set_digest(items: np.ndarray) -> tuple[int, int, int]:
     return len(items), int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def bitmap(items: np.ndarray, words: int = LEAST_WORDS) -> np.ndarray:
-    """A hashed bitmap of a set, of so many 64-bit words (a power of two)."""
+def bitmap(items: np.ndarray) -> np.ndarray:
+    """A hashed bitmap of a set: a power of two of 64-bit words, BITS_PER_ITEM bits an element or more."""
+    words = 1
+    while words * 64 < BITS_PER_ITEM * len(items) and words < MOST_WORDS:
+        words *= 2
     bits = np.zeros(words * 64, np.uint8)
     bits[(items & np.uint64(words * 64 - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def combine_keys(keys: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lead, extra) for each row: rows that share a key have the smallest class as lead, and all but one of them are extra. Rows alone in their key have none (lead 0, extra false)."""
+    order = np.lexsort((classes, keys))
+    k, c = keys[order], classes[order]
+    starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    n = np.diff(np.append(starts, len(k)))
+    lead, extra = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    lead[order] = np.where(np.repeat(n, n) > 1, np.repeat(c[starts], n), 0)
+    extra[order] = np.arange(len(k)) != np.repeat(starts, n)
+    return lead, extra
 
 
-def compare_tiles(sets: list[np.ndarray], tiles: np.ndarray, percent: int) -> tuple[list[tuple[int, int]], int]:
-    """Links (positions) that connect what is connected within the given sets, and how many arrays were intersected.
+def within_bound(sizes: np.ndarray, maps: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (positions a, b) may reach the threshold, by their sizes and by the bit counts of their bitmaps.
 
-    tiles: 0 or 1 for each set; where there are both, only pairs between the two are compared.
+    Each differing bit stands for a differing element at least, so |A| + |B| - 2 |A and B| >=
+    differing bits. Where one bitmap is longer it is folded to the length of the other, which keeps that true.
     """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    words = LEAST_WORDS
-    while words < MOST_WORDS and words * 32 < sizes.max():  # about two bits for each element
-        words *= 2
-    maps = np.stack([bitmap(sets[k], words) for k in order])
-    sizes, side = sizes[order], tiles[order]
-    mixed = len(set(tiles.tolist())) > 1
-    root = np.arange(n)
-    links, exact = [], 0
-    for k in range(n - 1):
-        # sizes ascend: later sets are at least as large
-        end = int(np.searchsorted(sizes, sizes[k] * 100 // percent, side="right"))
-        if end <= k + 1:
+    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    fine = 100 * small >= percent * large
+    lengths = np.array([len(m) for m in maps])
+    least = np.minimum(lengths[a], lengths[b])
+    for words in np.unique(least[fine]).tolist():
+        chosen = np.flatnonzero(fine & (least == words))
+        used = np.unique(np.concatenate((a[chosen], b[chosen])))
+        table = np.stack([np.bitwise_or.reduce(maps[k].reshape(-1, words), axis=0) for k in used.tolist()])
+        step = max(1, PAIRS_AT_ONCE * 16 // words)
+        for at in range(0, len(chosen), step):
+            part = chosen[at : at + step]
+            x, y = np.searchsorted(used, a[part]), np.searchsorted(used, b[part])
+            differ = np.bitwise_count(table[x] ^ table[y]).sum(1, dtype=np.int64)
+            both = small[part] + large[part]
+            bound = np.minimum((both - differ) // 2, small[part])
+            fine[part] = 100 * bound >= percent * (both - bound)
+    return fine
+
+
+def tile_pairs(tiles: np.ndarray, side: np.ndarray, group: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (positions) of rows of one tile that differ in group, and in side where the tile has two, and whose sizes can be linked.
+
+    Rows are sorted by tile; a tile is taken in order of size, so that partners of a row follow it.
+    Pairs come in runs of about PAIRS_AT_ONCE.
+    """
+    order = np.lexsort((sizes, tiles))
+    t, s = tiles[order], sizes[order]
+    starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+    rank = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(t))))
+    own = side[order]
+    mixed = (np.maximum.reduceat(own, starts) != np.minimum.reduceat(own, starts))[rank]
+    # one ascending number for (tile, size)
+    room = int(s.max()) * 100 // percent + 2
+    place = rank.astype(np.int64) * room
+    last = np.searchsorted(place + s, place + s * 100 // percent, side="right")
+    n = np.maximum(last - np.arange(len(t)) - 1, 0)
+    begin = 0
+    done = np.cumsum(n)
+    while begin < len(t):
+        end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + PAIRS_AT_ONCE, side="right")))
+        count = n[begin:end]
+        first = np.repeat(np.arange(begin, end), count)
+        second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+        x, y = order[first], order[second]
+        keep = (group[x] != group[y]) & (~mixed[first] | (side[x] != side[y]))
+        yield x[keep], y[keep]
+        begin = end
+
+
+def whole_tiles(batches: Iterator[pa.RecordBatch], rows: int = 20_000, size: int = 1 << 25) -> Iterator[pa.Table]:
+    """Batches in the order of their first column, put together to so many rows or bytes, and cut where a tile ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        later = np.arange(k + 1, end)
-        later = later[(root[later] != root[k]) & ((side[later] != side[k]) if mixed else True)]
-        if not len(later):
+        held.append(batch)
+        if sum(b.num_rows for b in held) < rows and sum(b.nbytes for b in held) < size:
             continue
-        # each differing bit stands for a differing element at least, so |A| + |B| - 2 |A and B| >= differing bits
-        differ = np.bitwise_count(maps[later] ^ maps[k]).sum(1).astype(np.int64)
-        both = sizes[later] + sizes[k]
-        bound = np.minimum((both - differ) // 2, np.minimum(sizes[later], sizes[k]))
-        for j in later[100 * bound >= percent * (both - bound)].tolist():
-            if root[j] == root[k]:
-                continue
-            exact += 1
-            a, b = sets[order[k]], sets[order[j]]
-            merged = np.concatenate((a, b))
-            merged.sort(kind="stable")
-            common = int(np.count_nonzero(merged[1:] == merged[:-1]))
-            if 100 * common >= percent * (len(a) + len(b) - common):
-                links.append((int(order[k]), int(order[j])))
-                root[root == root[j]] = root[k]
-    return links, exact
+        table = pa.Table.from_batches(held)
+        tiles = table.column(0).to_numpy()
+        earlier = np.flatnonzero(tiles != tiles[-1])
+        if len(earlier):
+            cut = int(earlier[-1]) + 1
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
@@ -213,9 +266,9 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
 
     component_id is the smallest doc_id that links reach. A document without words (or text) has
     n_shingles 0 and is linked with nothing. Equal sets are linked. Rows without a doc_id take part
-    as rows of their own text, under the id null: they form no component (component_id null) and
-    connect nothing. Repeated ids are one node. An empty table gives no rows; other columns are ignored.
-    Elements are 64-bit hashes of shingles.
+    in nothing: component_id is null. Rows of one doc_id are one document, whatever their texts. An
+    empty table gives no rows; other columns are ignored. Elements are 64-bit hashes of shingles,
+    and a set is known by 64 bits of its digest among the links.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -225,75 +278,162 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                found = [set_digest(shingles(t, words)) for t in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], names=["doc_id", "n_shingles", "c1", "c2"])
+                sets = [shingles(t, words) for t in rows.column(1).to_pylist()]
+                found = zip(*map(set_digest, sets), strict=True)
+                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.int64()) for c in found), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n_shingles", "c1", "c2", "bits"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = Bands(*bands), set()
+        held: list[tuple[np.ndarray, int]] = []
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            key = np.concatenate([k for k, _ in held])
+            c1 = np.repeat(np.array([c for _, c in held], np.int64), [len(k) for k, _ in held])
+            lead, extra = combine_keys(key, c1)
+            key = key.view(np.int64)
+            # an extra row has a place of its own, and names its key
+            place = np.where(extra, mix64(key.view(np.uint64) ^ mix64(c1.view(np.uint64))).view(np.int64), key)
+            for k in range(0, len(key), 65_536):
+                part = slice(k, k + 65_536)
+                yield pa.RecordBatch.from_arrays([pa.array(place[part]), pa.array(c1[part]), pa.array(lead[part], mask=lead[part] == 0), pa.array(key[part], mask=~extra[part])], names=["place", "c1", "lead", "key"])
+            held.clear()
+
+        total = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                found, classes = [], []
                 for text in batch.slice(at, 256).column(0).to_pylist():
                     items = shingles(text, words)
                     digest = set_digest(items)
                     if len(items) and digest not in seen:  # copies in this task leave once
                         seen.add(digest)
-                        found.append(part_keys(items, own).view(np.int64))
-                        classes.append(np.full(len(found[-1]), digest[1]))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(classes))], names=["key", "c1"])
+                        held.append((part_keys(items, own), digest[1]))
+                        total += len(held[-1][0])
+                        if total >= KEYS_AT_ONCE:
+                            yield from combined()
+                            total = 0
+        if held:
+            yield from combined()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    every = stash(plain.mapInArrow(digests, "doc_id long, n_shingles long, c1 long, c2 long"), "shingle-sets")
+    every = stash(plain.mapInArrow(digests, "doc_id long, n_shingles long, c1 long, c2 long, bits binary"), "shingle-sets")
     known = every.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = stash(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-
-    # groups: classes that share a key, by a link from the key's smallest class to each other one; the keys are shuffled once and not kept
-    shared = plain.filter("doc_id IS NOT NULL").select("text").mapInArrow(keys, "key long, c1 long")
-    stars = shared.withColumn("a", F.min("c1").over(Window.partitionBy("key"))).filter("a <> c1").select("a", F.col("c1").alias("b"))
-    groups = components(stars)
-
-    # tiles: a group's sets by size band, cut so that neither sets nor elements are too many
-    own = Bands(*bands)
-    while own.starts[-1] < 1 << 40:
-        own.start(len(own.starts))
-    limits = own.starts
-    members = classes.join(groups.withColumnsRenamed({"node": "c1", "component": "grp"}), "c1").select("rep", "n", "grp").distinct()
-    band = F.size(F.filter(F.lit(limits), lambda s: s <= F.col("n"))).cast("int")
-    members = stash(members.withColumn("band", band), "members")
-    total = members.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("items")).withColumn("whole", (F.col("m") <= TILE_SETS) & (F.col("items") <= TILE_ITEMS)).select("grp", "whole")
-    tiled = members.join(total, "grp").withColumn("band", F.when(F.col("whole"), F.lit(0)).otherwise(F.col("band")))
-    cuts = tiled.groupBy("grp", "band").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_ITEMS)).cast("int").alias("cuts"))
-    around = cuts.alias("o").join(cuts.select(F.col("grp").alias("g2"), (F.col("band") - 1).alias("b2"), F.col("cuts").alias("above")).alias("p"), (F.col("o.grp") == F.col("g2")) & (F.col("o.band") == F.col("b2")), "left")
-    around = around.join(cuts.select(F.col("grp").alias("g3"), (F.col("band") + 1).alias("b3"), F.col("cuts").alias("below")).alias("q"), (F.col("o.grp") == F.col("g3")) & (F.col("o.band") == F.col("b3")), "left")
-    around = around.select(F.col("o.grp").alias("grp"), F.col("o.band").alias("band"), F.col("o.cuts").alias("cuts"), F.coalesce("above", F.lit(0)).alias("above"), F.coalesce("below", F.lit(0)).alias("below"))
-    placed = tiled.select("rep", "grp", "band").join(around, ["grp", "band"]).withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
-    # a set goes to every pair of tiles that its own tile is in
-    side = lambda low, n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    cut, b = F.col("cut"), F.col("band")
-    level = F.transform(side(0, F.col("cuts")), lambda j: F.struct(b.alias("t1"), F.least(cut, j).alias("u1"), b.alias("t2"), F.greatest(cut, j).alias("u2"), (j < cut).cast("int").alias("side")))
-    up = F.transform(side(0, F.col("above")), lambda j: F.struct(b.alias("t1"), cut.alias("u1"), (b + 1).alias("t2"), j.alias("u2"), F.lit(0).alias("side")))
-    down = F.transform(side(0, F.col("below")), lambda j: F.struct((b - 1).alias("t1"), j.alias("u1"), b.alias("t2"), cut.alias("u2"), F.lit(1).alias("side")))
-    dealt = placed.select("rep", "grp", F.explode(F.concat(level, up, down)).alias("p")).select("rep", F.xxhash64("grp", "p.t1", "p.u1", "p.t2", "p.u2").alias("pair"), F.col("p.side").alias("side"))
-
-    # the texts of groups only, compressed better than arrays would be; rows of one id may differ in text, and all take part
-    needed = plain.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(t, words) for t in group["text"]]
-        reps, side = group["rep"].to_numpy(), group["side"].to_numpy()
-        found, _ = compare_tiles(sets, side, percent)
-        return pd.DataFrame({"a": reps[[a for a, _ in found]], "b": reps[[b for _, b in found]]}, dtype="int64")
-
-    links = dealt.join(needed, "rep").groupBy("pair").applyInPandas(link, "a long, b long")
-    linked = components(links).withColumnsRenamed({"node": "rep", "component": "linked"})
-    named = known.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["c1", "c2"]).join(linked, "rep", "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("linked", "rep").alias("component_id"))
-    rest = every.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.unionByName(rest)
+    classes = stash(known.groupBy("c1").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits")), "classes")
+
+    # sets that share a key: each with one that it is compared with first; of keys that just two sets have, no more than that is kept
+    shared = plain.filter("doc_id IS NOT NULL").select("text").mapInArrow(keys, "place long, c1 long, lead long, key long")
+    at = Window.partitionBy("place")
+    shared = shared.withColumns({"centre": F.min("c1").over(at), "m": F.count("*").over(at), "led": F.max("lead").over(at).isNotNull()})
+    two = (F.col("m") == 2) & ~F.col("led")
+    shared = shared.filter((F.col("m") > 1) | F.col("led")).filter(~(two & (F.col("c1") == F.col("centre"))))
+    # a lead that stands for others is one of the key's sets like any other
+    members = stash(shared.select(F.when(~two, F.coalesce("key", "place")).alias("key"), "c1", F.when(F.col("key").isNull(), F.col("centre")).otherwise(F.col("lead")).alias("centre")), "key-members")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b, na, nb, ma, mb = batch.columns
+                n = batch.num_rows
+                sizes = np.concatenate((na.to_numpy(), nb.to_numpy())).astype(np.int64)
+                maps = [np.frombuffer(m, np.uint64) for column in (ma, mb) for m in column.to_pylist()]
+                fine = within_bound(sizes, maps, np.arange(n), np.arange(n, 2 * n), percent)
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(fine))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_tiles(batches):
+            tiles, side, c1, group, sizes = (table.column(k).to_numpy() for k in range(5))
+            sizes = sizes.astype(np.int64)
+            maps = [np.frombuffer(m, np.uint64) for m in table.column(5).to_pylist()]
+            for x, y in tile_pairs(tiles, side, group, sizes, percent):
+                if len(x):
+                    fine = within_bound(sizes, maps, x, y, percent)
+                    a, b = c1[x[fine]], c1[y[fine]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by (a, cut), in each the text of a first: what follows is intersected with it."""
+        centre, items, other = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                a, b, text = batch.column(0)[k].as_py(), batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
+                own = shingles(text, words)
+                if set_digest(own)[1] != (a if b is None else b):
+                    continue  # another text of the same doc_id
+                if b is None:
+                    centre, items = a, own
+                elif centre == a:
+                    other = np.concatenate((items, own))
+                    other.sort(kind="stable")
+                    common = int(np.count_nonzero(other[1:] == other[:-1]))
+                    if 100 * common >= percent * (len(other) - common):
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
+
+    def exact(pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (a, b) that are linked. Each text is moved once for every pair, a centre's once for each cut of its partners."""
+        pairs = stash(pairs, f"{label}-pairs")
+        nodes = pairs.select(F.col("a").alias("c1")).union(pairs.select("b")).distinct()
+        nodes = stash(classes.select("c1", "rep").join(nodes, "c1", "left_semi"), f"{label}-nodes")
+        texts = stash(plain.join(small_side(nodes), plain["doc_id"] == nodes["rep"]).select("c1", "text"), f"{label}-texts")
+        cuts = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE_SETS).cast("int").alias("cuts"))
+        leads = cuts.join(texts, cuts["a"] == texts["c1"]).select("a", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), F.lit(None).cast("long").alias("b"), "text")
+        dealt = pairs.join(cuts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("cuts")).cast("int").alias("cut"), "b")
+        followers = dealt.join(texts, dealt["b"] == texts["c1"]).select("a", "cut", "b", "text")
+        rows = leads.union(followers).repartition("a", "cut").sortWithinPartitions("a", "cut", F.col("b").asc_nulls_first())
+        out = stash(rows.mapInArrow(intersect, "a long, b long").distinct(), f"{label}-links")
+        release(pairs, nodes, texts)
+        return out
+
+    # each set with its key's centre
+    pairs = members.filter("c1 <> centre").select(F.col("centre").alias("a"), F.col("c1").alias("b")).distinct()
+    sized = [classes.select(F.col("c1").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
+    pairs = pairs.join(sized[0], "a").join(sized[1], "b").filter(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
+    links = exact(pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(bounded, "a long, b long"), "centres")
+    # rows of one doc_id are one document
+    several = known.select("doc_id", "c1").distinct()
+    same = several.groupBy("doc_id").agg(F.min("c1").alias("a"), F.count("*").alias("m")).filter("m > 1").join(several, "doc_id").select("a", F.col("c1").alias("b"))
+    labels = components(links.union(same))
+
+    # the rest: sets of a key that are not connected yet
+    rest = members.filter("key IS NOT NULL").select("key", "c1").join(small_side(labels.withColumnRenamed("node", "c1")), "c1", "left")
+    open_sets = stash(rest.select("key", "c1", F.coalesce("component", "c1").alias("grp")), "key-groups")
+    per_group = open_sets.groupBy("key", "grp").agg(F.count("*").alias("m"))
+    per_key = per_group.groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("grp", "m").alias("main"), F.count("*").alias("groups")).filter("groups > 1")
+    per_key = stash(per_key.select("key", "main", F.ceil(F.col("m") / TILE_SETS).cast("int").alias("all_cuts"), F.ceil((F.col("m") - F.col("most")) / TILE_SETS).cast("int").alias("few_cuts")), "open-keys")
+    rest = open_sets.join(small_side(per_key), "key")
+    whole, few = F.col("all_cuts") == 1, F.col("grp") != F.col("main")
+    cut = lambda seed, cuts: F.pmod(F.xxhash64("c1", F.lit(seed)), F.col(cuts)).cast("int")
+    tile = lambda u, v: F.xxhash64("key", u, v)
+    one = F.array(F.struct(F.col("key").alias("tile"), F.lit(0).alias("side")))
+    side_all = F.transform(F.sequence(F.lit(0), F.col("few_cuts") - 1), lambda u: F.struct(tile(u, cut(1, "all_cuts")).alias("tile"), F.lit(1).alias("side")))
+    side_few = F.when(few, F.transform(F.sequence(F.lit(0), F.col("all_cuts") - 1), lambda v: F.struct(tile(cut(2, "few_cuts"), v).alias("tile"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<tile:bigint,side:int>>"))
+    placed = rest.select("c1", "grp", F.explode(F.when(whole, one).otherwise(F.concat(side_few, side_all))).alias("t"))
+    placed = placed.join(classes.select("c1", "n", "bits"), "c1").select("t.tile", "t.side", "c1", "grp", "n", "bits")
+    placed = placed.repartition("tile").sortWithinPartitions("tile")
+    more = exact(placed.mapInArrow(compared, "a long, b long").distinct(), "tiles")
+    release(members, open_sets, per_key)
+    if not more.isEmpty():
+        # between what is connected: links of components
+        to = [labels.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in")) for x in "ab"]
+        between = more.join(to[0], "a", "left").join(to[1], "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+        joined = components(between)
+        both = labels.unionByName(between.select(F.col("a").alias("node")).union(between.select("b")).distinct().select("node", F.col("node").alias("component")))
+        both = both.join(joined.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left")
+        labels = stash(both.select("node", F.coalesce("next", "component").alias("component")).distinct(), "components")
+
+    # a component is named by its smallest doc_id
+    named = classes.select("c1", "rep").join(labels.withColumnRenamed("node", "c1"), "c1")
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("linked")), "component").select("c1", "linked")
+    out = known.select("doc_id", "n_shingles", "c1").join(classes.select("c1", "rep"), "c1").join(named, "c1", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("linked", "rep").alias("component_id"))
+    unlinked = every.filter("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.unionByName(unlinked)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id. Documents without words or id stay."""
-    found = jaccard_classes(docs, words, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each component: the one with the smallest doc_id.
+
+    Documents without words or id stay, as do all rows of a doc_id that stays. An empty table gives no rows.
+    """
+    found = stash(jaccard_classes(docs, words, percent).filter("doc_id <> component_id").select("doc_id").distinct(), "left-out")
+    return docs.join(small_side(found), "doc_id", "left_anti").select(*docs.columns)
