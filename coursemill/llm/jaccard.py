@@ -16,7 +16,8 @@
 4. Then, in keys whose sets are not all connected yet, those that are not connected are compared:
    a key's sets are cut into tiles of a bounded number, and tiles are compared in pairs, by bit
    counts and then exactly, as before. What is connected already is not compared. A key in which
-   nearly all are connected needs tile pairs of the few others with all, not of all with all.
+   nearly all are connected needs tile pairs of the few others with all, not of all with all. Keys
+   that have the same largest connected group are taken together where that makes fewer pairs.
 5. The links of both steps are joined to components.
 
 Groups are never closed over chains of keys, so work goes with the sets of single keys.
@@ -398,20 +399,29 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     rest = members.filter("key IS NOT NULL").select("key", "c1").join(small_side(labels.withColumnRenamed("node", "c1")), "c1", "left")
     open_sets = stash(rest.select("key", "c1", F.coalesce("component", "c1").alias("grp")), "key-groups")
     per_group = open_sets.groupBy("key", "grp").agg(F.count("*").alias("m"))
-    per_key = per_group.groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("grp", "m").alias("main"), F.count("*").alias("groups")).filter("groups > 1")
-    per_key = stash(per_key.select("key", "main", F.ceil(F.col("m") / TILE_SETS).cast("int").alias("all_cuts"), F.ceil((F.col("m") - F.col("most")) / TILE_SETS).cast("int").alias("few_cuts")), "open-keys")
+    # the largest group of a key is its main one; of equal ones the first, so that keys with the same sets agree
+    per_key = per_group.groupBy("key").agg(F.sum("m").alias("m"), F.max("m").alias("most"), F.max_by("grp", F.struct("m", -F.col("grp"))).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
+    per_key = stash(per_key.select("key", "main", "m", (F.col("m") - F.col("most")).alias("few")), "open-keys")
     rest = open_sets.join(small_side(per_key), "key")
+    # keys with one main group mostly have the same sets: they are taken together where that makes fewer pairs
+    together = stash(rest.select("main", "c1", "grp").distinct(), "together")
+    cost = per_key.groupBy("main").agg(F.sum(F.col("m") * F.col("few")).alias("cost"))
+    as_one = together.groupBy("main").agg(F.count("*").alias("m"), F.sum((F.col("grp") != F.col("main")).cast("long")).alias("few")).join(cost, "main")
+    as_one = stash(as_one.filter(F.col("m") * F.col("few") <= F.col("cost")).drop("cost"), "as-one")
+    groups = together.join(small_side(as_one), "main").select(F.xxhash64(F.lit("main"), "main").alias("key"), "main", "c1", "grp", "m", "few")
+    groups = groups.unionByName(rest.join(small_side(as_one).select("main"), "main", "left_anti").select(*groups.columns))
+    groups = groups.withColumns({"all_cuts": F.ceil(F.col("m") / TILE_SETS).cast("int"), "few_cuts": F.ceil(F.col("few") / TILE_SETS).cast("int")})
     whole, few = F.col("all_cuts") == 1, F.col("grp") != F.col("main")
     cut = lambda seed, cuts: F.pmod(F.xxhash64("c1", F.lit(seed)), F.col(cuts)).cast("int")
     tile = lambda u, v: F.xxhash64("key", u, v)
     one = F.array(F.struct(F.col("key").alias("tile"), F.lit(0).alias("side")))
     side_all = F.transform(F.sequence(F.lit(0), F.col("few_cuts") - 1), lambda u: F.struct(tile(u, cut(1, "all_cuts")).alias("tile"), F.lit(1).alias("side")))
     side_few = F.when(few, F.transform(F.sequence(F.lit(0), F.col("all_cuts") - 1), lambda v: F.struct(tile(cut(2, "few_cuts"), v).alias("tile"), F.lit(0).alias("side")))).otherwise(F.array().cast("array<struct<tile:bigint,side:int>>"))
-    placed = rest.select("c1", "grp", F.explode(F.when(whole, one).otherwise(F.concat(side_few, side_all))).alias("t"))
+    placed = groups.select("c1", "grp", F.explode(F.when(whole, one).otherwise(F.concat(side_few, side_all))).alias("t"))
     placed = placed.join(classes.select("c1", "n", "bits"), "c1").select("t.tile", "t.side", "c1", "grp", "n", "bits")
     placed = placed.repartition("tile").sortWithinPartitions("tile")
     more = exact(placed.mapInArrow(compared, "a long, b long").distinct(), "tiles")
-    release(members, open_sets, per_key)
+    release(members, open_sets, per_key, together, as_one)
     if not more.isEmpty():
         # between what is connected: links of components
         to = [labels.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in")) for x in "ab"]
