@@ -7,26 +7,41 @@ across documents, different values stay different, and the holder of the key can
 
 What a kind's values count is numbered 0 to N-1; the network runs on the next even number of bits
 and walks its cycle until it is below N again.
+
+The key comes from the session setting ``spark.coursemill.pseudonym.key``. Without it every session
+draws one of its own: values then stay linked within the session, and nobody can go back.
+
+Left as they are: IPv6 addresses, IBANs in small letters, dates with one-digit days or months.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursemill.session import ship
 
-KEY = b"coursemill pseudonyms"
+KEY_SETTING = "spark.coursemill.pseudonym.key"
 ROUNDS = 8
+_drawn: dict[str, bytes] = {}
+
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the session: a hash of the setting's text, or a random one that the session keeps."""
+    given = spark.conf.get(KEY_SETTING, None)
+    if given:
+        return hashlib.blake2b(given.encode(), digest_size=32).digest()
+    return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
-def feistel(value: int, size: int, kind: str, key: bytes = KEY, back: bool = False) -> int:
+
+def feistel(value: int, size: int, kind: str, key: bytes, back: bool = False) -> int:
     """The keyed permutation of 0..size-1, or its inverse."""
     if size < 2:
         return value
@@ -158,10 +173,10 @@ def social_security(text: str, key: bytes, back: bool) -> str | None:
 
 
 def iban(text: str, key: bytes, back: bool) -> str | None:
-    """International bank account numbers that pass the mod-97 test. Country and the kind of each character stay."""
+    """International bank account numbers that pass the mod-97 test, with check digits 02 to 98, as they are issued. Country and the kind of each character stay."""
     plain = text.replace(" ", "")
     remainder = lambda s: int("".join(str(int(c, 36)) for c in s)) % 97
-    if not 15 <= len(plain) <= 34 or remainder(plain[4:] + plain[:4]) != 1:
+    if not 15 <= len(plain) <= 34 or not "02" <= plain[2:4] <= "98" or remainder(plain[4:] + plain[:4]) != 1:
         return None
     body = _characters(plain[4:], "iban" + plain[:2], key, back)
     made = f"{plain[:2]}{98 - remainder(body + plain[:2] + '00'):02d}{body}"
@@ -255,35 +270,45 @@ _PATTERNS = [(kind, re.compile(pattern, re.ASCII), change) for kind, pattern, ch
 _PHONE = next(pattern for _, pattern, change in _PATTERNS if change is phone)
 
 
-def spans(text: str, key: bytes = KEY, back: bool = False) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, new value) of every validated value, from left to right; earlier kinds win where two overlap."""
+def spans(text: str, key: bytes, back: bool = False) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, new value) of every validated value, from left to right; earlier kinds win where two overlap.
+
+    Both the values of earlier kinds and the matches of a kind go from left to right, so one walk
+    along both finds the overlaps.
+    """
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
     for kind, pattern, change in _PATTERNS:
+        new_ones, at = [], 0
         if change is card:
-            for start, run in _runs(text, pattern, taken):
-                for a, b, new in cards(run, key, back):
-                    found.append((start + a, start + b, kind, new))
-                    taken.append((start + a, start + b))
-            continue
-        for m in pattern.finditer(text):
-            start, end = m.span(pattern.groups)  # the group, where there is one
-            if any(start < b and a < end for a, b in taken):
-                continue
-            new = change(text[start:end], key, back)
-            if new is not None:
-                found.append((start, end, kind, new))
-                taken.append((start, end))
-    return sorted(found)
+            for start, run in _runs(text, pattern, found):
+                new_ones += [(start + a, start + b, kind, new) for a, b, new in cards(run, key, back)]
+        else:
+            for m in pattern.finditer(text):
+                start, end = m.span(pattern.groups)  # the group, where there is one
+                while at < len(found) and found[at][1] <= start:
+                    at += 1
+                if at < len(found) and found[at][0] < end:
+                    continue
+                new = change(text[start:end], key, back)
+                if new is not None:
+                    new_ones.append((start, end, kind, new))
+        found = sorted(found + new_ones)
+    return found
 
 
-def _runs(text: str, pattern: re.Pattern, taken: list[tuple[int, int]]) -> Iterator[tuple[int, str]]:
+def _runs(text: str, pattern: re.Pattern, found: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, str]]:
     """Runs of digit groups that may hold a card number, cut at values found before and at telephone numbers beside 13 digits or more."""
+    first = 0
     for m in pattern.finditer(text):
         digits = sum(map(str.isdigit, m.group()))
         if digits < 13:
             continue
-        cuts = [(a, b) for a, b in taken if a < m.end() and m.start() < b]
+        while first < len(found) and found[first][1] <= m.start():
+            first += 1
+        last = first
+        while last < len(found) and found[last][0] < m.end():
+            last += 1
+        cuts = [x[:2] for x in found[first:last]]
         if digits >= 13 + 10:
             cuts += [x.span() for x in _PHONE.finditer(text, m.start(), m.end())]
         at = m.start()
@@ -314,7 +339,7 @@ def _stretches(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, dict[str, int]]:
+def pseudonymize(text: str, key: bytes, back: bool = False) -> tuple[str, dict[str, int]]:
     """The text with its values replaced, and how many of each kind."""
     counts = dict.fromkeys(NAMES, 0)
     parts, at = [], 0
@@ -328,14 +353,15 @@ def pseudonymize(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
     return ("".join([*parts, text[at:]]) if parts else text), counts
 
 
-def pseudonymize_documents(docs: DataFrame, key: bytes = KEY, back: bool = False) -> DataFrame:
+def pseudonymize_documents(docs: DataFrame, key: bytes | None = None, back: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind> for every kind.
 
     A null text stays null and has no values; repeated rows give equal results; other columns are
     ignored; an empty table gives no rows. Rows are mapped one by one: no shuffle. With ``back``,
-    pseudonyms become the values again.
+    pseudonyms become the values again. key: the session's by default.
     """
     ship(docs.sparkSession)
+    key = key or session_key(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
