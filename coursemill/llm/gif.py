@@ -4,6 +4,9 @@
 reads any GIF: it decodes the LZW code streams of the frames, applies palettes, interlacing,
 disposal and transparency, and gives the timed frames as shown.
 
+A damaged file, or one whose header asks for more than ``MOST_PIXELS``, raises ValueError; tables of
+media give it a row of nulls.
+
 LZW code widths follow from how many codes came since the last clear code, so both directions pack
 and unpack the codes of such a segment at once with NumPy; only the dictionary is a Python loop.
 """
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursemill.session import ship
+from coursemill.session import ship, stash
 
 WIDTH = 64
 FRAME_ROWS = 1024
@@ -30,6 +33,8 @@ MOST_CODES = 4096
 #: Grey levels: the index is the colour.
 GREYS = bytes(v for k in range(256) for v in (k, k, k))
 BINS = 8
+#: The largest canvas and the largest frame that are decoded.
+MOST_PIXELS = 1 << 24
 
 
 @dataclass
@@ -192,10 +197,19 @@ def encode_gif(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS,
 
 
 def decode_gif(data: bytes) -> Iterator[Frame]:
-    """The frames of a GIF one by one, as shown: each on what the ones before have left of the canvas."""
+    """The frames of a GIF one by one, as shown: each on what the ones before have left of the canvas. ValueError where the file is damaged."""
+    try:
+        yield from _frames(data)
+    except (struct.error, IndexError) as error:
+        raise ValueError("damaged GIF") from error
+
+
+def _frames(data: bytes) -> Iterator[Frame]:
     if data[:3] != b"GIF" or len(data) < 13:
         raise ValueError("not a GIF")
-    width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError("the canvas is too large")
     at = 13
 
     def palette(flags: int) -> np.ndarray | None:
@@ -239,6 +253,8 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         colours = own if own is not None else common if common is not None else np.frombuffer(GREYS, np.uint8).reshape(256, 3)
         bits = data[at]
         at += 1
+        if not 1 <= bits <= 8 or w * h > MOST_PIXELS:
+            raise ValueError("bad code size or frame")
         stored = lzw_decode(blocks(), bits, w * h)
         flat = np.zeros(w * h, np.uint8)
         flat[: len(stored)] = np.frombuffer(stored, np.uint8)
@@ -291,55 +307,86 @@ def text_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+#: A timed frame with its colour histograms.
+FRAME = "start_cs: int, delay_cs: int, width: int, height: int, red: array<long>, green: array<long>, blue: array<long>"
+FRAME_COLUMNS = [x.split(":")[0] for x in FRAME.split(", ")]
+
+
+def _described(f: Frame) -> tuple:
+    """What FRAME names of a frame."""
+    return f.start_cs, f.delay_cs, f.canvas.shape[1], f.canvas.shape[0], *histogram(f.canvas).tolist()
+
+
 def media_frames(media: DataFrame, with_pixels: bool = False) -> DataFrame:
-    """A row for each timed frame: doc_id, frame, start_cs, delay_cs, width, height, red, green, blue (histograms) and, where asked for, rgba (binary)."""
+    """A row for each timed frame: doc_id, frame, start_cs, delay_cs, width, height, red, green, blue (histograms) and, where asked for, rgba (binary).
+
+    Media that is null or damaged gives the frames before the damage and a row whose other columns
+    are null. An empty table gives no rows.
+    """
     ship(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = pa.list_(pa.int64())
+        kinds = [pa.int32()] * 5 + [counts] * 3 + [pa.binary()] * with_pixels
+        names = ["frame", *FRAME_COLUMNS, *["rgba"] * with_pixels]
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, f in enumerate(decode_gif(data)):
-                    red, green, blue = histogram(f.canvas)
-                    arrays = [pa.array([doc_id], pa.int64()), pa.array([k], pa.int32()), *(pa.array([x], pa.int32()) for x in (f.start_cs, f.delay_cs, f.canvas.shape[1], f.canvas.shape[0])), *(pa.array([x.tolist()], counts) for x in (red, green, blue))]
-                    names = ["doc_id", "frame", "start_cs", "delay_cs", "width", "height", "red", "green", "blue"]
-                    if with_pixels:
-                        arrays.append(pa.array([f.canvas.tobytes()], pa.binary()))
-                        names.append("rgba")
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    schema = "doc_id long, frame int, start_cs int, delay_cs int, width int, height int, red array<long>, green array<long>, blue array<long>" + ", rgba binary" * with_pixels
+                try:
+                    for k, f in enumerate(decode_gif(data or b"")):
+                        values = [k, *_described(f), *[f.canvas.tobytes()] * with_pixels]
+                        yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *(pa.array([v], kind) for v, kind in zip(values, kinds, strict=True))], names=["doc_id", *names])
+                except ValueError:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *(pa.nulls(1, kind) for kind in kinds)], names=["doc_id", *names])
+
+    schema = "doc_id long, frame int, " + FRAME.replace(":", "") + ", rgba binary" * with_pixels
     return media.select("doc_id", "media").mapInArrow(run, schema)
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """What is read back of stored texts: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+    """What is read back of stored texts: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, frames.
 
-    feature tells the frames, the time they take, their size and the histogram of shown grey levels
-    over all frames. Equal texts have equal values; an empty table gives no rows.
+    frames holds every timed frame with its colour histograms. feature tells how many there are, the
+    time they take, their size and the histogram of shown grey levels over all frames. Equal texts
+    have equal values. Media that is null or damaged has null for what would come from it. An empty
+    table gives no rows.
     """
     ship(media.sparkSession)
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
+
+    def read(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 7
+        stored = len(data), hashlib.sha256(data).hexdigest()
+        digest, size, tail, levels, frames, shape = hashlib.sha256(), 0, b"", np.zeros(BINS, np.int64), [], (0, 0)
+        try:
+            for f in decode_gif(data):
+                part = f.indices.tobytes()
+                digest.update(part)
+                size += len(part)
+                tail = (tail + part)[-WIDTH:]
+                shown = f.canvas[: len(f.indices), :, 0]  # grey: red is the level
+                levels += np.bincount(shown.ravel() // (256 // BINS), minlength=BINS)
+                frames.append(_described(f))
+                shape = f.canvas.shape
+        except ValueError:
+            return (None, None, None, *stored, None, None)
+        time_cs = sum(frames[-1][:2]) if frames else 0
+        feature = f"frames={len(frames)};cs={time_cs};size={shape[1]}x{shape[0]};levels={','.join(map(str, levels.tolist()))}"
+        return size, digest.hexdigest(), zlib.crc32(tail), *stored, feature, [dict(zip(FRAME_COLUMNS, f, strict=True)) for f in frames]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        counts = pa.list_(pa.int64())
+        frame = pa.struct([(c, counts if c in ("red", "green", "blue") else pa.int32()) for c in FRAME_COLUMNS])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(frame)]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                out = []
-                for doc_id, n_bytes, data in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True):
-                    digest, size, tail, levels, n, time_cs = hashlib.sha256(), 0, b"", np.zeros(BINS, np.int64), 0, 0
-                    for f in decode_gif(data):
-                        part = f.indices.tobytes()
-                        digest.update(part)
-                        size += len(part)
-                        tail = (tail + part)[-WIDTH:]
-                        shown = f.canvas[: len(f.indices), :, 0]  # grey: red is the level
-                        levels += np.bincount(shown.ravel() // (256 // BINS), minlength=BINS)
-                        n += 1
-                        time_cs = f.start_cs + f.delay_cs
-                        shape = f.canvas.shape
-                    feature = f"frames={n};cs={time_cs};size={shape[1]}x{shape[0]};levels={','.join(map(str, levels.tolist()))}"
-                    out.append((doc_id, n_bytes, size, digest.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature))
+                out = [(doc_id, n_bytes, *read(data)) for doc_id, n_bytes, data in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<{FRAME}>>"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame) -> DataFrame:
+    """Store every text as a GIF, read the stored table and decode it: media_digests of all documents."""
+    return media_digests(stash(text_media(docs), "media"))

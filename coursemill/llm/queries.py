@@ -35,7 +35,7 @@ def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.media_digests(gif.text_media(table(spark, sf_dir, "documents")))
+    return gif.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
