@@ -1,9 +1,15 @@
 """Line dedup with levelled sorted runs of line hashes.
 
 A store keeps runs, tables sorted by line hash with the number of documents that hold the line and
-the largest doc_id among them. Each batch of documents adds its own run to level 0; a level that
-has ``fanout`` runs is merged into one run of the next level. To filter, the lines of the documents
-are merge-anti-joined with the runs. DataFrame operations only.
+the largest doc_id among them. Documents come in batches, those with the largest ids first. The
+lines of a batch are summed up, merge-joined with the runs, and added as a run of level 0; a level
+that has ``fanout`` runs is merged into one run of the next level.
+
+As ids fall from batch to batch, the keeper of a line, its largest doc_id, is known when the line is
+first seen. So a batch can drop its lines as soon as three documents hold them. Where two do so far,
+the one that isn't the keeper waits: it is the only one that a later batch can still overtake, and
+the finished runs decide it. DataFrame operations only; rows of one line are never brought together
+but in joins, which adaptive execution splits.
 
 Lines are compared by 128 bits of hash.
 """
@@ -15,13 +21,12 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.session import new_path
+from coursemill.session import new_path, release, stash
 
 BLANKS = " \t\n\x0b\x0c\r"
 LEAST_CHARS = 20
 LEAST_DOCS = 3
 NO_ID = -(2**63)
-RUN = "h1 long, h2 long, docs long, keeper long"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -30,53 +35,87 @@ def ascii_lower(text: Column) -> Column:
 
 
 class LineRuns:
-    """Levelled sorted runs in the shared folder."""
+    """Levelled sorted runs in the shared folder. Runs that were merged are removed by clean()."""
 
     def __init__(self, spark: SparkSession, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
-        self.levels: list[list[str]] = [[]]
+        self.levels: list[list[DataFrame]] = [[]]
+        self.merged_away: list[DataFrame] = []
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = new_path(self.spark, f"run-level{level}")
-        run.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
+    def _write(self, run: DataFrame, level: int) -> DataFrame:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+        self.levels[level].append(stash(run.sortWithinPartitions("h1", "h2"), f"run-level{level}"))
+        return self.levels[level][-1]
 
     @staticmethod
-    def _merge(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
-
-    def add(self, lines: DataFrame) -> None:
-        """Add a batch's lines (h1, h2, did) as a sorted run, and merge the levels that are full. No document may be in two batches."""
-        own = lines.filter(F.col("h2").isNotNull()).groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))
-        self._write(own.groupBy("h1", "h2").agg(F.sum("one").alias("docs"), F.max("did").alias("keeper")), 0)
+    def _union(runs: list[DataFrame]) -> DataFrame:
+        out = runs[0]
+        for run in runs[1:]:
+            out = out.unionByName(run)
+        return out.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper")) if len(runs) > 1 else out
+
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Add a batch's lines (h1, h2, did) as a sorted run, merge the levels that are full, and return the batch's run. No document may be in two batches."""
+        held = lines.groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))
+        own = self._write(held.groupBy("h1", "h2").agg(F.sum("one").alias("docs"), F.max("did").alias("keeper")), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._merge(self._read(full)), level + 1)
+            self.merged_away += full
+            self._write(self._union(full), level + 1)
             level += 1
+        return own
 
-    def merged(self) -> DataFrame:
-        """All runs as one: a row for each line hash."""
-        paths = [p for level in self.levels for p in level]
-        return self._read(paths) if len(paths) == 1 else self._merge(self._read(paths))
+    def merged(self) -> DataFrame | None:
+        """All runs as one, a row for each line hash; None if there are none."""
+        runs = [run for level in self.levels for run in level]
+        return self._union(runs) if runs else None
+
+    def clean(self) -> None:
+        release(*self.merged_away)
+        self.merged_away = []
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """did, tie, pos, h1, h2 of every line; h2 is null where the key is too short to count."""
+    """did, tie, pos, h1, h2 of every line whose key is long enough to count."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("tie"), F.posexplode(F.split(ascii_lower(text), "\n", -1)).alias("pos", "line"))
     key = F.btrim(F.col("line"), F.lit(BLANKS))
-    counts = F.char_length("key") >= LEAST_CHARS
-    # short lines get a hash of their own and no h2: no join finds them, and they don't meet in one task
-    return rows.withColumn("key", key).select("did", "tie", "pos", F.when(counts, F.xxhash64("key")).otherwise(F.xxhash64("did", "pos")).alias("h1"), F.when(counts, F.xxhash64(F.lit("line"), "key")).alias("h2"))
+    return rows.withColumn("key", key).filter(F.char_length("key") >= LEAST_CHARS).select("did", "tie", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
 
 
-def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 4, least_docs: int = LEAST_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, batches: int = 4, fanout: int = 4, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(did, tie, pos) of every line that goes, batch by batch."""
+    spark = docs.sparkSession
+    edges = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)])).first()[0] or []
+    path = new_path(spark, "lines")
+    lines = line_table(docs)
+    batch = F.lit(0)
+    for edge in sorted(set(edges)):
+        batch = batch + (F.col("did") < edge).cast("int")
+    lines.withColumn("batch", batch).write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    lines = spark.read.schema("did long, tie long, pos int, h1 long, h2 long, batch int").parquet(path)
+    runs, found = LineRuns(spark, fanout), []
+    for k in range(len(set(edges)) + 1):
+        own = lines.filter(F.col("batch") == k).drop("batch")
+        before = runs.merged()
+        run = runs.add(own.select("h1", "h2", "did"))
+        if before is not None:
+            earlier = before.select("h1", "h2", F.col("docs").alias("docs_before"), F.col("keeper").alias("keeper_before"))
+            run = run.join(earlier.hint("merge"), ["h1", "h2"], "left").select("h1", "h2", (F.col("docs") + F.coalesce("docs_before", F.lit(0))).alias("docs"), F.coalesce("keeper_before", "keeper").alias("keeper"))
+        held = own.join(run.filter("docs >= 2").hint("merge"), ["h1", "h2"]).filter("did <> keeper")
+        found.append(stash(held.select("did", "tie", "pos", "h1", "h2", "docs"), "held"))
+        runs.clean()
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    common = runs.merged().filter(F.col("docs") >= least_docs).select("h1", "h2")
+    waiting = every.filter(F.col("docs") < least_docs).join(common.hint("merge"), ["h1", "h2"], "left_semi")
+    return every.filter(F.col("docs") >= least_docs).unionByName(waiting).select("did", "tie", "pos")
+
+
+def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     """row (a struct of all columns of ``docs``), n_lines, n_dropped, kept (the text without repeated lines).
 
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of at least 20 code
@@ -84,25 +123,15 @@ def dedup_lines(docs: DataFrame, batches: int = 4, fanout: int = 4, least_docs:
     that holds them. A null or empty text is one empty line. Rows with the same doc_id count as one
     document, rows without an id as one that is smaller than all others. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    path = new_path(spark, "lines")
-    lines = line_table(docs).withColumn("batch", F.pmod(F.xxhash64("did"), F.lit(batches)).cast("int"))
-    lines.write.partitionBy("batch").option("compression", "zstd").parquet(path)
-    lines = spark.read.schema("did long, tie long, pos int, h1 long, h2 long, batch int").parquet(path)
-    runs = LineRuns(spark, fanout)
-    for k in range(batches):
-        runs.add(lines.filter(F.col("batch") == k))
-    common = runs.merged().filter(F.col("docs") >= least_docs).select("h1", "h2", "keeper")
-    same = (lines["h1"] == common["h1"]) & (lines["h2"] == common["h2"]) & (lines["did"] != common["keeper"])
-    stay = lines.join(common.hint("merge"), same, "left_anti").groupBy("did", "tie").agg(F.sort_array(F.collect_set("pos")).alias("stay"))
+    gone = dropped_lines(docs, **params).groupBy("did", "tie").agg(F.collect_set("pos").alias("gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), text.alias("body"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("tie"))
-    found = rows.join(stay, ["did", "tie"], "left").withColumn("all", F.split("body", "\n", -1))
-    kept = F.array_join(F.transform("stay", lambda p: F.get("all", p)), "\n")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("tie"))
+    found = rows.join(gone, ["did", "tie"], "left").withColumn("body", F.coalesce("row.text", F.lit(""))).withColumn("all", F.split("body", "\n", -1))
     n = F.size("all")
-    left = F.coalesce(F.size("stay"), F.lit(0))
-    left = F.when(F.col("stay").isNull(), F.lit(0)).otherwise(left)
-    return found.select("row", n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped"), F.when(left == n, F.col("body")).otherwise(F.coalesce(kept, F.lit(""))).alias("kept"))
+    lost = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("gone"))  # in ascending order
+    kept = F.array_join(F.transform(stay, lambda p: F.get("all", p)), "\n")
+    return found.select("row", n.cast("long").alias("n_lines"), lost.cast("long").alias("n_dropped"), F.when(F.col("gone").isNull(), F.col("body")).otherwise(kept).alias("kept"))
 
 
 def dedup_digests(docs: DataFrame, **params) -> DataFrame:
