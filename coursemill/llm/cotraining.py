@@ -1,8 +1,8 @@
 """Quality classifier by co-training.
 
 Two logistic regressions see a document from two sides: its text's content (hashed byte trigrams
-and how often words repeat), and the page's metadata (language, source, length and layout). In
-every round each scores all unlabelled documents and hands those it is most sure of, with
+and how often words repeat), and the page's metadata (language, source and recorded length, alone
+and in pairs), which share no bytes. In every round each scores all unlabelled documents and hands those it is most sure of, with
 the labels it gives them, to the other. Both are calibrated on labelled documents that neither has
 learned from; the sum of their calibrated log odds, less the prior's, scores all documents.
 """
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,8 @@ SURE = 0.98
 HELD_OUT = 0.25
 KEEP_ABOVE = 0.5
 BUCKETS = 512
-LANGS, SOURCES = 8, 16
+#: Hashed values: languages, sources, pairs of both, pairs of source and length; and lengths by powers of two.
+LANGS, SOURCES, PAIRS, LENGTHS = 8, 16, 32, 24
 SEED = 5
 
 
@@ -48,16 +49,16 @@ def text_view(raw: bytes) -> np.ndarray:
     return out
 
 
-def page_view(raw: bytes, lang: str | None, source: str | None) -> np.ndarray:
-    """Metadata: hashed language and source, length, lines, and the shares of kinds of characters."""
-    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    n, lines = len(raw), int(counts[10]) + 1
-    share = lambda a, b: counts[a:b].sum() / max(n, 1)
-    shares = [share(65, 91), share(97, 123), share(48, 58), share(9, 14) + share(32, 33), share(33, 48) + share(58, 65) + share(91, 97) + share(123, 127), share(128, 256), counts[33] / max(n, 1), counts[124] / max(n, 1), (counts[46] + counts[44]) / max(n, 1)]
-    out = np.zeros(len(shares) + 3 + LANGS + SOURCES, np.float32)
-    out[: len(shares) + 3] = [*np.sqrt(shares), np.log1p(n), np.log1p(lines), np.log1p(n / lines)]
-    for value, size, at in ((lang, LANGS, len(shares) + 3), (source, SOURCES, len(shares) + 3 + LANGS)):
-        out[at + (0 if value is None else zlib.crc32(value.encode()) % size)] = 1
+def page_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """Metadata: hashed language, source and both, recorded length by powers of two, that with the source, and its logarithm. A null is a value of its own."""
+    out = np.zeros(LANGS + SOURCES + 2 * PAIRS + LENGTHS + 1, np.float32)
+    place = lambda *values: zlib.crc32(repr(values).encode("utf-8", "surrogatepass"))
+    length = 0 if n_chars is None else min(max(n_chars, 0).bit_length() + 1, LENGTHS - 1)
+    at = 0
+    for hashed, size in ((place(lang), LANGS), (place(source), SOURCES), (place(lang, source), PAIRS), (place(source, length), PAIRS), (length, LENGTHS)):
+        out[at + hashed % size] = 1
+        at += size
+    out[at] = np.log1p(max(n_chars or 0, 0))
     return out
 
 
@@ -164,25 +165,34 @@ def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, choose: Choice, r
     return Quality(models["text"], models["page"], float(np.log(share / (1 - share))))
 
 
-def _views(texts: list, langs: list, sources: list) -> tuple[np.ndarray, np.ndarray]:
-    raws = [(t or "").encode() for t in texts]
-    return np.stack([text_view(r) for r in raws]), np.stack([page_view(r, a, b) for r, a, b in zip(raws, langs, sources, strict=True)])
+#: What the views see of a document, in this order.
+SEEN = {"text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+
+
+def seen_columns(docs: DataFrame) -> list[Column]:
+    """The columns of SEEN; one that the table lacks is null."""
+    return [(F.col(c) if c in docs.columns else F.lit(None)).cast(t).alias(c) for c, t in SEEN.items()]
+
+
+def _views(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    texts, langs, sources, lengths = (c.to_pylist() for c in columns)
+    return np.stack([text_view((t or "").encode()) for t in texts]), np.stack([page_view(*x) for x in zip(langs, sources, lengths, strict=True)])
 
 
 def _features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
-    """mark, text and page features of (doc_id, mark, text, lang, source), which must be few."""
+    """mark, text and page features of (doc_id, mark, *SEEN), which must be few."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                text, page = _views(*(part.column(k).to_pylist() for k in (2, 3, 4)))
+                text, page = _views(part.columns[2:])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in text]), pa.array([x.tobytes() for x in page])], names=["doc_id", "mark", "text", "page"])
 
-    found = rows.select("doc_id", "mark", "text", "lang", "source").mapInArrow(features, "doc_id long, mark long, text binary, page binary").toArrow()
+    found = rows.select("doc_id", "mark", *SEEN).mapInArrow(features, "doc_id long, mark long, text binary, page binary").toArrow()
     # rows come in any order: sort, so that reruns agree
     found = found.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("page", "ascending")])
-    widths = len(text_view(b"")), len(page_view(b"", None, None))
+    widths = len(text_view(b"")), len(page_view(None, None, None))
     text, page = (np.stack([np.frombuffer(x, np.float32) for x in found.column(c).to_pylist()]) if len(found) else np.zeros((0, w), np.float32) for c, w in zip(("text", "page"), widths, strict=True))
     return found.column("mark").to_pylist(), text, page
 
@@ -190,19 +200,19 @@ def _features(rows: DataFrame) -> tuple[list, np.ndarray, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> Quality | None:
     """Fit on at most ``labelled`` labelled documents, the first in the order of a hash of doc_id, and on what the views hand over of all others.
 
-    A document with several labels takes the largest; one with several rows takes part with each,
-    but on the unlabelled side with equal rows once. Null labels and ids don't count. Every round
+    A document with several labels takes the largest; one with several rows takes part with each
+    different one, within the bound. Null labels and ids don't count. Every round
     scores all unlabelled documents, and ``handed`` of them at most go from one view to the other.
     """
     spark = docs.sparkSession
     ship(spark)
     place = F.xxhash64("doc_id", F.lit(SEED))
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") > 0).cast("long").alias("mark"))
-    sides = ["text", "lang", "source"]
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *sides)
-    chosen = known.orderBy(place, "doc_id").limit(labelled)  # bounded by the parameter
-    mark, text, page = _features(rows.join(F.broadcast(chosen), "doc_id"))
-    keyed = rows.withColumn("mark", F.xxhash64("doc_id", *sides))
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *seen_columns(docs))
+    chosen = known.orderBy(place, "doc_id").limit(labelled)  # bounded by the parameter, as are the rows of these ids
+    own = rows.join(F.broadcast(chosen), "doc_id").withColumn("row_hash", F.xxhash64(*SEEN))
+    mark, text, page = _features(own.dropDuplicates(["doc_id", "row_hash"]).orderBy(place, "doc_id", "row_hash").limit(labelled))
+    keyed = rows.withColumn("mark", F.xxhash64("doc_id", *SEEN))
     handed_over: list[int] = []
 
     def choose(models: dict[str, Logistic], quotas: dict[float, int]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -213,10 +223,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
             for batch in batches:
                 for at in range(0, batch.num_rows, 256):
                     part = batch.slice(at, 256)
-                    views = zip(("text", "page"), _views(*(part.column(k).to_pylist() for k in (2, 3, 4))), strict=True)
+                    views = zip(("text", "page"), _views(part.columns[2:]), strict=True)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(sigmoid(own[v].odds(x)).round(9)) for v, x in views)], names=["doc_id", "mark", "p_text", "p_page"])
 
-        scored = keyed.select("doc_id", "mark", *sides).mapInArrow(score, "doc_id long, mark long, p_text double, p_page double")
+        scored = keyed.select("doc_id", "mark", *SEEN).mapInArrow(score, "doc_id long, mark long, p_text double, p_page double")
         is_sure = " OR ".join(f"p_{v} >= {sure} OR p_{v} <= {1 - sure}" for v in models)
         gone = spark.createDataFrame([(m,) for m in handed_over], "mark long")  # 2 x handed a round at most
         scored = scored.filter(is_sure).join(F.broadcast(gone), "mark", "left_anti").join(known, "doc_id", "left_anti").dropDuplicates(["mark"])
@@ -260,20 +270,20 @@ def classify(docs: DataFrame, model: Quality | None, keep_above: float = KEEP_AB
                 if own is None:
                     scores = (np.ones(n),) * 3
                 else:
-                    scores = own.scores(*_views(*(part.column(k).to_pylist() for k in (1, 2, 3))))
+                    scores = own.scores(*_views(part.columns[1:]))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(s, pa.float64()) for s in scores), pa.array(scores[2] >= keep_above)], names=["row", "p_text", "p_page", "score", "keep"])
 
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text", "lang", "source")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *seen_columns(docs))
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.DoubleType()) for c in ("p_text", "p_page", "score")), T.StructField("keep", T.BooleanType())])
     return rows.mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """doc_id, p_text, p_page, score and keep of every document. An empty table gives no rows; without usable labels all are kept."""
-    slim = docs.select("doc_id", "text", "lang", "source")
+    slim = docs.select("doc_id", *seen_columns(docs))
     return classify(slim, train(slim, labels, **params)).select(F.col("row.doc_id").alias("doc_id"), "p_text", "p_page", "score", "keep")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """``docs`` without those that the classifier rejects."""
+    """``docs`` without those that the classifier rejects. Repeated rows go or stay together; an empty table gives no rows."""
     return classify(docs, train(docs, labels, **params)).filter("keep").select("row.*")
