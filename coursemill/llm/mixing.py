@@ -93,6 +93,8 @@ def mix(docs: DataFrame, carry: list[str], weights: tuple[float, ...] = WEIGHTS,
         F.col("doc_id").cast("long").alias("id"),
         F.xxhash64("text").alias("tie"),
     )
+    if "text" not in carry:
+        words = stash(words, "sizes")  # narrow rows, read twice: for the ranges and for the shuffle
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["mix_key", "size", "id", "tie"]
     dealt = words.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("id", "tie")
@@ -119,6 +121,6 @@ def mixed_sizes(docs: DataFrame, **params) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
+    """The mix itself: each document as often as it is taken, with the columns of ``docs`` alone, whatever their names. An empty table gives no rows."""
     out = mix(docs, docs.columns, **params)
     return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
