@@ -145,6 +145,8 @@ def unpack_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder, and its path there. Tasks write with Arrow's file systems, which know one name for S3."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
@@ -157,17 +159,20 @@ class _WordCache(dict):
 
     The byte-level pattern has no match over a single space or line end between other characters,
     but for the space that begins a word, so the ids of a text are those of its chunks. Texts with
-    other white space are encoded whole. Emptied when full, so that memory stays bounded.
+    other white space are encoded whole. Emptied when full, and long chunks aren't kept, so that
+    memory stays bounded.
     """
 
-    MOST = 1_200_000
+    MOST, MOST_CHARS = 1_200_000, 64
 
     def __init__(self, tokenizer: Tokenizer, width: int):
         super().__init__()
         self.tokenizer, self.width = tokenizer, width
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self._whole(chunk)
+        ids = self._whole(chunk)
+        if len(chunk) <= self.MOST_CHARS:
+            self[chunk] = ids
         return ids
 
     @staticmethod
