@@ -66,8 +66,8 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, virtual_nodes: int = VIRT
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the UTF-8 length plus 1; a null text counts as empty. Documents without an id are
-    hashed by their text. Equal rows are interchangeable: which of them gets which slot is open,
-    the set of returned rows is not. Other columns are ignored; an empty table gives no rows.
+    hashed by their text, so that those of one text walk from one cell. Equal rows are
+    interchangeable: which of them gets which slot is open, the set of returned rows is not. Other columns are ignored; an empty table gives no rows.
     law is ``rows``: shard sizes differ by one at most, so grown_shard is null.
     """
     spark = docs.sparkSession
