@@ -10,31 +10,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from coursemill.llm import cotraining, jaccard, line_dedup, mixing, pieces
-from coursemill.session import stash
+from coursemill.session import release, release_since, stash, written_so_far
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier does not reject."""
+    """Documents that the co-trained classifier does not reject. Null columns are values like others, repeated rows go or stay together; without usable labels all stay. An empty table gives no rows."""
     return cotraining.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand in three documents or more stay in one of them."""
+    """Lines that stand in three documents or more stay in the one with the largest doc_id. A null text becomes an empty one, rows of one doc_id count as one document, rows without an id as one more. An empty table gives no rows."""
     return line_dedup.dedup_documents(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 % of its five-word shingles."""
+    """One document of each group that shares 80 % of its five-word shingles: all rows of its smallest doc_id. Rows without an id or words stay. An empty table gives no rows."""
     return jaccard.one_of_each(docs, words=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it. A null source is a source, repeated rows are separate documents; sources without words are left out. An empty table gives no rows."""
     return mixing.mixed_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids and decoded text of each, as digests."""
+    """Piece ids and decoded text of each, as digests. A null text is an empty one; an empty table gives no rows."""
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -44,10 +44,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. What a stage has written on its way goes when its result is written, and that once the next stage's is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
+        mark = written_so_far()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stash(docs, f"stage{k + 1}")
+            release_since(mark, docs)
+            if before is not None:
+                release(before)
+            before = docs
     return docs

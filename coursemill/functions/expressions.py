@@ -43,15 +43,6 @@ def half_even(x: Column) -> Column:
     return F.bround(x).cast("int")
 
 
-def latest(*xs: Column) -> Column:
-    """The row-wise maximum; nulls are skipped."""
-    return F.greatest(*xs)
-
-
-def earliest(*xs: Column) -> Column:
-    return F.least(*xs)
-
-
 def spread_date(lower: Column, upper: Column, *parts: Column | str) -> Column:
     """A date that the parts choose within [lower, upper], both held within the canonical quarter. Null bounds are the quarter's."""
     start, end = F.lit(CANONICAL_START).cast("date"), F.lit(CANONICAL_END).cast("date")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursemill.functions.expressions import clip, difficulty_level, experience_level, performance_tier, tercile
+from coursemill.operators.numbering import numbered
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -46,8 +47,8 @@ def clean_ratings(df: DataFrame, ordinal: str = "rating_id") -> DataFrame:
 
 
 def surrogate_key(df: DataFrame, name: str, order: list[Column | str]) -> DataFrame:
-    """Numbers from 1 in a stated order. One task numbers the rows: for dimensions, which are small."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Numbers from 1 in a stated order, as int."""
+    return numbered(df, name, order).withColumn(name, F.col(name).cast("int"))
 
 
 def dim_time(activity: DataFrame, quiz: DataFrame, rating: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coursemill.functions.expressions import half_even, stable_fraction
-from coursemill.session import stash
+from coursemill.operators.numbering import numbered
+from coursemill.sources.tables import SCHEMAS, write_csv
 
 JITTER = 0.15
 
@@ -14,9 +15,7 @@ JITTER = 0.15
 def dense_activity_logs(interactions: DataFrame) -> DataFrame:
     """1 to 4 log rows for every dated interaction, by its tier: dates spread over its span, progress rising to its target, time falling from 1 to 0.7.
 
-    Logs are numbered in the order of (student, event date, course). The numbering is a global one,
-    as the format asks for; the running count is summed over dates of a student first, so only one
-    row per student passes through a single task.
+    Logs are numbered in the order of (student, event date, course), by ranges of that order.
     """
     start = F.coalesce("first_event_date", "last_event_date")
     end = F.greatest(F.coalesce("last_event_date", "first_event_date"), start)
@@ -29,7 +28,6 @@ def dense_activity_logs(interactions: DataFrame) -> DataFrame:
     pair = [F.col("student_id"), F.col("course_id")]
     minutes = F.when(F.col("total_time_spent") > 0, F.col("total_time_spent").cast("double")).otherwise(20 + 80 * stable_fraction(*pair, "time"))
     base = interactions.filter(start.isNotNull()).select(*pair, "signal_tier", "has_quiz", "recommend_event_date", start.alias("start"), F.datediff(end, start).alias("span"), target.alias("target"), count.alias("n"), minutes.alias("minutes"))
-    base = stash(base, "dense")  # read twice: for the rows and for their counts
     i, n = F.col("i"), F.col("n")
 
     def day_offset(k):
@@ -44,13 +42,10 @@ def dense_activity_logs(interactions: DataFrame) -> DataFrame:
     weight = (1.0 - 0.3 * part) / F.when(n > 1, 0.85 * n).otherwise(1.0)
     kind = F.when((i == n - 1) & F.col("has_quiz"), "quiz_attempt").when((i == n - 2) & tier.isin("strong", "medium"), "assignment").otherwise("video_watch")
     out = rows.withColumns({"progress": progress, "activity_type": kind, "time_spent_minutes": F.greatest(F.lit(10), half_even(F.col("minutes") * weight)), "activity_date": F.date_format(F.date_add("start", F.col("offset")), "yyyy-MM-dd")})
-    own = Window.partitionBy("student_id").orderBy(F.col("recommend_event_date").asc_nulls_last(), "course_id", "i")
-    out = out.withColumn("own", F.row_number().over(own))
-    per_student = out.groupBy("student_id").agg(F.count("*").alias("logs"))
-    before = per_student.withColumn("before", F.coalesce(F.sum("logs").over(Window.orderBy("student_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("logs")
+    out = numbered(out, "number", ["student_id", F.col("recommend_event_date").asc_nulls_last(), "course_id", "i"])
     kind = F.col("activity_type")
-    return out.join(before, "student_id").select(
-        F.format_string("L%04d", F.col("before") + F.col("own")).alias("log_id"), "student_id", "course_id", "activity_type", "activity_date", "time_spent_minutes",
+    return out.select(
+        F.format_string("L%04d", F.col("number")).alias("log_id"), "student_id", "course_id", "activity_type", "activity_date", "time_spent_minutes",
         F.least("progress", F.lit(100)).alias("progress_percentage"), F.when(F.col("progress") > 0, F.greatest(F.lit(1), F.ceil(F.col("progress") / 25).cast("int"))).otherwise(1).alias("module_completed"),
         (kind == "video_watch").alias("video_watched"), (kind == "assignment").alias("notes_taken"), kind.isin("assignment", "quiz_attempt").alias("resources_downloaded"),
     )
@@ -59,4 +54,33 @@ def dense_activity_logs(interactions: DataFrame) -> DataFrame:
 def published(df: DataFrame, columns: list[str], dates: dict[str, str], order: list[str]) -> DataFrame:
     """A table as it is published: chosen columns in order, cleaned dates as yyyy-MM-dd text under their first names, sorted (nulls last)."""
     shown = [F.date_format(dates[c], "yyyy-MM-dd").alias(c) if c in dates else F.col(c) for c in columns]
-    return df.select(*shown).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    out = df.select(*shown)
+    return out.orderBy(*[F.col(c).asc_nulls_last() for c in order]) if order else out
+
+
+#: Of each published table the dates that are published in their cleaned form, and the order of its rows.
+PUBLISHED: dict[str, tuple[dict[str, str], list[str]]] = {
+    "students": ({"enrollment_date": "student_enrollment_date_clean"}, []),
+    "ratings": ({"rating_date": "rating_date_clean"}, []),
+    "enrollments": ({"enrollment_date": "enrollment_date_clean", "last_accessed": "last_accessed_clean"}, ["student_id", "course_id", "enrollment_date", "enrollment_id"]),
+    "quiz_results": ({"quiz_date": "quiz_date_clean"}, ["student_id", "course_id", "quiz_date", "quiz_id"]),
+}
+
+
+def published_tables(cleaned: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The five tables as they are published, from what curation.curate() or sources.read_cleaned() gives: the columns of their schemas, and activity logs made anew."""
+    names = {"students": "students", "ratings": "ratings", "enrollments": "enrollments", "quiz_results": "quizzes"}
+    out = {}
+    for name, (dates, order) in PUBLISHED.items():
+        df = cleaned[names[name]]
+        columns = [c.strip("`").split()[0] for c in SCHEMAS[name].split(", ")]
+        out[name] = published(df, [c for c in columns if c in df.columns], dates, order)
+    logs = dense_activity_logs(cleaned["interactions"])
+    out["activity_logs"] = logs.orderBy("student_id", "course_id", "activity_date", "log_id")
+    return out
+
+
+def publish(cleaned: dict[str, DataFrame], folder: str) -> None:
+    """Write the published tables as CSV under a new folder; a version that exists is never written over."""
+    for name, df in published_tables(cleaned).items():
+        write_csv(df, f"{folder}/{name}.csv")

@@ -1,19 +1,29 @@
 """Recommenders over long tables: content (TF-IDF), user and item neighbours, weighted hybrid, learning path.
 
-Scores are rounded to six places before they are ranked, and ties go to the smaller course_id, so
+All students are served at once. Tables of pairs of courses are small and are broadcast where their
+counted rows allow it; nothing else is. Scores are rounded to six places before they are ranked, and ties go to the smaller course_id, so
 ranks don't depend on the order of summation. ``by`` names further key columns (a fold, say) that
 run side by side in one plan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursemill.functions.expressions import difficulty_level, tokens
+from coursemill.session import ship, small_side, stash
 
 PLACES = 6
 CONTENT_FIELDS = ["title", "category", "subcategory", "description", "tags", "difficulty"]
+#: A catalogue of up to so many courses is sent to the tasks of item neighbours as a matrix; a larger one is joined.
+MOST_COURSES = 1_000
+#: Students of a block in the search for similar ones.
+STUDENT_BLOCK = 2_048
 DETAILS = ["course_id", "title", "category", "difficulty", "duration_hours", "rating"]
 
 
@@ -63,13 +73,23 @@ def similar_courses(sims: DataFrame, n: int = 10) -> DataFrame:
     return ranked.filter("rank > 1").withColumn("rank", F.col("rank") - 1)
 
 
-def content_scores(history: DataFrame, sims: DataFrame, courses: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(student_id, course_id, score): similarity summed over the student's history, for all courses outside it. Courses like none of them score 0."""
+def content_scores(history: DataFrame, sims: DataFrame, courses: DataFrame, by: tuple[str, ...] = (), least: int = 20) -> DataFrame:
+    """(student_id, course_id, score): similarity summed over the student's history, for courses outside it.
+
+    Courses like none of the history score 0. They can only matter where fewer than ``least`` others
+    score more, so only such students get rows for them; ``least`` is the longest list that is taken
+    from the scores. A student none of whose courses is in the catalogue has no rows. sims: stashed.
+    """
     keys = [*by, "student_id"]
-    scored = history.join(sims, history["course_id"] == sims["a"]).groupBy(*keys, F.col("b").alias("course_id")).agg(F.sum("sim").alias("score"))
+    history = history.select(*keys, "course_id").distinct()
+    sims = small_side(sims.select("a", "b", "sim"))
+    scored = history.join(sims, history["course_id"] == sims["a"]).groupBy(*keys, F.col("b").alias("course_id")).agg(F.round(F.sum("sim"), PLACES).alias("score"))
+    scored = scored.join(history, [*keys, "course_id"], "left_anti")
     known = history.join(courses.select("course_id"), "course_id", "left_semi").select(*keys).distinct()
-    candidates = known.crossJoin(courses.select("course_id")).join(history.select(*keys, "course_id"), [*keys, "course_id"], "left_anti")  # students x catalogue: the reference scores each
-    return candidates.join(scored, [*keys, "course_id"], "left").select(*keys, "course_id", F.round(F.coalesce("score", F.lit(0.0)), PLACES).alias("score"))
+    enough = scored.filter("score > 0").groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    few = known.join(enough, keys, "left_anti").crossJoin(courses.select("course_id"))  # few students x catalogue
+    rest = few.join(history, [*keys, "course_id"], "left_anti").join(scored, [*keys, "course_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return scored.select(*keys, "course_id", "score").unionByName(rest)
 
 
 # --- neighbours ---
@@ -87,55 +107,137 @@ def sparsity(ratings: DataFrame, value: str = "rating") -> DataFrame:
     return out.withColumn("sparsity", F.round(1 - F.col("filled") / (F.col("students") * F.col("courses")), PLACES))
 
 
-def similarity(matrix: DataFrame, who: str, across: str, cohort: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, sim): cosine of the ``who`` vectors over ``across``, for a of the cohort; pairs with nothing in common have similarity 0 and no row."""
+def similarity(matrix: DataFrame, who: str, across: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, sim): cosine of the ``who`` vectors over ``across``; pairs with nothing in common have similarity 0 and no row. For courses: catalogue x catalogue rows."""
     norms = matrix.groupBy(*by, who).agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
-    own = matrix.join(cohort, who, "left_semi") if cohort is not None else matrix
-    left = own.select(*by, F.col(who).alias("a"), across, F.col("r").alias("ra"))
+    left = matrix.select(*by, F.col(who).alias("a"), across, F.col("r").alias("ra"))
     right = matrix.select(*by, F.col(who).alias("b"), across, F.col("r").alias("rb"))
     dots = left.join(right, [*by, across]).groupBy(*by, "a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("dot"))
     na, nb = (norms.select(*by, F.col(who).alias(x), F.col("norm").alias(f"n{x}")) for x in "ab")
     return dots.join(na, [*by, "a"]).join(nb, [*by, "b"]).select(*by, "a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim"))
 
 
-def similar_users(sims: DataFrame, n: int = 5) -> DataFrame:
-    ranked = top_n(sims.select(F.col("a").alias("student_id"), F.col("b").alias("similar_id"), F.round("sim", PLACES).alias("score")), ["student_id"], by_score(tie="similar_id"), n + 1)
-    return ranked.filter("rank > 1").withColumn("rank", F.col("rank") - 1)
+def _dense(rows: list[list[dict]], place: dict[str, int]) -> np.ndarray:
+    """Rows of (course_id, r) lists as a matrix over the courses of ``place``."""
+    out = np.zeros((len(rows), len(place)))
+    for k, cells in enumerate(rows):
+        for cell in cells:
+            out[k, place[cell["course_id"]]] = cell["r"]
+    return out
 
 
-def predicted_ratings(matrix: DataFrame, cohort: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(student_id, course_id, score) for every course that a similar student has rated: ratings weighted by similarity, over all raters, the student too."""
-    sims = similarity(matrix, "student_id", "course_id", cohort, by).withColumnsRenamed({"a": "who", "b": "student_id"})
-    weighed = sims.join(matrix, [*by, "student_id"]).groupBy(*by, "who", "course_id").agg((F.sum(F.col("sim") * F.col("r")) / F.sum(F.abs("sim"))).alias("score"))
-    return weighed.select(*by, F.col("who").alias("student_id"), "course_id", F.round("score", PLACES).alias("score"))
+def rows_by_student(matrix: DataFrame) -> DataFrame:
+    """(student_id, cells): a student's ratings as one row, at most the catalogue long."""
+    return matrix.groupBy("student_id").agg(F.collect_list(F.struct("course_id", "r")).alias("cells"))
 
 
-def every_predicted_rating(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """predicted_ratings of all students at once, for ratings above 0.
+def similar_users(matrix: DataFrame, n: int = 5, block: int = STUDENT_BLOCK) -> DataFrame:
+    """Of every student, the students at ranks 2 to n + 1 by cosine: the top row goes by position, which is the student but for ties.
 
-    Similarities of such ratings aren't negative, so that both sums over raters can be taken per pair of
-    courses first: the work grows with ratings x catalogue, not with pairs of students.
+    Students are cut into blocks; every pair of blocks is compared by one task, as a product of two
+    matrices, and gives n + 1 rows for a student at most.
+    """
+    ship(matrix.sparkSession)
+    rows = stash(rows_by_student(matrix), "student-rows")
+    blocks = max(1, -(-rows.count() // block))
+    placed = rows.withColumn("block", F.pmod(F.xxhash64("student_id"), F.lit(blocks)).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # both sides come from one table, so columns get names of their own
+    left = placed.select(F.col("block").alias("x"), others.alias("y"), F.col("student_id").alias("who"), F.col("cells").alias("own"))
+    right = placed.select(others.alias("x"), F.col("block").alias("y"), F.col("student_id").alias("other"), F.col("cells").alias("theirs"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"student_id": pa.array([], pa.string()), "similar_id": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
+        own, theirs = left.column("own").to_pylist(), right.column("theirs").to_pylist()
+        names = sorted({c["course_id"] for cells in (*own, *theirs) for c in cells})
+        place = {c: k for k, c in enumerate(names)}
+        a, b = _dense(own, place), _dense(theirs, place)
+        sim = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
+        ids = np.array(right.column("other").to_pylist(), object)
+        tie = np.empty(len(ids), np.int64)
+        tie[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+        found: tuple[list, list, list] = ([], [], [])
+        for who, row in zip(left.column("who").to_pylist(), sim, strict=True):
+            # by the rounded score, ties by id; what has nothing in common has no row
+            key = np.floor(row * 10**PLACES + 0.5) * len(ids) - tie
+            best = np.argpartition(-key, n)[: n + 1] if len(key) > n + 1 else np.arange(len(key))
+            for k in best[row[best] > 0].tolist():
+                found[0].append(who)
+                found[1].append(ids[k])
+                found[2].append(row[k])
+        return pa.table({"student_id": pa.array(found[0], pa.string()), "similar_id": pa.array(found[1], pa.string()), "sim": pa.array(found[2], pa.float64())})
+
+    near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(compare, "student_id string, similar_id string, sim double")
+    ranked = top_n(near.select("student_id", "similar_id", F.round("sim", PLACES).alias("score")), ["student_id"], by_score(tie="similar_id"), n + 1)
+    return ranked.filter("rank > 1").withColumn("rank", F.col("rank") - 1)
+
+
+def predicted_ratings(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(student_id, course_id, score) for every course that a similar student has rated: ratings weighted by similarity, over all raters, the student too.
+
+    For ratings above 0. Their similarities aren't negative, so both sums over raters can be taken
+    for pairs of courses first: the work grows with ratings x catalogue, not with pairs of students.
     """
     norms = matrix.groupBy(*by, "student_id").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
     unit = matrix.join(norms, [*by, "student_id"]).select(*by, "student_id", "course_id", "r", (F.col("r") / F.col("norm")).alias("u"))
     shared = unit.select(*by, "student_id", F.col("course_id").alias("common"), "u").join(matrix, [*by, "student_id"])
-    pairs = shared.groupBy(*by, "common", "course_id").agg(F.sum(F.col("u") * F.col("r")).alias("rated"), F.sum("u").alias("weight"))  # catalogue x catalogue
+    pairs = stash(shared.groupBy(*by, "common", "course_id").agg(F.sum(F.col("u") * F.col("r")).alias("rated"), F.sum("u").alias("weight")), "course-pairs")  # catalogue x catalogue
     own = unit.select(*by, "student_id", F.col("course_id").alias("common"), "u")
-    out = own.join(pairs, [*by, "common"]).groupBy(*by, "student_id", "course_id").agg((F.sum(F.col("u") * F.col("rated")) / F.sum(F.col("u") * F.col("weight"))).alias("score"))
+    out = own.join(small_side(pairs), [*by, "common"]).groupBy(*by, "student_id", "course_id").agg((F.sum(F.col("u") * F.col("rated")) / F.sum(F.col("u") * F.col("weight"))).alias("score"))
     return out.select(*by, "student_id", "course_id", F.round("score", PLACES).alias("score"))
 
 
-def user_cf_scores(matrix: DataFrame, cohort: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def user_cf_scores(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Predictions above 0 for courses that the student has not rated."""
-    return predicted_ratings(matrix, cohort, by).filter("score > 0").join(matrix, [*by, "student_id", "course_id"], "left_anti")
+    return predicted_ratings(matrix, by).filter("score > 0").join(matrix, [*by, "student_id", "course_id"], "left_anti")
+
 
+def item_cf_scores(matrix: DataFrame, students: DataFrame | None = None, neighbours: int = 20, most_courses: int = MOST_COURSES, rated_too: bool = False) -> DataFrame:
+    """Item neighbours: the mean of the student's ratings of the 20 most similar courses, weighted by similarity; else the course's mean rating.
 
-def item_cf_scores(matrix: DataFrame, cohort: DataFrame, neighbours: int = 20) -> DataFrame:
-    """Item neighbours: the mean of the student's ratings of the 20 most similar courses, weighted by similarity; else the course's mean rating."""
+    For all courses that the student has not rated, or with ``rated_too`` for all: students x
+    catalogue, as each is scored. With a
+    catalogue of up to ``most_courses`` a task scores its students from the matrix of similarities;
+    beyond that ratings are joined with similarities. students: only these; all by default.
+    """
+    means = stash(matrix.groupBy("course_id").agg(F.avg("r").alias("mean")), "means")
     sims = similarity(matrix, "course_id", "student_id").filter("a <> b AND sim > 0").withColumn("sim", F.round("sim", 9))
-    own = matrix.join(cohort, "student_id", "left_semi")
-    means = matrix.groupBy("course_id").agg(F.avg("r").alias("mean"))
-    candidates = own.select("student_id").distinct().crossJoin(means).join(own, ["student_id", "course_id"], "left_anti")  # students x catalogue
+    own = matrix if students is None else matrix.join(students.select("student_id").distinct(), "student_id", "left_semi")
+    if means.count() > most_courses:
+        return _item_scores_by_joins(own, means, sims, neighbours, rated_too)
+    ship(matrix.sparkSession)
+    mean = {r["course_id"]: r["mean"] for r in means.collect()}  # at most most_courses rows
+    names = sorted(mean)
+    place = {c: k for k, c in enumerate(names)}
+    near: list[list[tuple[float, int]]] = [[] for _ in names]
+    for r in sims.collect():  # at most most_courses squared rows
+        near[place[r["a"]]].append((-r["sim"], place[r["b"]]))
+    order = [(np.array([k for _, k in sorted(x)], np.int64), np.array([-s for s, _ in sorted(x)])) for x in near]
+    model = matrix.sparkSession.sparkContext.broadcast((names, place, [mean[c] for c in names], order))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, place, mean, order = model.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                ids, cells = batch.slice(at, 1024).columns
+                r = _dense(cells.to_pylist(), place)
+                out = np.zeros_like(r)
+                for c, (who, sim) in enumerate(order):
+                    first = (r[:, who] != 0) & (np.cumsum(r[:, who] != 0, axis=1) <= neighbours)
+                    weight = (first * sim).sum(1)
+                    out[:, c] = np.where(weight > 0, (first * sim * r[:, who]).sum(1) / np.where(weight > 0, weight, 1), mean[c])
+                s, c = np.nonzero((r == 0) | rated_too)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(s)), pa.array(names).take(pa.array(c)), pa.array(out[s, c])], names=["student_id", "course_id", "score"])
+
+    scored = rows_by_student(own).mapInArrow(score, "student_id string, course_id string, score double")
+    return scored.withColumn("score", F.round("score", PLACES)).filter("score > 0")
+
+
+def _item_scores_by_joins(own: DataFrame, means: DataFrame, sims: DataFrame, neighbours: int, rated_too: bool) -> DataFrame:
+    candidates = own.select("student_id").distinct().crossJoin(means)  # students x catalogue
+    if not rated_too:
+        candidates = candidates.join(own, ["student_id", "course_id"], "left_anti")
     near = own.withColumnRenamed("course_id", "seen").join(sims, F.col("seen") == sims["b"]).select("student_id", F.col("a").alias("course_id"), "seen", "sim", "r")
     near = top_n(near, ["student_id", "course_id"], by_score("sim", "seen"), neighbours)
     scored = near.groupBy("student_id", "course_id").agg((F.sum(F.col("sim") * F.col("r")) / F.sum("sim")).alias("score"))
@@ -143,6 +245,14 @@ def item_cf_scores(matrix: DataFrame, cohort: DataFrame, neighbours: int = 20) -
     return out.select("student_id", "course_id", F.round(F.coalesce("score", "mean"), PLACES).alias("score")).filter("score > 0")
 
 
+def predicted_item_ratings(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
+    """``pairs`` with score: by item neighbours; for a student that the matrix lacks the course's mean; 0 for a course that it lacks."""
+    scores = item_cf_scores(matrix, pairs, rated_too=True)
+    means = matrix.groupBy("course_id").agg(F.round(F.avg("r"), PLACES).alias("mean"))
+    out = pairs.join(scores, ["student_id", "course_id"], "left").join(means, "course_id", "left")
+    return out.withColumn("score", F.coalesce("score", "mean", F.lit(0.0))).drop("mean")
+
+
 # --- hybrid, path, rules ---
 
 
@@ -202,7 +312,13 @@ def business_rules(recs: DataFrame, seen: DataFrame, n: int = 10) -> DataFrame:
 
 
 def learning_path(students: DataFrame, seen: DataFrame, courses: DataFrame, category: str, n: int = 5) -> DataFrame:
-    """Unseen courses of a category from easy to hard, better rated ones first."""
-    choice = students.select("student_id").crossJoin(courses.filter(F.col("category") == category)).join(seen, ["student_id", "course_id"], "left_anti")  # students x one category
+    """Unseen courses of a category from easy to hard, better rated ones first. The category's list is one row that all students share."""
+    own = courses.filter(F.col("category") == category)
     order = [difficulty_level(F.col("difficulty")).asc_nulls_last(), F.col("rating").desc_nulls_last(), F.col("course_id")]
-    return top_n(choice, ["student_id"], order, n, "path_order").select("student_id", "path_order", "course_id", "title", "difficulty", "duration_hours", "rating", "prerequisites")
+    ranked = own.select("course_id", F.row_number().over(Window.orderBy(*order)).alias("place"))  # one category
+    listed = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "course_id"))), lambda x: x["course_id"]).alias("listed"))
+    done = seen.join(own.select("course_id"), "course_id", "left_semi").groupBy("student_id").agg(F.collect_set("course_id").alias("done"))
+    choice = students.select("student_id").join(done, "student_id", "left").crossJoin(F.broadcast(listed))  # one row
+    left = F.array_except("listed", F.coalesce("done", F.array().cast("array<string>")))
+    path = choice.select("student_id", F.posexplode(F.slice(left, 1, n)).alias("place", "course_id")).withColumn("path_order", F.col("place") + 1)
+    return path.join(own, "course_id").select("student_id", "path_order", "course_id", "title", "difficulty", "duration_hours", "rating", "prerequisites")

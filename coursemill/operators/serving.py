@@ -93,12 +93,13 @@ def course_progress(listed: DataFrame) -> DataFrame:
 
 
 def quiz_review(questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Every question of each sitting with the given answer ('' if none), whether it is right, and the right option's text."""
+    """Every question of each sitting with the given answer ('' if none), whether it is right, and the texts of the right and of the chosen option."""
     sittings = answers.select("sitting", "course_id", "quiz_title").distinct()
     given = answers.select("sitting", "question_id", "answer")
     out = sittings.join(questions, ["course_id", "quiz_title"]).join(given, ["sitting", "question_id"], "left").withColumn("answer", F.coalesce("answer", F.lit("")))
-    text: Column = F.when(F.col("correct_answer") == "A", F.col("option_a")).when(F.col("correct_answer") == "B", F.col("option_b")).when(F.col("correct_answer") == "C", F.col("option_c")).otherwise(F.col("option_d"))
-    return out.withColumns({"correct": F.col("answer") == F.col("correct_answer"), "correct_text": text})
+    option = lambda letter: F.when(letter == "A", F.col("option_a")).when(letter == "B", F.col("option_b")).when(letter == "C", F.col("option_c"))
+    given_text: Column = F.when(F.col("answer") == "D", F.col("option_d")).otherwise(option(F.col("answer")))  # null where nothing was chosen
+    return out.withColumns({"correct": F.col("answer") == F.col("correct_answer"), "correct_text": option(F.col("correct_answer")).otherwise(F.col("option_d")), "given_text": given_text})
 
 
 def quiz_scores(review: DataFrame) -> DataFrame:
@@ -198,6 +199,48 @@ def minutes_between(start: Column, end: Column) -> Column:
     return F.floor((F.unix_timestamp(end) - F.unix_timestamp(start)) / 60).cast("int")
 
 
+def course_badges(courses: DataFrame) -> DataFrame:
+    """How courses are shown: the badge of the difficulty, tags as a list, a title of 30 characters at most, enrollments with thousands marked."""
+    badge = F.when(F.col("difficulty") == "Beginner", "success").when(F.col("difficulty") == "Intermediate", "warning").otherwise("danger")
+    short = F.when(F.char_length("title") > 30, F.concat(F.substring("title", 1, 30), F.lit("..."))).otherwise(F.col("title"))
+    return courses.select("course_id", badge.alias("badge"), F.split(F.trim("tags"), r"\s+").alias("tags"), short.alias("short_title"), F.format_number("total_enrollments", 0).alias("enrollments"))
+
+
+def progress_bands(enrollments: DataFrame) -> DataFrame:
+    """Progress of 70 and more, of 40 and more, and below."""
+    p = F.col("progress_percentage")
+    return enrollments.select("enrollment_id", *PAIR, F.when(p >= 70, "high").when(p >= 40, "middle").otherwise("low").alias("progress_band"))
+
+
+def prediction_bands(predictions: DataFrame) -> DataFrame:
+    """Predicted scores of 80 and more, of 60 and more, and below, beside what the prediction has."""
+    p = F.col("predicted_score")
+    return predictions.withColumn("band", F.when(p >= 80, "success").when(p >= 60, "warning").otherwise("danger"))
+
+
+def student_counters(quizzes: DataFrame, enrollments: DataFrame) -> DataFrame:
+    """How many quizzes and current courses each student has."""
+    q = quizzes.groupBy("student_id").agg(F.count("*").alias("quizzes"))
+    e = is_enrolled(enrollments).groupBy("student_id").agg(F.count("*").alias("courses"))
+    return q.join(e, "student_id", "full_outer").na.fill(0)
+
+
+def history_lists(events: DataFrame, order: list[str], distinct: bool = True) -> DataFrame:
+    """(student_id, courses): each student's courses in the order of their events, once each at their first or as often as they come."""
+    place = F.struct(*order, "course_id")
+    if distinct:
+        events = events.groupBy(*PAIR).agg(F.min(place).alias("place"))
+    else:
+        events = events.select(*PAIR, place.alias("place"))
+    return events.groupBy("student_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place"))), lambda x: x["place"]["course_id"]).alias("courses"))
+
+
+def json_lists(rows: DataFrame, key: str, name: str, order: str, columns: list[str]) -> DataFrame:
+    """One JSON document for each key: the key, and under ``name`` the rows' columns as objects in order. For short lists."""
+    items = F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*columns).alias("item")))), lambda x: x["item"])
+    return rows.groupBy(key).agg(items.alias(name)).select(key, F.to_json(F.struct(key, name), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def json_rows(df: DataFrame) -> DataFrame:
     """Each row as JSON text, nulls as null."""
     return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("json"))

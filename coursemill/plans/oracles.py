@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursemill.plans.queries import CATEGORY, COHORT, FOLDS, STOP_WORDS
+from coursemill.plans.queries import CATEGORY, FOLDS, STOP_WORDS
 from coursemill.sources.adapter import with_tables
 
 _CLIP = "CASE WHEN {0} IS NULL THEN NULL ELSE greatest({1}, least({2}, {0})) END"
@@ -29,7 +29,6 @@ def spread(lower: str, upper: str, *parts: str) -> str:
 
 
 LEVEL = "CASE c.difficulty WHEN 'Beginner' THEN 1 WHEN 'Intermediate' THEN 2 WHEN 'Advanced' THEN 3 END"
-COHORT_CTE = f"cohort AS (SELECT concat('S', lpad(c_custkey::VARCHAR, 7, '0')) AS student_id FROM customer WHERE c_custkey < {COHORT})"
 
 # --- cleaned tables, shared by several queries ---
 CLEAN = {
@@ -65,6 +64,11 @@ FROM ({CLEAN["course"]}) c, (SELECT quantile_cont(total_enrollments::DOUBLE, 1.0
     out["fact_learning"] = with_tables(f"SELECT student_id, course_id, sum(time_spent_minutes)::BIGINT AS total_time_minutes, max(progress_percentage) AS max_progress, max(module_completed) AS modules_completed, {n('video_watched')} AS videos_watched, {n('notes_taken')} AS notes_count, {n('resources_downloaded')} AS resources_count FROM ({CLEAN['activity']}) GROUP BY ALL", "activity")
     out["fact_quiz"] = with_tables(f"SELECT student_id, course_id, round(avg(score_percentage), 6) AS avg_score, sum(time_taken_minutes)::BIGINT AS total_time, sum(attempts)::BIGINT AS total_attempts, {n('passed')} AS quizzes_passed, count(quiz_id) AS total_quizzes FROM ({CLEAN['quiz']}) GROUP BY ALL", "quiz")
     out["fact_rating"] = with_tables("SELECT student_id, course_id, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("rating", "difficulty_rating", "content_quality", "instructor_rating")) + f", bool_or(would_recommend) AS would_recommend FROM ({CLEAN['rating']}) GROUP BY ALL", "rating")
+    star = ("fact_learning", "fact_quiz", "fact_rating", "dim_user", "dim_course")
+    sources = {"fact_learning": "activity", "fact_quiz": "quiz", "fact_rating": "rating", "dim_user": "student", "dim_course": "course"}
+    pairs = {t: "(SELECT DISTINCT student_id, course_id FROM " + sources[t] + ")" if t.startswith("fact") else sources[t] for t in star}
+    dates = "(SELECT activity_date AS d FROM activity UNION SELECT quiz_date FROM quiz UNION SELECT rating_date FROM rating) WHERE d IS NOT NULL"
+    out["warehouse_counts"] = with_tables(" UNION ALL ".join([f"SELECT 'dim_time' AS \"table\", count(*) AS rows FROM {dates}", *[f"SELECT '{t}', count(*) FROM {pairs[t]}" for t in star]]), "student", "course", "activity", "quiz", "rating")
     return out
 
 
@@ -201,7 +205,7 @@ def _curation() -> dict[str, str]:
         "interaction_quality": with_tables("SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in ("rating_mean", "would_recommend_rate", "avg_quiz_score", "quiz_pass_rate", "raw_interaction_score", "interaction_score")) + ") FROM inter", *every, more=full),
         "time_split": with_tables("SELECT student_id, course_id, last_event_date AS recommend_event_date, positive_label, split_role, recommendation_cutoff FROM split_", *every, more=full),
         "curation_summary": with_tables(
-            "SELECT (SELECT count(*) FROM cur_r) AS ratings, (SELECT count(*) FROM cur_r WHERE rating_date <> rating_date_clean) AS dates_fixed, (SELECT count(*) FROM cur_e) AS enrollments, (SELECT count(*) FROM synth_e) AS synthetic_enrollments, (SELECT count(*) FROM cur_q) AS quizzes, (SELECT count(*) FROM synth_q) AS synthetic_quizzes, "
+            "SELECT (SELECT count(*) FROM cur_r) AS ratings, (SELECT count(*) FROM cur_r WHERE rating_date <> rating_date_clean) AS dates_fixed, (SELECT count(*) FROM cur_e) AS enrollments, (SELECT count(*) FROM synth_e) AS synthetic_enrollments, (SELECT count(*) FROM cur_e WHERE enrollment_date > DATE '2024-03-31') AS enrollments_clipped, (SELECT count(*) FROM cur_q) AS quizzes, (SELECT count(*) FROM synth_q) AS synthetic_quizzes, "
             "count(*) AS interactions, count(*) FILTER (positive_label) AS positives, " + ", ".join(f"count(*) FILTER (signal_tier = '{t}') AS tier_{t}" for t in ("strong", "medium", "supportive", "weak")) + ", " + ", ".join(f"count(*) FILTER (split_role = '{r}') AS split_{r}" for r in ("train", "post_cutoff", "test")) + " FROM split_",
             *every, more=full,
         ),
@@ -211,6 +215,7 @@ def _curation() -> dict[str, str]:
   activity_type = 'video_watch' AS video_watched, activity_type = 'assignment' AS notes_taken, activity_type IN ('assignment', 'quiz_attempt') AS resources_downloaded FROM d5""",
             *every, more=f"{full}, {DENSE}",
         ),
+        "published_enrollments": with_tables("SELECT enrollment_id, student_id, course_id, strftime(enrollment_date_clean, '%Y-%m-%d') AS enrollment_date, status, progress_percentage, strftime(last_accessed_clean, '%Y-%m-%d') AS last_accessed FROM cur_e", *every, more=CURATED),
         "published_quizzes": with_tables("SELECT quiz_id, student_id, course_id, strftime(quiz_date_clean, '%Y-%m-%d') AS quiz_date, quiz_title, total_questions, correct_answers, score_percentage, time_taken_minutes, attempts, passed FROM cur_q", *every, more=CURATED),
     }
 
@@ -218,12 +223,12 @@ def _curation() -> dict[str, str]:
 # --- recommenders ---
 MATRIX = "matrix AS (SELECT student_id, course_id, avg(rating) AS r FROM rating GROUP BY ALL HAVING avg(rating) <> 0)"
 CF = """un AS (SELECT student_id, sqrt(sum(r * r)) AS norm FROM matrix GROUP BY ALL),
-usim AS (SELECT a, b, d / (x.norm * y.norm) AS sim FROM (SELECT m.student_id AS a, o.student_id AS b, sum(m.r * o.r) AS d FROM matrix m JOIN cohort USING (student_id) JOIN matrix o ON m.course_id = o.course_id GROUP BY ALL) JOIN un x ON a = x.student_id JOIN un y ON b = y.student_id),
+usim AS (SELECT a, b, d / (x.norm * y.norm) AS sim FROM (SELECT m.student_id AS a, o.student_id AS b, sum(m.r * o.r) AS d FROM matrix m JOIN matrix o ON m.course_id = o.course_id GROUP BY ALL) JOIN un x ON a = x.student_id JOIN un y ON b = y.student_id),
 pred AS (SELECT a AS student_id, course_id, round(sum(sim * r) / sum(abs(sim)), 6) AS score FROM usim JOIN matrix ON b = student_id GROUP BY ALL),
 cf AS (SELECT * FROM pred WHERE score > 0 AND (student_id, course_id) NOT IN (SELECT (student_id, course_id) FROM matrix))"""
 ITEM = """inorm AS (SELECT course_id, sqrt(sum(r * r)) AS norm, avg(r) AS mean FROM matrix GROUP BY ALL),
 isim AS (SELECT a, b, round(d / (x.norm * y.norm), 9) AS sim FROM (SELECT m.course_id AS a, o.course_id AS b, sum(m.r * o.r) AS d FROM matrix m JOIN matrix o ON m.student_id = o.student_id AND m.course_id <> o.course_id GROUP BY ALL) JOIN inorm x ON a = x.course_id JOIN inorm y ON b = y.course_id WHERE d > 0),
-own AS (SELECT * FROM matrix JOIN cohort USING (student_id)),
+own AS (SELECT * FROM matrix),
 near_ AS (SELECT o.student_id, a AS course_id, sim, r, row_number() OVER (PARTITION BY o.student_id, a ORDER BY sim DESC, o.course_id) AS k FROM own o JOIN isim ON o.course_id = b),
 iscore AS (SELECT student_id, course_id, sum(sim * r) / sum(sim) AS score FROM near_ WHERE k <= 20 GROUP BY ALL),
 icf AS (SELECT u.student_id, i.course_id, round(coalesce(s.score, i.mean), 6) AS score FROM (SELECT DISTINCT student_id FROM own) u CROSS JOIN inorm i LEFT JOIN iscore s ON u.student_id = s.student_id AND i.course_id = s.course_id WHERE (u.student_id, i.course_id) NOT IN (SELECT (student_id, course_id) FROM matrix))"""
@@ -244,7 +249,7 @@ vec AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM r
 
 SIMS = vectors(["title", "category", "subcategory", "description", "tags", "difficulty"]) + """,
 sims AS (SELECT x.id AS a, y.id AS b, sum(x.w * y.w) AS sim FROM vec x JOIN vec y USING (term) GROUP BY ALL)"""
-CONTENT = """hist AS (SELECT * FROM seen JOIN cohort USING (student_id)),
+CONTENT = """hist AS (SELECT * FROM seen),
 content AS (SELECT u.student_id, c.course_id, round(coalesce(t.score, 0), 6) AS score FROM (SELECT DISTINCT student_id FROM hist) u CROSS JOIN course c
   LEFT JOIN (SELECT student_id, b AS course_id, sum(sim) AS score FROM hist JOIN sims ON course_id = a GROUP BY ALL) t ON u.student_id = t.student_id AND c.course_id = t.course_id WHERE (u.student_id, c.course_id) NOT IN (SELECT (student_id, course_id) FROM hist))"""
 
@@ -263,23 +268,27 @@ hyb AS (SELECT {more} {keys}, course_id, round({wc} * c + {wu} * u, 6) AS score
 def _recommend() -> dict[str, str]:
     src = ("activity", "enrollment", "quiz", "course", "rating")
     details = "SELECT h.student_id, h.course_id, h.score AS hybrid_score, h.rank::INTEGER AS rank, title, category, difficulty, duration_hours, c.rating FROM"
-    every = f"{COHORT_CTE}, {MATRIX}, {CF}, {SEEN}, {SIMS}, {CONTENT}, {hybrid('hist')}"
+    every = f"{MATRIX}, {CF}, {SEEN}, {SIMS}, {CONTENT}, {hybrid('hist')}"
     beginners = "(SELECT y.* FROM hyb y JOIN course USING (course_id) WHERE difficulty = 'Beginner')"
     pick = "SELECT student_id, course_id, score, rank::INTEGER AS rank FROM ({})"
     return {
-        "cf_user_topn": with_tables(pick.format(top("cf", 10)), "rating", more=f"{COHORT_CTE}, {MATRIX}, {CF}"),
-        "cf_item_topn": with_tables(pick.format(top("(SELECT * FROM icf WHERE score > 0)", 10)), "rating", more=f"{COHORT_CTE}, {MATRIX}, {ITEM}"),
-        "similar_users": with_tables("SELECT a AS student_id, b AS similar_id, score, (k - 1)::INTEGER AS rank FROM (SELECT a, b, round(sim, 6) AS score, row_number() OVER (PARTITION BY a ORDER BY round(sim, 6) DESC, b) AS k FROM usim) WHERE k BETWEEN 2 AND 6", "rating", more=f"{COHORT_CTE}, {MATRIX}, {CF}"),
+        "cf_user_topn": with_tables(pick.format(top("cf", 10)), "rating", more=f"{MATRIX}, {CF}"),
+        "cf_item_topn": with_tables(pick.format(top("(SELECT * FROM icf WHERE score > 0)", 10)), "rating", more=f"{MATRIX}, {ITEM}"),
+        "similar_users": with_tables("SELECT a AS student_id, b AS similar_id, score, (k - 1)::INTEGER AS rank FROM (SELECT a, b, round(sim, 6) AS score, row_number() OVER (PARTITION BY a ORDER BY round(sim, 6) DESC, b) AS k FROM usim) WHERE k BETWEEN 2 AND 6", "rating", more=f"{MATRIX}, {CF}"),
+        "item_ratings": with_tables(
+            f"""SELECT a.student_id, a.course_id, round(coalesce(s.score, i.mean, 0), 6) AS score FROM (SELECT DISTINCT student_id, course_id FROM activity) a LEFT JOIN iscore s ON a.student_id = s.student_id AND a.course_id = s.course_id LEFT JOIN inorm i ON a.course_id = i.course_id""",
+            "activity", "rating", more=f"{MATRIX}, {ITEM}",
+        ),
         "matrix_sparsity": with_tables("SELECT *, round(1 - filled / (students * courses), 6) AS sparsity FROM (SELECT count(DISTINCT student_id) AS students, count(DISTINCT course_id) AS courses, count(*) AS filled FROM matrix)", "rating", more=MATRIX),
         "content_similar": with_tables("SELECT a AS course_id, b AS similar_id, score, (k - 1)::INTEGER AS rank FROM (SELECT a, b, round(sim, 6) AS score, row_number() OVER (PARTITION BY a ORDER BY round(sim, 6) DESC, b) AS k FROM sims) WHERE k BETWEEN 2 AND 11", "course", more=SIMS),
-        "content_user_topn": with_tables(pick.format(top("content", 10)), *src, more=f"{COHORT_CTE}, {SEEN}, {SIMS}, {CONTENT}"),
+        "content_user_topn": with_tables(pick.format(top("content", 10)), *src, more=f"{SEEN}, {SIMS}, {CONTENT}"),
         "seen_union": with_tables("SELECT * FROM seen", "activity", "enrollment", "quiz", more=SEEN),
         "hybrid_topn": with_tables(f"{details} ({top('hyb', 10)}) h JOIN course c USING (course_id)", *src, more=every),
         "hybrid_beginner": with_tables(f"{details} ({top(beginners, 10)}) h JOIN course c USING (course_id)", *src, more=every),
-        "rules_after_cf": with_tables(f"SELECT student_id, course_id, given::INTEGER AS given, row_number() OVER (PARTITION BY student_id ORDER BY given)::INTEGER AS rank FROM (SELECT student_id, course_id, rank AS given FROM ({top('cf', 20)}) WHERE (student_id, course_id) NOT IN (SELECT (student_id, course_id) FROM seen)) QUALIFY rank <= 5", *src, more=f"{COHORT_CTE}, {MATRIX}, {CF}, {SEEN}"),
+        "rules_after_cf": with_tables(f"SELECT student_id, course_id, given::INTEGER AS given, row_number() OVER (PARTITION BY student_id ORDER BY given)::INTEGER AS rank FROM (SELECT student_id, course_id, rank AS given FROM ({top('cf', 20)}) WHERE (student_id, course_id) NOT IN (SELECT (student_id, course_id) FROM seen)) QUALIFY rank <= 5", *src, more=f"{MATRIX}, {CF}, {SEEN}"),
         "learning_path": with_tables(
-            f"SELECT student_id, row_number() OVER (PARTITION BY student_id ORDER BY {LEVEL}, c.rating DESC, course_id)::INTEGER AS path_order, course_id, title, difficulty, duration_hours, c.rating, prerequisites FROM cohort CROSS JOIN course c WHERE category = '{CATEGORY}' AND (student_id, course_id) NOT IN (SELECT (student_id, course_id) FROM seen) QUALIFY path_order <= 6",
-            "activity", "enrollment", "quiz", "course", more=f"{COHORT_CTE}, {SEEN}",
+            f"SELECT student_id, row_number() OVER (PARTITION BY student_id ORDER BY {LEVEL}, c.rating DESC, course_id)::INTEGER AS path_order, course_id, title, difficulty, duration_hours, c.rating, prerequisites FROM student CROSS JOIN course c WHERE category = '{CATEGORY}' AND (student_id, course_id) NOT IN (SELECT (student_id, course_id) FROM seen) QUALIFY path_order <= 6",
+            "student", "activity", "enrollment", "quiz", "course", more=SEEN,
         ),
     }
 
@@ -287,18 +296,19 @@ def _recommend() -> dict[str, str]:
 def folded(folds: int, grid: str = "") -> str:
     """The split and the three models' scores by fold."""
     by = lambda s: s.replace("student_id", "fold, student_id")
-    cf = """un AS (SELECT fold, student_id, sqrt(sum(r * r)) AS norm FROM matrix GROUP BY ALL),
-usim AS (SELECT d.fold, a, b, d / (x.norm * y.norm) AS sim FROM (SELECT m.fold, m.student_id AS a, o.student_id AS b, sum(m.r * o.r) AS d FROM matrix m JOIN matrix o ON m.fold = o.fold AND m.course_id = o.course_id GROUP BY ALL) d JOIN un x ON d.fold = x.fold AND a = x.student_id JOIN un y ON d.fold = y.fold AND b = y.student_id),
-pred AS (SELECT u.fold, a AS student_id, course_id, round(sum(sim * r) / sum(abs(sim)), 6) AS score FROM usim u JOIN matrix m ON u.fold = m.fold AND b = student_id GROUP BY ALL),
+    # as CF above, but sums over raters are taken for pairs of courses first: pairs of students are too many for ten folds
+    cf = """unit AS (SELECT *, r / sqrt(sum(r * r) OVER (PARTITION BY fold, student_id)) AS u FROM matrix),
+pairs AS (SELECT x.fold, x.course_id AS common, y.course_id, sum(x.u * y.r) AS rated, sum(x.u) AS weight FROM unit x JOIN matrix y ON x.fold = y.fold AND x.student_id = y.student_id GROUP BY ALL),
+pred AS (SELECT x.fold, x.student_id, y.course_id, round(sum(u * rated) / sum(u * weight), 6) AS score FROM unit x JOIN pairs y ON x.fold = y.fold AND x.course_id = y.common GROUP BY ALL),
 cf AS (SELECT * FROM pred WHERE score > 0 AND (fold, student_id, course_id) NOT IN (SELECT (fold, student_id, course_id) FROM matrix))"""
     content = """hist AS (SELECT DISTINCT fold, student_id, course_id FROM train),
 content AS (SELECT u.fold, u.student_id, c.course_id, round(coalesce(t.score, 0), 6) AS score FROM (SELECT DISTINCT fold, student_id FROM hist) u CROSS JOIN course c
   LEFT JOIN (SELECT fold, student_id, b AS course_id, sum(sim) AS score FROM hist JOIN sims ON course_id = a GROUP BY ALL) t ON u.fold = t.fold AND u.student_id = t.student_id AND c.course_id = t.course_id WHERE (u.fold, u.student_id, c.course_id) NOT IN (SELECT (fold, student_id, course_id) FROM hist))"""
     wc, wu, more = ("content_weight / (content_weight + collaborative_weight)", "collaborative_weight / (content_weight + collaborative_weight)", "content_weight, collaborative_weight,") if grid else ("0.4::DOUBLE", "0.6::DOUBLE", "")
-    return f"""{COHORT_CTE}, split_ AS (SELECT fold, rating_id, student_id, course_id, rating,
+    return f"""split_ AS (SELECT fold, rating_id, student_id, course_id, rating,
   row_number() OVER (PARTITION BY fold, student_id ORDER BY md5(student_id || '|' || rating_id || '|' || fold), rating_id) <= CASE WHEN count(*) OVER (PARTITION BY fold, student_id) <= 1 THEN 0 ELSE
     least(greatest(1, round_even(count(*) OVER (PARTITION BY fold, student_id) * 0.2::DOUBLE, 0)), count(*) OVER (PARTITION BY fold, student_id) - 1) END AS is_test
-  FROM rating JOIN cohort USING (student_id), (SELECT unnest(range(0, {folds}))::INTEGER AS fold)),
+  FROM rating, (SELECT unnest(range(0, {folds}))::INTEGER AS fold)),
 train AS (SELECT * FROM split_ WHERE NOT is_test), matrix AS (SELECT fold, student_id, course_id, avg(rating) AS r FROM train GROUP BY ALL HAVING avg(rating) <> 0), {cf}, {SIMS}, {content}, {hybrid("hist", wc, wu, "fold, student_id", more, grid)}"""
 
 
@@ -328,17 +338,19 @@ def _evaluation() -> dict[str, str]:
         "metrics_at_k_skipping": with_tables("SELECT * FROM result", *src, more=f"{folded(1)}, {three}, {metrics('recs', 'model, fold')}"),
         "metrics_at_k_with_zeros": with_tables("SELECT * FROM result", *src, more=f"{folded(1)}, {three}, {metrics('recs', 'model, fold', skip=False)}"),
         "repeated_holdout_summary": with_tables("SELECT model, count(*) AS folds, " + ", ".join(f"round(avg({n}), 6) AS {n}_mean, round(stddev_pop({n}), 6) AS {n}_std" for n in names) + " FROM result GROUP BY model", *src, more=f"{folded(FOLDS)}, {three}, {metrics('recs', 'model, fold')}"),
-        "rmse_mae": with_tables("SELECT t.fold, count(*) AS predictions, round(sqrt(avg((score - rating) * (score - rating))), 6) AS rmse, round(avg(abs(score - rating)), 6) AS mae FROM split_ t JOIN pred p ON t.fold = p.fold AND t.student_id = p.student_id AND t.course_id = p.course_id WHERE is_test AND score > 0 GROUP BY ALL", *src, more=folded(FOLDS)),
+        "rmse_mae": with_tables("SELECT t.fold, count(*) AS predictions, round(sqrt(avg((score - rating) * (score - rating))), 6) AS rmse, round(avg(abs(score - rating)), 6) AS mae FROM split_ t JOIN pred p ON t.fold = p.fold AND t.student_id = p.student_id AND t.course_id = p.course_id WHERE is_test AND score > 0 AND (t.fold, t.student_id) IN (SELECT (fold, student_id) FROM split_ WHERE is_test AND rating >= 4) AND (t.fold, t.student_id) IN (SELECT (fold, student_id) FROM cf) GROUP BY ALL", *src, more=folded(FOLDS)),
+        "history_lists": with_tables("SELECT student_id, string_agg(course_id, ',' ORDER BY d, course_id) AS courses FROM (SELECT student_id, course_id, min(quiz_date) AS d FROM quiz GROUP BY ALL) GROUP BY ALL", "quiz"),
+        "full_history_lists": with_tables("SELECT student_id, string_agg(course_id, ',' ORDER BY quiz_date, quiz_id) AS courses FROM quiz GROUP BY ALL", "quiz"),
         "weight_search": with_tables("SELECT * FROM result", *src, more=f"{folded(1, grid)}, {wrecs}, {metrics('recs', wkeys, fold=False)}"),
     }
 
 
-TRAIN = """train0 AS (SELECT student_id, course_id, avg(rating) AS m FROM rating JOIN cohort USING (student_id) GROUP BY ALL),
+TRAIN = """train0 AS (SELECT student_id, course_id, avg(rating) AS m FROM rating GROUP BY ALL),
 train AS (SELECT student_id, course_id, (m - 1) / 4 AS preference_score, coalesce(enrollment_progress, 0) AS enrollment_progress, coalesce(avg_quiz_score, 0) AS avg_quiz_score, m >= 4 AS positive_label FROM train0
   LEFT JOIN (SELECT student_id, course_id, avg(score_percentage) AS avg_quiz_score FROM quiz GROUP BY ALL) USING (student_id, course_id) LEFT JOIN (SELECT student_id, course_id, max(progress_percentage) AS enrollment_progress FROM enrollment GROUP BY ALL) USING (student_id, course_id))"""
 NEGATIVES = """liked AS (SELECT * FROM train WHERE preference_score > 0), quota AS (SELECT student_id, 2 * greatest(1, count(*) FILTER (positive_label)) AS q FROM liked GROUP BY ALL),
 neg AS (SELECT student_id, course_id FROM (SELECT student_id, course_id, q, row_number() OVER (PARTITION BY student_id ORDER BY md5(student_id || '|' || course_id || '|42')) AS k FROM quota CROSS JOIN course WHERE (student_id, course_id) NOT IN (SELECT (student_id, course_id) FROM liked)) WHERE k <= q)"""
-HYBRID_X = f"""matrix AS (SELECT student_id, course_id, least(greatest(1 + 4 * preference_score, 1), 5) AS r FROM train), {CF}, {ITEM}, {SIMS},
+HYBRID_X = f"""matrix AS (SELECT student_id, course_id, least(greatest(1 + 4 * preference_score, 1), 5) AS r FROM liked), {CF}, {ITEM}, {SIMS},
 obs AS (SELECT l.*, c.category, {LEVEL} AS level FROM liked l JOIN course c USING (course_id)),
 pop AS (SELECT course_id, avg(positive_label::INTEGER) AS rate FROM obs GROUP BY ALL)"""
 
@@ -348,8 +360,8 @@ def _learned() -> dict[str, str]:
     act = "SELECT student_id, course_id, sum(time_spent_minutes)::BIGINT AS t, max(progress_percentage) AS p, sum(video_watched::INTEGER)::BIGINT AS v, sum(notes_taken::INTEGER)::BIGINT AS n FROM activity GROUP BY ALL"
     words = f"{vectors(['title', 'description', 'tags'], False, 100)}, ranked AS (SELECT id, term, row_number() OVER (PARTITION BY id ORDER BY round(w, 6) DESC, term) AS k FROM vec WHERE round(w, 6) > 0), kw AS (SELECT id AS course_id, string_agg(term, ', ' ORDER BY k) FILTER (k <= 5) AS keywords, string_agg(term, ', ' ORDER BY k) FILTER (k <= 3) AS first3 FROM ranked GROUP BY ALL)"
     return {
-        "train_inputs": with_tables("SELECT student_id, course_id, round(preference_score, 6) AS preference_score, enrollment_progress, round(avg_quiz_score, 6) AS avg_quiz_score, positive_label, round(least(greatest(1 + 4 * preference_score, 1), 5), 6) AS rating FROM train", *src, more=f"{COHORT_CTE}, {TRAIN}"),
-        "negatives": with_tables("SELECT * FROM neg", *src, more=f"{COHORT_CTE}, {TRAIN}, {NEGATIVES}"),
+        "train_inputs": with_tables("SELECT student_id, course_id, round(preference_score, 6) AS preference_score, enrollment_progress, round(avg_quiz_score, 6) AS avg_quiz_score, positive_label, round(least(greatest(1 + 4 * preference_score, 1), 5), 6) AS rating FROM train WHERE preference_score > 0", *src, more=TRAIN),
+        "negatives": with_tables("SELECT * FROM neg", *src, more=f"{TRAIN}, {NEGATIVES}"),
         "hybrid_features": with_tables(
             f"""SELECT n.student_id, n.course_id, round(coalesce(content_score, 0), 6) AS content_score, round(coalesce(p.score, 0) / 5, 6) AS user_cf_score, round(coalesce(i.score, 0) / 5, 6) AS item_cf_score, round(coalesce(g.a, 0), 6) AS category_affinity, round(coalesce(g.b, 0), 6) AS category_progress,
   round(coalesce(g.q, 0), 6) AS category_quiz, round({LEVEL} / 3, 6) AS difficulty_level, round(greatest(0, 1 - abs(coalesce(u.pref, 2) - {LEVEL}) / 2), 6) AS difficulty_match, round(coalesce(pop.rate, 0) / (SELECT greatest(max(rate), 1e-8) FROM pop), 6) AS course_popularity,
@@ -358,7 +370,7 @@ FROM neg n JOIN course c USING (course_id) LEFT JOIN (SELECT student_id, sum(lev
 LEFT JOIN (SELECT student_id, category, avg(preference_score) AS a, avg(enrollment_progress) / 100 AS b, avg(avg_quiz_score) / 100 AS q FROM obs GROUP BY ALL) g ON n.student_id = g.student_id AND c.category = g.category LEFT JOIN pop ON n.course_id = pop.course_id
 LEFT JOIN (SELECT student_id, b AS course_id, max(sim) AS content_score FROM obs JOIN sims ON course_id = a WHERE positive_label GROUP BY ALL) s ON n.student_id = s.student_id AND n.course_id = s.course_id
 LEFT JOIN pred p ON n.student_id = p.student_id AND n.course_id = p.course_id LEFT JOIN icf i ON n.student_id = i.student_id AND n.course_id = i.course_id""",
-            *src, more=f"{COHORT_CTE}, {TRAIN}, {NEGATIVES}, {HYBRID_X}",
+            *src, more=f"{TRAIN}, {NEGATIVES}, {HYBRID_X}",
         ),
         "grade_features": with_tables(
             f"SELECT quiz_id, q.student_id, q.course_id, s.avg_quiz_score, s.total_courses_completed, s.total_time_spent_hours, {LEVEL} AS course_difficulty, c.duration_hours AS course_duration, c.rating AS course_rating, coalesce(t, 0) AS time_spent_on_course, coalesce(p, 0) AS progress_percentage, coalesce(v, 0) AS videos_watched, coalesce(n, 0) AS notes_taken, score_percentage "
@@ -370,7 +382,6 @@ LEFT JOIN pred p ON n.student_id = p.student_id AND n.course_id = p.course_id LE
 FROM student LEFT JOIN (SELECT student_id, sum(video_watched::INTEGER)::BIGINT AS v, sum(notes_taken::INTEGER)::BIGINT AS n, avg(progress_percentage) AS p FROM activity GROUP BY ALL) USING (student_id) LEFT JOIN (SELECT student_id, count(*) AS k, avg(passed::INTEGER) * 100 AS r FROM quiz GROUP BY ALL) USING (student_id)""",
             "student", "activity", "quiz",
         ),
-        "cluster_distribution": with_tables("SELECT k::INTEGER AS cluster, count(student_id) AS students, round(count(student_id) * 100 / (SELECT count(*) FROM student), 1) AS percentage FROM (VALUES (0), (1), (2), (3)) AS t(k) LEFT JOIN (SELECT student_id, CASE learning_style WHEN 'Visual' THEN 0 WHEN 'Reading' THEN 1 ELSE 2 END AS c FROM student) ON c = k GROUP BY k", "student"),
         "course_keywords": with_tables("SELECT course_id, keywords FROM kw", "course", more=words),
         "explanations": with_tables(
             f"""SELECT student_id, course_id, array_to_string(list_filter([
@@ -379,14 +390,14 @@ FROM student LEFT JOIN (SELECT student_id, sum(video_watched::INTEGER)::BIGINT A
   CASE WHEN c.rating >= 4.5 THEN 'rating: Highly rated course (' || printf('%.1f', c.rating) || '/5.0)' END, CASE WHEN rn > 5 AND rm >= 4 THEN 'collaborative: Popular among similar students (avg ' || printf('%.1f', rm) || '/5)' END,
   CASE WHEN first3 IS NOT NULL THEN 'content: Covers: ' || first3 END, CASE WHEN difficulty = 'Beginner' AND adv > 0 THEN 'path: Foundation for ' || adv || ' advanced courses' END], lambda x: x IS NOT NULL)[:4], '; ') AS reasons
 FROM ({top("cf", 10)}) JOIN student s USING (student_id) JOIN course c USING (course_id) LEFT JOIN (SELECT course_id, count(*) AS rn, avg(rating) AS rm FROM rating GROUP BY ALL) USING (course_id) LEFT JOIN (SELECT category, count(*) AS adv FROM course WHERE difficulty = 'Advanced' GROUP BY ALL) USING (category) LEFT JOIN kw USING (course_id)""",
-            "rating", "activity", "course", "student", more=f"{COHORT_CTE}, {MATRIX}, {CF}, {words}",
+            "rating", "activity", "course", "student", more=f"{MATRIX}, {CF}, {words}",
         ),
     }
 
 
-MODULES = f"""{COHORT_CTE}, listed AS (SELECT e.student_id, e.course_id, m.module_id, m.order_no, coalesce(completed, FALSE) AS completed FROM (SELECT DISTINCT student_id, course_id FROM enrollment JOIN cohort USING (student_id) WHERE status IN ('active', 'completed')) e
+MODULES = """listed AS (SELECT e.student_id, e.course_id, m.module_id, m.order_no, coalesce(completed, FALSE) AS completed FROM (SELECT DISTINCT student_id, course_id FROM enrollment WHERE status IN ('active', 'completed')) e
   JOIN module m USING (course_id) LEFT JOIN module_progress p ON e.student_id = p.student_id AND m.module_id = p.module_id)"""
-REVIEW = """review AS (SELECT z.quiz_id AS sitting, z.course_id, z.quiz_title, question_id, points, CASE WHEN question_number % 5 = 0 THEN '' ELSE substr('ABCD', (correct_answers + question_number) % 4 + 1, 1) END AS answer, correct_answer,
+REVIEW = """review AS (SELECT z.quiz_id AS sitting, z.course_id, z.quiz_title, question_id, points, CASE WHEN question_number % 5 = 0 THEN '' ELSE substr('ABCD', (correct_answers + question_number) % 4 + 1, 1) END AS answer, correct_answer, CASE answer WHEN 'A' THEN option_a WHEN 'B' THEN option_b WHEN 'C' THEN option_c WHEN 'D' THEN option_d END AS given_text,
   CASE correct_answer WHEN 'A' THEN option_a WHEN 'B' THEN option_b WHEN 'C' THEN option_c ELSE option_d END AS correct_text FROM quiz z JOIN question USING (course_id))"""
 
 
@@ -396,13 +407,22 @@ def _serving() -> dict[str, str]:
         "point_lookup": with_tables("SELECT * FROM student WHERE student_id = 'S0000007'", "student"),
         "login_lookup": with_tables("SELECT * FROM student WHERE student_id = 'S0000007'", "student"),
         "catalog_search": with_tables("SELECT course_id, title, category, difficulty, course_id IN (SELECT course_id FROM enrollment WHERE student_id = 'S0000007' AND status IN ('active', 'completed')) AS enrolled FROM course WHERE regexp_matches(title, '(?i)PROMO|brand#1') OR regexp_matches(description, '(?i)PROMO|brand#1')", "course", "enrollment"),
-        "student_courses": with_tables("SELECT x.student_id, x.course_id, title, enrollment_id, status, progress_percentage AS progress, last_accessed FROM (SELECT DISTINCT student_id, course_id FROM enrollment JOIN cohort USING (student_id) WHERE status IN ('active', 'completed')) x JOIN course USING (course_id) JOIN enrollment e ON x.student_id = e.student_id AND x.course_id = e.course_id", "course", "enrollment", more=COHORT_CTE),
+        "student_courses": with_tables("SELECT x.student_id, x.course_id, title, enrollment_id, status, progress_percentage AS progress, last_accessed FROM (SELECT DISTINCT student_id, course_id FROM enrollment WHERE status IN ('active', 'completed')) x JOIN course USING (course_id) JOIN enrollment e ON x.student_id = e.student_id AND x.course_id = e.course_id", "course", "enrollment"),
+        "catalog_filtered": with_tables(f"SELECT course_id, title, category, difficulty FROM course WHERE category = '{CATEGORY}' AND difficulty = 'Beginner'", "course"),
+        "course_badges": with_tables("SELECT course_id, CASE difficulty WHEN 'Beginner' THEN 'success' WHEN 'Intermediate' THEN 'warning' ELSE 'danger' END AS badge, array_to_string(string_split_regex(trim(tags), '\\s+'), '|') AS tags, CASE WHEN length(title) > 30 THEN substr(title, 1, 30) || '...' ELSE title END AS short_title, format('{:,}', total_enrollments) AS enrollments FROM course", "course"),
+        "progress_bands": with_tables("SELECT enrollment_id, student_id, course_id, CASE WHEN progress_percentage >= 70 THEN 'high' WHEN progress_percentage >= 40 THEN 'middle' ELSE 'low' END AS progress_band FROM enrollment", "enrollment"),
+        "student_counters": with_tables("SELECT student_id, coalesce(q, 0) AS quizzes, coalesce(e, 0) AS courses FROM (SELECT student_id, count(*) AS q FROM quiz GROUP BY ALL) FULL JOIN (SELECT student_id, count(DISTINCT course_id) AS e FROM enrollment WHERE status IN ('active', 'completed') GROUP BY ALL) USING (student_id)", "quiz", "enrollment"),
+        "api_learning_path": with_tables(
+            f"""SELECT student_id, '{{"student_id":"' || student_id || '","learning_path":[' || string_agg('{{"course_id":"' || course_id || '","title":"' || title || '","difficulty":"' || difficulty || '"}}', ',' ORDER BY path_order) || ']}}' AS json
+FROM (SELECT student_id, row_number() OVER (PARTITION BY student_id ORDER BY {LEVEL}, c.rating DESC, course_id) AS path_order, course_id, title, difficulty FROM student CROSS JOIN course c WHERE category = '{CATEGORY}' AND (student_id, course_id) NOT IN (SELECT (student_id, course_id) FROM seen) QUALIFY path_order <= 6) GROUP BY student_id""",
+            "student", "activity", "enrollment", "quiz", "course", more=SEEN,
+        ),
         "category_performance": with_tables("SELECT student_id, category, round(a, 6) AS avg_score, a >= 75 AS strength, a < 60 AS weakness FROM (SELECT student_id, category, avg(score_percentage) AS a FROM quiz JOIN course USING (course_id) GROUP BY ALL)", "quiz", "course"),
-        "quiz_history": with_tables("SELECT student_id, quiz_id, course_id, quiz_title, quiz_date, score_percentage, passed, row_number() OVER (PARTITION BY student_id ORDER BY quiz_date DESC, quiz_id)::INTEGER AS position FROM quiz JOIN cohort USING (student_id)", "quiz", more=COHORT_CTE),
+        "quiz_history": with_tables("SELECT student_id, quiz_id, course_id, quiz_title, quiz_date, score_percentage, passed, row_number() OVER (PARTITION BY student_id ORDER BY quiz_date DESC, quiz_id)::INTEGER AS position FROM quiz", "quiz"),
         "module_progress": with_tables("SELECT * FROM listed", *listed, more=MODULES),
         "current_module": with_tables("SELECT student_id, course_id, module_id, completed FROM listed QUALIFY row_number() OVER (PARTITION BY student_id, course_id ORDER BY completed, order_no, module_id) = 1", *listed, more=MODULES),
         "course_progress": with_tables("SELECT student_id, course_id, n AS total_modules, d AS completed_modules, round(d * 100 / n, 1) AS progress_percentage, CASE WHEN d >= n THEN 'completed' ELSE 'active' END AS status FROM (SELECT student_id, course_id, count(*) AS n, count(*) FILTER (completed) AS d FROM listed GROUP BY ALL)", *listed, more=MODULES),
-        "quiz_review": with_tables("SELECT sitting, question_id, answer, answer = correct_answer AS correct, correct_text FROM review", "quiz", "question", more=REVIEW),
+        "quiz_review": with_tables("SELECT sitting, question_id, answer, answer = correct_answer AS correct, correct_text, given_text FROM review", "quiz", "question", more=REVIEW),
         "quiz_score": with_tables("SELECT *, round(correct_answers * 100 / total_questions, 1) AS percentage, round(correct_answers * 100 / total_questions, 1) >= 60 AS passed FROM (SELECT sitting, course_id, quiz_title, count(*) FILTER (answer = correct_answer) AS correct_answers, count(*) AS total_questions, sum(CASE WHEN answer = correct_answer THEN points ELSE 0 END)::BIGINT AS earned_points, sum(points)::BIGINT AS total_points FROM review GROUP BY ALL)", "quiz", "question", more=REVIEW),
         "attempt_numbers": with_tables("SELECT quiz_id, student_id, course_id, row_number() OVER (PARTITION BY student_id, course_id, quiz_title ORDER BY quiz_date, quiz_id)::INTEGER AS attempt FROM quiz", "quiz"),
         "analytics_totals": with_tables("SELECT round(sum(time_spent_minutes) / 60, 1) AS total_hours, sum(video_watched::INTEGER)::BIGINT AS videos, count(*) AS activities FROM activity", "activity"),

@@ -12,10 +12,9 @@ from coursemill.operators import recommend as rec
 from coursemill.session import stash
 from coursemill.sources.adapter import Platform
 
-#: The cohort that recommenders serve in these queries: fifty students, as they are served one at a time.
-COHORT = 50
+#: English words that say nothing about a course. A parameter of tfidf(): any list can be given.
 STOP_WORDS = ["a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with"]
-FOLDS = 3
+FOLDS = 10
 KEYS = ["student_id", "course_id"]
 CATEGORY = "PROMO"
 
@@ -28,14 +27,6 @@ def _long(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
 
-def cohort(p: Platform) -> DataFrame:
-    return p.raw("customer").filter(F.col("c_custkey") < COHORT).select(F.concat(F.lit("S"), F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("student_id"))
-
-
-def _of_cohort(p: Platform, df: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(cohort(p)), "student_id", "left_semi")  # COHORT rows
-
-
 # --- star schema ---
 
 
@@ -83,6 +74,16 @@ def fact_rating(p):
     return _round(etl.fact_rating(etl.clean_ratings(p.rating)), "rating", "difficulty_rating", "content_quality", "instructor_rating")
 
 
+def warehouse_counts(p):
+    """Rows of every table of the star schema."""
+    w = etl.build_warehouse(p.student, p.course, p.activity, p.quiz, p.rating)
+    out = None
+    for name, df in vars(w).items():
+        own = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 # --- features ---
 
 
@@ -175,15 +176,19 @@ def published_quizzes(p):
     return publishing.published(_curated(p)["quizzes"], columns, {"quiz_date": "quiz_date_clean"}, ["student_id", "course_id", "quiz_date"])
 
 
+def published_enrollments(p):
+    return publishing.published_tables(_curated(p))["enrollments"]
+
+
 # --- recommenders ---
 
 
-def _cf(p: Platform) -> DataFrame:
-    return rec.user_cf_scores(rec.rating_matrix(p.rating), cohort(p))
+def _matrix(p: Platform) -> DataFrame:
+    return stash(rec.rating_matrix(p.rating), "matrix")
 
 
 def _sims(p: Platform) -> DataFrame:
-    return rec.content_similarity(rec.tfidf(rec.course_content(p.course), STOP_WORDS))
+    return stash(rec.content_similarity(rec.tfidf(rec.course_content(p.course), STOP_WORDS)), "sims")
 
 
 def _seen(p: Platform) -> DataFrame:
@@ -191,15 +196,20 @@ def _seen(p: Platform) -> DataFrame:
 
 
 def cf_user_topn(p):
-    return rec.recommendations(_cf(p))
+    return rec.recommendations(rec.user_cf_scores(_matrix(p)))
 
 
 def cf_item_topn(p):
-    return rec.recommendations(rec.item_cf_scores(rec.rating_matrix(p.rating), cohort(p)))
+    return rec.recommendations(rec.item_cf_scores(_matrix(p)))
 
 
 def similar_users(p):
-    return rec.similar_users(rec.similarity(rec.rating_matrix(p.rating), "student_id", "course_id", cohort(p)))
+    return rec.similar_users(_matrix(p))
+
+
+def item_ratings(p):
+    """Predictions of item neighbours for pairs that have activity, whether rated or not."""
+    return rec.predicted_item_ratings(p.activity.select(*KEYS).distinct(), _matrix(p))
 
 
 def matrix_sparsity(p):
@@ -211,7 +221,7 @@ def content_similar(p):
 
 
 def content_user_topn(p):
-    return rec.recommendations(rec.content_scores(_of_cohort(p, _seen(p)), _sims(p), p.course))
+    return rec.recommendations(rec.content_scores(stash(_seen(p), "seen"), _sims(p), p.course))
 
 
 def seen_union(p):
@@ -219,8 +229,8 @@ def seen_union(p):
 
 
 def _hybrid(p: Platform, n: int = 10) -> DataFrame:
-    seen = _of_cohort(p, _seen(p))
-    return rec.hybrid_scores(rec.content_scores(seen, _sims(p), p.course), _cf(p), seen, n)
+    seen = stash(_seen(p), "seen")
+    return rec.hybrid_scores(rec.content_scores(seen, _sims(p), p.course, least=2 * n), rec.user_cf_scores(_matrix(p)), seen, n)
 
 
 def hybrid_topn(p):
@@ -232,18 +242,18 @@ def hybrid_beginner(p):
 
 
 def rules_after_cf(p):
-    return rec.business_rules(rec.recommendations(_cf(p), 20), _seen(p), 5)
+    return rec.business_rules(rec.recommendations(rec.user_cf_scores(_matrix(p)), 20), _seen(p), 5)
 
 
 def learning_path(p):
-    return rec.learning_path(cohort(p), _seen(p), p.course, CATEGORY, 6)
+    return rec.learning_path(p.student, _seen(p), p.course, CATEGORY, 6)
 
 
 # --- evaluation ---
 
 
 def _split(p: Platform, folds: int) -> DataFrame:
-    return evaluation.holdout(_of_cohort(p, p.rating).select("rating_id", *KEYS, "rating"), folds)
+    return evaluation.holdout(p.rating.select("rating_id", *KEYS, "rating"), folds)
 
 
 def holdout_split(p):
@@ -256,7 +266,7 @@ def _lists(p: Platform, folds: int, weights=(0.4, 0.6)) -> tuple[DataFrame, Data
     train = split.filter("NOT is_test")
     matrix, history = rec.rating_matrix(train, by=("fold",)), train.select("fold", *KEYS).distinct()
     content = stash(rec.content_scores(history, _sims(p), p.course, by=("fold",)), "content")
-    cf = stash(rec.user_cf_scores(matrix, cohort(p), by=("fold",)), "cf")
+    cf = stash(rec.user_cf_scores(stash(matrix, "matrix"), by=("fold",)), "cf")
     return split, content, cf, rec.hybrid_scores(content, cf, history, 10, weights, by=("fold",))
 
 
@@ -283,9 +293,14 @@ def repeated_holdout_summary(p):
 
 
 def rmse_mae(p):
-    split = _split(p, FOLDS)
-    predicted = rec.predicted_ratings(rec.rating_matrix(split.filter("NOT is_test"), by=("fold",)), cohort(p), by=("fold",))
-    return evaluation.rating_errors(predicted, split.filter("is_test"), by=("fold",))
+    """Of user CF, over students with a relevant test course and a list."""
+    split = stash(_split(p, FOLDS), "split")
+    matrix = stash(rec.rating_matrix(split.filter("NOT is_test"), by=("fold",)), "matrix")
+    predicted = stash(rec.predicted_ratings(matrix, by=("fold",)), "predicted")
+    keys = ["fold", "student_id"]
+    listed = predicted.filter("score > 0").join(matrix, [*keys, "course_id"], "left_anti").select(*keys).distinct()
+    evaluated = split.filter("is_test AND rating >= 4").select(*keys).distinct().join(listed, keys, "left_semi")
+    return evaluation.rating_errors(predicted, split.filter("is_test"), evaluated, by=("fold",))
 
 
 def weight_search(p):
@@ -293,7 +308,15 @@ def weight_search(p):
     split, *_, hybrid = _lists(p, 1, grid)
     keys = ("content_weight", "collaborative_weight")
     recs = rec.recommendations(hybrid, 10, by=keys)
-    return evaluation.ranking_metrics(recs, split.filter("is_test AND rating >= 4").select(*KEYS), p.course, keys=keys)
+    return evaluation.ranking_metrics(recs, split.filter("is_test AND rating >= 4").select(*KEYS), p.course, keys=keys).orderBy(F.desc("f1_10"), *keys)
+
+
+def history_lists(p):
+    return serving.history_lists(p.quiz, ["quiz_date"]).select("student_id", F.array_join("courses", ",").alias("courses"))
+
+
+def full_history_lists(p):
+    return serving.history_lists(p.quiz, ["quiz_date", "quiz_id"], distinct=False).select("student_id", F.array_join("courses", ",").alias("courses"))
 
 
 # --- learned parts ---
@@ -309,24 +332,24 @@ def _train(p: Platform, ratings: DataFrame) -> DataFrame:
 
 
 def train_inputs(p):
-    return _round(ml.train_inputs(_train(p, _of_cohort(p, p.rating))), "preference_score", "rating", "avg_quiz_score")
+    return _round(ml.train_inputs(_train(p, p.rating)), "preference_score", "rating", "avg_quiz_score")
 
 
 def negatives(p):
-    return ml.sampled_negatives(_train(p, _of_cohort(p, p.rating)), p.course)
+    return ml.sampled_negatives(_train(p, p.rating), p.course)
 
 
 def hybrid_features(p):
-    train = _train(p, _of_cohort(p, p.rating))
-    matrix = rec.rating_matrix(ml.train_inputs(train))
-    return ml.hybrid_features(negatives(p), train, p.course, _sims(p), rec.predicted_ratings(matrix, cohort(p)), rec.item_cf_scores(matrix, cohort(p)))
+    train = stash(_train(p, p.rating), "train")
+    matrix = stash(rec.rating_matrix(ml.train_inputs(train)), "matrix")
+    return ml.hybrid_features(ml.sampled_negatives(train, p.course), train, p.course, _sims(p), rec.predicted_ratings(matrix), rec.item_cf_scores(matrix))
 
 
 def learned_hybrid_topn(p):
-    """Of all students, learned from all ratings."""
+    """Of all students, learned from all ratings. What a student has shown a preference for is not offered again."""
     train = stash(_train(p, p.rating), "train")
-    unseen = p.student.select("student_id").crossJoin(p.course.select("course_id")).join(train.select(*KEYS), KEYS, "left_anti")  # students x catalogue
-    return ml.learned_rankings(train, rec.rating_matrix(ml.train_inputs(train)), unseen, p.course, _sims(p))
+    unseen = p.student.select("student_id").crossJoin(p.course.select("course_id")).join(train.filter("preference_score > 0").select(*KEYS), KEYS, "left_anti")  # students x catalogue
+    return ml.learned_rankings(train, stash(rec.rating_matrix(ml.train_inputs(train)), "matrix"), unseen, p.course, _sims(p))
 
 
 def next_course_leaderboard(p):
@@ -351,8 +374,8 @@ def clusters(p):
 
 
 def cluster_distribution(p):
-    by_style = p.student.select("student_id", F.when(F.col("learning_style") == "Visual", 0).when(F.col("learning_style") == "Reading", 1).otherwise(2).alias("cluster"))
-    return ml.cluster_distribution(by_style)
+    """Of the fitted clusters."""
+    return ml.cluster_distribution(stash(clusters(p).select("student_id", "cluster"), "clusters"))
 
 
 def _words(p: Platform) -> DataFrame:
@@ -384,8 +407,12 @@ def catalog_search(p):
     return serving.catalog(p.course, mine, search="PROMO|brand#1").select("course_id", "title", "category", "difficulty", "enrolled")
 
 
+def catalog_filtered(p):
+    return serving.catalog(p.course, category=CATEGORY, difficulty="Beginner").select("course_id", "title", "category", "difficulty")
+
+
 def student_courses(p):
-    return _of_cohort(p, serving.student_courses(p.course, p.enrollment)).select(*KEYS, "title", "enrollment_id", "status", "progress", "last_accessed")
+    return serving.student_courses(p.course, p.enrollment).select(*KEYS, "title", "enrollment_id", "status", "progress", "last_accessed")
 
 
 def category_performance(p):
@@ -393,11 +420,11 @@ def category_performance(p):
 
 
 def quiz_history(p):
-    return serving.quiz_history(_of_cohort(p, p.quiz))
+    return serving.quiz_history(p.quiz)
 
 
 def _modules(p: Platform) -> DataFrame:
-    return serving.modules_with_progress(p.module, p.module_progress, _of_cohort(p, serving.is_enrolled(p.enrollment)))
+    return serving.modules_with_progress(p.module, p.module_progress, serving.is_enrolled(p.enrollment))
 
 
 def module_progress(p):
@@ -421,7 +448,7 @@ def _review(p: Platform) -> DataFrame:
 
 
 def quiz_review(p):
-    return _review(p).select("sitting", "question_id", "answer", "correct", "correct_text")
+    return _review(p).select("sitting", "question_id", "answer", "correct", "correct_text", "given_text")
 
 
 def quiz_score(p):
@@ -444,6 +471,18 @@ def presentation_bands(p):
     return serving.bands(p.quiz)
 
 
+def course_badges(p):
+    return serving.course_badges(p.course).withColumn("tags", F.array_join("tags", "|"))
+
+
+def progress_bands(p):
+    return serving.progress_bands(p.enrollment)
+
+
+def student_counters(p):
+    return serving.student_counters(p.quiz, p.enrollment)
+
+
 def next_id(p):
     return serving.next_id(p.student, "student_id", "S")
 
@@ -456,15 +495,36 @@ def json_api(p):
     return serving.json_rows(p.course.select("course_id", "category", "duration_hours"))
 
 
+def api_similar(p):
+    return serving.json_lists(content_similar(p), "course_id", "similar_courses", "rank", ["similar_id", "score"])
+
+
+def api_recommend(p):
+    recs = rec.business_rules(rec.recommendations(_hybrid(p), 10), _seen(p), 10)
+    return serving.json_lists(recs, "student_id", "recommendations", "rank", ["course_id", "given"])
+
+
+def api_learning_path(p):
+    return serving.json_lists(learning_path(p), "student_id", "learning_path", "path_order", ["course_id", "title", "difficulty"])
+
+
+def api_student(p):
+    """Of every student what the page shows, as one JSON document: category means and current courses."""
+    performance = category_performance(p).groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct("category", "avg_score"))).alias("performance"))
+    courses = serving.is_enrolled(p.enrollment).groupBy("student_id").agg(F.array_sort(F.collect_list("course_id")).alias("enrolled_courses"))
+    out = p.student.select("student_id", "name", "learning_style").join(courses, "student_id", "left").join(performance, "student_id", "left")
+    return out.select("student_id", F.to_json(F.struct("student_id", "name", "learning_style", "enrolled_courses", "performance"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 _OPERATORS = [
-    clean_students, clean_courses, clean_activity, clean_quiz, clean_ratings, dim_time, dim_user, dim_course, fact_learning, fact_quiz, fact_rating,
+    warehouse_counts, clean_students, clean_courses, clean_activity, clean_quiz, clean_ratings, dim_time, dim_user, dim_course, fact_learning, fact_quiz, fact_rating,
     topic_interest, topic_interest_pivot, completion_rate, quiz_perf_category, quiz_perf_student, time_per_course, learning_consistency, difficulty_performance, difficulty_pref, student_features,
-    synth_enrollments, synth_quizzes, strengthen_enrollments, curate_rating_dates, interaction_quality, time_split, curation_summary, dense_activity_logs, published_quizzes,
-    cf_user_topn, cf_item_topn, similar_users, matrix_sparsity, content_similar, content_user_topn, seen_union, hybrid_topn, hybrid_beginner, rules_after_cf, learning_path,
-    holdout_split, metrics_at_k_skipping, metrics_at_k_with_zeros, repeated_holdout_summary, rmse_mae, weight_search,
+    synth_enrollments, synth_quizzes, strengthen_enrollments, curate_rating_dates, interaction_quality, time_split, curation_summary, dense_activity_logs, published_quizzes, published_enrollments,
+    cf_user_topn, cf_item_topn, item_ratings, similar_users, matrix_sparsity, content_similar, content_user_topn, seen_union, hybrid_topn, hybrid_beginner, rules_after_cf, learning_path,
+    holdout_split, metrics_at_k_skipping, metrics_at_k_with_zeros, repeated_holdout_summary, rmse_mae, weight_search, history_lists, full_history_lists,
     train_inputs, negatives, hybrid_features, learned_hybrid_topn, next_course_leaderboard, grade_features, grade_predictions, cluster_features, clusters, cluster_distribution, course_keywords, explanations,
-    point_lookup, login_lookup, catalog_search, student_courses, category_performance, quiz_history, module_progress, current_module, course_progress, quiz_review, quiz_score, attempt_numbers,
-    analytics_totals, score_histogram, presentation_bands, next_id, first_seen_categories, json_api,
+    point_lookup, login_lookup, catalog_search, catalog_filtered, student_courses, category_performance, quiz_history, module_progress, current_module, course_progress, quiz_review, quiz_score, attempt_numbers,
+    analytics_totals, score_histogram, presentation_bands, course_badges, progress_bands, student_counters, next_id, first_seen_categories, json_api, api_similar, api_recommend, api_learning_path, api_student,
 ]
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _fallback: dict[str, str] = {}
+_written: list[str] = []
 
 
 def build_session(master: str = "local[8]", app: str = "coursemill", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -49,6 +50,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/coursemill/{label}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    _written.append(path)
     return path
 
 
@@ -77,6 +79,18 @@ def release(*stashed: DataFrame) -> None:
         _remove(df.sparkSession, df.stash_path)
 
 
+def written_so_far() -> int:
+    """How many paths new_path() has given: a mark for release_since()."""
+    return len(_written)
+
+
+def release_since(mark: int, keep: DataFrame) -> None:
+    """Remove all that was written since the mark, but for ``keep``: for steps whose one result is written by stash()."""
+    for path in _written[mark:]:
+        if path != keep.stash_path:
+            _remove(keep.sparkSession, path)
+
+
 #: A side of a join is broadcast up to so many narrow rows (some MB).
 BROADCAST_ROWS = 300_000
 

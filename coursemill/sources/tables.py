@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMAS: dict[str, str] = {
@@ -25,6 +26,11 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True, dateFormat="yyyy-MM-dd", mode="PERMISSIVE")
 
 
+def parsed_date(text: str, strict: bool = False) -> Column:
+    """A text column as a date. What isn't one becomes null, or with ``strict`` ends the query with an error."""
+    return F.col(text).cast("date") if strict else F.col(text).try_cast("date")
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).csv(path, header=True, quote='"', escape='"', dateFormat="yyyy-MM-dd")
 
@@ -52,6 +58,27 @@ def as_summary(row: DataFrame) -> DataFrame:
     return row.select(*rest, as_map("tier_").alias("signal_tiers"), as_map("split_").alias("split_roles"))
 
 
+#: Names of the cleaned tables in a folder, by their names in what curation.curate() gives.
+CLEANED = {"students": "students_clean", "enrollments": "enrollments_clean", "quizzes": "quiz_results_clean", "activities": "activity_logs_clean", "ratings": "ratings_clean", "interactions": "interaction_quality"}
+
+
+def write_cleaned(cleaned: dict[str, DataFrame], folder: str, summary: DataFrame | None = None) -> None:
+    """The cleaned tables as Parquet under a new folder, interactions by split_role, which makes train and test partitions of one table; and the summary as JSON."""
+    for name, file in CLEANED.items():
+        if name == "interactions":
+            write_split(cleaned[name], f"{folder}/{file}")
+        else:
+            cleaned[name].write.parquet(f"{folder}/{file}")
+    if summary is not None:
+        write_json(as_summary(summary), f"{folder}/curation_summary")
+
+
+def read_cleaned(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """What write_cleaned() has written, and the train and test rows, which read their own partition only."""
+    out = {name: spark.read.parquet(f"{folder}/{file}") for name, file in CLEANED.items()}
+    return out | {role: out["interactions"].filter(F.col("split_role") == role) for role in ("train", "test")}
+
+
 @dataclass
 class Store:
     """The tables of a folder, read when first asked for; reload() forgets them and what was fitted on them."""
@@ -61,18 +88,42 @@ class Store:
     suffix: str = ".csv"
     tables: dict[str, DataFrame] = field(default_factory=dict)
     fitted: dict[str, object] = field(default_factory=dict)
+    versions: dict[str, str] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.tables:
-            self.tables[name] = read_csv(self.spark, f"{self.folder}/{name}{self.suffix}", SCHEMAS[name])
+            self.tables[name] = read_csv(self.spark, self.versions.get(name, f"{self.folder}/{name}{self.suffix}"), SCHEMAS[name])
             self.tables[name].createOrReplaceTempView(name)
         return self.tables[name]
 
     def __setitem__(self, name: str, df: DataFrame) -> None:
         """A new version of a table; fitted models are out of date with it."""
         self.tables[name] = df
+        df.createOrReplaceTempView(name)
         self.fitted.clear()
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Add rows to a table's file, by column names; it is read anew afterwards."""
+        append_rows(self[name], rows, f"{self.folder}/{name}{self.suffix}")
+        self._forget(name)
+
+    def save(self, name: str, df: DataFrame) -> str:
+        """Write a new version of a table beside the old one, which it may be made from, and read it from now on."""
+        version = f"{self.folder}/{name}-{uuid.uuid4().hex}{self.suffix}"
+        write_csv(df, version)
+        self._forget(name)
+        self.versions[name] = version
+        return version
+
+    def _forget(self, name: str) -> None:
+        self.tables.pop(name, None)
+        self.fitted.clear()
+        self.spark.catalog.dropTempView(name)
+
+    def counts(self) -> dict[str, int]:
+        """Rows of every table that was read."""
+        return {name: df.count() for name, df in self.tables.items()}
+
     def fit(self, name: str, build) -> object:
         """A fitted object, built once."""
         if name not in self.fitted:
@@ -80,7 +131,7 @@ class Store:
         return self.fitted[name]
 
     def reload(self) -> None:
-        for df in self.tables.values():
-            df.unpersist()
+        for name in self.tables:
+            self.spark.catalog.dropTempView(name)
         self.tables.clear()
         self.fitted.clear()

@@ -1,7 +1,8 @@
 """Operators on small tables with known answers, and their traps."""
 
 import hashlib
-from datetime import date
+import random
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from coursemill.functions import expressions as ex
 from coursemill.operators import curation, etl, evaluation, features, ml, publishing, serving
 from coursemill.operators import recommend as rec
+from coursemill.operators.numbering import numbered
 from coursemill.sources import tables
 
 D = date.fromisoformat
@@ -152,18 +154,75 @@ def test_neighbours(spark, ratings):
     m = rec.rating_matrix(ratings)
     assert {(r[0], r[1]): r[2] for r in m.collect()}["u", "a"] == 4.0
     cohort = spark.createDataFrame([("u",), ("unknown",)], "student_id string")
-    (r,) = rec.recommendations(rec.user_cf_scores(m, cohort)).collect()
+    (r,) = rec.recommendations(rec.user_cf_scores(m)).filter("student_id = 'u'").collect()
     assert (r["student_id"], r["course_id"], r["score"], r["rank"]) == ("u", "c", 5.0, 1)
     assert {x["course_id"] for x in rec.item_cf_scores(m, cohort).collect()} == {"c"}
     assert one(rec.sparsity(ratings), "sparsity") == round(1 - 5 / 9, 6)
 
 
-def test_every_student_is_predicted_alike(spark, ratings):
-    more = ratings.unionByName(spark.createDataFrame([("x", "d", 2.0), ("w", "b", 4.0)], RATE))
-    m = rec.rating_matrix(more)
-    rows = lambda df: {(r["student_id"], r["course_id"]): r["score"] for r in df.collect()}
-    every = rows(rec.every_predicted_rating(m))
-    assert every == rows(rec.predicted_ratings(m, m.select("student_id").distinct())) and len(every) == 10
+def cosines(cells, who):
+    """By plain loops: the cosines of the rows of {(student, course): rating}, or with who=1 of its columns."""
+    rows = {}
+    for key, r in cells.items():
+        rows.setdefault(key[who], {})[key[1 - who]] = r
+    norm = {x: sum(r * r for r in row.values()) ** 0.5 for x, row in rows.items()}
+    return {(x, y): d / (norm[x] * norm[y]) for x in rows for y in rows if (d := sum(r * rows[y].get(c, 0) for c, r in rows[x].items())) > 0}
+
+
+@pytest.fixture(scope="module")
+def cells(spark):
+    rng = random.Random(5)
+    return {(f"s{i:02d}", f"c{j:02d}"): float(rng.randrange(1, 6)) for i in range(30) for j in range(14) if rng.random() < 0.3}
+
+
+def test_predictions_equal_plain_loops(spark, cells):
+    m = spark.createDataFrame([(*k, r) for k, r in cells.items()], "student_id string, course_id string, r double")
+    sims = cosines(cells, 0)
+    want = {}
+    for i in {s for s, _ in cells}:
+        for j in {c for _, c in cells}:
+            raters = [(sims[i, x], r) for (x, c), r in cells.items() if c == j and (i, x) in sims]
+            if raters:
+                want[i, j] = sum(s * r for s, r in raters) / sum(s for s, _ in raters)
+    found = {(r["student_id"], r["course_id"]): r["score"] for r in rec.predicted_ratings(m).collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 2e-6 for k in want)
+    assert not {(r["student_id"], r["course_id"]) for r in rec.user_cf_scores(m).collect()} & cells.keys()
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_similar_users_equal_plain_loops(spark, cells, block):
+    m = spark.createDataFrame([(*k, r) for k, r in cells.items()], "student_id string, course_id string, r double")
+    sims = cosines(cells, 0)
+    want = set()
+    for i in {s for s, _ in cells}:
+        ranked = sorted((-round(s, 6), y) for (x, y), s in sims.items() if x == i)[1:6]
+        want |= {(i, y, k + 1) for k, (_, y) in enumerate(ranked)}
+    assert {(r["student_id"], r["similar_id"], r["rank"]) for r in rec.similar_users(m, block=block).collect()} == want
+
+
+@pytest.mark.parametrize("most_courses", [1000, 3])
+def test_item_neighbours_equal_plain_loops(spark, cells, most_courses):
+    """By the matrix of similarities and, for large catalogues, by joins."""
+    m = spark.createDataFrame([(*k, r) for k, r in cells.items()], "student_id string, course_id string, r double")
+    sims = cosines(cells, 1)
+    want = {}
+    for i in {s for s, _ in cells}:
+        for j in {c for _, c in cells}:
+            near = sorted((-round(sims[j, c], 9), c, r) for (s, c), r in cells.items() if s == i and c != j and (j, c) in sims)[:3]
+            own = [r for (_, c), r in cells.items() if c == j]
+            want[i, j] = sum(-s * r for s, _, r in near) / sum(-s for s, _, _ in near) if near else sum(own) / len(own)
+    found = {(r["student_id"], r["course_id"]): r["score"] for r in rec.item_cf_scores(m, neighbours=3, most_courses=most_courses).collect()}
+    assert found.keys() == want.keys() - cells.keys() and all(abs(found[k] - want[k]) < 2e-6 for k in found)
+    pairs = spark.createDataFrame([("nobody", "c01"), ("s01", "no course"), ("s01", "c01")], "student_id string, course_id string")
+    got = {(r["student_id"], r["course_id"]): r["score"] for r in rec.predicted_item_ratings(pairs, m).collect()}
+    ratings = [r for (_, c), r in cells.items() if c == "c01"]
+    assert abs(got["nobody", "c01"] - sum(ratings) / len(ratings)) < 2e-6 and got["s01", "no course"] == 0 and got["s01", "c01"] > 0
+
+
+def test_ranges_are_numbered_in_order(spark):
+    df = spark.createDataFrame([((k * 37) % 501, k) for k in range(501)], "a int, b int").repartition(7)
+    assert [r["n"] for r in numbered(df, "n", ["a"]).orderBy("a").collect()] == list(range(1, 502))
+    assert numbered(df.limit(0), "n", ["a"]).count() == 0
 
 
 def test_learned_ranking_serves_all_students(spark, tmp_path):
@@ -178,9 +237,8 @@ def test_learned_ranking_serves_all_students(spark, tmp_path):
         quiz = spark.createDataFrame([], "student_id string, course_id string, score_percentage double")
         enrollment = spark.createDataFrame([], "student_id string, course_id string, progress_percentage double")
 
-    Platform(spark, "").spark.createDataFrame([(k,) for k in range(60, 72)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
     out = queries.learned_hybrid_topn(Small(spark, str(tmp_path)))
-    assert {r["student_id"]: r["count"] for r in out.groupBy("student_id").count().collect()} == {f"S{k:07d}": 3 if k < 70 else 6 for k in range(60, 72)}
+    assert {r["student_id"]: r["count"] for r in out.groupBy("student_id").count().collect()} == {f"S{k:07d}": 6 - sum((k * i) % 5 > 0 for i in range(3)) if k < 70 else 6 for k in range(60, 72)}  # a rating of 1 is a preference of 0: offered again
 
 
 def test_content_path_and_rules(spark):
@@ -239,6 +297,53 @@ def test_grades_and_clusters_need_rows(spark):
     assert [r["students"] for r in ml.cluster_distribution(ml.cluster_students(few)).orderBy("cluster").collect()] == [1, 0, 0, 0]
 
 
+def test_fitted_grades(spark):
+    rng = random.Random(2)
+    data = [(f"q{k}", *[float(rng.randrange(100)) for _ in ml.GRADE_FEATURES]) for k in range(300)]
+    rows = spark.createDataFrame([(*r, 0.8 * r[1] + 10) for r in data], "quiz_id string, " + ", ".join(f"{c} double" for c in ml.GRADE_FEATURES) + ", score_percentage double")
+    out = ml.predict_grades(ml.fit_grades(rows, trees=20), rows).collect()
+    mean = sum(r["score_percentage"] for r in out) / len(out)
+    spread = sum((r["score_percentage"] - mean) ** 2 for r in out)
+    assert sum((r["score_percentage"] - r["predicted_score"]) ** 2 for r in out) < 0.3 * spread and out[0]["factors"][0] == "avg_quiz_score"
+    assert {r["confidence"] for r in out} == {"High", "Medium"} | ({"Low"} if any(r["time_spent_on_course"] == 0 and r["progress_percentage"] <= 50 for r in out) else set())
+    assert set(r["band"] for r in serving.prediction_bands(ml.predict_grades(None, rows)).collect()) == {"warning"}
+
+
+def test_fitted_clusters(spark):
+    """Four kinds of students, far apart: one cluster each."""
+    rng = random.Random(3)
+    data = [(f"s{k:03d}", *[(100.0 * (k % 4 >> i % 2 & 1)) + rng.random() for i in range(len(ml.CLUSTER_FEATURES))]) for k in range(80)]
+    rows = spark.createDataFrame(data, "student_id string, " + ", ".join(f"{c} double" for c in ml.CLUSTER_FEATURES))
+    found = ml.cluster_students(rows, starts=3)
+    by = {r["student_id"]: r["cluster"] for r in found.collect()}
+    assert all(by[f"s{k:03d}"] == by[f"s{k % 4:03d}"] for k in range(80)) and len(set(by.values())) == 4
+    shares = ml.cluster_distribution(found).collect()
+    assert len(shares) == 4 and sum(r["students"] for r in shares) == 80 and all(r["percentage"] == 25.0 for r in shares)
+    more = rows.select("student_id").union(spark.createDataFrame([("new",)], "student_id string"))
+    profiles = {r["student_id"]: (r["cluster"], r["profile"]) for r in ml.student_profiles(more, found).collect()}
+    assert profiles["new"] == (0, ml.PROFILES[0]) and profiles["s000"] == (by["s000"], ml.PROFILES[by["s000"]])
+
+
+def test_preferences_of_zero_are_no_ratings(spark):
+    train = spark.createDataFrame([("u", "a", 0.0, D("2024-01-01"), 5), ("u", "b", 0.5, D("2024-01-02"), 6), ("u", "b", 0.5, D("2024-01-02"), 6)], "student_id string, course_id string, preference_score double, recommend_event_date date, activity_progress int")
+    assert [(r["course_id"], r["rating"]) for r in ml.train_inputs(train).collect()] == [("b", 3.0)] * 2
+    (r,) = ml.train_activities(train).collect()
+    assert (r["course_id"], r["activity_date"], r["progress_percentage"], r["activity_type"]) == ("b", D("2024-01-02"), 6, "clean_interaction")
+
+
+def test_rating_errors_of_evaluated_students(spark):
+    test = spark.createDataFrame([("u", "a", 4.0), ("w", "a", 1.0), ("w", "b", 1.0)], RATE)
+    predicted = spark.createDataFrame([("u", "a", 3.0), ("w", "a", 4.0), ("w", "b", 0.0)], "student_id string, course_id string, score double")
+    (r,) = evaluation.rating_errors(predicted, test, test.filter("rating >= 4")).collect()
+    assert (r["predictions"], r["rmse"], r["mae"]) == (1, 1.0, 1.0)
+    assert one(evaluation.rating_errors(predicted, test), "predictions") == 2
+
+
+def test_summary_file(spark, tmp_path):
+    evaluation.write_summary(spark.createDataFrame([("b", 1.0), ("a", 2.0)], "model string, f1 double"), str(tmp_path / "summary"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "summary")).collect()] == ["model,f1", "a,2.0", "b,1.0"]
+
+
 def test_store_and_mutations(spark, tmp_path):
     e = spark.createDataFrame([("E001", "s", "c", D("2024-01-01"), "dropped", 10.0, D("2024-01-02"))], tables.SCHEMAS["enrollments"])
     tables.write_csv(e.coalesce(1), str(tmp_path / "enrollments.csv"))
@@ -265,6 +370,67 @@ def test_store_and_mutations(spark, tmp_path):
     assert not store.tables and not store.fitted
 
 
+def test_versions_and_appends(spark, tmp_path):
+    e = spark.createDataFrame([("E001", "s", "c", D("2024-01-01"), "dropped", 10.0, D("2024-01-02"))], tables.SCHEMAS["enrollments"])
+    tables.write_csv(e, str(tmp_path / "enrollments.csv"))
+    store = tables.Store(spark, str(tmp_path))
+    store.append("enrollments", e.select(*reversed(e.columns)).withColumn("enrollment_id", F.lit("E002")))
+    assert store["enrollments"].count() == 2 and store.counts() == {"enrollments": 2}
+    path = store.save("enrollments", serving.enroll(store["enrollments"], "s", "d", D("2024-02-02")))
+    assert path != str(tmp_path / "enrollments.csv") and store["enrollments"].count() == 3 and spark.table("enrollments").count() == 3
+    assert sorted(r["course_id"] for r in store["enrollments"].collect()) == ["c", "c", "d"]
+
+
+def test_dates_strict_or_not(spark):
+    df = spark.createDataFrame([("2024-01-05",), ("soon",), (None,)], "d string")
+    assert [r["x"] for r in df.select(tables.parsed_date("d").alias("x")).collect()] == [D("2024-01-05"), None, None]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        df.select(tables.parsed_date("d", strict=True).alias("x")).collect()
+
+
+def test_minutes_between(spark):
+    df = spark.createDataFrame([(datetime(2024, 1, 1, 10, 0, 0), datetime(2024, 1, 1, 10, 7, 59))], "a timestamp, b timestamp")
+    assert one(df.select(serving.minutes_between(F.col("a"), F.col("b")).alias("m")), "m") == 7
+
+
+def test_cleaned_and_published_tables(spark, tmp_path):
+    """The whole job on a small platform, written, read and published."""
+    students = spark.createDataFrame([(f"s{k}", "n", "e", 20, "U", "m", D("2024-01-03"), "Visual", "Beginner", 1, 50.0, 2.0) for k in range(6)], tables.SCHEMAS["students"])
+    ratings = spark.createDataFrame([(f"r{k}", f"s{k % 6}", f"c{k % 4}", D("2024-02-01"), float(1 + k % 5), "", 1.0, 1.0, 1.0, True) for k in range(24)], tables.SCHEMAS["ratings"])
+    enrollments = spark.createDataFrame([(f"e{k}", f"s{k}", "c0", D("2024-01-10"), "active", 10.0 * k, D("2024-04-20")) for k in range(6)], tables.SCHEMAS["enrollments"])
+    quizzes = spark.createDataFrame([("q0", "s0", "c0", D("2024-01-20"), "t", 10, 8, 80.0, 9, 1, True)], tables.SCHEMAS["quiz_results"])
+    logs = spark.createDataFrame([("l0", "s0", "c0", "video_watch", D("2024-01-15"), 30, 20, 1, True, False, False)], tables.SCHEMAS["activity_logs"])
+    job = curation.curate(students, ratings, enrollments, quizzes, logs)
+    summary = curation.curation_summary(job["ratings"], job["enrollments"], job["quizzes"], job["interactions"])
+    tables.write_cleaned(job, str(tmp_path / "cleaned"), summary)
+    back = tables.read_cleaned(spark, str(tmp_path / "cleaned"))
+    n = back["interactions"].count()
+    assert n == job["interactions"].count() and back["train"].count() + back["test"].count() <= n and back["test"].count() > 0
+    assert '"ratings":24' in one(spark.read.text(str(tmp_path / "cleaned" / "curation_summary")), "value")
+    publishing.publish(back, str(tmp_path / "data"))
+    store = tables.Store(spark, str(tmp_path / "data"))
+    assert {t: store[t].columns for t in ("students", "ratings", "enrollments", "quiz_results", "activity_logs")} == {t: [c.split()[0] for c in tables.SCHEMAS[t].split(", ")] for t in ("students", "ratings", "enrollments", "quiz_results", "activity_logs")}
+    assert store["students"].count() == 6 and store["activity_logs"].count() >= n and max(r["last_accessed"] for r in store["enrollments"].collect()) == D("2024-03-31")
+
+
+def test_lists_and_documents(spark):
+    events = spark.createDataFrame([("u", "b", D("2024-01-02")), ("u", "a", D("2024-01-03")), ("u", "b", D("2024-01-04")), ("v", "a", None)], "student_id string, course_id string, d date")
+    lists = lambda **x: {r["student_id"]: r["courses"] for r in serving.history_lists(events, ["d"], **x).collect()}
+    assert lists() == {"u": ["b", "a"], "v": ["a"]} and lists(distinct=False) == {"u": ["b", "a", "b"], "v": ["a"]}
+    recs = spark.createDataFrame([("u", "b", 2, 0.5), ("u", "a", 1, 0.75)], "student_id string, course_id string, rank int, score double")
+    assert one(serving.json_lists(recs, "student_id", "items", "rank", ["course_id", "score"]), "json") == '{"student_id":"u","items":[{"course_id":"a","score":0.75},{"course_id":"b","score":0.5}]}'
+    courses = spark.createDataFrame([("c", "A title that is longer than thirty characters", "Advanced", "x  y", 1234567)], "course_id string, title string, difficulty string, tags string, total_enrollments int")
+    r = serving.course_badges(courses).collect()[0]
+    assert (r["badge"], r["tags"], r["short_title"], r["enrollments"]) == ("danger", ["x", "y"], "A title that is longer than th...", "1,234,567")
+
+
+def test_chosen_option(spark):
+    q = spark.createDataFrame([("q1", "c", "t", "A", "one", "two", "three", "four", 2), ("q2", "c", "t", "D", "one", "two", "three", "four", 1)], "question_id string, course_id string, quiz_title string, correct_answer string, option_a string, option_b string, option_c string, option_d string, points int")
+    a = spark.createDataFrame([("x", "c", "t", "q1", "D")], "sitting string, course_id string, quiz_title string, question_id string, answer string")
+    out = {r["question_id"]: (r["answer"], r["given_text"], r["correct_text"]) for r in serving.quiz_review(q, a).collect()}
+    assert out == {"q1": ("D", "four", "one"), "q2": ("", None, "four")}
+
+
 def test_csv_quirks(spark, tmp_path):
     (tmp_path / "q.csv").write_text('question_id,course_id,quiz_title,question_number,question_text,option_a,option_b,option_c,option_d,correct_answer,difficulty,points\nQ1,C1,"a, b",1,"say ""hi""",w,x,y,z,A,None,x\n')
     (r,) = tables.read_csv(spark, str(tmp_path / "q.csv"), tables.SCHEMAS["quiz_questions"]).collect()
