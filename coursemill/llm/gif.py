@@ -76,26 +76,24 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     segments: list[list[int]] = []
     codes: list[int] = []
     table: dict[int, int] = {}
-    room = MOST_CODES - stop - 1
-    get, put = table.get, codes.append
+    put, free = codes.append, stop + 1
     if data:
         stream = iter(data)
         prefix = next(stream)
         for c in stream:
             key = prefix << 8 | c
-            found = get(key)
-            if found is not None:
-                prefix = found
+            if key in table:
+                prefix = table[key]
                 continue
             put(prefix)
             prefix = c
-            n = len(table)
-            if n < room:
-                table[key] = stop + 1 + n
+            if free < MOST_CODES:
+                table[key] = free
+                free += 1
             else:
                 segments.append(codes)
                 codes = []
-                put = codes.append
+                put, free = codes.append, stop + 1
                 table.clear()
         put(prefix)
     segments.append(codes)
@@ -157,16 +155,18 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
             add = table.append
             try:
                 previous = table[own[0]]
-                parts = [previous]
+                parts, size = [previous], len(table)
+                put = parts.append
                 for code in own[1 : MOST_CODES - stop]:
-                    if code < len(table):
+                    if code < size:
                         entry = table[code]
-                    elif code == len(table):
+                    elif code == size:
                         entry = previous + previous[:1]
                     else:
                         raise ValueError("bad LZW code")
                     add(previous + entry[:1])
-                    parts.append(entry)
+                    size += 1
+                    put(entry)
                     previous = entry
                 parts += [table[code] for code in own[MOST_CODES - stop :]]
             except IndexError:
@@ -204,6 +204,14 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
         raise ValueError("damaged GIF") from error
 
 
+def _opaque(colours: np.ndarray) -> np.ndarray:
+    """A palette of 256 opaque colours; what the file leaves out is black."""
+    out = np.zeros((256, 4), np.uint8)
+    out[: len(colours) // 3, :3] = colours.reshape(-1, 3)
+    out[:, 3] = 255
+    return out
+
+
 def _frames(data: bytes) -> Iterator[Frame]:
     if data[:3] != b"GIF" or len(data) < 13:
         raise ValueError("not a GIF")
@@ -217,8 +225,9 @@ def _frames(data: bytes) -> Iterator[Frame]:
         if not flags & 0x80:
             return None
         n = 2 << (flags & 7)
-        found = np.zeros((256, 3), np.uint8)
-        found[:n] = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
+        if at + 3 * n > len(data):
+            raise ValueError("damaged GIF")
+        found = _opaque(np.frombuffer(data, np.uint8, 3 * n, at))
         at += 3 * n
         return found
 
@@ -250,7 +259,7 @@ def _frames(data: bytes) -> Iterator[Frame]:
         left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at)
         at += 9
         own = palette(packed)
-        colours = own if own is not None else common if common is not None else np.frombuffer(GREYS, np.uint8).reshape(256, 3)
+        colours = own if own is not None else common if common is not None else _opaque(np.frombuffer(GREYS, np.uint8))
         bits = data[at]
         at += 1
         if not 1 <= bits <= 8 or w * h > MOST_PIXELS:
@@ -269,9 +278,12 @@ def _frames(data: bytes) -> Iterator[Frame]:
         before = canvas.copy() if disposal == 3 else None
         shown_h, shown_w = min(h, max(0, height - top)), min(w, max(0, width - left))
         area = canvas[top : top + shown_h, left : left + shown_w]
-        drawn = seen[:shown_h, :shown_w] if transparent is None else seen[:shown_h, :shown_w] & (indices[:shown_h, :shown_w] != transparent)
-        area[drawn, :3] = colours[indices[:shown_h, :shown_w][drawn]]
-        area[drawn, 3] = 255
+        shown = indices[:shown_h, :shown_w]
+        if transparent is None and len(stored) == w * h:
+            area[:] = colours[shown]
+        else:
+            drawn = seen[:shown_h, :shown_w] & (transparent is None or shown != transparent)
+            area[drawn] = colours[shown[drawn]]
         yield Frame(canvas.copy(), indices, clock, delay)
         clock += delay
         if disposal == 2:
@@ -289,8 +301,9 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
     """How many visible pixels fall into each of the bins of red, green and blue."""
-    shown = canvas[canvas[..., 3] > 0]
-    return np.stack([np.bincount(shown[:, c] // (256 // BINS), minlength=BINS) for c in range(3)])
+    flat = canvas.reshape(-1, 4)
+    shown = flat if flat[:, 3].all() else flat[flat[:, 3] > 0]
+    return np.stack([np.bincount(shown[:, c], minlength=256).reshape(BINS, -1).sum(1) for c in range(3)])
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -365,7 +378,7 @@ def media_digests(media: DataFrame) -> DataFrame:
                 size += len(part)
                 tail = (tail + part)[-WIDTH:]
                 shown = f.canvas[: len(f.indices), :, 0]  # grey: red is the level
-                levels += np.bincount(shown.ravel() // (256 // BINS), minlength=BINS)
+                levels += np.bincount(shown.ravel(), minlength=256).reshape(BINS, -1).sum(1)
                 frames.append(_described(f))
                 shape = f.canvas.shape
         except ValueError:
