@@ -28,6 +28,7 @@ from coursemill.session import ship, stash
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3.0
+SEED = 20240229
 
 
 def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES) -> dict[str | None, float]:
@@ -53,7 +54,7 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WE
 def source_offset(source: str | None, seed: int) -> float:
     """The source's one random offset in [0, 1)."""
     name = "null" if source is None else "s" + source
-    return int.from_bytes(hashlib.blake2b(f"{seed}:{name}".encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big") / 2.0**48
+    return int(hashlib.md5(f"{seed}:{name}".encode("utf-8", "surrogatepass")).hexdigest()[:12], 16) / 2.0**48
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +76,7 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(rank.astype(np.int64))], names=[*batch.schema.names, "part", "rank"])
 
 
-def mix(docs: DataFrame, carry: list[str], weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, seed: int = 20240229) -> DataFrame:
+def mix(docs: DataFrame, carry: list[str], weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """Every document with the number of copies that the mix takes of it.
 
     Returns row (a struct of the columns named in ``carry``), size, source_size (long), target
@@ -124,3 +125,18 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs`` alone, whatever their names. An empty table gives no rows."""
     out = mix(docs, docs.columns, **params)
     return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
+
+
+# Targets by one level for all: a source takes its weight times the level, or three times its size if that is less.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+r AS (SELECT *, 3 * source_size / w AS ratio FROM s),
+p AS (SELECT *, row_number() OVER (ORDER BY ratio, source) AS k, (SELECT sum(source_size) FROM s) - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_, sum(w) OVER (ORDER BY ratio, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_ FROM r),
+level AS (SELECT arg_min(left_ / open_, k) FILTER (left_ / open_ <= ratio) AS level FROM p),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL OR 3 * source_size < level * w THEN 3.0::DOUBLE * source_size ELSE level * w END AS target,
+  ('0x' || substr(md5('{SEED}:' || CASE WHEN source IS NULL THEN 'null' ELSE 's' || source END), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS shift FROM s, level),
+k AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.shift, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS i FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, (floor(rate * (i + 1) + shift) - floor(rate * i + shift))::INTEGER AS copies FROM k)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
+"""

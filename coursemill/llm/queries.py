@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_one_bit_codes": rabitq.ORACLE, "op7_line_runs": line_dedup.ORACLE}
+    return {"op2_one_bit_codes": rabitq.ORACLE, "op3_systematic_mix": mixing.ORACLE, "op7_line_runs": line_dedup.ORACLE, "op8_jaccard_join": jaccard.ORACLE}
