@@ -12,7 +12,8 @@ def numbered(df: DataFrame, name: str, order: list[Column | str]) -> DataFrame:
     """``df`` with the numbers 1, 2, ... in a stated order in column ``name``.
 
     Rows are dealt by ranges of the order and each range is sorted where it is; only the counts of
-    the ranges, one row for each task, are summed up in one place.
+    the ranges, one row for each task, are summed up in one place. ``df`` is computed twice, to draw
+    the ranges and to deal the rows, so it should be cheap to read.
     """
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     rows = stash(rows, "numbered")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coursemill.functions.expressions import half_even, stable_fraction
 from coursemill.operators.numbering import numbered
+from coursemill.session import stash
 from coursemill.sources.tables import SCHEMAS, write_csv
 
 JITTER = 0.15
@@ -28,6 +29,7 @@ def dense_activity_logs(interactions: DataFrame) -> DataFrame:
     pair = [F.col("student_id"), F.col("course_id")]
     minutes = F.when(F.col("total_time_spent") > 0, F.col("total_time_spent").cast("double")).otherwise(20 + 80 * stable_fraction(*pair, "time"))
     base = interactions.filter(start.isNotNull()).select(*pair, "signal_tier", "has_quiz", "recommend_event_date", start.alias("start"), F.datediff(end, start).alias("span"), target.alias("target"), count.alias("n"), minutes.alias("minutes"))
+    base = stash(base, "dense")  # the ranges are drawn from a first look at the rows
     i, n = F.col("i"), F.col("n")
 
     def day_offset(k):
