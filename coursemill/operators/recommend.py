@@ -8,7 +8,7 @@ run side by side in one plan.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ PLACES = 6
 CONTENT_FIELDS = ["title", "category", "subcategory", "description", "tags", "difficulty"]
 #: A catalogue of up to so many courses is sent to the tasks of item neighbours as a matrix; a larger one is joined.
 MOST_COURSES = 1_000
+#: Pairs of courses that are kept as tables in the tasks of user neighbours.
+MOST_CELLS = 2_000_000
 #: Students of a block in the search for similar ones.
 STUDENT_BLOCK = 2_048
 DETAILS = ["course_id", "title", "category", "difficulty", "duration_hours", "rating"]
@@ -73,15 +75,61 @@ def similar_courses(sims: DataFrame, n: int = 10) -> DataFrame:
     return ranked.filter("rank > 1").withColumn("rank", F.col("rank") - 1)
 
 
-def content_scores(history: DataFrame, sims: DataFrame, courses: DataFrame, by: tuple[str, ...] = (), least: int = 20) -> DataFrame:
+def content_scores(history: DataFrame, sims: DataFrame, courses: DataFrame, by: tuple[str, ...] = (), least: int = 20, most_courses: int = MOST_COURSES) -> DataFrame:
     """(student_id, course_id, score): similarity summed over the student's history, for courses outside it.
 
-    Courses like none of the history score 0. They can only matter where fewer than ``least`` others
-    score more, so only such students get rows for them; ``least`` is the longest list that is taken
-    from the scores. A student none of whose courses is in the catalogue has no rows. sims: stashed.
+    With a catalogue of up to ``most_courses`` all of them: a task scores its students from the matrix
+    of similarities. In a larger one, courses like none of the history, which score 0, have rows only
+    for students with fewer than ``least`` others that score more; ``least`` is the longest list that
+    is taken from the scores. A student none of whose courses is in the catalogue has no rows. sims: stashed.
     """
     keys = [*by, "student_id"]
     history = history.select(*keys, "course_id").distinct()
+    names = _names(courses, most_courses)
+    if names is None:
+        return _content_scores_by_joins(history, sims, courses, keys, least)
+    place = {c: k for k, c in enumerate(names)}
+    table = np.zeros((len(names), len(names)))
+    for r in sims.collect():  # at most most_courses squared rows
+        if r["a"] in place and r["b"] in place:
+            table[place[r["a"]], place[r["b"]]] = r["sim"]
+    own = history.join(F.broadcast(courses.select("course_id").distinct()), "course_id", "left_semi")  # at most most_courses rows
+    rows = own.groupBy(*keys).agg(F.collect_list(F.struct("course_id", F.lit(1.0).alias("r"))).alias("cells"))
+    scored = _scored_rows(rows, keys, names, {(): (table,)}, (), lambda r, tables: (r @ tables[0], r == 0))
+    return scored.withColumn("score", F.round("score", PLACES))
+
+
+def _names(courses: DataFrame, most: int) -> list[str] | None:
+    """The ids of a catalogue in order, or None if there are more than ``most``."""
+    found = sorted(r["course_id"] for r in courses.select("course_id").distinct().limit(most + 1).collect())
+    return found if len(found) <= most else None
+
+
+def _scored_rows(rows: DataFrame, keys: list[str], names: list[str], tables: dict[tuple, tuple[np.ndarray, ...]], by: tuple[str, ...], score: Callable) -> DataFrame:
+    """(keys, course_id, score) of rows (keys, cells): ``score`` gives for a matrix of students x courses, and the tables of their values of ``by``, the scores and which of them count."""
+    ship(rows.sparkSession)
+    model = rows.sparkSession.sparkContext.broadcast((names, {c: k for k, c in enumerate(names)}, tables))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, place, tables = model.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                groups: dict[tuple, list[int]] = {}
+                for k, value in enumerate(zip(*(part.column(c).to_pylist() for c in by), strict=True) if by else [()] * part.num_rows):
+                    groups.setdefault(value, []).append(k)
+                for value, members in groups.items():
+                    own = part.take(pa.array(members))
+                    scores, counts = score(_dense(own.column("cells").to_pylist(), place), tables[value])
+                    s, c = np.nonzero(counts)
+                    who = pa.array(s)
+                    yield pa.RecordBatch.from_arrays([*(own.column(x).take(who) for x in keys), pa.array(names).take(pa.array(c)), pa.array(scores[s, c])], names=[*keys, "course_id", "score"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", course_id string, score double"
+    return rows.select(*keys, "cells").mapInArrow(run, schema)
+
+
+def _content_scores_by_joins(history: DataFrame, sims: DataFrame, courses: DataFrame, keys: list[str], least: int) -> DataFrame:
     sims = small_side(sims.select("a", "b", "sim"))
     scored = history.join(sims, history["course_id"] == sims["a"]).groupBy(*keys, F.col("b").alias("course_id")).agg(F.round(F.sum("sim"), PLACES).alias("score"))
     scored = scored.join(history, [*keys, "course_id"], "left_anti")
@@ -126,9 +174,9 @@ def _dense(rows: list[list[dict]], place: dict[str, int]) -> np.ndarray:
     return out
 
 
-def rows_by_student(matrix: DataFrame) -> DataFrame:
+def rows_by_student(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(student_id, cells): a student's ratings as one row, at most the catalogue long."""
-    return matrix.groupBy("student_id").agg(F.collect_list(F.struct("course_id", "r")).alias("cells"))
+    return matrix.groupBy(*by, "student_id").agg(F.collect_list(F.struct("course_id", "r")).alias("cells"))
 
 
 def similar_users(matrix: DataFrame, n: int = 5, block: int = STUDENT_BLOCK) -> DataFrame:
@@ -173,12 +221,60 @@ def similar_users(matrix: DataFrame, n: int = 5, block: int = STUDENT_BLOCK) ->
     return ranked.filter("rank > 1").withColumn("rank", F.col("rank") - 1)
 
 
-def predicted_ratings(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def predicted_ratings(matrix: DataFrame, by: tuple[str, ...] = (), most_cells: int = MOST_CELLS) -> DataFrame:
     """(student_id, course_id, score) for every course that a similar student has rated: ratings weighted by similarity, over all raters, the student too.
 
     For ratings above 0. Their similarities aren't negative, so both sums over raters can be taken
     for pairs of courses first: the work grows with ratings x catalogue, not with pairs of students.
+    Every task sums the pairs of its students up before they are shuffled; with up to ``most_cells``
+    pairs (for all values of ``by``) a task then scores its students from their tables, beyond that
+    ratings are joined with them.
     """
+    keys = [*by, "student_id"]
+    names = _names(matrix, int(most_cells**0.5))
+    kinds = [tuple(r) for r in matrix.select(*by).distinct().collect()] if by and names is not None else [()]
+    if names is None or len(names) ** 2 * max(len(kinds), 1) > most_cells:
+        return _predicted_ratings_by_joins(matrix, by)
+    ship(matrix.sparkSession)
+    rows = stash(rows_by_student(matrix, by), "student-rows")
+    place = {c: k for k, c in enumerate(names)}
+    shared = matrix.sparkSession.sparkContext.broadcast((names, place))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, place = shared.value
+        totals: dict[tuple, np.ndarray] = {}
+        fields = None
+        for batch in batches:
+            fields = [batch.schema.field(c) for c in by]
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                values = list(zip(*(part.column(c).to_pylist() for c in by), strict=True)) if by else [()] * part.num_rows
+                for value in set(values):
+                    own = part.take(pa.array([k for k, v in enumerate(values) if v == value]))
+                    r = _dense(own.column("cells").to_pylist(), place)
+                    u = r / np.linalg.norm(r, axis=1)[:, None]
+                    made = np.stack((u.T @ r, u.T @ (r != 0)))
+                    totals[value] = totals[value] + made if value in totals else made
+        for value, (rated, weight) in totals.items():
+            a, b = np.nonzero(weight)
+            shown = [pa.array([v] * len(a), f.type) for v, f in zip(value, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([*shown, pa.array(names).take(pa.array(a)), pa.array(names).take(pa.array(b)), pa.array(rated[a, b]), pa.array(weight[a, b])], names=[*by, "common", "course_id", "rated", "weight"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*by).schema) + "common string, course_id string, rated double, weight double"
+    pairs = rows.mapInArrow(sums, schema).groupBy(*by, "common", "course_id").agg(F.sum("rated").alias("rated"), F.sum("weight").alias("weight"))
+    tables = {kind: np.zeros((2, len(names), len(names))) for kind in kinds}
+    for r in pairs.collect():  # at most most_cells rows
+        tables[tuple(r[c] for c in by)][:, place[r["common"]], place[r["course_id"]]] = r["rated"], r["weight"]
+
+    def score(r: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = r / np.linalg.norm(r, axis=1)[:, None]
+        weight = u @ own[1]
+        return (u @ own[0]) / np.where(weight > 0, weight, 1), weight > 0
+
+    return _scored_rows(rows, keys, names, tables, by, score).withColumn("score", F.round("score", PLACES))
+
+
+def _predicted_ratings_by_joins(matrix: DataFrame, by: tuple[str, ...]) -> DataFrame:
     norms = matrix.groupBy(*by, "student_id").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
     unit = matrix.join(norms, [*by, "student_id"]).select(*by, "student_id", "course_id", "r", (F.col("r") / F.col("norm")).alias("u"))
     shared = unit.select(*by, "student_id", F.col("course_id").alias("common"), "u").join(matrix, [*by, "student_id"])

@@ -337,7 +337,7 @@ def _evaluation() -> dict[str, str]:
         "holdout_split": with_tables("SELECT fold, rating_id, student_id, is_test FROM split_", *src, more=folded(FOLDS)),
         "metrics_at_k_skipping": with_tables("SELECT * FROM result", *src, more=f"{folded(1)}, {three}, {metrics('recs', 'model, fold')}"),
         "metrics_at_k_with_zeros": with_tables("SELECT * FROM result", *src, more=f"{folded(1)}, {three}, {metrics('recs', 'model, fold', skip=False)}"),
-        "repeated_holdout_summary": with_tables("SELECT model, count(*) AS folds, " + ", ".join(f"round(avg({n}), 6) AS {n}_mean, round(stddev_pop({n}), 6) AS {n}_std" for n in names) + " FROM result GROUP BY model", *src, more=f"{folded(FOLDS)}, {three}, {metrics('recs', 'model, fold')}"),
+        "repeated_holdout_summary": with_tables("SELECT model, count(*) AS folds, " + ", ".join(f"floor(sum(round({n} * 1000000)::BIGINT)::DOUBLE / count({n}) + 0.5) / 1000000.0::DOUBLE AS {n}_mean, round(stddev_pop({n}), 6) AS {n}_std" for n in names) + " FROM result GROUP BY model", *src, more=f"{folded(FOLDS)}, {three}, {metrics('recs', 'model, fold')}"),
         "rmse_mae": with_tables("SELECT t.fold, count(*) AS predictions, round(sqrt(avg((score - rating) * (score - rating))), 6) AS rmse, round(avg(abs(score - rating)), 6) AS mae FROM split_ t JOIN pred p ON t.fold = p.fold AND t.student_id = p.student_id AND t.course_id = p.course_id WHERE is_test AND score > 0 AND (t.fold, t.student_id) IN (SELECT (fold, student_id) FROM split_ WHERE is_test AND rating >= 4) AND (t.fold, t.student_id) IN (SELECT (fold, student_id) FROM cf) GROUP BY ALL", *src, more=folded(FOLDS)),
         "history_lists": with_tables("SELECT student_id, string_agg(course_id, ',' ORDER BY d, course_id) AS courses FROM (SELECT student_id, course_id, min(quiz_date) AS d FROM quiz GROUP BY ALL) GROUP BY ALL", "quiz"),
         "full_history_lists": with_tables("SELECT student_id, string_agg(course_id, ',' ORDER BY quiz_date, quiz_id) AS courses FROM quiz GROUP BY ALL", "quiz"),

@@ -11,6 +11,7 @@ from coursemill.functions import expressions as ex
 from coursemill.operators import curation, etl, evaluation, features, ml, publishing, serving
 from coursemill.operators import recommend as rec
 from coursemill.operators.numbering import numbered
+from coursemill.session import stash
 from coursemill.sources import tables
 
 D = date.fromisoformat
@@ -175,7 +176,9 @@ def cells(spark):
     return {(f"s{i:02d}", f"c{j:02d}"): float(rng.randrange(1, 6)) for i in range(30) for j in range(14) if rng.random() < 0.3}
 
 
-def test_predictions_equal_plain_loops(spark, cells):
+@pytest.mark.parametrize("most_cells", [2_000_000, 3])
+def test_predictions_equal_plain_loops(spark, cells, most_cells):
+    """By tables in the tasks and, for large catalogues, by joins."""
     m = spark.createDataFrame([(*k, r) for k, r in cells.items()], "student_id string, course_id string, r double")
     sims = cosines(cells, 0)
     want = {}
@@ -184,7 +187,10 @@ def test_predictions_equal_plain_loops(spark, cells):
             raters = [(sims[i, x], r) for (x, c), r in cells.items() if c == j and (i, x) in sims]
             if raters:
                 want[i, j] = sum(s * r for s, r in raters) / sum(s for s, _ in raters)
-    found = {(r["student_id"], r["course_id"]): r["score"] for r in rec.predicted_ratings(m).collect()}
+    found = {(r["student_id"], r["course_id"]): r["score"] for r in rec.predicted_ratings(m, most_cells=most_cells).collect()}
+    folds = m.withColumn("fold", F.lit(0)).unionByName(m.filter("course_id < 'c07'").withColumn("fold", F.lit(1)))
+    by_fold = rec.predicted_ratings(folds, ("fold",), most_cells=most_cells)
+    assert {(r["student_id"], r["course_id"]): r["score"] for r in by_fold.filter("fold = 0").collect()} == found
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 2e-6 for k in want)
     assert not {(r["student_id"], r["course_id"]) for r in rec.user_cf_scores(m).collect()} & cells.keys()
 
@@ -257,6 +263,9 @@ def test_content_path_and_rules(spark):
     assert [(r["student_id"], r["course_id"]) for r in path.orderBy("student_id", "path_order").collect()] == [("n", "d"), ("n", "a"), ("u", "d"), ("u", "b")]
     everything = courses.select(F.lit("u").alias("student_id"), "course_id")
     assert rec.content_scores(everything, sims, courses).count() == 0
+    rows = lambda df: sorted((r["student_id"], r["course_id"], r["score"]) for r in df.collect())
+    more = spark.createDataFrame([("u", "a"), ("v", "b"), ("v", "c"), ("w", "gone")], "student_id string, course_id string")
+    assert rows(rec.content_scores(more, stash(sims, "sims"), courses)) == rows(rec.content_scores(more, stash(sims, "sims"), courses, most_courses=2))
 
 
 def test_metrics(spark):
