@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from coursemill.llm import cotraining, gif, jaccard, line_dedup, mixing, pieces, pseudonyms, rabitq, records, sharding
+from coursemill.llm import collocations, cotraining, fill_middle, gif, jaccard, line_dedup, mixing, neardup, pieces, pseudonyms, rabitq, records, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,15 +54,31 @@ def op10_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_feistel_pseudonyms, op2_one_bit_codes, op3_systematic_mix, op4_piece_codec, op5_binary_records,
             op6_gif_media, op7_line_runs, op8_jaccard_join, op9_cotrained_quality, op10_ring_shards,
+            op11_fill_middle, op12_near_vectors, op13_collocations,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_one_bit_codes": rabitq.ORACLE, "op3_systematic_mix": mixing.ORACLE, "op7_line_runs": line_dedup.ORACLE, "op8_jaccard_join": jaccard.ORACLE}
+    return {
+        "op2_one_bit_codes": rabitq.ORACLE, "op3_systematic_mix": mixing.ORACLE, "op7_line_runs": line_dedup.ORACLE, "op8_jaccard_join": jaccard.ORACLE,
+        "op11_fill_middle": fill_middle.ORACLE, "op12_near_vectors": neardup.ORACLE, "op13_collocations": collocations.ORACLE,
+    }
