@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from coursemill.llm import cotraining, jaccard, line_dedup, mixing, pieces
-from coursemill.session import release, release_since, stash, written_so_far
+from coursemill.session import own_writes, release, release_paths, stash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +47,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. What a stage has written on its way goes when its result is written, and that once the next stage's is."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
-        mark = written_so_far()
-        docs = stage(spark, docs, sf_dir)
+        with own_writes() as paths:
+            docs = stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = stash(docs, f"stage{k + 1}")
         if k + 1 < len(STAGES):
-            docs = stash(docs, f"stage{k + 1}")
-            release_since(mark, docs)
+            release_paths(spark, paths, docs)
             if before is not None:
                 release(before)
             before = docs

@@ -7,13 +7,17 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _fallback: dict[str, str] = {}
-_written: list[str] = []
+#: The lists of the runs that this thread is in, see own_writes().
+_runs: ContextVar[tuple[list[str], ...]] = ContextVar("runs", default=())
 
 
 def build_session(master: str = "local[8]", app: str = "coursemill", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -49,11 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/coursemill/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    _written.append(path)
+    remove_at_exit(spark, path)
+    for run in _runs.get():
+        run.append(path)
     return path
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -79,16 +88,39 @@ def release(*stashed: DataFrame) -> None:
         _remove(df.sparkSession, df.stash_path)
 
 
-def written_so_far() -> int:
-    """How many paths new_path() has given: a mark for release_since()."""
-    return len(_written)
+@contextmanager
+def own_writes() -> Iterator[list[str]]:
+    """The paths that this thread's new_path() gives inside; runs of other threads have lists of their own."""
+    paths: list[str] = []
+    mark = _runs.set((*_runs.get(), paths))
+    try:
+        yield paths
+    finally:
+        _runs.reset(mark)
 
 
-def release_since(mark: int, keep: DataFrame) -> None:
-    """Remove all that was written since the mark, but for ``keep``: for steps whose one result is written by stash()."""
-    for path in _written[mark:]:
+def release_paths(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
+    """Remove what a run has written, but for ``keep``, which stash() wrote."""
+    for path in paths:
         if path != keep.stash_path:
-            _remove(keep.sparkSession, path)
+            _remove(spark, path)
+
+
+class Bucketed:
+    """A frame written once to the shared folder as a table bucketed by a column, so that steps which group by the column read it without moving it."""
+
+    def __init__(self, df: DataFrame, label: str, by: str, buckets: int):
+        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, label)
+        self.name = f"coursemill_{label}_{uuid.uuid4().hex}"
+        df.write.option("path", self.path).option("compression", "zstd").bucketBy(buckets, by).format("parquet").saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        """Forget the table and remove its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        _remove(self.spark, self.path)
 
 
 #: A side of a join is broadcast up to so many narrow rows (some MB).
