@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
+from functools import cache
+from pathlib import Path
+
+import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,9 +57,9 @@ def spread_date(lower: Column, upper: Column, *parts: Column | str) -> Column:
     return F.date_add(low, half_even(stable_fraction(*parts) * F.datediff(high, low)))
 
 
-def tercile(x: Column, edges: Column) -> Column:
+def tercile(x: Column, low: Column, high: Column) -> Column:
     """Low, Medium, High by two edges; a value on an edge belongs below it."""
-    return F.when(x <= edges[0], "Low").when(x <= edges[1], "Medium").otherwise("High")
+    return F.when(x <= low, "Low").when(x <= high, "Medium").otherwise("High")
 
 
 def true_or_false(x: Column) -> Column:
@@ -61,6 +67,15 @@ def true_or_false(x: Column) -> Column:
     return F.coalesce(x, F.lit(False))
 
 
+@cache
+def english_stop_words() -> list[str]:
+    """The English stop words that Spark ML ships for its StopWordsRemover, read from its library, so that no session is needed."""
+    homes = [Path(pyspark.__file__).parent, *(Path(x) for x in [os.environ.get("SPARK_HOME")] if x)]
+    library = next(jar for home in homes for jar in home.glob("jars/spark-mllib_*.jar"))
+    with zipfile.ZipFile(library) as z:
+        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+
+
 def tokens(text: Column, stop_words: list[str]) -> Column:
     """Lower-case runs of at least two letters, digits or underscores, without stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coursemill.functions.expressions import clip, difficulty_level, experience_level, performance_tier, tercile
 from coursemill.operators.numbering import numbered
+from coursemill.operators.selection import quantiles
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -66,9 +67,8 @@ def dim_user(students: DataFrame) -> DataFrame:
 
 def dim_course(courses: DataFrame) -> DataFrame:
     """With popularity terciles by exact quantiles; equal edges are allowed."""
-    edges = courses.agg(F.percentile("total_enrollments", F.array(F.lit(1.0) / 3, F.lit(2.0) / 3)).alias("_edges"))
-    out = courses.crossJoin(F.broadcast(edges))  # one row
-    out = out.withColumns({"difficulty_level": difficulty_level(F.col("difficulty")), "popularity_tier": tercile(F.col("total_enrollments"), F.col("_edges"))}).drop("_edges")
+    low, high = (F.lit(x) for x in quantiles(courses, "total_enrollments", [1.0 / 3, 2.0 / 3]))
+    out = courses.withColumns({"difficulty_level": difficulty_level(F.col("difficulty")), "popularity_tier": tercile(F.col("total_enrollments"), low, high)})
     return surrogate_key(out, "course_key", ["course_id"])
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursemill.functions.expressions import difficulty_level, tokens
+from coursemill.operators.numbering import numbered
 from coursemill.session import ship, small_side, stash
 
 PLACES = 6
@@ -24,8 +25,6 @@ CONTENT_FIELDS = ["title", "category", "subcategory", "description", "tags", "di
 MOST_COURSES = 1_000
 #: Pairs of courses that are kept as tables in the tasks of user neighbours.
 MOST_CELLS = 2_000_000
-#: Students of a block in the search for similar ones.
-STUDENT_BLOCK = 2_048
 DETAILS = ["course_id", "title", "category", "difficulty", "duration_hours", "rating"]
 
 
@@ -78,10 +77,11 @@ def similar_courses(sims: DataFrame, n: int = 10) -> DataFrame:
 def content_scores(history: DataFrame, sims: DataFrame, courses: DataFrame, by: tuple[str, ...] = (), least: int = 20, most_courses: int = MOST_COURSES) -> DataFrame:
     """(student_id, course_id, score): similarity summed over the student's history, for courses outside it.
 
-    With a catalogue of up to ``most_courses`` all of them: a task scores its students from the matrix
-    of similarities. In a larger one, courses like none of the history, which score 0, have rows only
-    for students with fewer than ``least`` others that score more; ``least`` is the longest list that
-    is taken from the scores. A student none of whose courses is in the catalogue has no rows. sims: stashed.
+    All courses that score above 0; and for a student with fewer than ``least`` of these, so many of
+    the courses that score 0, the first by course_id, that there are ``least`` rows: the longest list
+    that is taken from the scores. A student none of whose courses is in the catalogue has no rows.
+    With a catalogue of up to ``most_courses`` a task scores its students from the matrix of
+    similarities, beyond that histories are joined with them; the rows are the same. sims: stashed.
     """
     keys = [*by, "student_id"]
     history = history.select(*keys, "course_id").distinct()
@@ -95,8 +95,24 @@ def content_scores(history: DataFrame, sims: DataFrame, courses: DataFrame, by:
             table[place[r["a"]], place[r["b"]]] = r["sim"]
     own = history.join(F.broadcast(courses.select("course_id").distinct()), "course_id", "left_semi")  # at most most_courses rows
     rows = own.groupBy(*keys).agg(F.collect_list(F.struct("course_id", F.lit(1.0).alias("r"))).alias("cells"))
-    scored = _scored_rows(rows, keys, names, {(): (table,)}, (), lambda r, tables: (r @ tables[0], r == 0))
-    return scored.withColumn("score", F.round("score", PLACES))
+
+    def score(r: np.ndarray, tables: tuple[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        scores = rounded(r @ tables[0])
+        some = (r == 0) & (scores > 0)
+        none = (r == 0) & ~some
+        return scores, some | first_columns(none, least - some.sum(1))
+
+    return _scored_rows(rows, keys, names, {(): (table,)}, (), score)
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To PLACES, halves up."""
+    return np.floor(x * 10**PLACES + 0.5) / 10**PLACES
+
+
+def first_columns(chosen: np.ndarray, n: np.ndarray | int) -> np.ndarray:
+    """Of what is chosen in each row, the first n columns."""
+    return chosen & (np.cumsum(chosen, axis=1) <= np.reshape(n, (-1, 1)))
 
 
 def _names(courses: DataFrame, most: int) -> list[str] | None:
@@ -129,15 +145,34 @@ def _scored_rows(rows: DataFrame, keys: list[str], names: list[str], tables: dic
     return rows.select(*keys, "cells").mapInArrow(run, schema)
 
 
+def in_order(listed: DataFrame, taken: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """(keys, course_id, ...): of a list that all share, each one's first courses that are not taken.
+
+    listed: course_id, pos (1, 2, ...) and what else is to be returned; taken: (keys, course_id); wanted:
+    (keys, n). Among the first n + t places there are n that t taken ones leave free, so a student's
+    places are looked for no further, and work goes with what is taken and wanted, not with the list.
+    """
+    listed = stash(listed, "list")
+    length = listed.count()
+    shared = small_side(listed)
+    places = taken.join(shared.select("course_id", "pos"), "course_id").groupBy(*keys).agg(F.collect_set("pos").alias("_taken"))
+    none = F.array().cast("array<bigint>")
+    own = wanted.filter("n > 0").join(places, keys, "left").withColumn("_taken", F.coalesce("_taken", none))
+    end = F.least(F.lit(length).cast("long"), F.col("n") + F.size("_taken"))
+    free = F.array_except(F.when(end > 0, F.sequence(F.lit(1).cast("long"), end)).otherwise(none), F.col("_taken"))
+    return own.select(*keys, F.explode(F.slice(free, 1, F.col("n").cast("int"))).alias("pos")).join(shared, "pos").drop("pos")
+
+
 def _content_scores_by_joins(history: DataFrame, sims: DataFrame, courses: DataFrame, keys: list[str], least: int) -> DataFrame:
+    listed = numbered(courses.select("course_id").distinct(), "pos", ["course_id"])
     sims = small_side(sims.select("a", "b", "sim"))
     scored = history.join(sims, history["course_id"] == sims["a"]).groupBy(*keys, F.col("b").alias("course_id")).agg(F.round(F.sum("sim"), PLACES).alias("score"))
-    scored = scored.join(history, [*keys, "course_id"], "left_anti")
+    scored = stash(scored.filter("score > 0").join(history, [*keys, "course_id"], "left_anti").select(*keys, "course_id", "score"), "content-scored")
     known = history.join(courses.select("course_id"), "course_id", "left_semi").select(*keys).distinct()
-    enough = scored.filter("score > 0").groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    few = known.join(enough, keys, "left_anti").crossJoin(courses.select("course_id"))  # few students x catalogue
-    rest = few.join(history, [*keys, "course_id"], "left_anti").join(scored, [*keys, "course_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return scored.select(*keys, "course_id", "score").unionByName(rest)
+    enough = scored.groupBy(*keys).agg(F.count("*").alias("_some"))
+    few = stash(known.join(enough, keys, "left").select(*keys, (F.lit(least) - F.coalesce("_some", F.lit(0))).alias("n")).filter("n > 0"), "content-few")
+    taken = history.unionByName(scored.drop("score")).join(few.select(*keys), keys, "left_semi")
+    return scored.unionByName(in_order(listed, taken, keys, few).select(*keys, "course_id", F.lit(0.0).alias("score")))
 
 
 # --- neighbours ---
@@ -179,48 +214,6 @@ def rows_by_student(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return matrix.groupBy(*by, "student_id").agg(F.collect_list(F.struct("course_id", "r")).alias("cells"))
 
 
-def similar_users(matrix: DataFrame, n: int = 5, block: int = STUDENT_BLOCK) -> DataFrame:
-    """Of every student, the students at ranks 2 to n + 1 by cosine: the top row goes by position, which is the student but for ties.
-
-    Students are cut into blocks; every pair of blocks is compared by one task, as a product of two
-    matrices, and gives n + 1 rows for a student at most.
-    """
-    ship(matrix.sparkSession)
-    rows = stash(rows_by_student(matrix), "student-rows")
-    blocks = max(1, -(-rows.count() // block))
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("student_id"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    # both sides come from one table, so columns get names of their own
-    left = placed.select(F.col("block").alias("x"), others.alias("y"), F.col("student_id").alias("who"), F.col("cells").alias("own"))
-    right = placed.select(others.alias("x"), F.col("block").alias("y"), F.col("student_id").alias("other"), F.col("cells").alias("theirs"))
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"student_id": pa.array([], pa.string()), "similar_id": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
-        own, theirs = left.column("own").to_pylist(), right.column("theirs").to_pylist()
-        names = sorted({c["course_id"] for cells in (*own, *theirs) for c in cells})
-        place = {c: k for k, c in enumerate(names)}
-        a, b = _dense(own, place), _dense(theirs, place)
-        sim = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1))
-        ids = np.array(right.column("other").to_pylist(), object)
-        tie = np.empty(len(ids), np.int64)
-        tie[np.argsort(ids, kind="stable")] = np.arange(len(ids))
-        found: tuple[list, list, list] = ([], [], [])
-        for who, row in zip(left.column("who").to_pylist(), sim, strict=True):
-            # by the rounded score, ties by id; what has nothing in common has no row
-            key = np.floor(row * 10**PLACES + 0.5) * len(ids) - tie
-            best = np.argpartition(-key, n)[: n + 1] if len(key) > n + 1 else np.arange(len(key))
-            for k in best[row[best] > 0].tolist():
-                found[0].append(who)
-                found[1].append(ids[k])
-                found[2].append(row[k])
-        return pa.table({"student_id": pa.array(found[0], pa.string()), "similar_id": pa.array(found[1], pa.string()), "sim": pa.array(found[2], pa.float64())})
-
-    near = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(compare, "student_id string, similar_id string, sim double")
-    ranked = top_n(near.select("student_id", "similar_id", F.round("sim", PLACES).alias("score")), ["student_id"], by_score(tie="similar_id"), n + 1)
-    return ranked.filter("rank > 1").withColumn("rank", F.col("rank") - 1)
-
-
 def predicted_ratings(matrix: DataFrame, by: tuple[str, ...] = (), most_cells: int = MOST_CELLS) -> DataFrame:
     """(student_id, course_id, score) for every course that a similar student has rated: ratings weighted by similarity, over all raters, the student too.
 
@@ -235,10 +228,28 @@ def predicted_ratings(matrix: DataFrame, by: tuple[str, ...] = (), most_cells: i
     kinds = [tuple(r) for r in matrix.select(*by).distinct().collect()] if by and names is not None else [()]
     if names is None or len(names) ** 2 * max(len(kinds), 1) > most_cells:
         return _predicted_ratings_by_joins(matrix, by)
-    ship(matrix.sparkSession)
     rows = stash(rows_by_student(matrix, by), "student-rows")
+
+    def score(r: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return weighted_means(r, own)
+
+    return _scored_rows(rows, keys, names, pair_tables(rows, names, kinds, by), by, score).withColumn("score", F.round("score", PLACES))
+
+
+def weighted_means(r: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions for students x courses from pair_tables(), and where there is one."""
+    norm = np.linalg.norm(r, axis=1)[:, None]
+    u = r / np.where(norm > 0, norm, 1)
+    weight = u @ tables[1]
+    return (u @ tables[0]) / np.where(weight > 0, weight, 1), weight > 0
+
+
+def pair_tables(rows: DataFrame, names: list[str], kinds: list[tuple], by: tuple[str, ...] = ()) -> dict[tuple, np.ndarray]:
+    """For each kind, which is a value of ``by``, over pairs (common, course) of names: the ratings of the course by those who rate both, weighted by their unit weights of the common one, and the sums of these weights."""
+    spark = rows.sparkSession
+    ship(spark)
     place = {c: k for k, c in enumerate(names)}
-    shared = matrix.sparkSession.sparkContext.broadcast((names, place))
+    shared = spark.sparkContext.broadcast((names, place))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, place = shared.value
@@ -265,13 +276,7 @@ def predicted_ratings(matrix: DataFrame, by: tuple[str, ...] = (), most_cells: i
     tables = {kind: np.zeros((2, len(names), len(names))) for kind in kinds}
     for r in pairs.collect():  # at most most_cells rows
         tables[tuple(r[c] for c in by)][:, place[r["common"]], place[r["course_id"]]] = r["rated"], r["weight"]
-
-    def score(r: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u = r / np.linalg.norm(r, axis=1)[:, None]
-        weight = u @ own[1]
-        return (u @ own[0]) / np.where(weight > 0, weight, 1), weight > 0
-
-    return _scored_rows(rows, keys, names, tables, by, score).withColumn("score", F.round("score", PLACES))
+    return tables
 
 
 def _predicted_ratings_by_joins(matrix: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -284,66 +289,94 @@ def _predicted_ratings_by_joins(matrix: DataFrame, by: tuple[str, ...]) -> DataF
     return out.select(*by, "student_id", "course_id", F.round("score", PLACES).alias("score"))
 
 
-def user_cf_scores(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def user_cf_scores(matrix: DataFrame, by: tuple[str, ...] = (), most_cells: int = MOST_CELLS) -> DataFrame:
     """Predictions above 0 for courses that the student has not rated."""
-    return predicted_ratings(matrix, by).filter("score > 0").join(matrix, [*by, "student_id", "course_id"], "left_anti")
+    return predicted_ratings(matrix, by, most_cells).filter("score > 0").join(matrix, [*by, "student_id", "course_id"], "left_anti")
 
 
-def item_cf_scores(matrix: DataFrame, students: DataFrame | None = None, neighbours: int = 20, most_courses: int = MOST_COURSES, rated_too: bool = False) -> DataFrame:
+def item_cf_scores(matrix: DataFrame, students: DataFrame | None = None, neighbours: int = 20, most_courses: int = MOST_COURSES, rated_too: bool = False, least: int = 20) -> DataFrame:
     """Item neighbours: the mean of the student's ratings of the 20 most similar courses, weighted by similarity; else the course's mean rating.
 
-    For all courses that the student has not rated, or with ``rated_too`` for all: students x
-    catalogue, as each is scored. With a
-    catalogue of up to ``most_courses`` a task scores its students from the matrix of similarities;
-    beyond that ratings are joined with similarities. students: only these; all by default.
+    For the courses that the student has not rated, or with ``rated_too`` for all. Those without a
+    similar course that the student has rated are only there as far as they can be in a list of the
+    ``least`` best: the first ``least`` of them in the order of their means, which all students share.
+    With a catalogue of up to ``most_courses`` a task scores its students from the matrix of
+    similarities; beyond that ratings are joined with similarities; the rows are the same. students:
+    only these; all by default.
     """
-    means = stash(matrix.groupBy("course_id").agg(F.avg("r").alias("mean")), "means")
-    sims = similarity(matrix, "course_id", "student_id").filter("a <> b AND sim > 0").withColumn("sim", F.round("sim", 9))
+    means = stash(matrix.groupBy("course_id").agg(F.avg("r").alias("mean")).select("course_id", F.round("mean", PLACES).alias("mean")), "means")
+    sims = item_similarity(matrix)
     own = matrix if students is None else matrix.join(students.select("student_id").distinct(), "student_id", "left_semi")
     if means.count() > most_courses:
-        return _item_scores_by_joins(own, means, sims, neighbours, rated_too)
+        return _item_scores_by_joins(own, means, sims, neighbours, rated_too, least)
     ship(matrix.sparkSession)
     mean = {r["course_id"]: r["mean"] for r in means.collect()}  # at most most_courses rows
     names = sorted(mean)
     place = {c: k for k, c in enumerate(names)}
-    near: list[list[tuple[float, int]]] = [[] for _ in names]
-    for r in sims.collect():  # at most most_courses squared rows
-        near[place[r["a"]]].append((-r["sim"], place[r["b"]]))
-    order = [(np.array([k for _, k in sorted(x)], np.int64), np.array([-s for s, _ in sorted(x)])) for x in near]
-    model = matrix.sparkSession.sparkContext.broadcast((names, place, [mean[c] for c in names], order))
+    order = neighbour_order(sims, place)
+    means_first = np.array(sorted(range(len(names)), key=lambda k: (-mean[names[k]], k)), np.int64)
+    model = matrix.sparkSession.sparkContext.broadcast((names, place, np.array([mean[c] for c in names]), order, means_first))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, place, mean, order = model.value
+        names, place, mean, order, means_first = model.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 ids, cells = batch.slice(at, 1024).columns
                 r = _dense(cells.to_pylist(), place)
-                out = np.zeros_like(r)
-                for c, (who, sim) in enumerate(order):
-                    first = (r[:, who] != 0) & (np.cumsum(r[:, who] != 0, axis=1) <= neighbours)
-                    weight = (first * sim).sum(1)
-                    out[:, c] = np.where(weight > 0, (first * sim * r[:, who]).sum(1) / np.where(weight > 0, weight, 1), mean[c])
-                s, c = np.nonzero((r == 0) | rated_too)
+                out, weight = neighbour_means(r, order, neighbours)
+                scored = weight > 0
+                asked = (r == 0) | rated_too
+                others = np.zeros_like(scored)
+                others[:, means_first] = first_columns((asked & ~scored & (mean > 0))[:, means_first], least)
+                out = np.where(scored, rounded(out), mean)
+                s, c = np.nonzero(asked & scored & (out > 0) | others)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(s)), pa.array(names).take(pa.array(c)), pa.array(out[s, c])], names=["student_id", "course_id", "score"])
 
-    scored = rows_by_student(own).mapInArrow(score, "student_id string, course_id string, score double")
-    return scored.withColumn("score", F.round("score", PLACES)).filter("score > 0")
+    return rows_by_student(own).mapInArrow(score, "student_id string, course_id string, score double")
 
 
-def _item_scores_by_joins(own: DataFrame, means: DataFrame, sims: DataFrame, neighbours: int, rated_too: bool) -> DataFrame:
-    candidates = own.select("student_id").distinct().crossJoin(means)  # students x catalogue
-    if not rated_too:
-        candidates = candidates.join(own, ["student_id", "course_id"], "left_anti")
+def item_similarity(matrix: DataFrame) -> DataFrame:
+    """(a, b, sim) of different courses that are alike, to nine places."""
+    return similarity(matrix, "course_id", "student_id").filter("a <> b AND sim > 0").withColumn("sim", F.round("sim", 9))
+
+
+def neighbour_order(sims: DataFrame, place: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every course of ``place`` the places of the courses like it and their similarities, the most similar first."""
+    near: list[list[tuple[float, int]]] = [[] for _ in place]
+    for r in sims.collect():  # at most the catalogue squared
+        near[place[r["a"]]].append((-r["sim"], place[r["b"]]))
+    return [(np.array([k for _, k in sorted(x)], np.int64), np.array([-s for s, _ in sorted(x)])) for x in near]
+
+
+def neighbour_means(r: np.ndarray, order: list[tuple[np.ndarray, np.ndarray]], neighbours: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, weight) for students x courses: each one's ratings of a course's most similar ones, weighted by similarity. order: for every course the others and their similarities, the most similar first."""
+    out, total = np.zeros_like(r), np.zeros_like(r)
+    for c, (who, sim) in enumerate(order):
+        first = first_columns(r[:, who] != 0, neighbours)
+        total[:, c] = weight = (first * sim).sum(1)
+        out[:, c] = (first * sim * r[:, who]).sum(1) / np.where(weight > 0, weight, 1)
+    return out, total
+
+
+def _item_scores_by_joins(own: DataFrame, means: DataFrame, sims: DataFrame, neighbours: int, rated_too: bool, least: int) -> DataFrame:
+    """Only what a student's own ratings lead to is made for the student; the list of means is merged in by in_order()."""
     near = own.withColumnRenamed("course_id", "seen").join(sims, F.col("seen") == sims["b"]).select("student_id", F.col("a").alias("course_id"), "seen", "sim", "r")
+    if not rated_too:
+        near = near.join(own.select("student_id", "course_id"), ["student_id", "course_id"], "left_anti")
     near = top_n(near, ["student_id", "course_id"], by_score("sim", "seen"), neighbours)
-    scored = near.groupBy("student_id", "course_id").agg((F.sum(F.col("sim") * F.col("r")) / F.sum("sim")).alias("score"))
-    out = candidates.join(scored, ["student_id", "course_id"], "left")
-    return out.select("student_id", "course_id", F.round(F.coalesce("score", "mean"), PLACES).alias("score")).filter("score > 0")
+    scored = near.groupBy("student_id", "course_id").agg(F.round(F.sum(F.col("sim") * F.col("r")) / F.sum("sim"), PLACES).alias("score"))
+    scored = stash(scored, "item-scored")
+    listed = numbered(means.filter("mean > 0").select("course_id", F.col("mean").alias("score")), "pos", [F.desc("score"), F.col("course_id")])
+    taken = scored.select("student_id", "course_id")
+    taken = taken if rated_too else taken.unionByName(own.select("student_id", "course_id"))
+    wanted = own.select("student_id").distinct().withColumn("n", F.lit(least))
+    others = in_order(listed, taken, ["student_id"], wanted).select("student_id", "course_id", "score")
+    return scored.filter("score > 0").unionByName(others)
 
 
 def predicted_item_ratings(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
-    """``pairs`` with score: by item neighbours; for a student that the matrix lacks the course's mean; 0 for a course that it lacks."""
-    scores = item_cf_scores(matrix, pairs, rated_too=True)
+    """``pairs`` with score: by item neighbours; for a course unlike all that the student has rated, or a student that the matrix lacks, the course's mean; 0 for a course that it lacks."""
+    scores = item_cf_scores(matrix, pairs, rated_too=True, least=0)
     means = matrix.groupBy("course_id").agg(F.round(F.avg("r"), PLACES).alias("mean"))
     out = pairs.join(scores, ["student_id", "course_id"], "left").join(means, "course_id", "left")
     return out.withColumn("score", F.coalesce("score", "mean", F.lit(0.0))).drop("mean")

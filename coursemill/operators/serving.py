@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursemill.functions.expressions import true_or_false
+from coursemill.operators.numbering import numbered
 
 PASS_MARK = 60
 PAIR = ["student_id", "course_id"]
@@ -137,6 +138,25 @@ def bands(quizzes: DataFrame) -> DataFrame:
     return quizzes.select("quiz_id", F.when(s >= 80, "success").when(s >= 60, "warning").otherwise("danger").alias("band"), F.format_string("%.1f", s).alias("shown"), F.concat(F.substring("course_id", 1, 5), F.lit("...")).alias("short_id"), label.alias("label"))
 
 
+def course_details(courses: DataFrame, modules: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Every course with its modules' titles in order (a short list), and number and mean of its ratings; 0 and null without."""
+    listed = modules.groupBy("course_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("order_no", "module_id", "module_title"))), lambda x: x["module_title"]).alias("modules"))
+    rated = ratings.groupBy("course_id").agg(F.count("*").alias("ratings"), F.avg("rating").alias("mean_rating"))
+    out = courses.join(listed, "course_id", "left").join(rated, "course_id", "left")
+    return out.withColumns({"modules": F.coalesce("modules", F.array().cast("array<string>")), "ratings": F.coalesce("ratings", F.lit(0))})
+
+
+def previews(tables: dict[str, tuple[DataFrame, str, int | None]]) -> DataFrame:
+    """(table, position, id) of the first rows of each table in the order of its id; None: all of them. Spark keeps the first n of each task only."""
+    out = None
+    for name, (df, key, n) in tables.items():
+        own = df.select(F.col(key).alias("id"))
+        own = own.orderBy("id").limit(n) if n is not None else own
+        own = numbered(own, "position", ["id"]).select(F.lit(name).alias("table"), "position", "id")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 # --- mutations ---
 
 

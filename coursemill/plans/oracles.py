@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursemill.plans.queries import CATEGORY, FOLDS, STOP_WORDS
+from coursemill.plans.queries import ACTOR, CATEGORY, CHOSEN_COURSE, CHOSEN_MODULE, FOLDS, STOP_WORDS, TODAY
 from coursemill.sources.adapter import with_tables
 
 _CLIP = "CASE WHEN {0} IS NULL THEN NULL ELSE greatest({1}, least({2}, {0})) END"
@@ -236,7 +236,7 @@ SEEN = "seen AS (SELECT student_id, course_id FROM activity UNION SELECT student
 
 
 def vectors(fields: list[str], bigrams: bool = True, features: int = 5000) -> str:
-    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
     pairs = "UNION ALL SELECT x.id, x.tok || ' ' || y.tok FROM toks x JOIN toks y ON x.id = y.id AND y.pos = x.pos + 1" if bigrams else ""
     return f"""words AS (SELECT course_id AS id, list_filter(regexp_extract_all(lower({" || ' ' || ".join(fields)}), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda t: t NOT IN ({stop})) AS w FROM course),
 toks AS (SELECT id, w[pos] AS tok, pos FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS pos FROM words)),
@@ -273,6 +273,9 @@ def _recommend() -> dict[str, str]:
     pick = "SELECT student_id, course_id, score, rank::INTEGER AS rank FROM ({})"
     return {
         "cf_user_topn": with_tables(pick.format(top("cf", 10)), "rating", more=f"{MATRIX}, {CF}"),
+        "cf_user_topn_joined": with_tables(pick.format(top("cf", 10)), "rating", more=f"{MATRIX}, {CF}"),
+        "cf_item_topn_joined": with_tables(pick.format(top("(SELECT * FROM icf WHERE score > 0)", 10)), "rating", more=f"{MATRIX}, {ITEM}"),
+        "content_user_topn_joined": with_tables(pick.format(top("content", 10)), *src, more=f"{SEEN}, {SIMS}, {CONTENT}"),
         "cf_item_topn": with_tables(pick.format(top("(SELECT * FROM icf WHERE score > 0)", 10)), "rating", more=f"{MATRIX}, {ITEM}"),
         "similar_users": with_tables("SELECT a AS student_id, b AS similar_id, score, (k - 1)::INTEGER AS rank FROM (SELECT a, b, round(sim, 6) AS score, row_number() OVER (PARTITION BY a ORDER BY round(sim, 6) DESC, b) AS k FROM usim) WHERE k BETWEEN 2 AND 6", "rating", more=f"{MATRIX}, {CF}"),
         "item_ratings": with_tables(
@@ -349,7 +352,11 @@ TRAIN = """train0 AS (SELECT student_id, course_id, avg(rating) AS m FROM rating
 train AS (SELECT student_id, course_id, (m - 1) / 4 AS preference_score, coalesce(enrollment_progress, 0) AS enrollment_progress, coalesce(avg_quiz_score, 0) AS avg_quiz_score, m >= 4 AS positive_label FROM train0
   LEFT JOIN (SELECT student_id, course_id, avg(score_percentage) AS avg_quiz_score FROM quiz GROUP BY ALL) USING (student_id, course_id) LEFT JOIN (SELECT student_id, course_id, max(progress_percentage) AS enrollment_progress FROM enrollment GROUP BY ALL) USING (student_id, course_id))"""
 NEGATIVES = """liked AS (SELECT * FROM train WHERE preference_score > 0), quota AS (SELECT student_id, 2 * greatest(1, count(*) FILTER (positive_label)) AS q FROM liked GROUP BY ALL),
-neg AS (SELECT student_id, course_id FROM (SELECT student_id, course_id, q, row_number() OVER (PARTITION BY student_id ORDER BY md5(student_id || '|' || course_id || '|42')) AS k FROM quota CROSS JOIN course WHERE (student_id, course_id) NOT IN (SELECT (student_id, course_id) FROM liked)) WHERE k <= q)"""
+catalogue AS (SELECT course_id, row_number() OVER (ORDER BY course_id) - 1 AS pos FROM course),
+prime AS (SELECT min(x) AS p FROM (SELECT unnest(range(greatest(n, 2), 2 * n + 3)) AS x FROM (SELECT count(*) AS n FROM course)) WHERE len(list_filter(range(2, floor(sqrt(x))::BIGINT + 1), lambda d: x % d = 0)) = 0),
+walks AS (SELECT student_id, q, p, ('0x' || substr(md5(student_id || '|42|start'), 1, 12))::BIGINT % p AS s, 1 + ('0x' || substr(md5(student_id || '|42|step'), 1, 12))::BIGINT % (p - 1) AS t FROM quota, prime),
+places AS (SELECT student_id, q, j, (s + j * t) % p AS pos FROM (SELECT *, unnest(range(0, p)) AS j FROM walks)),
+neg AS (SELECT student_id, course_id FROM (SELECT student_id, course_id, q, row_number() OVER (PARTITION BY student_id ORDER BY j) AS k FROM places JOIN catalogue USING (pos) WHERE (student_id, course_id) NOT IN (SELECT (student_id, course_id) FROM liked)) WHERE k <= q)"""
 HYBRID_X = f"""matrix AS (SELECT student_id, course_id, least(greatest(1 + 4 * preference_score, 1), 5) AS r FROM liked), {CF}, {ITEM}, {SIMS},
 obs AS (SELECT l.*, c.category, {LEVEL} AS level FROM liked l JOIN course c USING (course_id)),
 pop AS (SELECT course_id, avg(positive_label::INTEGER) AS rate FROM obs GROUP BY ALL)"""
@@ -401,6 +408,69 @@ REVIEW = """review AS (SELECT z.quiz_id AS sitting, z.course_id, z.quiz_title, q
   CASE correct_answer WHEN 'A' THEN option_a WHEN 'B' THEN option_b WHEN 'C' THEN option_c ELSE option_d END AS correct_text FROM quiz z JOIN question USING (course_id))"""
 
 
+_MINE = f"student_id = '{ACTOR}' AND course_id = '{CHOSEN_COURSE}'"
+_DAY = f"DATE '{TODAY}'"
+
+
+def following(table: str, column: str, prefix: str) -> str:
+    """next_id of a table: one more than the largest number that stands behind the prefix alone."""
+    n = f"coalesce(max(CASE WHEN regexp_matches({column}, '^{prefix}[0-9]+$') THEN substr({column}, {len(prefix) + 1})::BIGINT END), 0) + 1"
+    return f"(SELECT '{prefix}' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END FROM (SELECT {n} AS n FROM {table}))"
+
+
+def _mutations() -> dict[str, str]:
+    share = f"(SELECT round(count(*) FILTER (module_id IN (SELECT module_id FROM done)) * 100 / count(*), 1) FROM module WHERE course_id = '{CHOSEN_COURSE}')"
+    progress = f"""after AS (SELECT student_id, module_id, completed, 'P7' AS progress_id, NULL::DATE AS completion_date FROM module_progress
+  UNION ALL SELECT '{ACTOR}', '{CHOSEN_MODULE}', TRUE, 'P008', {_DAY} WHERE NOT EXISTS (SELECT 1 FROM module_progress WHERE student_id = '{ACTOR}' AND module_id = '{CHOSEN_MODULE}'))"""
+    done = f"done AS (SELECT DISTINCT module_id FROM after WHERE student_id = '{ACTOR}' AND completed)"
+    return {
+        "after_register": with_tables(f"SELECT student_id, name, email, age, enrollment_date, total_courses_completed, avg_quiz_score FROM student UNION ALL SELECT {following('student', 'student_id', 'S')}, 'New Student', 'new@example.org', 20, {_DAY}, 0, 0", "student"),
+        "after_enroll": with_tables(
+            f"""SELECT enrollment_id, student_id, course_id, enrollment_date, CASE WHEN {_MINE} AND NOT now THEN 'active' ELSE status END AS status, progress_percentage, CASE WHEN {_MINE} AND NOT now THEN {_DAY} ELSE last_accessed END AS last_accessed
+FROM enrollment, (SELECT coalesce(bool_or({_MINE} AND status IN ('active', 'completed')), FALSE) AS now FROM enrollment)
+UNION ALL SELECT {following('enrollment', 'enrollment_id', 'E')}, '{ACTOR}', '{CHOSEN_COURSE}', {_DAY}, 'active', 0, {_DAY} WHERE NOT EXISTS (SELECT 1 FROM enrollment WHERE {_MINE})""",
+            "enrollment",
+        ),
+        "after_unenroll": with_tables(f"SELECT * REPLACE (CASE WHEN {_MINE} THEN 'dropped' ELSE status END AS status) FROM enrollment", "enrollment"),
+        "after_quiz": with_tables(f"SELECT * FROM quiz UNION ALL BY NAME SELECT {following('quiz', 'quiz_id', 'Q')} AS quiz_id, '{ACTOR}' AS student_id, '{CHOSEN_COURSE}' AS course_id, {_DAY} AS quiz_date, 'Final' AS quiz_title, 9 AS total_questions, 7 AS correct_answers, 77.8::DOUBLE AS score_percentage, 12 AS time_taken_minutes, (1 + (SELECT count(*) FROM quiz WHERE {_MINE} AND quiz_title = 'Final'))::INTEGER AS attempts, TRUE AS passed", "quiz"),
+        "after_module": with_tables("SELECT * FROM after", "module_progress", more=progress),
+        "after_module_enrollments": with_tables(
+            f"SELECT * REPLACE (CASE WHEN {_MINE} THEN {share} ELSE progress_percentage END AS progress_percentage, CASE WHEN {_MINE} THEN {_DAY} ELSE last_accessed END AS last_accessed, CASE WHEN {_MINE} AND {share} >= 100 THEN 'completed' ELSE status END AS status) FROM enrollment",
+            "module_progress", "module", "enrollment", more=f"{progress}, {done}",
+        ),
+    }
+
+
+def _pages() -> dict[str, str]:
+    quote = lambda c: f"""'"' || {c} || '"'"""
+    number = lambda c: f"printf('%.6f', {c})"
+    recs = f"(SELECT student_id, course_id, rank AS given, row_number() OVER (PARTITION BY student_id ORDER BY rank) AS k FROM ({top('hyb', 10)}) WHERE (student_id, course_id) NOT IN (SELECT (student_id, course_id) FROM seen))"
+    first = lambda t, table, key, n: f"SELECT '{t}' AS \"table\", row_number() OVER (ORDER BY {key}) AS position, {key} AS id FROM {table}" + (f" QUALIFY position <= {n}" if n else "")
+    return {
+        "api_similar": with_tables(
+            f"""SELECT course_id, '{{"course_id":' || {quote("course_id")} || ',"similar_courses":[' || string_agg('{{"similar_id":' || {quote("similar_id")} || ',"score":' || {number("score")} || '}}', ',' ORDER BY k) || ']}}' AS json
+FROM (SELECT a AS course_id, b AS similar_id, round(sim, 6) AS score, row_number() OVER (PARTITION BY a ORDER BY round(sim, 6) DESC, b) AS k FROM sims) WHERE k BETWEEN 2 AND 11 GROUP BY course_id""",
+            "course", more=SIMS,
+        ),
+        "api_recommend": with_tables(
+            f"""SELECT student_id, '{{"student_id":' || {quote("student_id")} || ',"recommendations":[' || string_agg('{{"course_id":' || {quote("course_id")} || ',"given":' || given || '}}', ',' ORDER BY k) || ']}}' AS json FROM {recs} WHERE k <= 10 GROUP BY student_id""",
+            "activity", "enrollment", "quiz", "course", "rating", more=f"{MATRIX}, {CF}, {SEEN}, {SIMS}, {CONTENT}, {hybrid('hist')}",
+        ),
+        "api_student": with_tables(
+            f"""SELECT s.student_id, '{{"student_id":' || {quote("s.student_id")} || ',"name":' || {quote("name")} || ',"learning_style":' || {quote("learning_style")} || ',"enrolled_courses":' || coalesce('[' || c.l || ']', 'null') || ',"performance":' || coalesce('[' || q.l || ']', 'null') || '}}' AS json
+FROM student s LEFT JOIN (SELECT student_id, string_agg({quote("course_id")}, ',' ORDER BY course_id) AS l FROM (SELECT DISTINCT student_id, course_id FROM enrollment WHERE status IN ('active', 'completed')) GROUP BY ALL) c ON s.student_id = c.student_id
+LEFT JOIN (SELECT student_id, string_agg('{{"category":' || {quote("category")} || ',"avg_score":' || {number("a")} || '}}', ',' ORDER BY category) AS l FROM (SELECT student_id, category, round(avg(score_percentage), 6) AS a FROM quiz JOIN course USING (course_id) GROUP BY ALL) GROUP BY ALL) q ON s.student_id = q.student_id""",
+            "student", "enrollment", "quiz", "course",
+        ),
+        "course_detail": with_tables(
+            "SELECT course_id, title, difficulty, coalesce(modules, '') AS modules, coalesce(n, 0) AS ratings, round(m, 6) AS mean_rating FROM course LEFT JOIN (SELECT course_id, string_agg(module_title, ', ' ORDER BY order_no, module_id) AS modules FROM module GROUP BY ALL) USING (course_id) LEFT JOIN (SELECT course_id, count(*) AS n, avg(rating) AS m FROM rating GROUP BY ALL) USING (course_id)",
+            "course", "module", "rating",
+        ),
+        "admin_preview": with_tables(" UNION ALL ".join(f"(SELECT * FROM ({first(*x)}))" for x in (("students", "student", "student_id", 20), ("courses", "course", "course_id", None), ("activities", "activity", "log_id", 50), ("quizzes", "quiz", "quiz_id", 50), ("ratings", "rating", "rating_id", 50))), "student", "course", "activity", "quiz", "rating"),
+        "minutes_shown": with_tables("SELECT course_id, format('{:,}', sum(time_spent_minutes)::BIGINT) AS minutes FROM activity GROUP BY ALL", "activity"),
+    }
+
+
 def _serving() -> dict[str, str]:
     listed = ("enrollment", "module", "module_progress")
     return {
@@ -435,4 +505,5 @@ FROM (SELECT student_id, row_number() OVER (PARTITION BY student_id ORDER BY {LE
 
 
 def oracle_sql() -> dict[str, str]:
-    return _star() | _features() | _curation() | _recommend() | _evaluation() | _learned() | _serving()
+    out = _star() | _features() | _curation() | _recommend() | _evaluation() | _learned() | _serving() | _mutations() | _pages()
+    return out | {"hybrid_features_by_student": out["hybrid_features"]}

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.operators import curation, etl, evaluation, features, ml, publishing, serving
+from coursemill.functions.expressions import english_stop_words
+from coursemill.operators import curation, etl, evaluation, features, hybrid, ml, neighbours, publishing, serving
 from coursemill.operators import recommend as rec
 from coursemill.session import stash
 from coursemill.sources.adapter import Platform
 
 #: English words that say nothing about a course. A parameter of tfidf(): any list can be given.
-STOP_WORDS = ["a", "an", "and", "for", "in", "of", "on", "or", "the", "to", "with"]
+STOP_WORDS = english_stop_words()
+#: Who does what in the queries of mutations, and when.
+ACTOR, CHOSEN_COURSE, CHOSEN_MODULE, TODAY = "S0000007", "C-Brand#11-PROMO", "C-Brand#11-PROMO-M2", date(2024, 4, 1)
 FOLDS = 10
 KEYS = ["student_id", "course_id"]
 CATEGORY = "PROMO"
@@ -133,8 +137,10 @@ def student_features(p):
 # --- curation and publishing ---
 
 
-def _curated(p: Platform) -> dict[str, DataFrame]:
-    return curation.curate(p.student, p.rating, p.enrollment, p.quiz, p.activity)
+def _curated(p: Platform) -> curation.Curated:
+    """The pair table is kept for the folder's state: later queries on it read it."""
+    pairs = p.kept("pairs", ("student", "rating", "enrollment", "quiz", "activity"), lambda: curation.curated_pairs(p.student, p.rating, p.enrollment, p.quiz, p.activity))
+    return curation.Curated(pairs, p.student, p.activity)
 
 
 def synth_enrollments(p):
@@ -184,11 +190,11 @@ def published_enrollments(p):
 
 
 def _matrix(p: Platform) -> DataFrame:
-    return stash(rec.rating_matrix(p.rating), "matrix")
+    return p.kept("matrix", ("rating",), lambda: rec.rating_matrix(p.rating))
 
 
 def _sims(p: Platform) -> DataFrame:
-    return stash(rec.content_similarity(rec.tfidf(rec.course_content(p.course), STOP_WORDS)), "sims")
+    return p.kept("sims", ("course",), lambda: rec.content_similarity(rec.tfidf(rec.course_content(p.course), STOP_WORDS)), words=STOP_WORDS)
 
 
 def _seen(p: Platform) -> DataFrame:
@@ -203,8 +209,18 @@ def cf_item_topn(p):
     return rec.recommendations(rec.item_cf_scores(_matrix(p)))
 
 
+def cf_user_topn_joined(p):
+    """cf_user_topn in the way of large catalogues: ratings joined with pairs of courses."""
+    return rec.recommendations(rec.user_cf_scores(_matrix(p), most_cells=0))
+
+
+def cf_item_topn_joined(p):
+    """cf_item_topn in the way of large catalogues: ratings joined with similar courses, and the list of means merged in."""
+    return rec.recommendations(rec.item_cf_scores(_matrix(p), most_courses=0))
+
+
 def similar_users(p):
-    return rec.similar_users(_matrix(p))
+    return neighbours.similar_users(_matrix(p))
 
 
 def item_ratings(p):
@@ -224,6 +240,11 @@ def content_user_topn(p):
     return rec.recommendations(rec.content_scores(stash(_seen(p), "seen"), _sims(p), p.course))
 
 
+def content_user_topn_joined(p):
+    """content_user_topn in the way of large catalogues: histories joined with similarities."""
+    return rec.recommendations(rec.content_scores(stash(_seen(p), "seen"), _sims(p), p.course, most_courses=0))
+
+
 def seen_union(p):
     return _seen(p)
 
@@ -294,13 +315,7 @@ def repeated_holdout_summary(p):
 
 def rmse_mae(p):
     """Of user CF, over students with a relevant test course and a list."""
-    split = stash(_split(p, FOLDS), "split")
-    matrix = stash(rec.rating_matrix(split.filter("NOT is_test"), by=("fold",)), "matrix")
-    predicted = stash(rec.predicted_ratings(matrix, by=("fold",)), "predicted")
-    keys = ["fold", "student_id"]
-    listed = predicted.filter("score > 0").join(matrix, [*keys, "course_id"], "left_anti").select(*keys).distinct()
-    evaluated = split.filter("is_test AND rating >= 4").select(*keys).distinct().join(listed, keys, "left_semi")
-    return evaluation.rating_errors(predicted, split.filter("is_test"), evaluated, by=("fold",))
+    return evaluation.holdout_errors(p.rating.select("rating_id", *KEYS, "rating"), FOLDS)
 
 
 def weight_search(p):
@@ -342,14 +357,23 @@ def negatives(p):
 def hybrid_features(p):
     train = stash(_train(p, p.rating), "train")
     matrix = stash(rec.rating_matrix(ml.train_inputs(train)), "matrix")
-    return ml.hybrid_features(ml.sampled_negatives(train, p.course), train, p.course, _sims(p), rec.predicted_ratings(matrix), rec.item_cf_scores(matrix))
+    pairs = stash(ml.sampled_negatives(train, p.course), "pairs")
+    return ml.hybrid_features(pairs, train, p.course, _sims(p), rec.predicted_ratings(matrix), rec.predicted_item_ratings(pairs, matrix))
+
+
+def hybrid_features_by_student(p):
+    """hybrid_features made where a student's row is."""
+    train = stash(_train(p, p.rating), "train")
+    matrix = stash(rec.rating_matrix(ml.train_inputs(train)), "matrix")
+    wanted = ml.sampled_negatives(train, p.course).groupBy("student_id").agg(F.collect_set("course_id").alias("wanted"))
+    made = hybrid.feature_rows(hybrid.tables_for(train, matrix, p.course, _sims(p)), train, matrix, wanted)
+    return made.select(*KEYS, *[F.col("features")[k].alias(c) for k, c in enumerate(ml.HYBRID_FEATURES)])
 
 
 def learned_hybrid_topn(p):
     """Of all students, learned from all ratings. What a student has shown a preference for is not offered again."""
     train = stash(_train(p, p.rating), "train")
-    unseen = p.student.select("student_id").crossJoin(p.course.select("course_id")).join(train.filter("preference_score > 0").select(*KEYS), KEYS, "left_anti")  # students x catalogue
-    return ml.learned_rankings(train, stash(rec.rating_matrix(ml.train_inputs(train)), "matrix"), unseen, p.course, _sims(p))
+    return ml.learned_rankings(train, stash(rec.rating_matrix(ml.train_inputs(train)), "matrix"), p.student, p.course, _sims(p))
 
 
 def next_course_leaderboard(p):
@@ -495,8 +519,13 @@ def json_api(p):
     return serving.json_rows(p.course.select("course_id", "category", "duration_hours"))
 
 
+def _shown(df: DataFrame, *columns: str) -> DataFrame:
+    """Numbers with six places, as JSON shows them."""
+    return df.withColumns({c: F.col(c).cast("decimal(12,6)") for c in columns})
+
+
 def api_similar(p):
-    return serving.json_lists(content_similar(p), "course_id", "similar_courses", "rank", ["similar_id", "score"])
+    return serving.json_lists(_shown(content_similar(p), "score"), "course_id", "similar_courses", "rank", ["similar_id", "score"])
 
 
 def api_recommend(p):
@@ -510,20 +539,67 @@ def api_learning_path(p):
 
 def api_student(p):
     """Of every student what the page shows, as one JSON document: category means and current courses."""
-    performance = category_performance(p).groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct("category", "avg_score"))).alias("performance"))
+    performance = _shown(category_performance(p), "avg_score").groupBy("student_id").agg(F.array_sort(F.collect_list(F.struct("category", "avg_score"))).alias("performance"))
     courses = serving.is_enrolled(p.enrollment).groupBy("student_id").agg(F.array_sort(F.collect_list("course_id")).alias("enrolled_courses"))
     out = p.student.select("student_id", "name", "learning_style").join(courses, "student_id", "left").join(performance, "student_id", "left")
     return out.select("student_id", F.to_json(F.struct("student_id", "name", "learning_style", "enrolled_courses", "performance"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def course_detail(p):
+    """Of every course what its page shows: its modules in order, and how it is rated."""
+    return serving.course_details(p.course, p.module, p.rating).select("course_id", "title", "difficulty", F.array_join("modules", ", ").alias("modules"), "ratings", F.round("mean_rating", 6).alias("mean_rating"))
+
+
+def admin_preview(p):
+    return serving.previews({"students": (p.student, "student_id", 20), "courses": (p.course, "course_id", None), "activities": (p.activity, "log_id", 50), "quizzes": (p.quiz, "quiz_id", 50), "ratings": (p.rating, "rating_id", 50)})
+
+
+def minutes_shown(p):
+    """Minutes of every course with the thousands marked."""
+    return p.activity.groupBy("course_id").agg(F.sum("time_spent_minutes").alias("minutes")).select("course_id", F.format_number("minutes", 0).alias("minutes"))
+
+
+# --- mutations: the table as it is after one ---
+
+
+def after_register(p):
+    return serving.register(p.student, TODAY, name="New Student", email="new@example.org", age=20).select("student_id", "name", "email", "age", "enrollment_date", "total_courses_completed", "avg_quiz_score")
+
+
+def after_enroll(p):
+    return serving.enroll(p.enrollment, ACTOR, CHOSEN_COURSE, TODAY)
+
+
+def after_unenroll(p):
+    return serving.unenroll(p.enrollment, ACTOR, CHOSEN_COURSE)
+
+
+def after_quiz(p):
+    return serving.save_quiz(p.quiz, ACTOR, CHOSEN_COURSE, "Final", 7, 9, 12, TODAY)
+
+
+def _completed(p: Platform) -> tuple[DataFrame, DataFrame]:
+    progress = p.module_progress.withColumns({"progress_id": F.lit("P7"), "completion_date": F.lit(None).cast("date")})
+    return serving.complete_module(progress, p.module, p.enrollment, ACTOR, CHOSEN_MODULE, TODAY)
+
+
+def after_module(p):
+    return _completed(p)[0]
+
+
+def after_module_enrollments(p):
+    return _completed(p)[1]
+
+
 _OPERATORS = [
     warehouse_counts, clean_students, clean_courses, clean_activity, clean_quiz, clean_ratings, dim_time, dim_user, dim_course, fact_learning, fact_quiz, fact_rating,
     topic_interest, topic_interest_pivot, completion_rate, quiz_perf_category, quiz_perf_student, time_per_course, learning_consistency, difficulty_performance, difficulty_pref, student_features,
     synth_enrollments, synth_quizzes, strengthen_enrollments, curate_rating_dates, interaction_quality, time_split, curation_summary, dense_activity_logs, published_quizzes, published_enrollments,
-    cf_user_topn, cf_item_topn, item_ratings, similar_users, matrix_sparsity, content_similar, content_user_topn, seen_union, hybrid_topn, hybrid_beginner, rules_after_cf, learning_path,
+    cf_user_topn, cf_item_topn, item_ratings, similar_users, matrix_sparsity, content_similar, content_user_topn, seen_union, hybrid_topn, cf_user_topn_joined, cf_item_topn_joined, content_user_topn_joined, hybrid_beginner, rules_after_cf, learning_path,
     holdout_split, metrics_at_k_skipping, metrics_at_k_with_zeros, repeated_holdout_summary, rmse_mae, weight_search, history_lists, full_history_lists,
-    train_inputs, negatives, hybrid_features, learned_hybrid_topn, next_course_leaderboard, grade_features, grade_predictions, cluster_features, clusters, cluster_distribution, course_keywords, explanations,
+    train_inputs, negatives, hybrid_features, hybrid_features_by_student, learned_hybrid_topn, next_course_leaderboard, grade_features, grade_predictions, cluster_features, clusters, cluster_distribution, course_keywords, explanations,
     point_lookup, login_lookup, catalog_search, catalog_filtered, student_courses, category_performance, quiz_history, module_progress, current_module, course_progress, quiz_review, quiz_score, attempt_numbers,
+    course_detail, admin_preview, minutes_shown, after_register, after_enroll, after_unenroll, after_quiz, after_module, after_module_enrollments,
     analytics_totals, score_histogram, presentation_bands, course_badges, progress_bands, student_counters, next_id, first_seen_categories, json_api, api_similar, api_recommend, api_learning_path, api_student,
 ]
 

@@ -107,12 +107,17 @@ def release_paths(spark: SparkSession, paths: list[str], keep: DataFrame) -> Non
 
 
 class Bucketed:
-    """A frame written once to the shared folder as a table bucketed by a column, so that steps which group by the column read it without moving it."""
+    """A frame written once to the shared folder as a table bucketed by a column, so that steps which group by the column read it without moving it. ``kind``: a column whose values have files of their own, and can be removed one by one."""
 
-    def __init__(self, df: DataFrame, label: str, by: str, buckets: int):
-        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, label)
+    def __init__(self, df: DataFrame, label: str, by: str, buckets: int, kind: str | None = None):
+        self.spark, self.path, self.kind = df.sparkSession, new_path(df.sparkSession, label), kind
         self.name = f"coursemill_{label}_{uuid.uuid4().hex}"
-        df.write.option("path", self.path).option("compression", "zstd").bucketBy(buckets, by).format("parquet").saveAsTable(self.name)
+        writer = df.write.option("path", self.path).option("compression", "zstd").bucketBy(buckets, by).format("parquet")
+        (writer.partitionBy(kind) if kind else writer).saveAsTable(self.name)
+
+    def remove(self, value: object) -> None:
+        """Remove the rows of one kind, once nothing will read them again."""
+        _remove(self.spark, f"{self.path}/{self.kind}={value}")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)

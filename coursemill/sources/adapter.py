@@ -6,8 +6,12 @@ rows. Values are whole numbers where sums are taken, so that no order of summati
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from coursemill.sources.kept import kept
+
 _SID = "concat('S', lpad(cast({0} AS STRING), 7, '0'))"
 _LINE = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
 _KEYS = f"{_SID.format('o_custkey')} AS student_id, concat('C-', p_brand, '-', p_type) AS course_id"
@@ -96,6 +100,12 @@ class Platform:
             self._built[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._built[name]
 
+    def kept(self, label: str, tables: tuple[str, ...], build: Callable[[], DataFrame], **params: object) -> DataFrame:
+        """A result made from these tables, kept for the state of the files that they come from."""
+        needs = sorted({n for t in tables for n in BODIES[t][0]})
+        bodies = [BODIES[t][1] for t in tables]
+        return kept(self.spark, label, [f"{self.sf_dir}/{n}.parquet" for n in needs], build, bodies=bodies, **params)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BODIES:
             raise AttributeError(name)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from coursemill.functions import expressions as ex
-from coursemill.operators import curation, etl, evaluation, features, ml, publishing, serving
+from coursemill.operators import curation, etl, evaluation, features, ml, neighbours, publishing, serving
 from coursemill.operators import recommend as rec
 from coursemill.operators.numbering import numbered
 from coursemill.session import stash
@@ -203,7 +203,7 @@ def test_similar_users_equal_plain_loops(spark, cells, block):
     for i in {s for s, _ in cells}:
         ranked = sorted((-round(s, 6), y) for (x, y), s in sims.items() if x == i)[1:6]
         want |= {(i, y, k + 1) for k, (_, y) in enumerate(ranked)}
-    assert {(r["student_id"], r["similar_id"], r["rank"]) for r in rec.similar_users(m, block=block).collect()} == want
+    assert {(r["student_id"], r["similar_id"], r["rank"]) for r in neighbours.similar_users(m, block=block).collect()} == want
 
 
 @pytest.mark.parametrize("most_courses", [1000, 3])
