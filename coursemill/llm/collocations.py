@@ -1,18 +1,20 @@
 """Phrase collocations by hierarchical pair naming.
 
-Documents are dealt to blocks of about ``BLOCK_BYTES``. A block is a stream of numbers, one for each
-word in order and 0 where a piece ends; numbers are the block's own, and a table of the block says
-what each stands for and how often it occurs. Then, for k = 1 to 5:
-
-1. The blocks' tables are summed up by what their numbers stand for: a (language, word) for k = 1,
-   else a pair of names. Those that are frequent get a name, a number that is unique in all data.
-   The table of names is joined back to the blocks.
-2. In each block the frequent (k-1)-grams of the stream are replaced by their names, and adjacent
-   names make the stream and the table of k-grams: the k-gram at a place is the pair of the
-   (k-1)-grams at it and at the next place. Others become 0, and runs of zeros one.
-
-So streams never pass through a shuffle token by token, words and pairs pass it once for each block,
-and no table of names has to fit into a task: a block reads the names of its own pairs only.
+Documents are dealt to blocks of about ``BLOCK_BYTES`` of text. A block is a stream of numbers, one for
+each word in order, and 0 where a piece ends; a table of the block says which name each number
+stands for. Then, for k = 1 to 5:
+
+1. The k-grams of a block are counted: for k = 1 its words, else the pairs of names that are next to
+   each other, as the k-gram at a place is the pair of the (k-1)-grams at it and at the next place.
+   They leave the block once each, sorted and packed by buckets of their hashes.
+2. A bucket adds up what all blocks have sent it. What is frequent gets a name, a number that is
+   unique in all data, and every block is answered with the names of those of its k-grams that have one.
+3. The block replaces its k-grams by their names, others by 0, and runs of zeros by one.
+
+So streams never pass through a shuffle token by token, k-grams pass it once for each block and what
+is rare never comes back, and no table of names has to fit into a task: a block has the names of its
+own k-grams only. Streams are written as tables bucketed by block, so that answers come to them, and
+they are not moved at all.
 
 Both halves of a pair's name are its parents. They lead to the frequencies of all first and last
 parts, from which the cuts of a phrase are scored; and as a longer phrase is never more frequent than
@@ -21,6 +23,8 @@ one inside it, a phrase is subsumed by any longer one just if it is by one that
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,18 +33,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coursemill.session import release, ship, stash
+from coursemill.session import Bucketed, release, ship, stash
 
 LEAST, LONGEST, TOP = 100, 5, 2_000
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 24
+#: Words of the corpus for each bucket of k-grams.
+BUCKET_WORDS = 1 << 22
 #: Candidates that are ranked in one task at first.
 RANKED_AT_ONCE = 200_000
 UNKNOWN = "und"
 _BREAK = b"\xff"  # no byte of UTF-8
 _CLASSES = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else 0x20 if b == 9 else b for b in range(256))
-_TABLE = "block long, kind int, item int, lang string, word string, left_id long, right_id long, f long, stream binary"
-_FIELDS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("item", pa.int32()), ("lang", pa.string()), ("word", pa.string()), ("left_id", pa.int64()), ("right_id", pa.int64()), ("f", pa.int64()), ("stream", pa.binary())])
-STREAM, ITEM = 0, 1
+#: Rows of a block: its stream and the names of its numbers; k-grams for a bucket, the numbers of which begin with ``first``; words of a language.
+STREAM, GRAMS, TOTAL = 0, 1, 2
+BLOCKS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("first", pa.int64()), ("data", pa.binary()), ("keys", pa.binary()), ("lang", pa.string())])
+#: What a bucket returns: a name, or the names of a block's k-grams.
+NAME, ANSWER = 0, 1
+BUCKETS = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("left_id", pa.int64()), ("right_id", pa.int64()), ("f", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("data", pa.binary())])
+_TYPES = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_TYPES[f.type]}" for f in schema)
+
+
+def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    """A batch of n rows; columns that are not given are null, single values repeated."""
+    value = lambda f: pa.nulls(n, f.type) if f.name not in columns else pa.array(columns[f.name] if isinstance(columns[f.name], (list, np.ndarray)) else [columns[f.name]] * n, f.type)
+    return pa.RecordBatch.from_arrays([value(f) for f in schema], schema=schema)
 
 
 class _Numbers(dict):
@@ -59,44 +79,69 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().lower().translate(_CLASSES).replace(_BREAK, b" \xff ").split()
 
 
-def pack(stream: np.ndarray) -> bytes:
-    """A stream without repeated zeros, compressed, after its length in bytes."""
-    stream = stream[(stream != 0) | (np.append(stream[1:], 0) != 0)].astype(np.int32)
-    return len(stream).to_bytes(8, "little") + pa.compress(stream.tobytes(), "zstd", asbytes=True)
+def pack(*arrays: np.ndarray) -> bytes:
+    """Whole numbers, compressed: the bytes of equal weight of all numbers stand together."""
+    planes = [np.ascontiguousarray(a, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
+    return struct.pack(f"<{1 + len(arrays)}q", len(arrays), *map(len, arrays)) + pa.compress(b"".join(planes), "zstd", asbytes=True)
 
 
-def unpack(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], n * 4, "zstd", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
+def unpack(data: bytes) -> list[np.ndarray]:
+    n = struct.unpack_from("<q", data)[0]
+    sizes = struct.unpack_from(f"<{n}q", data, 8)
+    raw = pa.decompress(data[8 + 8 * n :], 8 * sum(sizes), "zstd", asbytes=True) if sum(sizes) else b""
+    out, at = [], 0
+    for size in sizes:
+        out.append(np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size).T.copy().view("<i8").reshape(-1))
+        at += 8 * size
+    return out
 
 
-def block_rows(block: int, stream: np.ndarray, items: dict[str, list | np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """A block's stream and its table; items: columns of the table for the numbers 1, 2, ..."""
-    columns = {"block": [block], "kind": [STREAM], "stream": [pack(stream)]}
-    yield pa.RecordBatch.from_arrays([pa.array(columns.get(f.name, [None]), f.type) for f in _FIELDS], schema=_FIELDS)
-    n = len(items["f"])
-    for at in range(0, n, 65_536):
-        part = slice(at, min(at + 65_536, n))
-        own = items | {"item": np.arange(1, n + 1, dtype=np.int32)}
-        m = part.stop - part.start
-        same = {"block": np.full(m, block), "kind": np.full(m, ITEM, np.int32)}
-        yield pa.RecordBatch.from_arrays([pa.array(same[f.name], f.type) if f.name in same else pa.array(own[f.name][part], f.type) if f.name in own else pa.nulls(m, f.type) for f in _FIELDS], schema=_FIELDS)
+def without_repeated_zeros(stream: np.ndarray) -> np.ndarray:
+    return stream[(stream != 0) | (np.append(stream[1:], 0) != 0)]
 
 
-def adjacent_pairs(names: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """The stream and table of the pairs of a stream of names, 0 for none."""
-    left, right = names[:-1], names[1:]
-    both = (left > 0) & (right > 0)
-    # small numbers for the block's names, so that a pair is one number
-    known, small = np.unique(np.concatenate((left[both], right[both])), return_inverse=True)
-    m = int(both.sum())
-    pairs, number, f = np.unique(small[:m].astype(np.int64) * max(len(known), 1) + small[m:], return_inverse=True, return_counts=True)
-    stream = np.zeros(len(both), np.int32)
-    stream[both] = number + 1
-    return stream, {"left_id": known[pairs // max(len(known), 1)], "right_id": known[pairs % max(len(known), 1)], "f": f}
+def bucket_of(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a pair of names."""
+    x = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64)
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
 
-def word_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
+def numbered_pairs(stream: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers at the stream's places, then for each number from 1: bucket, left name, right name, count) of the pairs of names that are next to each other. ids: the name of each number of the stream, none for 0. Numbers go by bucket and names."""
+    left, right = stream[:-1], stream[1:]
+    both = (left > 0) & (right > 0)
+    pairs, number, f = np.unique(left[both] * len(ids) + right[both], return_inverse=True, return_counts=True)
+    left, right = ids[pairs // len(ids)], ids[pairs % len(ids)]
+    bucket = bucket_of(left, right, buckets)
+    order = np.lexsort((right, left, bucket))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(1, len(order) + 1)
+    at = np.zeros(len(both), np.int64)
+    at[both] = rank[number]
+    return at, bucket[order], left[order], right[order], f[order]
+
+
+def _cuts(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of every run."""
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, int)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(bucket[a]), a, b
+
+
+def block_of_pairs(block: int, stream: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A block's rows: its stream with the names, and its pairs for every bucket."""
+    stream = without_repeated_zeros(stream)
+    yield _rows(BLOCKS, 1, block=block, kind=STREAM, data=pack(stream, ids))
+    _, bucket, left, right, f = numbered_pairs(stream, ids, buckets)
+    made = [(x, a + 1, pack(np.diff(left[a:b], prepend=0), right[a:b], f[a:b])) for x, a, b in _cuts(bucket)]
+    if made:
+        own, first, data = map(list, zip(*made, strict=True))
+        yield _rows(BLOCKS, len(made), block=block, kind=GRAMS, bucket=own, first=first, data=data)
+
+
+def word_blocks(docs: DataFrame, buckets: int, size: int = BLOCK_BYTES) -> DataFrame:
     """The blocks of the words of ``docs``: a task begins a new one once the one before holds ``size`` bytes."""
     ship(docs.sparkSession)
 
@@ -106,12 +151,26 @@ def word_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
         streams: list[tuple[str, np.ndarray]] = []
 
         def block() -> Iterator[pa.RecordBatch]:
-            # the languages' numbers one after the other
-            shift = dict(zip(numbers, np.cumsum([0, *(len(x) - 1 for x in numbers.values())]).tolist(), strict=False))
-            stream = np.concatenate([np.where(s > 0, s + shift[x], 0) for x, s in streams] or [np.zeros(0, np.int64)])
-            listed = [(x, w.decode()) for x, own in numbers.items() for w in own if own[w]]
-            f = np.bincount(stream, minlength=len(listed) + 1)[1:]
-            return block_rows(first + made, stream, {"lang": [x for x, _ in listed], "word": [w for _, w in listed], "f": f})
+            # the stream has words in the order in which they come first, one language after the other: so it packs well
+            shift = dict(zip(numbers, np.cumsum([0, *(len(own) - 1 for own in numbers.values())]).tolist(), strict=False))
+            stream = without_repeated_zeros(np.concatenate([np.where(s > 0, s + shift[x], 0) for x, s in streams]))
+            # a key is language, break, word; they are sent by bucket and key
+            keys = sorted((zlib.crc32(key) % buckets, key, n + shift[x]) for x, own in numbers.items() for w, n in own.items() if n for key in (x.encode() + _BREAK + w,))
+            order = np.array([n for _, _, n in keys], np.int64)
+            rank = np.zeros(len(keys) + 1, np.int64)
+            rank[order] = np.arange(1, len(keys) + 1)
+            f = np.bincount(stream, minlength=len(keys) + 1)
+            yield _rows(BLOCKS, 1, block=first + made, kind=STREAM, data=pack(stream, rank))
+            for x, own in numbers.items():
+                yield _rows(BLOCKS, 1, block=first + made, kind=TOTAL, first=int(f[shift[x] + 1 : shift[x] + len(own)].sum()), lang=x)
+            f = f[order]
+            packed = []
+            for bucket, a, b in _cuts(np.array([k[0] for k in keys])):
+                part = [key for _, key, _ in keys[a:b]]
+                packed.append((bucket, a + 1, pack(np.array([len(key) for key in part]), f[a:b]), pa.compress(b"".join(part), "zstd", asbytes=True)))
+            if packed:
+                own, at, data, text = map(list, zip(*packed, strict=True))
+                yield _rows(BLOCKS, len(packed), block=first + made, kind=GRAMS, bucket=own, first=at, data=data, keys=text)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -119,8 +178,7 @@ def word_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
                 if own is None:
                     own = numbers[lang] = _Numbers()
                 listed = words_of(text)
-                known = np.fromiter(map(own.__getitem__, listed), np.int64, len(listed))
-                streams.append((lang, np.append(known, 0)))
+                streams.append((lang, np.append(np.fromiter(map(own.__getitem__, listed), np.int32, len(listed)), np.int32(0))))
                 held += len(text)
                 if held >= size:
                     yield from block()
@@ -129,25 +187,89 @@ def word_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
             yield from block()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, _TABLE)
-
-
-def next_blocks(streams: DataFrame, names: DataFrame) -> DataFrame:
-    """The blocks of pairs: of streams (block, stream) and the names (block, item, id) of the frequent ones of their numbers."""
-
-    def run(streams: pa.Table, names: pa.Table) -> pa.Table:
-        out = []
+    return rows.mapInArrow(run, _ddl(BLOCKS))
+
+
+def named_words(blocks: DataFrame, least: int, buckets: int) -> DataFrame:
+    """The frequent ones of all blocks' words with names, and the answers to the blocks."""
+
+    def run(found: pa.Table) -> pa.Table:
+        rows = [(r["block"], r["first"], *unpack(r["data"]), r["keys"]) for r in found.to_pylist()]
+        bucket = found.column("bucket")[0].as_py()
+        count: dict[bytes, int] = {}
+        listed = []
+        for _, _, lengths, f, keys in rows:
+            text = pa.decompress(keys, int(lengths.sum()), "zstd", asbytes=True)
+            edges = np.concatenate(([0], np.cumsum(lengths))).tolist()
+            own = [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            listed.append(own)
+            for key, n in zip(own, f.tolist(), strict=True):
+                count[key] = count.get(key, 0) + n
+        names = {key: bucket + 1 + buckets * k for k, key in enumerate(sorted(key for key, n in count.items() if n >= least))}
+        parts = [key.split(_BREAK, 1) for key in names]
+        out = [_rows(BUCKETS, len(names), kind=NAME, id=list(names.values()), lang=[x.decode() for x, _ in parts], word=[w.decode() for _, w in parts], f=[count[key] for key in names])]
+        for (block, first, *_), own in zip(rows, listed, strict=True):
+            ids = np.fromiter((names.get(key, 0) for key in own), np.int64, len(own))
+            out += _answer(block, first, ids)
+        return pa.Table.from_batches(out, BUCKETS)
+
+    return blocks.filter(F.col("kind") == GRAMS).groupBy("bucket").applyInArrow(run, _ddl(BUCKETS))
+
+
+def named_pairs(blocks: DataFrame, least: int, buckets: int) -> DataFrame:
+    """The frequent ones of all blocks' pairs with names, and the answers to the blocks."""
+
+    def run(found: pa.Table) -> pa.Table:
+        rows = [(r["block"], r["first"], *unpack(r["data"])) for r in found.to_pylist()]
+        bucket = found.column("bucket")[0].as_py()
+        left, right, f = np.concatenate([np.cumsum(r[2]) for r in rows]), np.concatenate([r[3] for r in rows]), np.concatenate([r[4] for r in rows])
+        order = np.lexsort((right, left))
+        x, y = left[order], right[order]
+        new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+        starts = np.flatnonzero(new)
+        total = np.add.reduceat(f[order], starts)
+        chosen = total >= least
+        names = np.zeros(len(starts), np.int64)
+        names[chosen] = bucket + 1 + buckets * np.arange(int(chosen.sum()))
+        ids = np.empty(len(order), np.int64)
+        ids[order] = names[np.cumsum(new) - 1]
+        at = starts[chosen]
+        out = [_rows(BUCKETS, len(at), kind=NAME, id=names[chosen], left_id=x[at], right_id=y[at], f=total[chosen])]
+        edges = np.concatenate(([0], np.cumsum([len(r[3]) for r in rows])))
+        for (block, first, *_), a, b in zip(rows, edges[:-1], edges[1:], strict=True):
+            out += _answer(block, first, ids[a:b])
+        return pa.Table.from_batches(out, BUCKETS)
+
+    return blocks.filter(F.col("kind") == GRAMS).groupBy("bucket").applyInArrow(run, _ddl(BUCKETS))
+
+
+def _answer(block: int, first: int, ids: np.ndarray) -> list[pa.RecordBatch]:
+    """The k-grams of a block, by their numbers, that have names; nothing where none has."""
+    some = np.flatnonzero(ids)
+    return [_rows(BUCKETS, 1, kind=ANSWER, block=block, first=first, data=pack(np.diff(some, prepend=0), ids[some]))] if len(some) else []
+
+
+def next_blocks(blocks: DataFrame, answers: DataFrame, buckets: int, sent: int | None) -> DataFrame:
+    """The blocks with their k-grams replaced by the names in the answers. sent: the buckets that the k-grams were sent to, None for words."""
+
+    def run(streams: pa.Table, answers: pa.Table) -> pa.Table:
+        out: list[pa.RecordBatch] = []
         for row in streams.to_pylist():
-            own = unpack(row["stream"])
-            ids = np.zeros(int(own.max(initial=0)) + 1, np.int64)
-            if names.num_rows:
-                ids[names.column("item").to_numpy()] = names.column("id").to_numpy()
-            named = ids[own]
-            out += block_rows(row["of_block"], *adjacent_pairs(named))
-        return pa.Table.from_batches(out, _FIELDS)
-
-    streams = streams.select(F.col("block").alias("of_block"), "stream")  # both sides come from one table
-    return streams.groupBy("of_block").cogroup(names.groupBy("block")).applyInArrow(run, _TABLE)
+            if sent is None:
+                stream, rank = unpack(row["data"])
+                numbers = rank[stream]
+            else:
+                numbers = numbered_pairs(*unpack(row["data"]), sent)[0]
+            names = np.zeros(int(numbers.max(initial=0)) + 1, np.int64)
+            for first, data in zip(answers.column("first").to_pylist(), answers.column("data").to_pylist(), strict=True):
+                at, ids = unpack(data)
+                names[first + np.cumsum(at)] = ids
+            known, stream = np.unique(np.concatenate(([0], names[numbers])), return_inverse=True)
+            out += block_of_pairs(row["of_block"], stream[1:], known, buckets)
+        return pa.Table.from_batches(out, BLOCKS)
+
+    streams = blocks.filter(F.col("kind") == STREAM).select(F.col("block").alias("of_block"), "data")
+    return streams.groupBy("of_block").cogroup(answers.select("block", "first", "data").groupBy("block")).applyInArrow(run, _ddl(BLOCKS))
 
 
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, percent: int = 100, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -160,29 +282,33 @@ def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, percent
     null text empty. Rows count as often as they are repeated, ids don't matter. Texts are never
     cut; one of any length is within one block. Other columns are ignored. An empty table gives no rows.
     """
-    blocks = stash(word_blocks(docs, block_bytes), "word-blocks")
-    items = lambda b: b.filter(F.col("kind") == ITEM)
-    totals = stash(items(blocks).groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    found = items(blocks).groupBy("lang", "word").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = [Bucketed(word_blocks(docs, parts, block_bytes), "words", "block", parts, "kind")]
+    totals = tables[0].read().filter(F.col("kind") == TOTAL).groupBy("lang").agg(F.sum("first").alias("n"))
+    totals = stash(totals, "totals")  # one row for each language
+    buckets = max(parts, -(-(totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS))
+    found = stash(named_words(tables[0].read(), least, parts), "named1")
+    tables[0].remove(GRAMS)
+    name = found.filter(F.col("kind") == NAME)
     # first_f and last_f: occurrences of the first and of the last 1, 2, ... words
     none = F.array().cast("array<bigint>")
-    names = stash(found.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("first_f"), none.alias("last_f")).withColumn("id", F.col("id") + 1), "names1")
-    on = ["lang", "word"]
-    levels = [names]
+    names = name.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", none.alias("first_f"), none.alias("last_f"))
+    levels, sent = [names], None
     for k in range(2, longest + 1):
-        key = names.select("id", "lang", F.col("phrase").alias("word")) if k == 2 else names.select("id", "left_id", "right_id")
-        known = items(blocks).select("block", "item", *on).join(key, on).select("block", "item", "id")
-        before, blocks = blocks, stash(next_blocks(blocks.filter(F.col("kind") == STREAM).select("block", "stream"), known), f"blocks{k}")
-        release(before)
-        on = ["left_id", "right_id"]
-        found = items(blocks).groupBy(*on).agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
-        left = names.select(F.col("id").alias("left_id"), "lang", F.col("phrase").alias("head"), F.col("f").alias("lf"), "first_f")
-        right = names.select(F.col("id").alias("right_id"), "last", F.col("f").alias("rf"), "last_f")
-        made = found.join(left, "left_id").join(right, "right_id")
-        made = made.select("left_id", "right_id", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", "f", F.concat("first_f", F.array("lf")).alias("first_f"), F.concat("last_f", F.array("rf")).alias("last_f"))
-        names = stash(made.withColumn("id", F.monotonically_increasing_id() + 1), f"names{k}")
+        blocks = Bucketed(next_blocks(tables[-1].read(), found.filter(F.col("kind") == ANSWER), buckets, sent), f"blocks{k}", "block", parts, "kind")
+        tables.pop().drop()
+        tables.append(blocks)
+        sent = buckets
+        found = stash(named_pairs(blocks.read(), least, buckets), f"named{k}")
+        blocks.remove(GRAMS)
+        left = names.select(F.col("id").alias("left_id"), F.col("lang").alias("of"), F.col("phrase").alias("head"), F.col("f").alias("lf"), "first_f")
+        right = names.select(F.col("id").alias("right_id"), F.col("last").alias("tail"), F.col("f").alias("rf"), "last_f")
+        made = found.filter(F.col("kind") == NAME).select("id", "left_id", "right_id", "f").join(left, "left_id").join(right, "right_id")
+        made = made.select("id", "left_id", "right_id", F.col("of").alias("lang"), F.concat_ws(" ", "head", "tail").alias("phrase"), F.col("tail").alias("last"), "f", F.concat("first_f", F.array("lf")).alias("first_f"), F.concat("last_f", F.array("rf")).alias("last_f"))
+        names = stash(made, f"names{k}")
         levels.append(names)
-    release(blocks)
+    tables.pop().drop()
     out = None
     wide = lambda c: c.cast("decimal(20,0)")
     for k, own in enumerate(levels[1:], 2):

@@ -195,16 +195,15 @@ def test_collocations_are_ranked_by_language(spark, monkeypatch):
 
 
 def test_scores_beyond_64_bits(spark):
-    """One very common pair: 1000 * a * n does not fit into 64 bits where counts are large, so blocks with large counts are given."""
-    blocks = [(0, 1, k + 1, "en", w, None, None, f, None) for k, (w, f) in enumerate([("a", 10**9), ("b", 10**9), ("c", 10**12)])]
-    table = spark.createDataFrame(blocks, collocations._TABLE)
-    n = table.agg({"f": "sum"}).first()[0]
-    assert n == 10**12 + 2 * 10**9
-    shown = spark.sql(f"SELECT div(CAST({1000 * 10**9} AS DECIMAL(20, 0)) * CAST({n} AS DECIMAL(20, 0)), CAST({10**9} AS DECIMAL(20, 0)) * CAST({10**9 - 1} AS DECIMAL(20, 0))) AS x").first()["x"]
-    assert shown == 1000 * 10**9 * n // (10**9 * (10**9 - 1))
+    """1000 a n and l r of counts as large as these do not fit into 64 bits."""
+    a, n, left, right = 3 * 10**11 + 7, 10**15 + 3, 4 * 10**11 + 1, 10**12 - 1
+    wide = lambda x: f"CAST({x} AS DECIMAL(20, 0))"
+    shown = spark.sql(f"SELECT div({wide(1000 * a)} * {wide(n)}, {wide(left)} * {wide(right)}) AS x").first()["x"]
+    assert shown == 1000 * a * n // (left * right) and 1000 * a * n > 2**64 and left * right > 2**64
 
 
 def test_streams_come_back_without_repeated_zeros():
     stream = np.array([0, 0, 3, 0, 0, 0, 4, 5, 0], np.int64)
-    assert collocations.unpack(collocations.pack(stream)).tolist() == [0, 3, 0, 4, 5]
-    assert collocations.unpack(collocations.pack(np.zeros(0, np.int64))).tolist() == []
+    assert collocations.without_repeated_zeros(stream).tolist() == [0, 3, 0, 4, 5]
+    for arrays in ([stream], [stream, np.array([], np.int64), np.array([2**40, -1, 7])], [np.zeros(0, np.int64)]):
+        assert [x.tolist() for x in collocations.unpack(collocations.pack(*arrays))] == [x.tolist() for x in arrays]
