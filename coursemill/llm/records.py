@@ -14,16 +14,19 @@ succeeded, so a repeated task leaves an unread file at worst.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -154,13 +157,41 @@ def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 _UNEVEN = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
 
 
+#: Fixed value: the pattern of byte-level pre-tokens, as published with the byte-level tokenizers of GPT-2.
+_PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: bytes that print as one letter stand for themselves, the others for letters from U+0100 on, in order."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+
+
+def checked_tokenizer(data: str) -> Tokenizer:
+    """The tokenizer of a JSON text. ValueError unless it is plain byte-level BPE, for which the ids of a text are those of its chunks."""
+    parts = json.loads(data)
+    pre, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding")
+    plain = plain and model.get("type", "BPE") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    plain = plain and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or re.search(r"\s", x["content"]) for x in parts.get("added_tokens", []))
+    if not plain:
+        raise ValueError("not a plain byte-level BPE tokenizer")
+    return Tokenizer.from_str(data)
+
+
 class _WordCache(dict):
     """Chunk of a text -> its ids as bytes. A chunk is a word with the space before it, a line's first word, or a line end.
 
     The byte-level pattern has no match over a single space or line end between other characters,
     but for the space that begins a word, so the ids of a text are those of its chunks. Texts with
-    other white space are encoded whole. Emptied when full, and long chunks aren't kept, so that
-    memory stays bounded.
+    other white space are encoded whole. A chunk that is not known yet is put together from its
+    pre-tokens, chunks themselves, which the library's model merges; one that holds an added token
+    goes through all of the library. Emptied when full, and long chunks aren't kept, so that memory
+    stays bounded.
     """
 
     MOST, MOST_CHARS = 1_200_000, 64
@@ -168,9 +199,18 @@ class _WordCache(dict):
     def __init__(self, tokenizer: Tokenizer, width: int):
         super().__init__()
         self.tokenizer, self.width = tokenizer, width
+        self.model = tokenizer.model
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self._whole(chunk)
+        if self.added and self.added.search(chunk):
+            return self._whole(chunk)
+        # letters, with a space before them or not, are one pre-token
+        if chunk[chunk.startswith(" ") :].isalpha() or len(pieces := _PRE_TOKENS.findall(chunk)) == 1:
+            ids = self._packed(map(_ID, self.model.tokenize(chunk.encode().decode("latin-1").translate(_LETTERS))))
+        else:
+            ids = b"".join(map(self.__getitem__, pieces))
         if len(chunk) <= self.MOST_CHARS:
             self[chunk] = ids
         return ids
@@ -187,13 +227,16 @@ class _WordCache(dict):
             self.clear()
         if "\0" in text or _UNEVEN.search(text):
             return self._whole(text)
-        return b"".join([self[c] for c in self.chunks(text)])
+        return b"".join(map(self.__getitem__, self.chunks(text)))
 
     def _whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _packed(self, ids: Iterable[int]) -> bytes:
+        return np.fromiter(ids, f"<u{self.width}").tobytes()
 
 
+_ID = attrgetter("id")
 _word_caches: dict[str, _WordCache] = {}
 
 
@@ -201,7 +244,7 @@ def _words(data: str, width: int) -> _WordCache:
     key = hashlib.sha256(data.encode()).hexdigest()
     if key not in _word_caches:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        _word_caches[key] = _WordCache(Tokenizer.from_str(data), width)
+        _word_caches[key] = _WordCache(checked_tokenizer(data), width)
     return _word_caches[key]
 
 
@@ -210,8 +253,9 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
 
     Files follow each other in ascending order of doc_id (documents without an id first), and so do
     the records of a file. Rows with the same doc_id are records of their own, in the order of their
-    texts' hashes. A null text counts as empty: its record has just the end id. An empty table gives
-    an empty index. Returns the folder and the index. The tokenizer file is read on the driver and
+    texts' hashes. A null text counts as empty: its record has just the end id. Texts of any length are
+    one record. Other columns are ignored, whatever their names. An empty table gives an empty index.
+    ValueError for a tokenizer that isn't plain byte-level BPE. Returns the folder and the index. The tokenizer file is read on the driver and
     sent to the executors.
     """
     spark = docs.sparkSession
@@ -219,7 +263,7 @@ def write_records(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder:
     folder = folder or new_path(spark, "records")
     with open(tokenizer_path, encoding="utf-8") as f:
         data = f.read()
-    width = 2 if max(Tokenizer.from_str(data).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    width = 2 if max(checked_tokenizer(data).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     vocabulary = spark.sparkContext.broadcast(data)
     end = np.asarray([end_id], f"<u{width}").tobytes()
 
