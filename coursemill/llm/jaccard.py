@@ -46,6 +46,10 @@ PAIRS_AT_ONCE = 200_000
 KEYS_AT_ONCE = 500_000
 #: Bits of a bitmap for each element, at least, and the most 64-bit words of a bitmap.
 BITS_PER_ITEM, MOST_WORDS = 2, 4_096
+#: Bytes of a word that are mixed in NumPy.
+LONG_WORD = 512
+#: Sets that share the first half of their digests with another, at most.
+MOST_RENAMED = 100_000
 BLANK = np.zeros(256, bool)
 BLANK[[32, 9, 10, 11, 12, 13]] = True
 
@@ -59,23 +63,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x100000001B3 * 0x9E3779B1 | 1
-_POWERS = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    """The first n powers of the base, modulo 2**64."""
-    global _POWERS
-    if len(_POWERS) < n:
-        out = np.full(max(n, 64, 2 * len(_POWERS)), _BASE & (1 << 64) - 1, np.uint64)
-        out[0] = 1
-        _POWERS = np.multiply.accumulate(out)
-    return _POWERS[:n]
-
-
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of every word, in order; words are runs of other bytes than blanks."""
+    """A 64-bit hash of every word, in order; words are runs of other bytes than blanks.
+
+    A word is taken in blocks of eight bytes. Each is mixed with the hash of those before it by steps
+    that are not linear, as sums of powers have patterns of words that collide for every base. Of words
+    of more than LONG_WORD bytes a digest is taken.
+    """
     data = np.frombuffer(raw, np.uint8)
     solid = ~BLANK[data]
     if not solid.any():
@@ -83,11 +77,18 @@ def word_hashes(raw: bytes) -> np.ndarray:
     edges = np.diff(np.concatenate(([False], solid, [False])).astype(np.int8))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     lengths = ends - starts
-    at = np.flatnonzero(solid)
-    firsts = np.cumsum(lengths) - lengths
-    place = np.arange(len(at)) - np.repeat(firsts, lengths)
-    sums = np.add.reduceat(_BYTE[data[at]] * _powers(int(lengths.max()))[place], firsts)
-    return mix64(sums + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    # eight bytes from every place on, as one number
+    eights = np.ndarray(len(data), np.dtype("<u8"), raw + bytes(8), strides=(1,))
+    out = lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for k in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    open_ = np.flatnonzero(lengths <= LONG_WORD)
+    for done in range(0, min(int(lengths.max()), LONG_WORD), 8):
+        left = lengths[open_] - done
+        keep = np.where(left >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.uint64(8) * np.minimum(left, 7).astype(np.uint64))) - np.uint64(1))
+        out[open_] = mix64((out[open_] ^ (eights[starts[open_] + done] & keep)) + np.uint64(0x9E3779B97F4A7C15))
+        open_ = open_[left > 8]
+    return out
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -262,14 +263,35 @@ def whole_tiles(batches: Iterator[pa.RecordBatch], rows: int = 20_000, size: int
         yield pa.Table.from_batches(held)
 
 
+def new_names(known: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(c1, c2, name) of the sets that share c1 with another set, but for the one with the smallest c2; None if there are none.
+
+    About n * n / 2**65 of n sets do, so MOST_RENAMED, far more than any corpus has, is an error.
+    """
+    clashing = classes.filter("low <> high").select("c1", "low")
+    if clashing.isEmpty():
+        return None
+    pairs = known.select("c1", "c2").join(clashing, "c1").filter("c2 <> low").select("c1", "c2").distinct().limit(MOST_RENAMED + 1)
+    pairs = stash(pairs, "clashing")
+    if pairs.count() > MOST_RENAMED:
+        raise RuntimeError("too many sets share the first half of their digests")
+    salt = 0
+    while True:
+        out = stash(pairs.withColumn("name", F.xxhash64(F.lit(salt), "c1", "c2")), "new-names")
+        if out.groupBy("name").count().filter("count > 1").isEmpty() and out.join(classes.select(F.col("c1").alias("name")), "name", "left_semi").isEmpty():
+            return out
+        salt += 1
+
+
 def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id: the components of all documents whose shingle sets have at least ``percent`` hundredths of their union in common.
 
     component_id is the smallest doc_id that links reach. A document without words (or text) has
     n_shingles 0 and is linked with nothing. Equal sets are linked. Rows without a doc_id take part
     in nothing: component_id is null. Rows of one doc_id are one document, whatever their texts. An
-    empty table gives no rows; other columns are ignored. Elements are 64-bit hashes of shingles,
-    and a set is known by 64 bits of its digest among the links.
+    empty table gives no rows; other columns are ignored. A text of any length is one set. Elements are
+    64-bit hashes of shingles. Sets are told apart by 128 bits of digest: the first 64 name a set, but
+    for those that share them with another set, which get other names.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -284,7 +306,7 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
                 yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(c, pa.int64()) for c in found), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "n_shingles", "c1", "c2", "bits"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Bands(*bands), set()
+        own, seen, moved = Bands(*bands), set(), renamed.value
         held: list[tuple[np.ndarray, int]] = []
 
         def combined() -> Iterator[pa.RecordBatch]:
@@ -307,7 +329,7 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
                     digest = set_digest(items)
                     if len(items) and digest not in seen:  # copies in this task leave once
                         seen.add(digest)
-                        held.append((part_keys(items, own), digest[1]))
+                        held.append((part_keys(items, own), moved.get(digest[1:], digest[1])))
                         total += len(held[-1][0])
                         if total >= KEYS_AT_ONCE:
                             yield from combined()
@@ -318,7 +340,13 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = stash(plain.mapInArrow(digests, "doc_id long, n_shingles long, c1 long, c2 long, bits binary"), "shingle-sets")
     known = every.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = stash(known.groupBy("c1").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits")), "classes")
+    summed = lambda df: stash(df.groupBy("c1").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits"), F.min("c2").alias("low"), F.max("c2").alias("high")), "classes")
+    classes = summed(known)
+    other_names = new_names(known, classes)
+    renamed = spark.sparkContext.broadcast({(r["c1"], r["c2"]): r["name"] for r in other_names.collect()} if other_names is not None else {})
+    if other_names is not None:
+        known = known.join(F.broadcast(other_names), ["c1", "c2"], "left").withColumn("c1", F.coalesce("name", "c1")).drop("name")
+        classes = summed(known)
 
     # sets that share a key: each with one that it is compared with first; of keys that just two sets have, no more than that is kept
     shared = plain.filter("doc_id IS NOT NULL").select("text").mapInArrow(keys, "place long, c1 long, lead long, key long")
@@ -352,13 +380,14 @@ def jaccard_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataF
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows by (a, cut), in each the text of a first: what follows is intersected with it."""
-        centre, items, other = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        centre, items, other, moved = None, np.zeros(0, np.uint64), np.zeros(0, np.uint64), renamed.value
         for batch in batches:
             found = []
             for k in range(batch.num_rows):
                 a, b, text = batch.column(0)[k].as_py(), batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
                 own = shingles(text, words)
-                if set_digest(own)[1] != (a if b is None else b):
+                digest = set_digest(own)
+                if moved.get(digest[1:], digest[1]) != (a if b is None else b):
                     continue  # another text of the same doc_id
                 if b is None:
                     centre, items = a, own
