@@ -8,19 +8,23 @@ across documents, different values stay different, and the holder of the key can
 What a kind's values count is numbered 0 to N-1; the network runs on the next even number of bits
 and walks its cycle until it is below N again.
 
-The key comes from the session setting ``spark.coursemill.pseudonym.key``. Without it every session
-draws one of its own: values then stay linked within the session, and nobody can go back.
+The key comes from the session setting ``spark.coursemill.pseudonym.secret``, without which nothing runs.
 
-Left as they are: IPv6 addresses, IBANs in small letters, dates with one-digit days or months.
+All notations of a day have the same pseudonym. So that each keeps its form and can be read back, a
+day goes to one of the same class: months of one or two digits, days of one digit, 10 to 12, and 13
+and more. A pseudonym shows that class of its day.
+
+Left as they are: IPv6 addresses, days written with names of months or without marks between their
+parts, social security and telephone numbers without marks, cards with dots or no-break spaces.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import secrets
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,17 +32,21 @@ from pyspark.sql import functions as F
 
 from coursemill.session import ship
 
-KEY_SETTING = "spark.coursemill.pseudonym.key"
+#: The session setting that holds the key. Spark masks settings with ``secret`` in their names where it shows or logs them.
+KEY_SETTING = "spark.coursemill.pseudonym.secret"
 ROUNDS = 8
-_drawn: dict[str, bytes] = {}
+
+
+def key_from(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=32).digest()
 
 
 def session_key(spark: SparkSession) -> bytes:
-    """The key of the session: a hash of the setting's text, or a random one that the session keeps."""
+    """The key of the session, a hash of the setting's text. Without the setting there is none: a key drawn for the session would cut every link to earlier and later jobs."""
     given = spark.conf.get(KEY_SETTING, None)
-    if given:
-        return hashlib.blake2b(given.encode(), digest_size=32).digest()
-    return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+    if not given:
+        raise ValueError(f"set {KEY_SETTING}")
+    return key_from(given)
 
 
 def feistel(value: int, size: int, kind: str, key: bytes, back: bool = False) -> int:
@@ -184,6 +192,10 @@ def iban(text: str, key: bytes, back: bool) -> str | None:
     return "".join(c if c == " " else next(it) for c in text)
 
 
+def _lower(text: str | None) -> str | None:
+    return text and text.lower()
+
+
 def _characters(text: str, kind: str, key: bytes, back: bool) -> str:
     """Letters and digits permuted among texts of the same pattern of digits, capitals and small letters; other characters stay."""
     classes = ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -223,25 +235,46 @@ def access_key(text: str, key: bytes, back: bool) -> str | None:
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 
 
+def day_class(day: date) -> tuple[bool, int]:
+    """What every notation of a day shows of it: digits of month and of day, and whether the day can be read as a month."""
+    return day.month > 9, (day.day > 9) + (day.day > 12)
+
+
+@cache
+def _days() -> tuple[dict[tuple[bool, int], list[date]], dict[date, int]]:
+    """The days of each class in order, and each day's place in its class."""
+    classes: dict[tuple[bool, int], list[date]] = {}
+    places = {}
+    for n in range((LAST_DAY - FIRST_DAY).days + 1):
+        day = FIRST_DAY + timedelta(n)
+        own = classes.setdefault(day_class(day), [])
+        places[day] = len(own)
+        own.append(day)
+    return classes, places
+
+
+def other_day(day: date, key: bytes, back: bool) -> date:
+    """The pseudonym of a day: one permutation for all notations, within the day's class. So a notation without leading zeros keeps its length, and a slash date is read in the same order as before."""
+    classes, places = _days()
+    kind = day_class(day)
+    return classes[kind][feistel(places[day], len(classes[kind]), f"date{int(kind[0])}{kind[1]}", key, back)]
+
+
 def _date(order: str, least_day: int = 1) -> Callable[[str, bytes, bool], str | None]:
     def change(text: str, key: bytes, back: bool) -> str | None:
-        """Calendar dates from 1900 to 2099, in the same notation. Days from ``least_day`` on go to such days."""
+        """Calendar dates from 1900 to 2099, in the same notation; those from ``least_day`` of their month on."""
         parts = re.split(r"[-./]", text)
         y, m, d = (int(parts[order.index(c)]) for c in "ymd")
         try:
-            day = (date(y, m, d) - FIRST_DAY).days
+            day = date(y, m, d)
         except ValueError:
             return None
-        if not FIRST_DAY <= date(y, m, d) <= LAST_DAY or d < least_day:
+        if not FIRST_DAY <= day <= LAST_DAY or d < least_day:
             return None
-        while True:
-            day = feistel(day, (LAST_DAY - FIRST_DAY).days + 1, "date", key, back)
-            new = FIRST_DAY + timedelta(day)
-            if new.day >= least_day:
-                break
-        values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+        new = other_day(day, key, back)
+        values = {"y": new.year, "m": new.month, "d": new.day}
         mark = text[len(parts[0])]
-        return mark.join(values[c] for c in order)
+        return mark.join(f"{values[c]:0{len(p)}d}" for c, p in zip(order, parts, strict=True))
 
     return change
 
@@ -251,12 +284,15 @@ KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
     ("email", r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+", email),
     ("secret", r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,128}(?![0-9A-Za-z])", hex_token),
     ("secret", r"(?<![0-9A-Za-z])(?:AKIA|ASIA)([0-9A-Z]{16})(?![0-9A-Za-z])", access_key),
+    ("secret", r"(?<![0-9A-Za-z-])(?:sk|pk)[-_](?:(?:live|test|proj)[-_])?([0-9A-Za-z]{20,128})(?![0-9A-Za-z_-])", access_key),
     ("secret", r"(?<![0-9A-Za-z])(?:api_?key|token|secret|password)[ \t]?[=:][ \t]?[\"']?([0-9A-Za-z_-]{16,128})(?![0-9A-Za-z_-])", access_key),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}\d\d(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])", iban),
+    ("iban", r"(?<![0-9A-Za-z])[a-z]{2}\d\d(?: ?[0-9a-z]{4}){2,7}(?: ?[0-9a-z]{1,3})?(?![0-9A-Za-z])", lambda text, key, back: _lower(iban(text.upper(), key, back))),
     ("date", r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2})(?:(?=[Tt]\d{2})|(?![\w-]))", _date("ymd")),
-    ("date", r"(?<![\w.])(?:\d{2}\.\d{2}\.\d{4})(?!\w|\.\d)", _date("dmy")),
-    ("date", r"(?<![\w/])(?:\d{2}/\d{2}/\d{4})(?![\w/])", _date("mdy")),
-    ("date", r"(?<![\w/])(?:\d{2}/\d{2}/\d{4})(?![\w/])", _date("dmy", 13)),  # where the month can't come first
+    ("date", r"(?<![\w./])(?:\d{4}/\d{1,2}/\d{1,2})(?![\w/])", _date("ymd")),
+    ("date", r"(?<![\w.])(?:\d{1,2}\.\d{1,2}\.\d{4})(?!\w|\.\d)", _date("dmy")),
+    ("date", r"(?<![\w/])(?:\d{1,2}/\d{1,2}/\d{4})(?![\w/])", _date("mdy")),
+    ("date", r"(?<![\w/])(?:\d{1,2}/\d{1,2}/\d{4})(?![\w/])", _date("dmy", 13)),  # where the month can't come first
     ("ip", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)", ip_address),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", social_security),
     ("card", r"(?<![\w.-])\d+(?:[ -]\d+)*(?![\w-])", card),  # a run of digit groups, see cards()
@@ -356,8 +392,8 @@ def pseudonymize(text: str, key: bytes, back: bool = False) -> tuple[str, dict[s
 def pseudonymize_documents(docs: DataFrame, key: bytes | None = None, back: bool = False) -> DataFrame:
     """doc_id, text with pseudonyms, and n_<kind> for every kind.
 
-    A null text stays null and has no values; repeated rows give equal results; other columns are
-    ignored; an empty table gives no rows. Rows are mapped one by one: no shuffle. With ``back``,
+    A null text stays null and has no values; texts of any length are taken whole; repeated rows give
+    equal results; other columns are ignored, whatever their names; an empty table gives no rows. Rows are mapped one by one: no shuffle. With ``back``,
     pseudonyms become the values again. key: the session's by default.
     """
     ship(docs.sparkSession)
