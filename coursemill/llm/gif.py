@@ -4,8 +4,9 @@
 reads any GIF: it decodes the LZW code streams of the frames, applies palettes, interlacing,
 disposal and transparency, and gives the timed frames as shown.
 
-A damaged file, or one whose header asks for more than ``MOST_PIXELS``, raises ValueError; tables of
-media give it a row of nulls.
+A damaged file raises ValueError, and TooLarge if its canvas or a frame has more pixels than the
+parameter ``most_pixels`` allows, as a header of few bytes can ask for gigabytes; None allows all.
+Tables of media tell either in a column ``error``.
 
 LZW code widths follow from how many codes came since the last clear code, so both directions pack
 and unpack the codes of such a segment at once with NumPy; only the dictionary is a Python loop.
@@ -33,10 +34,14 @@ MOST_CODES = 4096
 #: Grey levels: the index is the colour.
 GREYS = bytes(v for k in range(256) for v in (k, k, k))
 BINS = 8
-#: The largest canvas and the largest frame that are decoded.
+#: The largest canvas and the largest frame that are decoded by default.
 MOST_PIXELS = 1 << 24
 
 
+class TooLarge(ValueError):
+    """A canvas or frame beyond ``most_pixels``."""
+
+
 @dataclass
 class Frame:
     """A frame as shown: canvas (rows x columns x RGBA), the stored indices, and its time."""
@@ -196,10 +201,10 @@ def encode_gif(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS,
     return b"".join([*out, b"\x3b"])
 
 
-def decode_gif(data: bytes) -> Iterator[Frame]:
-    """The frames of a GIF one by one, as shown: each on what the ones before have left of the canvas. ValueError where the file is damaged."""
+def decode_gif(data: bytes, most_pixels: int | None = MOST_PIXELS) -> Iterator[Frame]:
+    """The frames of a GIF one by one, as shown: each on what the ones before have left of the canvas. ValueError where the file is damaged, TooLarge beyond ``most_pixels``."""
     try:
-        yield from _frames(data)
+        yield from _frames(data, most_pixels)
     except (struct.error, IndexError) as error:
         raise ValueError("damaged GIF") from error
 
@@ -212,12 +217,12 @@ def _opaque(colours: np.ndarray) -> np.ndarray:
     return out
 
 
-def _frames(data: bytes) -> Iterator[Frame]:
+def _frames(data: bytes, most_pixels: int | None) -> Iterator[Frame]:
     if data[:3] != b"GIF" or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    if width * height > MOST_PIXELS:
-        raise ValueError("the canvas is too large")
+    if most_pixels is not None and width * height > most_pixels:
+        raise TooLarge("the canvas is too large")
     at = 13
 
     def palette(flags: int) -> np.ndarray | None:
@@ -262,8 +267,10 @@ def _frames(data: bytes) -> Iterator[Frame]:
         colours = own if own is not None else common if common is not None else _opaque(np.frombuffer(GREYS, np.uint8))
         bits = data[at]
         at += 1
-        if not 1 <= bits <= 8 or w * h > MOST_PIXELS:
-            raise ValueError("bad code size or frame")
+        if not 1 <= bits <= 8:
+            raise ValueError("bad code size")
+        if most_pixels is not None and w * h > most_pixels:
+            raise TooLarge("a frame is too large")
         stored = lzw_decode(blocks(), bits, w * h)
         flat = np.zeros(w * h, np.uint8)
         flat[: len(stored)] = np.frombuffer(stored, np.uint8)
@@ -307,7 +314,7 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (binary): every whole text stored as a GIF. A null text counts as empty; other columns are ignored."""
+    """doc_id, n_bytes, media (binary): every whole text, of any length, stored as a GIF. A null text counts as empty; other columns are ignored, whatever their names."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,49 +337,57 @@ def _described(f: Frame) -> tuple:
     return f.start_cs, f.delay_cs, f.canvas.shape[1], f.canvas.shape[0], *histogram(f.canvas).tolist()
 
 
-def media_frames(media: DataFrame, with_pixels: bool = False) -> DataFrame:
-    """A row for each timed frame: doc_id, frame, start_cs, delay_cs, width, height, red, green, blue (histograms) and, where asked for, rgba (binary).
+def error_of(data: bytes | None, error: ValueError) -> str:
+    """What a table of media says of media that is not decoded whole."""
+    return "missing" if data is None else "too large" if isinstance(error, TooLarge) else "damaged"
+
+
+def media_frames(media: DataFrame, with_pixels: bool = False, most_pixels: int | None = MOST_PIXELS) -> DataFrame:
+    """A row for each timed frame: doc_id, frame, start_cs, delay_cs, width, height, red, green, blue (histograms), error and, where asked for, rgba (binary).
 
-    Media that is null or damaged gives the frames before the damage and a row whose other columns
-    are null. An empty table gives no rows.
+    Media that is null, damaged or too large gives the frames before that, and a row with ``missing``,
+    ``damaged`` or ``too large`` as its error, whose other columns are null. Other columns are ignored,
+    whatever their names. An empty table gives no rows.
     """
     ship(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = pa.list_(pa.int64())
-        kinds = [pa.int32()] * 5 + [counts] * 3 + [pa.binary()] * with_pixels
-        names = ["frame", *FRAME_COLUMNS, *["rgba"] * with_pixels]
+        kinds = [pa.int32()] * 5 + [counts] * 3 + [pa.string()] + [pa.binary()] * with_pixels
+        names = ["frame", *FRAME_COLUMNS, "error", *["rgba"] * with_pixels]
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    for k, f in enumerate(decode_gif(data or b"")):
-                        values = [k, *_described(f), *[f.canvas.tobytes()] * with_pixels]
+                    for k, f in enumerate(decode_gif(data or b"", most_pixels)):
+                        values = [k, *_described(f), None, *[f.canvas.tobytes()] * with_pixels]
                         yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *(pa.array([v], kind) for v, kind in zip(values, kinds, strict=True))], names=["doc_id", *names])
-                except ValueError:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *(pa.nulls(1, kind) for kind in kinds)], names=["doc_id", *names])
+                except ValueError as error:
+                    told = {"error": error_of(data, error)}
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *(pa.array([told.get(c)], kind) for c, kind in zip(names, kinds, strict=True))], names=["doc_id", *names])
 
-    schema = "doc_id long, frame int, " + FRAME.replace(":", "") + ", rgba binary" * with_pixels
+    schema = "doc_id long, frame int, " + FRAME.replace(":", "") + ", error string" + ", rgba binary" * with_pixels
     return media.select("doc_id", "media").mapInArrow(run, schema)
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """What is read back of stored texts: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, frames.
+def media_digests(media: DataFrame, most_pixels: int | None = MOST_PIXELS) -> DataFrame:
+    """What is read back of stored texts: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, frames, error.
 
     frames holds every timed frame with its colour histograms. feature tells how many there are, the
     time they take, their size and the histogram of shown grey levels over all frames. Equal texts
-    have equal values. Media that is null or damaged has null for what would come from it. An empty
-    table gives no rows.
+    have equal values. Media that is null, damaged or too large has null for what would come from it,
+    and says so in error. Media of any length is decoded frame by frame. Other columns are ignored,
+    whatever their names. An empty table gives no rows.
     """
     ship(media.sparkSession)
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "error"]
 
     def read(data: bytes | None) -> tuple:
         if data is None:
-            return (None,) * 7
+            return (*(None,) * 7, "missing")
         stored = len(data), hashlib.sha256(data).hexdigest()
         digest, size, tail, levels, frames, shape = hashlib.sha256(), 0, b"", np.zeros(BINS, np.int64), [], (0, 0)
         try:
-            for f in decode_gif(data):
+            for f in decode_gif(data, most_pixels):
                 part = f.indices.tobytes()
                 digest.update(part)
                 size += len(part)
@@ -381,22 +396,22 @@ def media_digests(media: DataFrame) -> DataFrame:
                 levels += np.bincount(shown.ravel(), minlength=256).reshape(BINS, -1).sum(1)
                 frames.append(_described(f))
                 shape = f.canvas.shape
-        except ValueError:
-            return (None, None, None, *stored, None, None)
+        except ValueError as error:
+            return (None, None, None, *stored, None, None, error_of(data, error))
         time_cs = sum(frames[-1][:2]) if frames else 0
         feature = f"frames={len(frames)};cs={time_cs};size={shape[1]}x{shape[0]};levels={','.join(map(str, levels.tolist()))}"
-        return size, digest.hexdigest(), zlib.crc32(tail), *stored, feature, [dict(zip(FRAME_COLUMNS, f, strict=True)) for f in frames]
+        return size, digest.hexdigest(), zlib.crc32(tail), *stored, feature, [dict(zip(FRAME_COLUMNS, f, strict=True)) for f in frames], None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = pa.list_(pa.int64())
         frame = pa.struct([(c, counts if c in ("red", "green", "blue") else pa.int32()) for c in FRAME_COLUMNS])
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(frame)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(frame), pa.string()]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 out = [(doc_id, n_bytes, *read(data)) for doc_id, n_bytes, data in zip(*(c.to_pylist() for c in batch.slice(at, 128).columns), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<{FRAME}>>"
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<{FRAME}>>, error string"
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 

@@ -27,6 +27,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 LEAST_CHARS = 20
 LEAST_DOCS = 3
 NO_ID = -(2**63)
+FIRST_BATCH = 1 << 14
 
 
 def ascii_lower(text: Column) -> Column:
@@ -85,9 +86,15 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.withColumn("key", key).filter(F.char_length("key") >= LEAST_CHARS).select("did", "tie", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
 
 
-def dropped_lines(docs: DataFrame, batches: int = 4, fanout: int = 4, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """(did, tie, pos) of every line that goes, batch by batch."""
+def batches_for(rows: int) -> int:
+    """How many batches so many documents come in: four for some ten thousand, one more for each doubling, so that runs are merged up level by level as the corpus grows."""
+    return max(4, (rows // FIRST_BATCH).bit_length() + 2)
+
+
+def dropped_lines(docs: DataFrame, batches: int | None = None, fanout: int = 4, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """(did, tie, pos) of every line that goes, batch by batch. batches: by default as batches_for() has it."""
     spark = docs.sparkSession
+    batches = batches or batches_for(docs.count())
     edges = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)])).first()[0] or []
     path = new_path(spark, "lines")
     lines = line_table(docs)
@@ -121,7 +128,8 @@ def dedup_lines(docs: DataFrame, **params) -> DataFrame:
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of at least 20 code
     points that stand in at least three documents lose all their lines, except in the largest doc_id
     that holds them. A null or empty text is one empty line. Rows with the same doc_id count as one
-    document, rows without an id as one that is smaller than all others. An empty table gives no rows.
+    document, rows without an id as one that is smaller than all others. Texts of any length are split
+    whole; other columns stay as they are, whatever their names. An empty table gives no rows.
     """
     gone = dropped_lines(docs, **params).groupBy("did", "tie").agg(F.collect_set("pos").alias("gone"))
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -135,7 +143,7 @@ def dedup_lines(docs: DataFrame, **params) -> DataFrame:
 
 
 def dedup_digests(docs: DataFrame, **params) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the SHA-256 of what stays of every document."""
+    """doc_id, n_lines, n_dropped and the SHA-256 of what stays of every document. Cases as in dedup_lines(); columns beside doc_id and text are ignored, whatever their names."""
     slim = docs.select("doc_id", "text")
     out = dedup_lines(slim, **params)
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -116,13 +116,13 @@ def mix(docs: DataFrame, carry: list[str], weights: tuple[float, ...] = WEIGHTS,
 
 
 def mixed_sizes(docs: DataFrame, **params) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words taken, repeats counted) and copies of every document."""
+    """doc_id, size, source_size, target, taken (words taken, repeats counted) and copies of every document. Cases as in mix(); columns beside doc_id, text and source are ignored, whatever their names."""
     taken = (F.col("size") * F.col("copies")).alias("taken")
     return mix(docs, ["doc_id"], **params).select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", taken, "copies")
 
 
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of ``docs`` alone, whatever their names. An empty table gives no rows."""
+    """The mix itself: each document as often as it is taken, with the columns of ``docs`` alone, whatever their names. Texts of any length are taken whole, and no more than three times. An empty table gives no rows."""
     out = mix(docs, docs.columns, **params)
     return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
 

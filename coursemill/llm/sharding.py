@@ -4,17 +4,19 @@ The ring is cut into a fixed number of cells. Each virtual node stands on a cell
 the cell of its hash and walks clockwise to the first virtual node whose shard has room. Only the
 number of keys of each cell reaches the driver (at most ``2**cell_bits`` rows, whatever the input),
 where the walk is done for whole runs of keys; every row then finds its shard and slot by its rank
-in its cell. Capacities are the row count dealt out evenly, so shard sizes differ by one at most.
+among all, by ranges of the ring that are cut anywhere, between equal rows too. Capacities are the row count dealt out evenly, so shard sizes differ by one at most.
 """
 
 from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coursemill.operators.numbering import numbered
 from coursemill.session import stash
 
 CELL_BITS = 12
@@ -67,19 +69,22 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, virtual_nodes: int = VIRT
 
     size is the UTF-8 length plus 1; a null text counts as empty. Documents without an id are
     hashed by their text, so that those of one text walk from one cell. Equal rows are
-    interchangeable: which of them gets which slot is open, the set of returned rows is not. Other columns are ignored; an empty table gives no rows.
+    interchangeable: which of them gets which slot is open, the set of returned rows is not. Texts of any
+    length count whole. Other columns are ignored, whatever their names; an empty table gives no rows.
     law is ``rows``: shard sizes differ by one at most, so grown_shard is null.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     place = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.lit("key"))).otherwise(F.xxhash64(F.lit("no id"), "text_crc32", "size"))
-    keyed = keyed.withColumn("place", place).withColumn("cell", F.shiftrightunsigned("place", 64 - cell_bits).cast("int"))
-    keyed = stash(keyed, "ring-keys")
+    # ``turn`` counts places from the start of the ring, and ``tie`` tells equal rows apart, so that ranges may cut between them
+    keyed = keyed.withColumn("turn", place.bitwiseXOR(F.lit(-(2**63)))).withColumn("cell", F.shiftrightunsigned(place, 64 - cell_bits).cast("int"))
+    keyed = stash(keyed.withColumn("tie", F.monotonically_increasing_id()), "ring-keys")
     counts = {r["cell"]: r["n"] for r in keyed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    runs = spark.createDataFrame(walk_ring(counts, n_shards, virtual_nodes, cell_bits), "run_cell int, first long, past long, shard int, slot0 long")
-    order = Window.partitionBy("cell").orderBy("place", F.col("doc_id").asc_nulls_first(), "size", "text_crc32")
-    ranked = keyed.withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    before = dict(zip(sorted(counts), accumulate((counts[c] for c in sorted(counts)), initial=0), strict=False))
+    walked = walk_ring(counts, n_shards, virtual_nodes, cell_bits)
+    runs = spark.createDataFrame([(cell, before[cell] + first, before[cell] + past, shard, slot) for cell, first, past, shard, slot in walked], "run_cell int, first long, past long, shard int, slot0 long")
+    ranked = numbered(keyed, "rank", ["turn", F.col("doc_id").asc_nulls_first(), "size", "text_crc32", "tie"]).withColumn("rank", F.col("rank") - 1)
     # runs has at most 2**cell_bits + n_shards rows
     placed = ranked.join(F.broadcast(runs), (F.col("cell") == F.col("run_cell")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("slot0") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

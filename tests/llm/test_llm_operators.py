@@ -470,6 +470,29 @@ def test_gif_disposal_transparency_and_palette():
     assert one.indices.tolist() == [[1, 1], [2, 2]]
 
 
+def test_a_gif_of_another_encoder():
+    """Ten by ten pixels in white, red and blue, as drawn by another program; its picture is known."""
+    data = bytes.fromhex("474946383961 0A000A00 910000 FFFFFF FF0000 0000FF 000000 21F9040000000000 2C000000000A000A0000 02 16 8C2D99872A1CDC33A00275EC95FAA8DE608C04914C01 00 3B")
+    (one,) = gif.decode_gif(data)
+    rows = [[1] * 5 + [2] * 5] * 3 + [[1] * 3 + [0] * 4 + [2] * 3] * 2 + [[2] * 3 + [0] * 4 + [1] * 3] * 2 + [[2] * 5 + [1] * 5] * 3
+    assert one.indices.tolist() == rows
+    colours = [(255, 255, 255, 255), (255, 0, 0, 255), (0, 0, 255, 255)]
+    assert [[tuple(map(int, p)) for p in row] for row in one.canvas] == [[colours[k] for k in row] for row in rows]
+    assert gif.histogram(one.canvas)[0].tolist() == [42, 0, 0, 0, 0, 0, 0, 58]  # red: blue pixels have none
+
+
+def test_media_that_is_too_large_says_so(spark):
+    wide = b"GIF89a" + (60_000).to_bytes(2, "little") * 2 + bytes(3) + b"\x3b"
+    rows = [(1, 3, gif.encode_gif(b"abc" + bytes(61)), "x"), (2, 3, wide, "x"), (3, 3, None, "x"), (4, 3, b"GIF89a", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary, frame string")
+    told = lambda found: {r["doc_id"]: r["error"] for r in found.collect()}
+    want = {1: None, 2: "too large", 3: "missing", 4: "damaged"}
+    assert told(gif.media_digests(df)) == told(gif.media_frames(df)) == want
+    assert told(gif.media_digests(df, most_pixels=63))[1] == "too large"
+    (one,) = gif.decode_gif(gif.encode_gif(bytes(64)), None)
+    assert one.canvas.shape[1] == 64
+
+
 def test_media_of_texts(spark, docs, none):
     out = gif.round_trip(docs).collect()
     want = {}
