@@ -74,20 +74,22 @@ def similar_courses(sims: DataFrame, n: int = 10) -> DataFrame:
     return ranked.filter("rank > 1").withColumn("rank", F.col("rank") - 1)
 
 
-def content_scores(history: DataFrame, sims: DataFrame, courses: DataFrame, by: tuple[str, ...] = (), least: int = 20, most_courses: int = MOST_COURSES) -> DataFrame:
+def content_scores(history: DataFrame, sims: DataFrame, courses: DataFrame, by: tuple[str, ...] = (), least: int = 20, most_courses: int = MOST_COURSES, best: int | None = None) -> DataFrame:
     """(student_id, course_id, score): similarity summed over the student's history, for courses outside it.
 
     All courses that score above 0; and for a student with fewer than ``least`` of these, so many of
     the courses that score 0, the first by course_id, that there are ``least`` rows: the longest list
     that is taken from the scores. A student none of whose courses is in the catalogue has no rows.
     With a catalogue of up to ``most_courses`` a task scores its students from the matrix of
-    similarities, beyond that histories are joined with them; the rows are the same. sims: stashed.
+    similarities, beyond that histories are joined with them; the rows are the same. best: only each
+    student's first so many, up to ``least``. sims: stashed.
     """
     keys = [*by, "student_id"]
     history = history.select(*keys, "course_id").distinct()
     names = _names(courses, most_courses)
     if names is None:
-        return _content_scores_by_joins(history, sims, courses, keys, least)
+        scored = _content_scores_by_joins(history, sims, courses, keys, least)
+        return scored if best is None else top_n(scored, keys, by_score(), best).drop("rank")
     place = {c: k for k, c in enumerate(names)}
     table = np.zeros((len(names), len(names)))
     for r in sims.collect():  # at most most_courses squared rows
@@ -102,7 +104,7 @@ def content_scores(history: DataFrame, sims: DataFrame, courses: DataFrame, by:
         none = (r == 0) & ~some
         return scores, some | first_columns(none, least - some.sum(1))
 
-    return _scored_rows(rows, keys, names, {(): (table,)}, (), score)
+    return _scored_rows(rows, keys, names, {(): (table,)}, (), score, best)
 
 
 def rounded(x: np.ndarray) -> np.ndarray:
@@ -121,8 +123,17 @@ def _names(courses: DataFrame, most: int) -> list[str] | None:
     return found if len(found) <= most else None
 
 
-def _scored_rows(rows: DataFrame, keys: list[str], names: list[str], tables: dict[tuple, tuple[np.ndarray, ...]], by: tuple[str, ...], score: Callable) -> DataFrame:
-    """(keys, course_id, score) of rows (keys, cells): ``score`` gives for a matrix of students x courses, and the tables of their values of ``by``, the scores and which of them count."""
+def best_columns(scores: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
+    """Of what is chosen in each row, the n largest of rounded scores, ties to the first column."""
+    width = scores.shape[1]
+    if width <= n:
+        return chosen
+    key = np.where(chosen, np.arange(width) - np.rint(scores * 10**PLACES) * width, np.inf)
+    return chosen & (key <= np.partition(key, n - 1, axis=1)[:, n - 1 : n])
+
+
+def _scored_rows(rows: DataFrame, keys: list[str], names: list[str], tables: dict[tuple, tuple[np.ndarray, ...]], by: tuple[str, ...], score: Callable, best: int | None = None) -> DataFrame:
+    """(keys, course_id, score) of rows (keys, cells): ``score`` gives for a matrix of students x courses, and the tables of their values of ``by``, the scores and which of them count. best: only each row's first so many by score."""
     ship(rows.sparkSession)
     model = rows.sparkSession.sparkContext.broadcast((names, {c: k for k, c in enumerate(names)}, tables))
 
@@ -137,6 +148,7 @@ def _scored_rows(rows: DataFrame, keys: list[str], names: list[str], tables: dic
                 for value, members in groups.items():
                     own = part.take(pa.array(members))
                     scores, counts = score(_dense(own.column("cells").to_pylist(), place), tables[value])
+                    counts = counts if best is None else best_columns(scores, counts, best)
                     s, c = np.nonzero(counts)
                     who = pa.array(s)
                     yield pa.RecordBatch.from_arrays([*(own.column(x).take(who) for x in keys), pa.array(names).take(pa.array(c)), pa.array(scores[s, c])], names=[*keys, "course_id", "score"])
@@ -214,26 +226,30 @@ def rows_by_student(matrix: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return matrix.groupBy(*by, "student_id").agg(F.collect_list(F.struct("course_id", "r")).alias("cells"))
 
 
-def predicted_ratings(matrix: DataFrame, by: tuple[str, ...] = (), most_cells: int = MOST_CELLS) -> DataFrame:
+def predicted_ratings(matrix: DataFrame, by: tuple[str, ...] = (), most_cells: int = MOST_CELLS, best: int | None = None) -> DataFrame:
     """(student_id, course_id, score) for every course that a similar student has rated: ratings weighted by similarity, over all raters, the student too.
 
     For ratings above 0. Their similarities aren't negative, so both sums over raters can be taken
     for pairs of courses first: the work grows with ratings x catalogue, not with pairs of students.
     Every task sums the pairs of its students up before they are shuffled; with up to ``most_cells``
     pairs (for all values of ``by``) a task then scores its students from their tables, beyond that
-    ratings are joined with them.
+    ratings are joined with them. best: only each student's first so many of the predictions above 0
+    for courses that the student has not rated.
     """
     keys = [*by, "student_id"]
     names = _names(matrix, int(most_cells**0.5))
     kinds = [tuple(r) for r in matrix.select(*by).distinct().collect()] if by and names is not None else [()]
     if names is None or len(names) ** 2 * max(len(kinds), 1) > most_cells:
-        return _predicted_ratings_by_joins(matrix, by)
+        scored = _predicted_ratings_by_joins(matrix, by)
+        return scored if best is None else top_n(_unrated(scored, matrix, by), keys, by_score(), best).drop("rank")
     rows = stash(rows_by_student(matrix, by), "student-rows")
 
     def score(r: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return weighted_means(r, own)
+        scores, some = weighted_means(r, own)
+        scores = rounded(scores)
+        return scores, some if best is None else some & (scores > 0) & (r == 0)
 
-    return _scored_rows(rows, keys, names, pair_tables(rows, names, kinds, by), by, score).withColumn("score", F.round("score", PLACES))
+    return _scored_rows(rows, keys, names, pair_tables(rows, names, kinds, by), by, score, best)
 
 
 def weighted_means(r: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,9 +305,13 @@ def _predicted_ratings_by_joins(matrix: DataFrame, by: tuple[str, ...]) -> DataF
     return out.select(*by, "student_id", "course_id", F.round("score", PLACES).alias("score"))
 
 
-def user_cf_scores(matrix: DataFrame, by: tuple[str, ...] = (), most_cells: int = MOST_CELLS) -> DataFrame:
-    """Predictions above 0 for courses that the student has not rated."""
-    return predicted_ratings(matrix, by, most_cells).filter("score > 0").join(matrix, [*by, "student_id", "course_id"], "left_anti")
+def _unrated(scored: DataFrame, matrix: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return scored.filter("score > 0").join(matrix, [*by, "student_id", "course_id"], "left_anti")
+
+
+def user_cf_scores(matrix: DataFrame, by: tuple[str, ...] = (), most_cells: int = MOST_CELLS, best: int | None = None) -> DataFrame:
+    """Predictions above 0 for courses that the student has not rated. best: only each student's first so many."""
+    return predicted_ratings(matrix, by, most_cells, best) if best else _unrated(predicted_ratings(matrix, by, most_cells), matrix, by)
 
 
 def item_cf_scores(matrix: DataFrame, students: DataFrame | None = None, neighbours: int = 20, most_courses: int = MOST_COURSES, rated_too: bool = False, least: int = 20) -> DataFrame:

@@ -341,6 +341,12 @@ def _evaluation() -> dict[str, str]:
         "metrics_at_k_skipping": with_tables("SELECT * FROM result", *src, more=f"{folded(1)}, {three}, {metrics('recs', 'model, fold')}"),
         "metrics_at_k_with_zeros": with_tables("SELECT * FROM result", *src, more=f"{folded(1)}, {three}, {metrics('recs', 'model, fold', skip=False)}"),
         "repeated_holdout_summary": with_tables("SELECT model, count(*) AS folds, " + ", ".join(f"floor(sum(round({n} * 1000000)::BIGINT)::DOUBLE / count({n}) + 0.5) / 1000000.0::DOUBLE AS {n}_mean, round(stddev_pop({n}), 6) AS {n}_std" for n in names) + " FROM result GROUP BY model", *src, more=f"{folded(FOLDS)}, {three}, {metrics('recs', 'model, fold')}"),
+        "holdout_report": with_tables(
+            f"SELECT row_number() OVER (ORDER BY model, m, k) AS position, line FROM (SELECT model, 0 AS m, unnest([0, 1]) AS k, unnest([model || ':', repeat('-', 70)]) AS line FROM result UNION ALL "
+            + " UNION ALL ".join(f"SELECT model, {i}, unnest([0, 1, 2, 3]), unnest(['  {n}:', '    Mean: ' || printf('%.4f', {n}), '    Std:  0.0000', '    Values: [' || printf('%.4f', {n}) || ']']) FROM result" for i, n in enumerate(names[1:], 1))
+            + " UNION ALL SELECT model, 99, 0, '' FROM result)",
+            *src, more=f"{folded(1)}, {three}, {metrics('recs', 'model, fold')}",
+        ),
         "rmse_mae": with_tables("SELECT t.fold, count(*) AS predictions, round(sqrt(avg((score - rating) * (score - rating))), 6) AS rmse, round(avg(abs(score - rating)), 6) AS mae FROM split_ t JOIN pred p ON t.fold = p.fold AND t.student_id = p.student_id AND t.course_id = p.course_id WHERE is_test AND score > 0 AND (t.fold, t.student_id) IN (SELECT (fold, student_id) FROM split_ WHERE is_test AND rating >= 4) AND (t.fold, t.student_id) IN (SELECT (fold, student_id) FROM cf) GROUP BY ALL", *src, more=folded(FOLDS)),
         "history_lists": with_tables("SELECT student_id, string_agg(course_id, ',' ORDER BY d, course_id) AS courses FROM (SELECT student_id, course_id, min(quiz_date) AS d FROM quiz GROUP BY ALL) GROUP BY ALL", "quiz"),
         "full_history_lists": with_tables("SELECT student_id, string_agg(course_id, ',' ORDER BY quiz_date, quiz_id) AS courses FROM quiz GROUP BY ALL", "quiz"),
@@ -392,10 +398,10 @@ FROM student LEFT JOIN (SELECT student_id, sum(video_watched::INTEGER)::BIGINT A
         "course_keywords": with_tables("SELECT course_id, keywords FROM kw", "course", more=words),
         "explanations": with_tables(
             f"""SELECT student_id, course_id, array_to_string(list_filter([
-  CASE WHEN (student_id, category) IN (SELECT (student_id, category) FROM activity JOIN course USING (course_id)) THEN 'category: Matches your interest in ' || category END,
-  CASE WHEN difficulty = preferred_difficulty THEN 'difficulty: Matches your preferred difficulty level (' || preferred_difficulty || ')' WHEN difficulty = 'Beginner' AND avg_quiz_score < 60 THEN 'difficulty: Easier course to build foundational skills' END,
-  CASE WHEN c.rating >= 4.5 THEN 'rating: Highly rated course (' || printf('%.1f', c.rating) || '/5.0)' END, CASE WHEN rn > 5 AND rm >= 4 THEN 'collaborative: Popular among similar students (avg ' || printf('%.1f', rm) || '/5)' END,
-  CASE WHEN first3 IS NOT NULL THEN 'content: Covers: ' || first3 END, CASE WHEN difficulty = 'Beginner' AND adv > 0 THEN 'path: Foundation for ' || adv || ' advanced courses' END], lambda x: x IS NOT NULL)[:4], '; ') AS reasons
+  CASE WHEN (student_id, category) IN (SELECT (student_id, category) FROM activity JOIN course USING (course_id)) THEN 'category bi-bookmark-check: Matches your interest in ' || category END,
+  CASE WHEN difficulty = preferred_difficulty THEN 'difficulty bi-bullseye: Matches your preferred difficulty level (' || preferred_difficulty || ')' WHEN difficulty = 'Beginner' AND avg_quiz_score < 60 THEN 'difficulty bi-arrow-down-circle: Easier course to build foundational skills' END,
+  CASE WHEN c.rating >= 4.5 THEN 'rating bi-star-fill: Highly rated course (' || printf('%.1f', c.rating) || '/5.0)' END, CASE WHEN rn > 5 AND rm >= 4 THEN 'collaborative bi-people: Popular among similar students (avg ' || printf('%.1f', rm) || '/5)' END,
+  CASE WHEN first3 IS NOT NULL THEN 'content bi-tags: Covers: ' || first3 END, CASE WHEN difficulty = 'Beginner' AND adv > 0 THEN 'path bi-signpost-split: Foundation for ' || adv || ' advanced courses' END], lambda x: x IS NOT NULL)[:4], '; ') AS reasons
 FROM ({top("cf", 10)}) JOIN student s USING (student_id) JOIN course c USING (course_id) LEFT JOIN (SELECT course_id, count(*) AS rn, avg(rating) AS rm FROM rating GROUP BY ALL) USING (course_id) LEFT JOIN (SELECT category, count(*) AS adv FROM course WHERE difficulty = 'Advanced' GROUP BY ALL) USING (category) LEFT JOIN kw USING (course_id)""",
             "rating", "activity", "course", "student", more=f"{MATRIX}, {CF}, {words}",
         ),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -251,7 +252,7 @@ def seen_union(p):
 
 def _hybrid(p: Platform, n: int = 10) -> DataFrame:
     seen = stash(_seen(p), "seen")
-    return rec.hybrid_scores(rec.content_scores(seen, _sims(p), p.course, least=2 * n), rec.user_cf_scores(_matrix(p)), seen, n)
+    return rec.hybrid_scores(rec.content_scores(seen, _sims(p), p.course, least=2 * n, best=2 * n), rec.user_cf_scores(_matrix(p), best=2 * n), seen, n)
 
 
 def hybrid_topn(p):
@@ -286,8 +287,9 @@ def _lists(p: Platform, folds: int, weights=(0.4, 0.6)) -> tuple[DataFrame, Data
     split = stash(_split(p, folds), "split")
     train = split.filter("NOT is_test")
     matrix, history = rec.rating_matrix(train, by=("fold",)), train.select("fold", *KEYS).distinct()
-    content = stash(rec.content_scores(history, _sims(p), p.course, by=("fold",)), "content")
-    cf = stash(rec.user_cf_scores(stash(matrix, "matrix"), by=("fold",)), "cf")
+    # lists of ten are made of each model's first twenty
+    content = stash(rec.content_scores(history, _sims(p), p.course, by=("fold",), best=20), "content")
+    cf = stash(rec.user_cf_scores(stash(matrix, "matrix"), by=("fold",), best=20), "cf")
     return split, content, cf, rec.hybrid_scores(content, cf, history, 10, weights, by=("fold",))
 
 
@@ -318,6 +320,11 @@ def rmse_mae(p):
     return evaluation.holdout_errors(p.rating.select("rating_id", *KEYS, "rating"), FOLDS)
 
 
+def holdout_report(p):
+    """The text report of one holdout."""
+    return evaluation.report(_metrics(p, 1), ["precision_5", "recall_5", "f1_5", "precision_10", "recall_10", "f1_10", "coverage"])
+
+
 def weight_search(p):
     grid = p.spark.createDataFrame([(0.2, 0.8), (0.4, 0.6), (0.5, 0.5), (0.8, 0.2)], "content_weight double, collaborative_weight double")
     split, *_, hybrid = _lists(p, 1, grid)
@@ -386,7 +393,8 @@ def grade_features(p):
 
 def grade_predictions(p):
     rows = grade_features(p)
-    return ml.predict_grades(ml.fit_grades(rows), rows).select("quiz_id", "predicted_score", "confidence", "factors")
+    model = p.kept_model("grades", ("student", "activity", "quiz", "course"), lambda: ml.fit_grades(rows), RandomForestRegressionModel)
+    return ml.predict_grades(model, rows).select("quiz_id", "predicted_score", "confidence", "factors")
 
 
 def cluster_features(p):
@@ -394,12 +402,12 @@ def cluster_features(p):
 
 
 def clusters(p):
-    return ml.cluster_students(ml.cluster_features(p.student, p.activity, p.quiz))
+    return p.kept("clusters", ("student", "activity", "quiz"), lambda: ml.cluster_students(ml.cluster_features(p.student, p.activity, p.quiz)))
 
 
 def cluster_distribution(p):
     """Of the fitted clusters."""
-    return ml.cluster_distribution(stash(clusters(p).select("student_id", "cluster"), "clusters"))
+    return ml.cluster_distribution(clusters(p).select("student_id", "cluster"))
 
 
 def _words(p: Platform) -> DataFrame:
@@ -412,7 +420,7 @@ def course_keywords(p):
 
 def explanations(p):
     out = ml.explanations(cf_user_topn(p).select(*KEYS), p.student, p.activity, p.rating, p.course, _words(p))
-    return out.select(*KEYS, F.array_join(F.transform("reasons", lambda r: F.concat(r["type"], F.lit(": "), r["text"])), "; ").alias("reasons"))
+    return out.select(*KEYS, F.array_join(F.transform("reasons", lambda r: F.concat(r["type"], F.lit(" "), r["icon"], F.lit(": "), r["text"])), "; ").alias("reasons"))
 
 
 # --- serving ---
@@ -596,7 +604,7 @@ _OPERATORS = [
     topic_interest, topic_interest_pivot, completion_rate, quiz_perf_category, quiz_perf_student, time_per_course, learning_consistency, difficulty_performance, difficulty_pref, student_features,
     synth_enrollments, synth_quizzes, strengthen_enrollments, curate_rating_dates, interaction_quality, time_split, curation_summary, dense_activity_logs, published_quizzes, published_enrollments,
     cf_user_topn, cf_item_topn, item_ratings, similar_users, matrix_sparsity, content_similar, content_user_topn, seen_union, hybrid_topn, cf_user_topn_joined, cf_item_topn_joined, content_user_topn_joined, hybrid_beginner, rules_after_cf, learning_path,
-    holdout_split, metrics_at_k_skipping, metrics_at_k_with_zeros, repeated_holdout_summary, rmse_mae, weight_search, history_lists, full_history_lists,
+    holdout_split, metrics_at_k_skipping, metrics_at_k_with_zeros, repeated_holdout_summary, holdout_report, rmse_mae, weight_search, history_lists, full_history_lists,
     train_inputs, negatives, hybrid_features, hybrid_features_by_student, learned_hybrid_topn, next_course_leaderboard, grade_features, grade_predictions, cluster_features, clusters, cluster_distribution, course_keywords, explanations,
     point_lookup, login_lookup, catalog_search, catalog_filtered, student_courses, category_performance, quiz_history, module_progress, current_module, course_progress, quiz_review, quiz_score, attempt_numbers,
     course_detail, admin_preview, minutes_shown, after_register, after_enroll, after_unenroll, after_quiz, after_module, after_module_enrollments,

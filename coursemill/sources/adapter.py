@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursemill.sources.kept import kept
+from coursemill.sources.kept import kept, kept_model
 
 _SID = "concat('S', lpad(cast({0} AS STRING), 7, '0'))"
 _LINE = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
@@ -102,9 +102,14 @@ class Platform:
 
     def kept(self, label: str, tables: tuple[str, ...], build: Callable[[], DataFrame], **params: object) -> DataFrame:
         """A result made from these tables, kept for the state of the files that they come from."""
-        needs = sorted({n for t in tables for n in BODIES[t][0]})
-        bodies = [BODIES[t][1] for t in tables]
-        return kept(self.spark, label, [f"{self.sf_dir}/{n}.parquet" for n in needs], build, bodies=bodies, **params)
+        return kept(self.spark, label, self._files(tables), build, bodies=[BODIES[t][1] for t in tables], **params)
+
+    def kept_model(self, label: str, tables: tuple[str, ...], fit: Callable[[], object | None], kind: type, **params: object) -> object | None:
+        """A fitted model likewise."""
+        return kept_model(self.spark, label, self._files(tables), fit, kind, bodies=[BODIES[t][1] for t in tables], **params)
+
+    def _files(self, tables: tuple[str, ...]) -> list[str]:
+        return [f"{self.sf_dir}/{n}.parquet" for n in sorted({n for t in tables for n in BODIES[t][0]})]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BODIES:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coursemill.session import remove_at_exit, shared_dir, stash
+from coursemill.session import new_path, remove_at_exit, shared_dir, stash
 
 #: A session setting: with ``true``, kept results outlive the driver and serve later ones too.
 KEEP_SETTING = "spark.coursemill.keep"
@@ -63,3 +63,28 @@ def kept(spark: SparkSession, label: str, paths: list[str], build: Callable[[],
 def _done(spark: SparkSession, path: str) -> bool:
     mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def kept_model(spark: SparkSession, label: str, paths: list[str], fit: Callable[[], object | None], kind: type, **params: object) -> object | None:
+    """A fitted Spark ML model, fitted at the first call for the state of ``paths`` and these parameters, and loaded after that.
+
+    It is saved under a name of its own and then renamed, so that a path holds a whole model or none.
+    kind: the model's class. What can't be fitted (None) isn't kept.
+    """
+    mark = fingerprint(spark, label, paths, params)
+    if mark is None:
+        return fit()
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/coursemill/kept/{label}-{mark}")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        model = fit()
+        if model is None:
+            return None
+        saved = new_path(spark, label)
+        model.save(saved)
+        system.mkdirs(path.getParent())
+        system.rename(jvm.org.apache.hadoop.fs.Path(saved), path)
+        if spark.conf.get(KEEP_SETTING, "false") != "true":
+            remove_at_exit(spark, path.toString())
+    return kind.load(path.toString())

@@ -104,3 +104,83 @@ def test_quantiles_of_little(spark):
     assert selection.quantiles(spark.createDataFrame([(None,)], "x int"), "x", [0.5]) == [None]
     assert selection.quantiles(spark.createDataFrame([(3,)], "x int"), "x", [0.0, 0.5, 1.0]) == [3.0, 3.0, 3.0]
     assert selection.quantiles(spark.createDataFrame([(3,)] * 9, "x int"), "x", [0.1], few=1) == [3.0]
+
+
+def test_kept_models_are_loaded(spark, tmp_path):
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    from coursemill.operators import ml
+    from coursemill.sources.kept import kept_model
+
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(*[rng.random() for _ in ml.GRADE_FEATURES], 100 * rng.random()) for _ in range(40)], ", ".join(f"{c} double" for c in [*ml.GRADE_FEATURES, "score_percentage"]))
+    source, fitted = str(tmp_path / "source"), []
+    rows.write.parquet(source)
+
+    def fit():
+        fitted.append(1)
+        return ml.fit_grades(spark.read.parquet(source), trees=3)
+
+    first, again = (kept_model(spark, "grades", [source], fit, RandomForestRegressionModel) for _ in range(2))
+    assert len(fitted) == 1
+    shown = lambda m: [r["prediction"] for r in m.transform(ml._assembled(rows, ml.GRADE_FEATURES)).collect()]
+    assert shown(first) == shown(again)
+    assert kept_model(spark, "grades", [source], lambda: None, RandomForestRegressionModel, trees=9) is None
+
+
+HISTORY = "student_id string, course_id string, preference_score double, enrollment_progress double, avg_quiz_score double, positive_label boolean"
+
+
+def test_learned_features_are_the_same_either_way(spark):
+    """By the student's row and by joins: features of pairs and of all that is unseen, and the lists that a forest makes of them."""
+    from coursemill.operators import hybrid, ml
+    from coursemill.operators import recommend as rec
+
+    rng = random.Random(4)
+    levels = ["Beginner", "Intermediate", "Advanced", None]
+    courses = spark.createDataFrame([(f"c{k:02d}", f"{rng.choice(['spark', 'flink', 'art'])} part{k % 5} word{k % 3}", rng.choice("XYZ"), levels[k % 4]) for k in range(16)], "course_id string, title string, category string, difficulty string")
+    rows = [(f"s{i:02d}", f"c{j:02d}", rng.choice([0.0, 0.25, 0.75, 1.0]), 100 * rng.random(), 100 * rng.random(), rng.random() < 0.5) for i in range(30) for j in rng.sample(range(16), 6)]
+    rows += [("s01", "gone", 0.5, 10.0, 20.0, True), ("s02", "gone", 1.0, 10.0, 20.0, False)]
+    train = stash(spark.createDataFrame(rows, HISTORY), "train")
+    sims = stash(rec.content_similarity(rec.tfidf(rec.course_content(courses, ["title"]), [])), "sims")
+    matrix = stash(rec.rating_matrix(ml.train_inputs(train)), "matrix")
+    pairs = stash(ml.sampled_negatives(train, courses).unionByName(train.filter("course_id <> 'gone'").select("student_id", "course_id")), "pairs")
+    joined = ml.hybrid_features(pairs, train, courses, sims, rec.predicted_ratings(matrix), rec.predicted_item_ratings(pairs, matrix))
+    tables = hybrid.tables_for(train, matrix, courses, sims)
+    made = hybrid.feature_rows(tables, train, matrix, pairs.groupBy("student_id").agg(F.collect_set("course_id").alias("wanted")))
+    want = {(r["student_id"], r["course_id"]): [r[c] for c in ml.HYBRID_FEATURES] for r in joined.collect()}
+    got = {(r["student_id"], r["course_id"]): r["features"] for r in made.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=2e-6) for k in want)
+    asked = spark.createDataFrame([(f"s{i:02d}",) for i in range(30)] + [("new",)], "student_id string")
+    either = [ml.hybrid_tables(train, matrix, asked, courses, sims, most) for most in (1000, 3)]
+    forest = ml.fit_hybrid(either[0][0], trees=5)
+    lists = [{(r["student_id"], r["course_id"], r["rank"], r["score"]) for r in hybrid.first_ranked(forest, rows, 4).collect()} for _, rows in either]
+    assert lists[0] == lists[1] and len(lists[0]) == 31 * 4
+    assert either[0][0].count() == either[1][0].count()
+    again = ml.fit_hybrid(either[0][0].repartition(3), trees=5)
+    assert {(r["student_id"], r["course_id"], r["rank"], r["score"]) for r in hybrid.first_ranked(again, either[0][1], 4).collect()} == lists[0]
+    assert hybrid.tables_for(train, matrix, courses, sims, 3) is None
+
+
+def test_candidates_are_not_shuffled(spark):
+    """Each student's first n are cut in the task that scores them, before the only exchange."""
+    from coursemill.operators import hybrid, ml
+
+    rng = random.Random(2)
+    labelled = spark.createDataFrame([("s", f"c{k}", k % 2, *[rng.random() for _ in ml.HYBRID_FEATURES]) for k in range(20)], "student_id string, course_id string, label int, " + ", ".join(f"{c} double" for c in ml.HYBRID_FEATURES))
+    rows = labelled.select("student_id", "course_id", F.array(*ml.HYBRID_FEATURES).alias("features"))
+    plan = hybrid.first_ranked(ml.fit_hybrid(labelled, trees=2), rows, 3)._jdf.queryExecution().executedPlan().toString().splitlines()
+    exchange = [k for k, x in enumerate(plan) if "Exchange" in x]
+    partial = [k for k, x in enumerate(plan) if "WindowGroupLimit" in x and "Partial" in x]
+    assert len(exchange) == 1 and len(partial) == 1 and partial[0] > exchange[0]  # plans are read from below
+
+
+def test_the_report_of_an_evaluation(spark, tmp_path):
+    from coursemill.operators import evaluation
+
+    metrics = spark.createDataFrame([("b", 1, 0.25, None), ("b", 0, 0.75, None), ("a", 0, 0.5, 1.0)], "model string, fold int, precision_5 double, rmse double")
+    lines = evaluation.report(metrics, ["precision_5", "rmse"])
+    shown = [r["line"] for r in lines.orderBy("position").collect()]
+    assert shown == ["a:", "-" * 70, "  precision_5:", "    Mean: 0.5000", "    Std:  0.0000", "    Values: [0.5000]", "  rmse:", "    Mean: 1.0000", "    Std:  0.0000", "    Values: [1.0000]", "", "b:", "-" * 70, "  precision_5:", "    Mean: 0.5000", "    Std:  0.2500", "    Values: [0.7500, 0.2500]", "  rmse: none", ""]
+    evaluation.write_report(lines, str(tmp_path / "report"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "report")).collect()] == shown

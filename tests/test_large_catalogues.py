@@ -162,3 +162,20 @@ def test_holdout_errors_by_either_way(spark, repeated):
     assert len(a) == 4 and [x[:2] for x in a] == [x[:2] for x in b]
     assert all(abs(x - y) < 2e-6 for p, q in zip(a, b, strict=True) for x, y in zip(p[2:], q[2:], strict=True))
     assert evaluation.holdout_errors(repeated.limit(0), 4).count() == 0
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_the_best_of_scores_are_their_first_ones(spark, most):
+    """Cut in the task that scores or by a window: the same rows as of all scores, ties to the first course."""
+    rng = random.Random(5)
+    cells = [(f"s{i:02d}", f"c{j:02d}", float(rng.randrange(1, 4))) for i in range(25) for j in range(30) if rng.random() < 0.3]
+    m = stash(spark.createDataFrame(cells, MATRIX), "m")
+    shown = lambda df: sorted((r["student_id"], r["course_id"], r["score"]) for r in df.collect())
+    want = rec.top_n(rec.user_cf_scores(m, most_cells=most), ["student_id"], rec.by_score(), 4).drop("rank")
+    assert shown(rec.user_cf_scores(m, most_cells=most, best=4)) == shown(want)
+    courses = spark.createDataFrame([(f"c{j:02d}",) for j in range(30)], "course_id string")
+    sims = stash(spark.createDataFrame([(f"c{a:02d}", f"c{b:02d}", 0.25 * (1 + (a + b) % 2)) for a in range(30) for b in range(30) if abs(a - b) < 4], "a string, b string, sim double"), "sims")
+    own = m.select("student_id", "course_id")
+    courses_at_most = 1000 if most else 0
+    want = rec.top_n(rec.content_scores(own, sims, courses, most_courses=courses_at_most), ["student_id"], rec.by_score(), 4).drop("rank")
+    assert shown(rec.content_scores(own, sims, courses, most_courses=courses_at_most, best=4)) == shown(want)
