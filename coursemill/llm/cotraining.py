@@ -260,6 +260,8 @@ def classify(docs: DataFrame, model: Quality | None, keep_above: float = KEEP_AB
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
+    # a text column goes along once, within the row
+    inside = "text" in docs.columns and isinstance(docs.schema["text"].dataType, T.StringType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -270,20 +272,27 @@ def classify(docs: DataFrame, model: Quality | None, keep_above: float = KEEP_AB
                 if own is None:
                     scores = (np.ones(n),) * 3
                 else:
-                    scores = own.scores(*_views(part.columns[1:]))
+                    text = part.column(0).field("text") if inside else part.column(1)
+                    scores = own.scores(*_views([text, *part.columns[2:]]))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(s, pa.float64()) for s in scores), pa.array(scores[2] >= keep_above)], names=["row", "p_text", "p_page", "score", "keep"])
 
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *seen_columns(docs))
+    seen = seen_columns(docs)
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.lit(None).cast("string").alias("text") if inside else seen[0], *seen[1:])
     schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.DoubleType()) for c in ("p_text", "p_page", "score")), T.StructField("keep", T.BooleanType())])
     return rows.mapInArrow(run, schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """doc_id, p_text, p_page, score and keep of every document. An empty table gives no rows; without usable labels all are kept."""
+    """doc_id, p_text, p_page, score and keep of every document.
+
+    Null columns are values like others, a null text is an empty one, and texts of any length are seen
+    whole. Repeated rows and ties have equal scores. Other columns are ignored, whatever their names.
+    An empty table gives no rows; without usable labels all are kept.
+    """
     slim = docs.select("doc_id", *seen_columns(docs))
     return classify(slim, train(slim, labels, **params)).select(F.col("row.doc_id").alias("doc_id"), "p_text", "p_page", "score", "keep")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """``docs`` without those that the classifier rejects. Repeated rows go or stay together; an empty table gives no rows."""
+    """``docs`` without those that the classifier rejects. Cases as in score_documents(); repeated rows go or stay together, and all columns stay as they are."""
     return classify(docs, train(docs, labels, **params)).filter("keep").select("row.*")

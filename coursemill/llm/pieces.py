@@ -218,8 +218,8 @@ class _Chunks(dict):
     ``marks`` space marks stand before each rest. Emptied when full, so that memory stays bounded.
     """
 
-    MOST = 700_000
-    MOST_PAIRS = 400_000
+    MOST = 350_000
+    MOST_PAIRS = 300_000
 
     def __init__(self, model: PieceModel, marks: int):
         super().__init__()
@@ -290,8 +290,9 @@ def _digester(data: bytes) -> _Digester:
 def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, where asked for, ids (array of int) and decoded of every document.
 
-    A null text counts as empty; an empty text has no ids. Repeated rows are encoded each for
-    itself, other columns are ignored, an empty table gives no rows. The model file is read on the
+    A null text counts as empty; an empty text has no ids; texts of any length are encoded whole.
+    Repeated rows are encoded each for itself, other columns are ignored, whatever their names, an
+    empty table gives no rows. The model file is read on the
     driver and sent to the executors (half a megabyte). Rows are mapped one by one: no shuffle.
     """
     spark = docs.sparkSession
