@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from coursemill.session import Bucketed, release, ship, stash
 
 LEAST, LONGEST, TOP = 100, 5, 2_000
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 #: Words of the corpus for each bucket of k-grams.
 BUCKET_WORDS = 1 << 22
 #: Candidates that are ranked in one task at first.
@@ -80,19 +81,27 @@ def words_of(text: str) -> list[bytes]:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Whole numbers, compressed: the bytes of equal weight of all numbers stand together."""
-    planes = [np.ascontiguousarray(a, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays]
-    return struct.pack(f"<{1 + len(arrays)}q", len(arrays), *map(len, arrays)) + pa.compress(b"".join(planes), "zstd", asbytes=True)
+    """Whole numbers, compressed: the bytes of equal weight of all numbers stand together, as many as the numbers need."""
+    head, planes = [len(arrays)], [np.zeros(0, np.uint8)]
+    for a in arrays:
+        width = 8 if len(a) and a.min() < 0 else max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+        head += [len(a), width]
+        planes += [(a >> 8 * k & 255).astype(np.uint8) for k in range(width)]
+    return struct.pack(f"<{len(head)}q", *head) + pa.compress(np.concatenate(planes), "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     n = struct.unpack_from("<q", data)[0]
-    sizes = struct.unpack_from(f"<{n}q", data, 8)
-    raw = pa.decompress(data[8 + 8 * n :], 8 * sum(sizes), "zstd", asbytes=True) if sum(sizes) else b""
+    head = struct.unpack_from(f"<{2 * n}q", data, 8)
+    total = sum(size * width for size, width in zip(head[::2], head[1::2], strict=True))
+    raw = np.frombuffer(pa.decompress(data[8 + 16 * n :], total, "zstd", asbytes=True), np.uint8) if total else np.zeros(0, np.uint8)
     out, at = [], 0
-    for size in sizes:
-        out.append(np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size).T.copy().view("<i8").reshape(-1))
-        at += 8 * size
+    for size, width in zip(head[::2], head[1::2], strict=True):
+        own = np.zeros(size, np.int64)
+        for k in range(width):
+            own |= raw[at : at + size].astype(np.int64) << 8 * k
+            at += size
+        out.append(own)
     return out
 
 
@@ -153,24 +162,26 @@ def word_blocks(docs: DataFrame, buckets: int, size: int = BLOCK_BYTES) -> DataF
         def block() -> Iterator[pa.RecordBatch]:
             # the stream has words in the order in which they come first, one language after the other: so it packs well
             shift = dict(zip(numbers, np.cumsum([0, *(len(own) - 1 for own in numbers.values())]).tolist(), strict=False))
-            stream = without_repeated_zeros(np.concatenate([np.where(s > 0, s + shift[x], 0) for x, s in streams]))
-            # a key is language, break, word; they are sent by bucket and key
-            keys = sorted((zlib.crc32(key) % buckets, key, n + shift[x]) for x, own in numbers.items() for w, n in own.items() if n for key in (x.encode() + _BREAK + w,))
-            order = np.array([n for _, _, n in keys], np.int64)
-            rank = np.zeros(len(keys) + 1, np.int64)
-            rank[order] = np.arange(1, len(keys) + 1)
-            f = np.bincount(stream, minlength=len(keys) + 1)
-            yield _rows(BLOCKS, 1, block=first + made, kind=STREAM, data=pack(stream, rank))
+            stream = without_repeated_zeros(np.concatenate([np.where(s > 0, s + np.int32(shift[x]), 0) for x, s in streams]))
+            f = np.bincount(stream)
             for x, own in numbers.items():
                 yield _rows(BLOCKS, 1, block=first + made, kind=TOTAL, first=int(f[shift[x] + 1 : shift[x] + len(own)].sum()), lang=x)
-            f = f[order]
+            # a key is language, break, word; they are sent by bucket and key
+            listed = [x.encode() + _BREAK + w for x, own in numbers.items() for w, n in own.items() if n]
+            bucket = np.fromiter((zlib.crc32(key) % buckets for key in listed), np.int64, len(listed))
+            keys = pa.array(listed, pa.large_binary())
+            order = pc.sort_indices(pa.table({"bucket": bucket, "key": keys}), [("bucket", "ascending"), ("key", "ascending")]).to_numpy().astype(np.int64)
+            rank = np.zeros(len(order) + 1, np.int64)
+            rank[order + 1] = np.arange(1, len(order) + 1)
+            yield _rows(BLOCKS, 1, block=first + made, kind=STREAM, data=pack(stream, rank))
+            keys, bucket, f = keys.take(pa.array(order)), bucket[order], f[order + 1]
+            edges, text = np.frombuffer(keys.buffers()[1], np.int64), keys.buffers()[2]
             packed = []
-            for bucket, a, b in _cuts(np.array([k[0] for k in keys])):
-                part = [key for _, key, _ in keys[a:b]]
-                packed.append((bucket, a + 1, pack(np.array([len(key) for key in part]), f[a:b]), pa.compress(b"".join(part), "zstd", asbytes=True)))
+            for own, a, b in _cuts(bucket):
+                packed.append((own, a + 1, pack(np.diff(edges[a : b + 1]), f[a:b]), pa.compress(text.slice(int(edges[a]), int(edges[b] - edges[a])), "zstd", asbytes=True)))
             if packed:
-                own, at, data, text = map(list, zip(*packed, strict=True))
-                yield _rows(BLOCKS, len(packed), block=first + made, kind=GRAMS, bucket=own, first=at, data=data, keys=text)
+                own, at, data, shown = map(list, zip(*packed, strict=True))
+                yield _rows(BLOCKS, len(packed), block=first + made, kind=GRAMS, bucket=own, first=at, data=data, keys=shown)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
