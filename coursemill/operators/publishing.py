@@ -16,7 +16,9 @@ JITTER = 0.15
 def dense_activity_logs(interactions: DataFrame) -> DataFrame:
     """1 to 4 log rows for every dated interaction, by its tier: dates spread over its span, progress rising to its target, time falling from 1 to 0.7.
 
-    Logs are numbered in the order of (student, event date, course), by ranges of that order.
+    Logs are numbered in the order of (student, event date, course), by ranges of that order. An
+    interaction takes as many numbers as it has logs before these are made, so that they are made once
+    and never moved.
     """
     start = F.coalesce("first_event_date", "last_event_date")
     end = F.greatest(F.coalesce("last_event_date", "first_event_date"), start)
@@ -30,6 +32,7 @@ def dense_activity_logs(interactions: DataFrame) -> DataFrame:
     minutes = F.when(F.col("total_time_spent") > 0, F.col("total_time_spent").cast("double")).otherwise(20 + 80 * stable_fraction(*pair, "time"))
     base = interactions.filter(start.isNotNull()).select(*pair, "signal_tier", "has_quiz", "recommend_event_date", start.alias("start"), F.datediff(end, start).alias("span"), target.alias("target"), count.alias("n"), minutes.alias("minutes"))
     base = stash(base, "dense")  # the ranges are drawn from a first look at the rows
+    base = numbered(base, "first", ["student_id", F.col("recommend_event_date").asc_nulls_last(), "course_id"], copies="n")
     i, n = F.col("i"), F.col("n")
 
     def day_offset(k):
@@ -44,7 +47,7 @@ def dense_activity_logs(interactions: DataFrame) -> DataFrame:
     weight = (1.0 - 0.3 * part) / F.when(n > 1, 0.85 * n).otherwise(1.0)
     kind = F.when((i == n - 1) & F.col("has_quiz"), "quiz_attempt").when((i == n - 2) & tier.isin("strong", "medium"), "assignment").otherwise("video_watch")
     out = rows.withColumns({"progress": progress, "activity_type": kind, "time_spent_minutes": F.greatest(F.lit(10), half_even(F.col("minutes") * weight)), "activity_date": F.date_format(F.date_add("start", F.col("offset")), "yyyy-MM-dd")})
-    out = numbered(out, "number", ["student_id", F.col("recommend_event_date").asc_nulls_last(), "course_id", "i"])
+    out = out.withColumn("number", F.col("first") + F.col("i"))
     kind = F.col("activity_type")
     return out.select(
         F.format_string("L%04d", F.col("number")).alias("log_id"), "student_id", "course_id", "activity_type", "activity_date", "time_spent_minutes",
