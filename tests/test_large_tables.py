@@ -39,3 +39,12 @@ def test_line_items_are_joined_once(spark, no_broadcasts, name):
         spark.read.parquet(f"{SMALL}/{t}.parquet").createOrReplaceTempView(t)
     want = spark.sql(BODIES[name][1])
     assert found.count() == want.count() > 0 and not found.exceptAll(want).head(1)
+
+
+def test_what_grows_with_students_is_not_broadcast(spark):
+    """hybrid_features broadcast the scores of all students, which Spark took for as small as the packed files of their rows."""
+    from coursemill.plans import queries
+
+    found = queries.hybrid_features(Platform(spark, SMALL))
+    joined = [x for x in plan(found).splitlines() if "BroadcastHashJoin" in x and "student_id" in x]
+    assert not joined and "SortMergeJoin" in plan(found)
