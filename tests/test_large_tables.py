@@ -48,3 +48,18 @@ def test_what_grows_with_students_is_not_broadcast(spark):
     found = queries.hybrid_features(Platform(spark, SMALL))
     joined = [x for x in plan(found).splitlines() if "BroadcastHashJoin" in x and "student_id" in x]
     assert not joined and "SortMergeJoin" in plan(found)
+
+
+def test_negatives_rank_all_unseen_courses(spark):
+    """Courses were drawn by a walk, in which one follows from another."""
+    import hashlib
+
+    from coursemill.operators import ml
+
+    courses = spark.createDataFrame([(f"c{k:02d}",) for k in range(20)], "course_id string")
+    train = spark.createDataFrame([("s", "c03", 0.9, True), ("s", "c05", 0.8, True), ("s", "c06", 0.0, False), ("t", "c01", 0.2, False)], "student_id string, course_id string, preference_score double, positive_label boolean")
+    want = set()
+    for s, seen, n in (("s", {"c03", "c05"}, 4), ("t", {"c01"}, 2)):
+        left = [f"c{k:02d}" for k in range(20) if f"c{k:02d}" not in seen]
+        want |= {(s, c) for c in sorted(left, key=lambda c: hashlib.md5(f"{s}|{c}|42".encode()).hexdigest())[:n]}
+    assert {tuple(r) for r in ml.drawn_negatives(train, courses).collect()} == want
