@@ -50,6 +50,21 @@ def test_what_grows_with_students_is_not_broadcast(spark):
     assert not joined and "SortMergeJoin" in plan(found)
 
 
+def test_a_holdout_deals_ratings_once(spark):
+    """A copy of the ratings was shuffled for each fold."""
+    from pyspark.sql import functions as F
+
+    from coursemill.operators import evaluation
+
+    ratings = spark.range(400).select(F.col("id").cast("string").alias("rating_id"), (F.col("id") % 9).cast("string").alias("student_id"), (F.col("id") % 7).cast("string").alias("course_id"), F.lit(3.0).alias("rating"))
+    split = evaluation.holdout(ratings, 5)
+    assert plan(split).index("Exchange") > max(plan(split).rindex("Generate"), 0) and plan(split).count("Exchange") == 1  # below all folds
+    rows = evaluation.unfolded(evaluation.holdout_rows(ratings, 5))
+    key = ["fold", "student_id", "course_id", "is_test"]
+    assert rows.count() == split.count() == 2000 and not rows.select(key).exceptAll(split.select(key)).head(1)
+    assert "Exchange hashpartitioning(fold" not in plan(rows.groupBy("fold", "student_id").count())
+
+
 def test_negatives_rank_all_unseen_courses(spark):
     """Courses were drawn by a walk, in which one follows from another."""
     import hashlib
