@@ -179,3 +179,20 @@ def test_the_best_of_scores_are_their_first_ones(spark, most):
     courses_at_most = 1000 if most else 0
     want = rec.top_n(rec.content_scores(own, sims, courses, most_courses=courses_at_most), ["student_id"], rec.by_score(), 4).drop("rank")
     assert shown(rec.content_scores(own, sims, courses, most_courses=courses_at_most, best=4)) == shown(want)
+
+
+@pytest.mark.parametrize("cells, rated_too, best", [(1_000_000, False, None), (60, False, None), (60, True, None), (60, False, 3), (1_000_000, False, 3)])
+def test_item_scores_are_made_by_blocks_of_courses(spark, monkeypatch, cells, rated_too, best):
+    """Ratings were joined with similar courses, and all of these rows sorted. By one block and by many: the rows of the small catalogue's way."""
+    rng = random.Random(11)
+    rows = [(f"s{i:02d}", f"c{j:02d}", float(rng.randrange(1, 6))) for i in range(40) for j in range(24) if (i + j) % 4 < 2 and rng.random() < 0.5]
+    rows += [("one", "c03", 4.0), ("far", "x1", 3.0), ("far2", "x2", 5.0)]
+    m = stash(spark.createDataFrame(rows, MATRIX), "m")
+    monkeypatch.setattr(rec, "ASKED_RATINGS", 50)
+    monkeypatch.setattr(rec._item_scores_by_blocks, "__defaults__", (cells,))
+    shown = lambda most: sorted((r["student_id"], r["course_id"], r["score"]) for r in rec.item_cf_scores(m, neighbours=3, most_courses=most, rated_too=rated_too, least=4, best=best).collect())
+    want, got = shown(1_000), shown(0)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=2e-6)
+    if cells > 60 and best is None:
+        plan = rec.item_cf_scores(m, most_courses=0)._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Join" in x and "student_id" in x] and "Window [row_number() windowspecdefinition(student_id" not in plan
