@@ -97,7 +97,19 @@ def quiz_review(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Every question of each sitting with the given answer ('' if none), whether it is right, and the texts of the right and of the chosen option."""
     sittings = answers.select("sitting", "course_id", "quiz_title").distinct()
     given = answers.select("sitting", "question_id", "answer")
-    out = sittings.join(questions, ["course_id", "quiz_title"]).join(given, ["sitting", "question_id"], "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    return reviewed(sittings.join(questions, ["course_id", "quiz_title"]).join(given, ["sitting", "question_id"], "left"))
+
+
+def sittings_review(questions: DataFrame, sittings: DataFrame) -> DataFrame:
+    """quiz_review() of sittings with their answers in one row, as a form sends them: given, an array of (question_id, answer). Answers stay with their sitting, so none is shuffled; a sitting of several rows is reviewed by each."""
+    answers = F.filter("given", lambda g: g["question_id"] == F.col("question_id"))
+    asked = sittings.join(questions, ["course_id", "quiz_title"])
+    return reviewed(asked.withColumn("answer", F.explode_outer(F.transform(answers, lambda g: g["answer"]))).drop("given"))
+
+
+def reviewed(asked: DataFrame) -> DataFrame:
+    """Questions of sittings with the answer, null if none: whether it is right, and the texts of the options."""
+    out = asked.withColumn("answer", F.coalesce("answer", F.lit("")))
     option = lambda letter: F.when(letter == "A", F.col("option_a")).when(letter == "B", F.col("option_b")).when(letter == "C", F.col("option_c"))
     given_text: Column = F.when(F.col("answer") == "D", F.col("option_d")).otherwise(option(F.col("answer")))  # null where nothing was chosen
     return out.withColumns({"correct": F.col("answer") == F.col("correct_answer"), "correct_text": option(F.col("correct_answer")).otherwise(F.col("option_d")), "given_text": given_text})

@@ -78,3 +78,19 @@ def test_negatives_rank_all_unseen_courses(spark):
         left = [f"c{k:02d}" for k in range(20) if f"c{k:02d}" not in seen]
         want |= {(s, c) for c in sorted(left, key=lambda c: hashlib.md5(f"{s}|{c}|42".encode()).hexdigest())[:n]}
     assert {tuple(r) for r in ml.drawn_negatives(train, courses).collect()} == want
+
+
+def test_answers_are_not_shuffled(spark):
+    """Answers were dealt three times: for distinct sittings, to meet the questions, and to be summed up. A sitting of two rows was mixed."""
+    from coursemill.operators import serving
+    from coursemill.plans import queries
+
+    found = plan(queries.quiz_score(Platform(spark, SMALL)))
+    assert found.count("Exchange hashpartitioning(sitting") + found.count("Exchange hashpartitioning(quiz_id") == 1 and found.index("Generate") < found.index("Exchange hashpartitioning(")
+    assert "Exchange hashpartitioning" not in plan(queries.quiz_review(Platform(spark, SMALL)))
+    q = spark.createDataFrame([(f"q{k}", "c", "t", "A", "one", "two", "three", "four", k) for k in (1, 2)], "question_id string, course_id string, quiz_title string, correct_answer string, option_a string, option_b string, option_c string, option_d string, points int")
+    a = spark.createDataFrame([("x", "c", "t", [("q1", "A")]), ("x", "c", "t", [("q1", "B"), ("q2", "A")]), ("y", "c", "t", []), ("z", "d", "t", [("q1", "A")])], "sitting string, course_id string, quiz_title string, given array<struct<question_id: string, answer: string>>")
+    review = serving.sittings_review(q, a)
+    assert sorted((r["sitting"], r["question_id"], r["answer"], r["given_text"]) for r in review.collect()) == sorted([("x", "q1", "A", "one"), ("x", "q2", "", None), ("x", "q1", "B", "two"), ("x", "q2", "A", "one"), ("y", "q1", "", None), ("y", "q2", "", None)], key=lambda r: (r[0], r[1], r[2], r[3] or ""))
+    got = {r["sitting"]: (r["correct_answers"], r["total_questions"], r["earned_points"]) for r in serving.quiz_scores(review).collect()}
+    assert got == {"x": (2, 4, 3), "y": (0, 2, 0)}
