@@ -8,7 +8,7 @@ rest can't be reached. The result is the one sequence that the merges give.
 
 A text falls into chunks at white space (no piece of the model has the space mark after another
 character) and at line ends (no piece has one); so a chunk's pieces don't depend on its
-neighbours, and frequent chunks are encoded once for a worker. Runs of space marks are the one
+neighbours, and frequent chunks are encoded once for a task. Runs of space marks are the one
 place where pieces share a score; they are merged step by step.
 """
 
@@ -276,6 +276,13 @@ class _Digester:
                 back.append(b" " * n + chunk.encode() if type(got) is str else got[1])
         return ",".join(filter(None, ids)), self.model.join_bytes(back)
 
+    def forget(self) -> None:
+        """Empty the caches: workers live on and serve other steps."""
+        self.marked.clear()
+        self.bare.clear()
+        self.model.fits.clear()
+        self.model.n_fits = 0
+
 
 _digesters: dict[str, _Digester] = {}
 
@@ -302,24 +309,27 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = _digester(model.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                counts, digests, decoded, ids, texts = [], [], [], [], []
-                for text in rows.column(1).to_pylist():
-                    joined, back = digest(text)
-                    counts.append(joined.count(",") + 1 if joined else 0)
-                    digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(back.encode()).hexdigest())
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    rows = batch.slice(at, 256)
+                    counts, digests, decoded, ids, texts = [], [], [], [], []
+                    for text in rows.column(1).to_pylist():
+                        joined, back = digest(text)
+                        counts.append(joined.count(",") + 1 if joined else 0)
+                        digests.append(hashlib.sha256(joined.encode()).hexdigest())
+                        decoded.append(hashlib.sha256(back.encode()).hexdigest())
+                        if with_ids:
+                            ids.append([int(k) for k in joined.split(",")] if joined else [])
+                            texts.append(back)
+                    arrays = [rows.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                     if with_ids:
-                        ids.append([int(k) for k in joined.split(",")] if joined else [])
-                        texts.append(back)
-                arrays = [rows.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                        arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                        names += ["ids", "decoded"]
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+        finally:
+            digest.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

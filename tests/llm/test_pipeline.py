@@ -72,3 +72,22 @@ def test_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_codecs_caches_end_with_their_task(spark):
+    """Workers live on: what the codec had cached stayed with them, beside what the next steps needed."""
+    import public_tokenizers
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from coursemill.llm import pieces
+
+    def held(batches):
+        for batch in batches:
+            n = sum(len(d.marked) + len(d.bare) + len(d.model.fits) for d in pieces._digesters.values())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int64())], names=["n"])
+
+    docs = spark.range(0, 400, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words and "), F.col("id").cast("string")).alias("text"))
+    first = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert max(r["n"] for r in spark.range(0, 64, 1, 64).mapInArrow(held, "n long").collect()) == 0
+    assert first == pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
