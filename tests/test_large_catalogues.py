@@ -196,3 +196,34 @@ def test_item_scores_are_made_by_blocks_of_courses(spark, monkeypatch, cells, ra
     if cells > 60 and best is None:
         plan = rec.item_cf_scores(m, most_courses=0)._jdf.queryExecution().executedPlan().toString()
         assert not [x for x in plan.splitlines() if "Join" in x and "student_id" in x] and "Window [row_number() windowspecdefinition(student_id" not in plan
+
+
+def test_a_forest_is_fitted_in_parts(spark):
+    """All trees at once keep a number for each row and tree. Their probability is the mean of the parts', and features go to the fit without a join."""
+    from coursemill.operators import hybrid
+
+    rng = random.Random(2)
+    rows = [(f"s{k % 9}", f"c{k:02d}", k % 2, *[rng.random() + 0.2 * (k % 2) for _ in ml.HYBRID_FEATURES]) for k in range(90)]
+    labelled = spark.createDataFrame(rows, "student_id string, course_id string, label int, " + ", ".join(f"{c} double" for c in ml.HYBRID_FEATURES))
+    forest = ml.fit_hybrid(labelled, trees=7, at_once=3)
+    assert [part.getNumTrees for part in forest] == [3, 2, 2] and len({part.toDebugString.split(chr(10), 1)[1] for part in forest}) == 3
+    asked = labelled.select("student_id", "course_id", F.array(*ml.HYBRID_FEATURES).alias("features"))
+    got = {(r["student_id"], r["course_id"]): r["score"] for r in hybrid.first_ranked(forest, asked, 10).collect()}
+    alone = [{(r["student_id"], r["course_id"]): r["score"] for r in hybrid.first_ranked([part], asked, 10).collect()} for part in forest]
+    assert len(got) == 90 and all(abs(got[k] - sum(n * a[k] for n, a in zip((3, 2, 2), alone, strict=True)) / 7) < 2e-6 for k in got)
+
+
+def test_labels_go_with_the_students_row(spark):
+    """Features were shuffled to meet their labels. A pair that stands twice, once drawn as unseen, has two rows."""
+    from coursemill.operators import hybrid
+
+    courses = spark.createDataFrame([(f"c{k}", "X", "Beginner") for k in range(4)], "course_id string, category string, difficulty string")
+    train = stash(spark.createDataFrame([("s", "c0", 0.5, 1.0, 2.0, True), ("s", "c1", 0.0, 1.0, 2.0, False), ("t", "c2", 1.0, 1.0, 2.0, True), ("t", "gone", 1.0, 1.0, 2.0, True)], "student_id string, course_id string, preference_score double, enrollment_progress double, avg_quiz_score double, positive_label boolean"), "train")
+    sims = stash(spark.createDataFrame([("c0", "c1", 0.5), ("c1", "c0", 0.5)], "a string, b string, sim double"), "sims")
+    matrix = stash(rec.rating_matrix(ml.train_inputs(train)), "matrix")
+    asked = spark.createDataFrame([("s", ["c0", "c1", "c1", "gone"], [1, 0, 0, 1]), ("t", ["c2"], [1])], "student_id string, wanted array<string>, labels array<int>")
+    tables = hybrid.tables_for(train, matrix, courses, sims)
+    made = hybrid.feature_rows(tables, train, matrix, asked)
+    assert sorted((r["student_id"], r["course_id"], r["label"]) for r in made.collect()) == [("s", "c0", 1), ("s", "c1", 0), ("s", "c1", 0), ("t", "c2", 1)]
+    plain = {(r["student_id"], r["course_id"]): r["features"] for r in hybrid.feature_rows(tables, train, matrix, asked.drop("labels")).collect()}
+    assert all(r["features"] == plain[r["student_id"], r["course_id"]] for r in made.collect())
