@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,48 @@ def test_similar_users_at_random(spark, monkeypatch, block, asked, courses):
     assert neighbours.similar_users(m.limit(0)).count() == 0
 
 
+def test_similar_users_compare_copies_once(spark):
+    """Students with equal vectors are compared as one: no more pairs than those of the 30 vectors, though students are seven times as many; ids decide among copies."""
+    rng = random.Random(4)
+    vectors = [{f"c{j:02d}": float(rng.randrange(1, 6)) for j in rng.sample(range(12), 5)} for _ in range(30)]
+    vectors[1] = {c: 2 * r for c, r in vectors[0].items()}  # another vector, the same direction
+    times = [1, 2, 3, 5, 6, 7, 30]
+    copies = [k for k in range(30) for _ in range(times[k % 7])]
+    rng.shuffle(copies)
+    cells = {(f"s{i:03d}", c): r for i, k in enumerate(copies) for c, r in vectors[k].items()}
+    m = spark.createDataFrame([(*k, r) for k, r in cells.items()], MATRIX)
+    found, work = neighbours.similar_users_and_work(m, block=8, asked=16)
+    assert ranked(found) == plain_similar(cells, 5)
+    assert sum(r["pairs"] for r in work.collect()) <= 30 * 30
+
+
+def test_similar_users_compare_pairs_once(spark):
+    """At random, where nothing can be left out, a pair is compared once for both of its students, over all rounds; ratings below 0 too."""
+    rng = random.Random(6)
+    cells = {(f"s{i:03d}", f"c{j:02d}"): rng.choice([-2.0, 1.0, 2.5, 4.0, 5.0]) for i in range(240) for j in range(40) if rng.random() < 0.5}
+    m = spark.createDataFrame([(*k, r) for k, r in cells.items()], MATRIX)
+    found, work = neighbours.similar_users_and_work(m, block=30, asked=30)
+    assert ranked(found) == plain_similar(cells, 5)
+    steps = {r["step"]: r["pairs"] for r in work.collect()}
+    assert len(steps) == 3 and sum(steps.values()) < 0.7 * 240 * 240
+
+
+@pytest.mark.parametrize("wide", [4_096, 7])
+def test_cosines_in_both_precisions(monkeypatch, wide):
+    """As tables and, with very many courses, over courses of both sides only; single precision is off by less than is allowed for."""
+    monkeypatch.setattr(neighbours, "WIDE", wide)
+    rng = np.random.default_rng(7)
+    m = np.where(rng.random((50, 90)) < 0.3, rng.integers(1, 11, (50, 90)) / 2, 0)
+    places = pa.array([np.flatnonzero(row).tolist() for row in m], pa.list_(pa.int32()))
+    r = pa.array([row[row > 0].tolist() for row in m], pa.list_(pa.float64()))
+    v = neighbours.Vectors(places, r, 90)
+    want = m @ m.T / np.outer(np.linalg.norm(m, axis=1), np.linalg.norm(m, axis=1))
+    x, y = np.arange(3, 40), np.arange(10, 50)
+    assert np.abs(v.roughly(x, y) - want[3:40, 10:]).max() < v.off < 1e-5
+    p, q = rng.integers(0, 50, 500), rng.integers(0, 50, 500)
+    assert np.allclose(v.exactly(p, q, at_once=60), want[p, q], rtol=0, atol=1e-14)
+
+
 def test_rings_hold_every_student_once():
     counts = {(0, 3): 10, (0, 4): 5, (0, 9): 40, (1, 0): 16, (1, 1): 1}
     where, blocks = neighbours.cut_rings(counts, 16)
