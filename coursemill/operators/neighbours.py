@@ -121,19 +121,27 @@ class Vectors:
 
 
 class Best:
-    """The first n + 1 found for the rows of a block, by the rounded score, ties by place among all ids; ``low`` is what a cosine must reach to be one of them."""
+    """The first n + 1 found for the rows of a block, by the rounded score, ties by place among all ids; ``low`` is what a cosine must reach to be one of them. What is added waits until it is twice the rows."""
 
-    def __init__(self, n: int, low: np.ndarray, tie: np.ndarray):
-        self.n, self.low, self.tie = n, low, tie
+    def __init__(self, n: int, rows: int, low: np.ndarray, tie: np.ndarray):
+        self.n, self.patience, self.low, self.tie = n, 2 * rows, low, tie
         self.x = self.y = np.zeros(0, np.int64)
         self.sim = np.zeros(0)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def add(self, x: np.ndarray, y: np.ndarray, sim: np.ndarray) -> None:
         """x: rows of the whole task, as in ``low``."""
         good = (sim > 0) & (sim >= self.low[x])
-        if not good.any():
+        if good.any():
+            self.waiting.append((x[good], y[good], sim[good]))
+            if sum(len(w[0]) for w in self.waiting) >= self.patience:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.waiting:
             return
-        x, y, sim = (np.append(a, b[good]) for a, b in ((self.x, x), (self.y, y), (self.sim, sim)))
+        x, y, sim = (np.concatenate(parts) for parts in zip((self.x, self.y, self.sim), *self.waiting, strict=True))
+        self.waiting = []
         units = np.floor(sim * 10**PLACES + 0.5)
         order = np.lexsort((self.tie[y], -units, x))
         x, units = x[order], units[order]
@@ -145,6 +153,15 @@ class Best:
         self.low[x[last]] = np.maximum(self.low[x[last]], units[last] * 10.0**-PLACES - SLACK)
 
 
+def places_of(mask: np.ndarray) -> np.ndarray:
+    """np.flatnonzero for masks that are nearly empty: eight cells are looked at together."""
+    if mask.size % 8:
+        return np.flatnonzero(mask)
+    some = np.flatnonzero(mask.reshape(-1).view(np.uint64))
+    which, at = np.nonzero(mask.reshape(-1, 8)[some])
+    return some[which] * 8 + at
+
+
 def meet(v: Vectors, n: int, x: np.ndarray, y: np.ndarray, own: Best, theirs: Best | None, asking: np.ndarray | None, rows: int = 1_024, columns: int = 1_024) -> None:
     """Compare rows x with rows y, for x and, of y, for those that ask, too."""
     for i in range(0, len(x), rows):
@@ -159,14 +176,14 @@ def meet(v: Vectors, n: int, x: np.ndarray, y: np.ndarray, own: Best, theirs: Be
             down = cut(own.low[a])
             across = cut(np.where(asking[b], theirs.low[b], np.inf)) if theirs else None
             reach = lambda: sim >= down[:, None] if across is None else (sim >= down[:, None]) | (sim >= across)
-            at = np.flatnonzero(reach())
+            at = places_of(reach())
             if len(at) > 16 * (len(a) + len(b)):  # thresholds are still low: what n + 1 others of the tile surely surpass isn't among the best
                 margin = 2 * v.off + 2 * SLACK
                 if len(b) > n:
                     down = np.maximum(down, np.partition(sim, len(b) - n - 1, axis=1)[:, len(b) - n - 1] - np.float32(margin))
                 if across is not None and len(a) > n:
                     across = np.maximum(across, np.partition(sim, len(a) - n - 1, axis=0)[len(a) - n - 1] - np.float32(margin))
-                at = np.flatnonzero(reach())
+                at = places_of(reach())
             if not len(at):
                 continue
             p, q = np.divmod(at, len(b))
@@ -190,7 +207,7 @@ def compare_slabs(table: pa.Table, n: int, width: int) -> pa.Table:
     low = np.maximum(np.asarray(column("least")) - SLACK, 0)
     starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
     rows = {int(block[s]): np.arange(s, e) for s, e in zip(starts, np.append(starts[1:], len(block)), strict=True)}
-    best = {b: Best(n, low, tie) for b in rows}
+    best = {b: Best(n, len(at), low, tie) for b, at in rows.items()}
     who, asked = np.repeat(np.arange(len(ids)), np.asarray(asks.value_lengths())), np.asarray(asks.flatten())
     order = np.lexsort((asked, block[who]))
     who, asked = who[order], asked[order]
@@ -207,6 +224,8 @@ def compare_slabs(table: pa.Table, n: int, width: int) -> pa.Table:
         rest = rows[a][~np.isin(rows[a], one)] if len(other) else none
         meet(v, n, other, rest, best[b], None, None)
         pairs += len(one) * len(rows[b]) + len(other) * len(rest)
+    for k in best.values():
+        k.settle()
     x, y, sim = (np.concatenate([getattr(k, name) for k in best.values()]) for name in ("x", "y", "sim"))
     found = pa.table({"student_id": ids.take(pa.array(x)), "similar_id": ids.take(pa.array(y)), "sim": sim, "pairs": pa.nulls(len(x), pa.int64())})
     work = pa.table({"student_id": pa.nulls(1, pa.string()), "similar_id": pa.nulls(1, pa.string()), "sim": pa.nulls(1, pa.float64()), "pairs": pa.array([pairs], pa.int64())})

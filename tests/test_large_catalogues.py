@@ -105,6 +105,30 @@ def test_cosines_in_both_precisions(monkeypatch, wide):
     assert np.allclose(v.exactly(p, q, at_once=60), want[p, q], rtol=0, atol=1e-14)
 
 
+def test_places_of_sparse_masks():
+    rng = np.random.default_rng(8)
+    for shape in ((16, 24), (5, 7)):
+        for share in (0, 0.02, 1):
+            mask = rng.random(shape) < share
+            assert neighbours.places_of(mask).tolist() == np.flatnonzero(mask).tolist()
+
+
+def test_the_best_wait_to_be_settled():
+    """Whatever waits, the first three of each row are the same; the threshold is the third's score."""
+    rng = np.random.default_rng(9)
+    x, y, sim = rng.integers(0, 6, 400), np.arange(400), rng.integers(1, 60, 400) / 60
+    for patience in (1, 500):
+        low = np.zeros(6)
+        best = neighbours.Best(2, patience, low, np.arange(400)[::-1].copy())
+        for k in range(0, 400, 30):
+            best.add(x[k : k + 30], y[k : k + 30], sim[k : k + 30])
+        best.settle()
+        for row in range(6):
+            want = sorted(((-np.floor(s * 1e6 + 0.5), -j) for a, j, s in zip(x, y, sim, strict=True) if a == row))[:3]
+            assert [-j for _, j in want] == best.y[best.x == row].tolist()
+            assert abs(low[row] - (-want[2][0] / 1e6 - neighbours.SLACK)) < 1e-12
+
+
 def test_rings_hold_every_student_once():
     counts = {(0, 3): 10, (0, 4): 5, (0, 9): 40, (1, 0): 16, (1, 1): 1}
     where, blocks = neighbours.cut_rings(counts, 16)
