@@ -231,6 +231,30 @@ def test_holdout_errors_by_either_way(spark, repeated):
     assert evaluation.holdout_errors(repeated.limit(0), 4).count() == 0
 
 
+@pytest.mark.parametrize("skip_empty", [True, False])
+def test_holdout_metrics_are_made_where_the_student_is(spark, repeated, skip_empty):
+    """Lists of all models, students and folds were shuffled and written; the counts of their hits are the same."""
+    courses = spark.createDataFrame([(f"c{j:02d}",) for j in range(1, 15)], "course_id string")  # c00 is rated, but not offered
+    sims = stash(spark.createDataFrame([(f"c{a:02d}", f"c{b:02d}", 0.25 * (1 + (a + b) % 2)) for a in range(15) for b in range(15) if abs(a - b) < 3], "a string, b string, sim double"), "sims")
+    split = stash(evaluation.holdout(repeated, 3), "split")
+    train = split.filter("NOT is_test")
+    matrix, history = rec.rating_matrix(train, by=("fold",)), train.select("fold", "student_id", "course_id").distinct()
+    content = stash(rec.content_scores(history, sims, courses, by=("fold",)), "content")
+    cf = stash(rec.user_cf_scores(matrix, by=("fold",)), "cf")
+    scores = {"content": content, "collaborative": cf, "hybrid": rec.hybrid_scores(content, cf, history, by=("fold",))}
+    recs = None
+    for model, found in scores.items():
+        own = rec.recommendations(found, 10, by=("fold",)).withColumn("model", F.lit(model))
+        recs = own if recs is None else recs.unionByName(own)
+    relevant = split.filter("is_test AND rating >= 4").select("fold", "student_id", "course_id")
+    want = evaluation.ranking_metrics(recs, relevant, courses, keys=("model", "fold"), skip_empty=skip_empty)
+    got = evaluation.holdout_metrics(repeated, courses, sims, 3, skip_empty)
+    shown = lambda df: sorted(tuple(r) for r in df.collect())
+    assert got.columns == want.columns and shown(got) == shown(want) and got.count() == 9
+    assert evaluation.holdout_metrics(repeated, courses, sims, 3, most_cells=10) is None
+    assert evaluation.holdout_metrics(repeated.limit(0), courses, sims, 3).count() == 0
+
+
 @pytest.mark.parametrize("most", [2_000_000, 0])
 def test_the_best_of_scores_are_their_first_ones(spark, most):
     """Cut in the task that scores or by a window: the same rows as of all scores, ties to the first course."""
