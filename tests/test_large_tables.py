@@ -1,5 +1,7 @@
 """Steps whose cost may not grow faster than the tables."""
 
+import re
+
 import pytest
 
 from coursemill.sources.adapter import BODIES, Platform
@@ -50,6 +52,14 @@ def test_what_grows_with_students_is_not_broadcast(spark):
     assert not joined and "SortMergeJoin" in plan(found)
 
 
+def test_features_are_not_joined_by_pairs(spark):
+    """Scores of all students' courses were shuffled and written to meet the pairs that were asked for."""
+    from coursemill.plans import queries
+
+    found = plan(queries.hybrid_features(Platform(spark, SMALL)))
+    assert "MapInArrow" in found and not re.search(r"Exchange hashpartitioning\((student_id#\d+L?, course_id|course_id#\d+L?, student_id)", found)
+
+
 def test_a_holdout_deals_ratings_once(spark):
     """A copy of the ratings was shuffled for each fold."""
     from pyspark.sql import functions as F
