@@ -191,6 +191,22 @@ def test_content_scores_are_the_same_rows_for_every_catalogue(spark):
         assert got.keys() == want.keys() and len(found) == len(got) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
+@pytest.mark.parametrize(("cells", "best"), [(10**6, None), (10**6, 4), (90, None), (90, 4)])
+def test_content_scores_are_made_by_blocks_of_courses(spark, monkeypatch, cells, best):
+    """Histories were joined with all similarities: a row for each course of a history and each course like it."""
+    monkeypatch.setattr(rec, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(rec, "ASKED_RATINGS", 40)
+    rng = random.Random(4)
+    courses = spark.createDataFrame([(f"c{j:02d}",) for j in range(30)], "course_id string")
+    sims = stash(spark.createDataFrame([(f"c{a:02d}", f"c{b:02d}", rng.random()) for a in range(30) for b in range(30) if abs(a - b) < 3], "a string, b string, sim double"), "sims")
+    rows = [(k, f"s{i:02d}", f"c{j:02d}") for k in range(2) for i in range(20) for j in range(30) if rng.random() < 0.03 * (i % 7)] + [(0, "gone", "c99"), (0, "s01", "c99")]
+    seen = spark.createDataFrame(rows, "fold int, student_id string, course_id string")
+    shown = lambda df: sorted((r["fold"], r["student_id"], r["course_id"], r["score"]) for r in df.collect())
+    made = rec.content_scores(seen, sims, courses, by=("fold",), most_courses=0, best=best)
+    assert shown(made) == shown(rec.content_scores(seen, sims, courses, by=("fold",), best=best))
+    assert cells < 900 or "FlatMapCoGroupsInArrow" in made._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("most_courses", [1000, 3])
 def test_item_scores_have_the_first_of_the_shared_list(spark, most_courses):
     """Courses x0 to x29 are like nothing that s has rated; the three of best mean stand for all of them."""
