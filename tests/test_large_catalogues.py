@@ -320,6 +320,32 @@ def test_a_forest_is_fitted_in_parts(spark):
     assert len(got) == 90 and all(abs(got[k] - sum(n * a[k] for n, a in zip((3, 2, 2), alone, strict=True)) / 7) < 2e-6 for k in got)
 
 
+def test_a_forest_is_read_by_numpy_as_spark_reads_it(spark):
+    """Spark took every candidate to a vector and through each part's trees one by one; also values on a threshold, and none."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from coursemill.operators import hybrid
+
+    rng = random.Random(3)
+    rows = [(f"s{k % 9}", f"c{k:03d}", int(rng.random() < 0.5), *[rng.randrange(40) / 40 for _ in ml.HYBRID_FEATURES]) for k in range(400)]
+    labelled = spark.createDataFrame(rows, "student_id string, course_id string, label int, " + ", ".join(f"{c} double" for c in ml.HYBRID_FEATURES))
+    parts = ml.fit_hybrid(labelled, trees=7, at_once=4)
+    forest = hybrid.forest_of(parts)
+    assert len(forest.trees) == 7 and max(len(leaves) for _, leaves in forest.trees) > 8
+    x = np.array([r[3:] for r in rows])
+    x[0, :], x[1, ::2] = np.nan, np.inf
+    for f, edges in forest.edges.items():
+        x[2 : 2 + len(edges), f] = edges
+    df = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "k int, a array<double>").withColumn("features", array_to_vector("a"))
+    want = np.zeros(len(x))
+    for part in parts:
+        scored = part.transform(df).select("k", vector_to_array("probability")[1].alias("p"))
+        for r in scored.collect():
+            want[r["k"]] += r["p"] * part.getNumTrees / 7
+    assert np.allclose(forest.probability(x), want, rtol=0, atol=1e-12) and len(set(want)) > 50
+    assert len(forest.probability(x[:0])) == 0
+
+
 def test_labels_go_with_the_students_row(spark):
     """Features were shuffled to meet their labels. A pair that stands twice, once drawn as unseen, has two rows."""
     from coursemill.operators import hybrid
